@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from veritab.llm import mixing, sharding, urls
+from veritab.llm import mixing, quality, secrets, sharding, urls
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
+    "op2_markov_secrets": secrets.op2_markov_secrets,
     "op6_water_fill": mixing.op6_water_fill,
+    "op8_risk_controlled": quality.op8_risk_controlled,
     "op9_url_filter": urls.op9_url_filter,
 }
 SQL = {
