@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veritab.llm import mixing, quality, secrets, sharding, simhash, urls
+from veritab.llm import decontaminate, mixing, quality, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op2_markov_secrets": secrets.op2_markov_secrets,
+    "op3_simhash_leaks": decontaminate.op3_simhash_leaks,
     "op4_vantage_simhash": simhash.op4_vantage_simhash,
     "op6_water_fill": mixing.op6_water_fill,
     "op8_risk_controlled": quality.op8_risk_controlled,
