@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritab.llm import decontaminate, mixing, quality, secrets, sharding, simhash, urls
+from veritab.llm import decontaminate, mixing, quality, repeats, secrets, sharding, simhash, urls
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_water_fill": mixing.op6_water_fill,
     "op8_risk_controlled": quality.op8_risk_controlled,
     "op9_url_filter": urls.op9_url_filter,
+    "op10_bucket_pointers": repeats.op10_bucket_pointers,
 }
 SQL = {
     "op6_water_fill": mixing.OP6_SQL,
