@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from veritab.llm import decontaminate, mixing, quality, repeats, secrets, sharding, simhash, urls
+from veritab.llm import decontaminate, lines, mixing, quality, repeats, secrets, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
     "op2_markov_secrets": secrets.op2_markov_secrets,
     "op3_simhash_leaks": decontaminate.op3_simhash_leaks,
     "op4_vantage_simhash": simhash.op4_vantage_simhash,
+    "op5_noisy_channel": toxicity.op5_noisy_channel,
     "op6_water_fill": mixing.op6_water_fill,
+    "op7_line_chunks": lines.op7_line_chunks,
     "op8_risk_controlled": quality.op8_risk_controlled,
     "op9_url_filter": urls.op9_url_filter,
     "op10_bucket_pointers": repeats.op10_bucket_pointers,
