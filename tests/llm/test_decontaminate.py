@@ -21,6 +21,8 @@ def _brute(docs, items):
             n = len(s) + min(5, len(s[0])) - 1
             want = collections.Counter(s)
             k = len(s[0])
+            if not set(s) & {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}:
+                continue  # nothing shared in any window
             for at in range(max(1, len(w) - n + 1)):
                 win = w[at : at + n]
                 have = collections.Counter(tuple(win[j : j + k]) for j in range(len(win) - k + 1))

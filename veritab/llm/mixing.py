@@ -68,6 +68,20 @@ def mix(rows: DataFrame, id_col: str, text_col: str, source_col: str, weights: t
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "whole", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row standing once for every whole repetition that :func:`mix` takes of it.
+
+    The document at a source's cut, of which the mix takes a part, stands for that part if it is half or more.
+    Rows without words stand once. ``mix`` is joined on the id, which must be unique; rows with a null id are
+    mixed by a hash of their text as id, and rows that repeat an id stand each as often as the first of them.
+    """
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.xxhash64(text_col).cast("string")))
+    keyed = docs.withColumn("_mix_key", key)
+    counts = mix(keyed, "_mix_key", text_col, source_col).groupBy("_mix_key").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1)).cast("int").alias("_mix_times"))
+    times = F.explode(F.sequence(F.lit(1), F.col("_mix_times")))
+    return keyed.join(counts, "_mix_key").filter("_mix_times > 0").withColumn("_mix_copy", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_water_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source").select("doc_id", "size", "source_size", "target", "taken")
 

@@ -113,7 +113,7 @@ def histogram_shards(rows: DataFrame, id_col: str, text_col: str, shards: int =
             yield b.drop(columns=["home", "spot"])
 
     out = keys.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(subs)).cast("int")).select("id", "size", "text_crc32", "k", "home", "spot").mapInPandas(
-        place, keys.select("id").schema.simpleString()[7:-1] + ", size long, text_crc32 long, k long, shard int, sub int"
+        place, "id " + keys.schema["id"].dataType.simpleString() + ", size long, text_crc32 long, k long, shard int, sub int"
     )
     out = saved(out, "shard-rows")
     counts = out.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("c"))
@@ -126,6 +126,22 @@ def histogram_shards(rows: DataFrame, id_col: str, text_col: str, shards: int =
     )
 
 
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``. Rows that are equal in id and text are numbered among themselves.
+
+    Columns of ``docs`` named shard or slot are replaced.
+    """
+    docs = docs.drop("shard", "slot")
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    repeat = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
+    keyed = saved(docs.withColumn("_row", row).withColumn("_row", F.struct("_row.id", "_row.text", repeat.alias("copy"))), "shard-docs")
+    where = histogram_shards(keyed.select("_row", text_col), "_row", text_col, shards)
+    same = F.xxhash64(F.col("_row"))
+    placed = where.select(same.alias("_key"), F.col("_row").alias("_at"), "shard", "slot")
+    out = keyed.withColumn("_key", same).join(placed, "_key").filter(F.col("_row").eqNullSafe(F.col("_at")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
+
+
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = histogram_shards(table(spark, sf_dir, "documents"), "doc_id", "text")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
