@@ -126,3 +126,23 @@ def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = docs.select("doc_id", text_key(F.col("text")).alias("text_key")).join(small(bad, bad.count(), BROADCAST), "text_key", "left")
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<bigint>"))
     return out.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.size(ids).alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+OP3_SQL = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+it AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+sh AS (SELECT item_id, n, k, p, array_to_string(w[p + 1:p + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS p FROM it)),
+wt AS (SELECT k, s, 1 + ln((1 + (SELECT count(*) FROM it)) / (1 + count(DISTINCT item_id))) AS weight FROM sh GROUP BY k, s),
+want AS (SELECT item_id, n, k, s, count(*) AS c0 FROM sh GROUP BY ALL),
+whole AS (SELECT item_id, sum(c0 * weight) AS total FROM want JOIN wt USING (k, s) GROUP BY item_id),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+dk AS (SELECT doc_id, w, len(w) AS m, k FROM dw, (SELECT DISTINCT k FROM it)),
+ds AS (SELECT doc_id, m, k, i, array_to_string(w[i + 1:i + k], ' ') AS s FROM (SELECT *, unnest(range(0, greatest(m - k + 1, 0))) AS i FROM dk)),
+win AS (SELECT DISTINCT doc_id, sh.n, sh.k, greatest(0, least(i - p, m - sh.n)) AS st, least(sh.n, m - greatest(0, least(i - p, m - sh.n))) AS len FROM ds JOIN sh USING (k, s)),
+have AS (SELECT win.doc_id, win.n, win.k, st, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.k = win.k AND i >= st AND i <= st + len - win.k GROUP BY ALL),
+got AS (SELECT doc_id, st, item_id, sum(least(c, c0) * weight) AS g FROM have JOIN want USING (n, k, s) JOIN wt USING (k, s) GROUP BY doc_id, st, n, item_id),
+ok AS (SELECT doc_id, item_id, round(g / total, 9) AS sim FROM got JOIN whole USING (item_id) WHERE round(g / total, 9) >= 0.8),
+fin AS (SELECT doc_id, list_sort(list_distinct(list(item_id))) AS ids, max(sim) AS sim FROM ok GROUP BY doc_id)
+SELECT doc_id, ids IS NOT NULL AS contaminated, coalesce(len(ids), 0) AS n_items, coalesce(array_to_string(ids, ','), '') AS item_ids, coalesce(sim, 0.0) AS similarity
+FROM documents LEFT JOIN fin USING (doc_id)
+"""

@@ -107,7 +107,7 @@ def judge(stats: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, al
     clean = labels.filter(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).filter("q = q2").select(F.col(id_col).alias("label_id"), (F.col("q") == 1).alias("good"))
     named = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("null"))
     stats = stats.withColumn("stratum", named)
-    fold = F.pmod(F.xxhash64(F.col(id_col), F.lit("fold")), F.lit(2))
+    fold = F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), F.col(id_col).cast("string"))), 1, 1), 16, 10).cast("int") % 2
     judged = stats.filter(~F.col("base_failed")).join(clean, F.col(id_col) == F.col("label_id")).select("stratum", "good", fold.alias("fold"), *SIGNALS)
     cuts = saved(thresholds(judged, alpha, delta), "quality-cuts")
     out = stats.join(small(cuts, cuts.count(), 100_000), "stratum", "left")
@@ -130,3 +130,38 @@ def good_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     wide = text_stats(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{stratum_col}`").alias("_stratum"), F.col(f"`{text_col}`").alias("_text")), "_text")
     out = judge(wide, labels.withColumnRenamed(id_col, "_id"), "_id", "_stratum")
     return out.filter("kept").select("_row.*")
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT j) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM x WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM d),
+c AS (
+  SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+         length(regexp_replace(t, '[^!?~^=+{{}}\[\]\\]', '', 'g')) AS n_marks, len(l) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words
+  FROM d JOIN w USING (doc_id) JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+s AS (
+  SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_share, n_upper / greatest(word_chars, 1) AS upper_share,
+         n_marks / greatest(word_chars, 1) AS mark_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
+         n_repeat_words / greatest(n_words, 1) AS repeat_share, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+lab AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
+j AS (SELECT s.*, good, md5('fold:' || doc_id)[1] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS certifies FROM s JOIN lab USING (doc_id) WHERE NOT base_failed),
+v AS (SELECT stratum, good, certifies, unnest([{", ".join(f"{{'signal': '{x}', 'v': {x}}}" for x in SIGNALS)}], recursive := true) FROM j),
+t AS (
+  SELECT stratum, signal, cutoff, count(*) FILTER (good AND certifies) AS n, count(*) FILTER (good AND certifies AND v >= cutoff) AS k,
+         count(*) FILTER (NOT good AND NOT certifies AND v >= cutoff) - 5 * count(*) FILTER (good AND NOT certifies AND v >= cutoff) AS gain
+  FROM v, (SELECT unnest([{", ".join(map(str, GRID))}]::DOUBLE[]) AS cutoff) GROUP BY ALL),
+z AS (
+  SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) AS p
+  FROM t WHERE k < 0.01 * n AND gain > 0),
+b AS (
+  SELECT stratum, signal, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM z
+  WHERE p * (SELECT count(DISTINCT stratum) FROM j) * {len(SIGNALS)} * {len(GRID)} <= 0.05 GROUP BY ALL),
+bad AS (SELECT DISTINCT s.doc_id FROM s JOIN b USING (stratum) WHERE CASE b.signal {" ".join(f"WHEN '{x}' THEN {x}" for x in SIGNALS)} END >= b.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM s
+"""

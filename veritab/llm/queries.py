@@ -17,6 +17,9 @@ QUERIES = {
     "op10_bucket_pointers": repeats.op10_bucket_pointers,
 }
 SQL = {
+    "op3_simhash_leaks": decontaminate.OP3_SQL,
     "op6_water_fill": mixing.OP6_SQL,
+    "op8_risk_controlled": quality.OP8_SQL,
     "op9_url_filter": urls.OP9_SQL,
+    "op10_bucket_pointers": repeats.OP10_SQL,
 }

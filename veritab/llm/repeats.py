@@ -400,3 +400,22 @@ def op10_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS i FROM n),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM p),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+r AS (SELECT g.doc_id, g.i FROM g JOIN f USING (s) WHERE f.m < g.doc_id),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r),
+l AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM l GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM sp),
+k AS (SELECT q.doc_id, count(*) AS spans, sum(b - a) AS removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+      FROM q JOIN n USING (doc_id) GROUP BY q.doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)
+"""
