@@ -4,8 +4,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from veritab.functions import dates, numbers, params, privacy, text
-from veritab.operators import lifecycle, merge, summaries, windows
+from veritab.functions import dates, numbers, params, privacy, text, words
+from veritab.operators import checks, lifecycle, merge, sinks, summaries, windows
 from veritab.plans.logic import condition
 from veritab.sources import workbook
 from veritab.streaming import seconds
@@ -104,3 +104,35 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {tuple(r) for r in seconds.step_seconds(events).collect()}
     assert sum(r["n"] for r in seconds.late_counts(events).collect()) == 200
+
+
+def test_words_and_names(spark):
+    n = lambda s: _one(spark, words.words_to_int(F.lit(s)))[0]
+    assert [n(x) for x in ("seis", "dezasseis", "vinte e dois", "cento e vinte", "42", "muitos")] == [6, 16, 22, 120, 42, None]
+    q = lambda s: _one(spark, words.quantity_of(F.lit(s), "carregador(?:es)?", "pedesta(?:l|is)"))[0]
+    assert q("sao instalados 3 pedestais com dois carregadores em cada") == 6
+    assert (q("existem 5 carregadores, dos quais 2 carregadores sao rapidos"), q("dos quais 2 carregadores"), q("nada")) == (5, None, None)
+    s = words.sheet_name(F.lit("QP1-2-QE 3.xls"))
+    assert tuple(_one(spark, s)[0]) == ("QP1-2", "QE 3")
+    assert _one(spark, words.cable_section(F.lit("H1XV-R 5G10")), words.cable_section(F.lit("4x1x185")), words.cable_section(F.lit("35 mm2")), words.cable_section(F.lit("x"))) == (10.0, 185.0, 35.0, None)
+    df = spark.createDataFrame([(1, "Ana Maria Reis"), (2, "Ana Reis"), (3, "Rui Sol")], "id int, name string").select("id", F.explode(words.name_variants(F.col("name"))).alias("v"))
+    assert {r["v"] for r in checks.unique_owner(df, "v", "id").collect()} == {"Ana Maria Reis", "Rui Sol", "R. Sol"}
+
+
+def test_likely_reading_and_alignment(spark):
+    obs = [(1, "a", "x", "2024-01"), (1, "b", "x", "2024-01"), (1, "c", "y", "2024-02"), (2, "a", "x", "2024-03"), (2, "b", "x", "2024-03"), (2, "c", "y", "2024-01"), (3, "a", "x", "1"), (3, "b", "y", "1")]
+    got = {r["k"]: (r["reading"], r["piece"]) for r in checks.likely_reading(spark.createDataFrame(obs, "k int, p string, v string, d string"), ["k"], "p", "v", "d").collect()}
+    assert got == {1: ("others_outdated", "c"), 2: ("piece_wrong", "c"), 3: ("several", None)}
+    pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, None, ["q"])], "k int, l array<string>, r array<string>")
+    assert [tuple(r) for r in checks.align(pairs, "k", "l", "r").collect()] == [(1, "equal", "a", "a"), (1, "replace", "b", "x"), (1, "equal", "c", "c"), (1, "insert", "", "d"), (2, "insert", "", "q")]
+    a, b = checks.remapped(spark.createDataFrame([("p",)], "id string"), spark.createDataFrame([("c", "p")], "id string, parent string"), "id", "parent", "copy")
+    assert a.join(b, a["id"] == b["parent"]).count() == 1
+
+
+def test_sinks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace_by_key(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), path, ["k"])
+    sinks.replace_by_key(spark.createDataFrame([("b", 3)], "k string, v int"), path, ["k"])
+    assert {(r["k"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3)}
+    m = sinks.manifest(spark.createDataFrame([("f", "abc")], "n string, c string"), "n", "c").first()[0]
+    assert m == '{"name":"f","bytes":3,"sha256":"ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"}'

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.functions import dates, numbers, params, privacy, text
-from veritab.operators import lifecycle, merge, summaries, windows
+from veritab.functions import dates, numbers, params, privacy, text, words
+from veritab.operators import checks, lifecycle, merge, sinks, summaries, windows
 from veritab.plans.logic import condition
 from veritab.sources.tables import facts, table
 
@@ -497,3 +497,95 @@ def email_pseudonyms(spark, d):
     hits = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(privacy.PATTERNS["email"]), F.lit(0))).alias("real"))
     f = hits.groupBy("real").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     return f.select("real", F.concat(F.lit("user"), F.row_number().over(Window.orderBy("first", "real")).cast("string"), F.lit("@example.invalid")).alias("pseudonym"), "n")
+
+
+# further checks
+
+
+@query("""WITH f AS (SELECT l_orderkey AS project, l_returnflag AS piece, p_brand AS v, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem JOIN part ON l_partkey = p_partkey),
+o AS (SELECT * FROM f WHERE r = 1), ref AS (SELECT project, arg_min(v, CASE piece WHEN 'N' THEN 1 ELSE 2 END) AS rv, arg_min(piece, CASE piece WHEN 'N' THEN 1 ELSE 2 END) AS rp FROM o WHERE piece IN ('N', 'A') GROUP BY project)
+SELECT project, 'brand' AS key, piece, v AS value, rv AS reference, rp AS reference_piece FROM o JOIN ref USING (project) WHERE piece <> rp AND v <> rv""")
+def differs_from_reference(spark, d):
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    f = li.select(F.col("l_orderkey").alias("project"), F.col("l_returnflag").alias("piece"), F.lit("brand").alias("key"), F.col("p_brand").alias("value_text"), order.alias("ord"))
+    return checks.against_reference(f, "piece", ["N", "A"])
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linestatus AS val, count(DISTINCT l_suppkey) AS n, max(strftime(l_shipdate, '%Y-%m-%d')) AS dt, min(l_suppkey) AS p FROM lineitem GROUP BY ALL),
+g AS (SELECT l_orderkey, count(*) AS "values", list_sort(list((n, dt, p))) AS s FROM v GROUP BY l_orderkey HAVING count(*) > 1)
+SELECT l_orderkey, "values", CASE WHEN NOT ("values" = 2 AND s[1][1] = 1 AND s[2][1] > 1) THEN 'several' WHEN s[1][2] > s[2][2] THEN 'others_outdated' ELSE 'piece_wrong' END AS reading FROM g""")
+def likely_readings(spark, d):
+    li = table(spark, d, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return checks.likely_reading(li, ["l_orderkey"], "l_suppkey", "l_linestatus", "day").drop("piece")
+
+
+TERMS = ("pathetic", "the and attion", "de la", "all rights", "und die")
+
+
+@query(f"""WITH p AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS w FROM documents), t AS (SELECT unnest({list(TERMS)!r}) AS term)
+SELECT doc_id, term FROM p JOIN t ON contains(w, ' ' || term || ' ')""")
+def incompatible_terms(spark, d):
+    t = spark.createDataFrame([(x,) for x in TERMS], "term string")
+    p = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("w"))
+    return checks.terms_in(p, F.col("w"), F.broadcast(t)).select("doc_id", "term")
+
+
+@query("""WITH n AS (SELECT c_custkey, 'Maria ' || c_mktsegment || ' ' || n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 60),
+v AS (SELECT DISTINCT c_custkey, unnest([name, 'Maria ' || regexp_extract(name, '(\S+)$', 1), 'M. ' || regexp_extract(name, '(\S+)$', 1)]) AS variant FROM n)
+SELECT variant, min(c_custkey) AS c_custkey FROM v GROUP BY variant HAVING count(DISTINCT c_custkey) = 1""")
+def unshared_name_variants(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey <= 60").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    v = c.select("c_custkey", F.explode(words.name_variants(F.concat_ws(" ", F.lit("Maria"), "c_mktsegment", "n_name"))).alias("variant"))
+    return checks.unique_owner(v, "variant", "c_custkey")
+
+
+@query("""SELECT c_custkey, 'Customer ' || c_name || ' of ' || coalesce(n_name, '[n_name]') || ': ' || c_mktsegment AS text, CASE WHEN n_name IS NULL THEN 'n_name' ELSE '' END AS missing
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3""")
+def assembled_texts(spark, d):
+    n = table(spark, d, "nation").filter("n_regionkey < 3")
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    done, missing = words.fill_template("Customer {c_name} of {n_name}: {c_mktsegment}", ["c_name", "n_name", "c_mktsegment"])
+    return c.select("c_custkey", done.alias("text"), missing.alias("missing"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS k, o_orderdate + INTERVAL 30 YEAR AS ts, max(o_orderstatus) AS label FROM orders GROUP BY ALL)
+SELECT e.event_id, arg_max(l.label, l.ts) AS label FROM events e LEFT JOIN l ON l.k = e.user_id AND l.ts <= e.ts GROUP BY e.event_id""")
+def values_between_labels(spark, d):
+    at = (F.col("o_orderdate") + F.expr("interval 30 years")).alias("ts")
+    labels = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), at).agg(F.max("o_orderstatus").alias("label"))
+    values = table(spark, d, "events").select(F.col("user_id").alias("k"), "ts", F.col("event_id").alias("value"))
+    return checks.between_labels(labels, values, "k", "ts").select(F.col("value").alias("event_id"), "label")
+
+
+@query("""SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') AS "A", count(*) FILTER (l_returnflag = 'N') AS "N", count(*) FILTER (l_returnflag = 'R') AS "R" FROM lineitem GROUP BY l_orderkey""")
+def difference_counts(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).count().na.fill(0)
+
+
+@query("""SELECT o_orderkey, o_orderdate + INTERVAL 2 YEAR < TIMESTAMP '1997-06-01' AS old FROM orders""")
+def outdated_sheets(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", dates.is_old(F.col("o_orderdate").cast("date"), 2, F.lit("1997-06-01").cast("date")).alias("old"))
+
+
+@query("""SELECT user_id, event_type, CAST(sum(v) AS BIGINT) AS seconds FROM (SELECT user_id, event_type, CAST(floor(value) AS BIGINT) AS v FROM events) GROUP BY ALL""")
+def upserted_seconds(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", F.floor("value").cast("long").alias("seconds"), "event_id")
+    old, new = e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1")
+    stored = old.groupBy("user_id", "event_type").agg(F.sum("seconds").alias("seconds"))
+    return sinks.upsert_add(stored, new, ["user_id", "event_type"], "seconds")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE (o_orderkey, o_orderstatus) NOT IN (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END FROM orders WHERE o_orderkey % 3 <> 0)""")
+def pieces_to_read_again(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("hash"))
+    cache = o.filter("o_orderkey % 3 <> 0").withColumn("hash", F.when(F.col("o_orderkey") % 4 == 0, "X").otherwise(F.col("hash")))
+    return sinks.unread(o, cache, ["o_orderkey", "hash"]).select("o_orderkey")
+
+
+@query()
+def aligned_turns(spark, d):
+    """Words of two neighbouring turns, aligned."""
+    c = table(spark, d, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("next is not null")
+    key = F.concat_ws(":", "conv_id", "turn", "role")
+    return checks.align(c.select(key.alias("pair"), F.split("text", " ").alias("a"), F.split("next", " ").alias("b")), "pair", "a", "b")
