@@ -30,8 +30,8 @@ def test_stages_against_brute_force(spark):
     docs = saved(P.quality_rules(spark, docs, SF), "t1")
     assert docs.columns == columns and {r["doc_id"] for r in docs.collect()} == kept
 
-    prints = {i: simhash.fingerprint(texts[i][0], 5, 4) for i in kept}
-    limit = simhash.bits_for(0.8, 256)
+    prints = {i: simhash.fingerprint(texts[i][0], 5, simhash.STAGE_WIDTH) for i in kept}
+    limit = simhash.bits_for(0.8, 64 * simhash.STAGE_WIDTH)
 
     def near(a, b):
         (f, n), (g, m) = prints[a], prints[b]

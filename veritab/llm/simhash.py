@@ -231,8 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, r
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The near-duplicate stage: shingles of five words, 256 bits, estimated resemblance of 0.8 or more.
-STAGE_SHINGLE, STAGE_WIDTH, STAGE_SIMILARITY = 5, 4, 0.8
+#: The near-duplicate stage: shingles of five words, 512 bits, estimated resemblance of 0.8 or more.
+STAGE_SHINGLE, STAGE_WIDTH, STAGE_SIMILARITY = 5, 8, 0.8
 
 
 def bits_for(similarity: float, bits: int) -> int:
