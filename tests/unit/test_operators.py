@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from veritab.functions import dates, numbers, params, privacy, text, words
-from veritab.operators import checks, lifecycle, merge, sinks, summaries, windows
+from veritab.operators import checks, decisions, lifecycle, merge, sinks, summaries, windows
 from veritab.plans.logic import condition
 from veritab.sources import workbook
 from veritab.streaming import seconds
@@ -136,3 +136,12 @@ def test_sinks(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 3)}
     m = sinks.manifest(spark.createDataFrame([("f", "abc")], "n string, c string"), "n", "c").first()[0]
     assert m == '{"name":"f","bytes":3,"sha256":"ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"}'
+
+
+def test_decisions_are_guarded(spark):
+    state = spark.createDataFrame([(1, "open"), (2, "done"), (3, "open")], "id int, status string")
+    asked = spark.createDataFrame([(1, 1, "no"), (1, 2, "a long reason"), (2, 1, "a long reason"), (3, 1, "short"), (9, 1, "a long reason")], "id int, ord int, note string")
+    guards = [("not open", F.col("status") == "open"), ("note too short", F.length("d_note") >= 10)]
+    new, log = decisions.decide(state, asked, "id", "ord", guards, {"status": F.lit("ignored")})
+    assert {tuple(r) for r in new.collect()} == {(1, "ignored"), (2, "done"), (3, "open")}
+    assert {tuple(r) for r in log.collect()} == {(1, None), (2, "not open"), (3, "note too short"), (9, "unknown")}

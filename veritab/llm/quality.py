@@ -125,9 +125,10 @@ def op8_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns. The texts are measured twice, never shuffled."""
+    """The rows of ``docs`` that are kept, with their own columns. Texts are measured once and written with their counts."""
     names = docs.columns
-    wide = text_stats(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{stratum_col}`").alias("_stratum"), F.col(f"`{text_col}`").alias("_text")), "_text")
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{stratum_col}`").alias("_stratum"), F.col(f"`{text_col}`").alias("_text"))
+    wide = saved(text_stats(wide, "_text"), "quality-rows")
     out = judge(wide, labels.withColumnRenamed(id_col, "_id"), "_id", "_stratum")
     return out.filter("kept").select("_row.*")
 

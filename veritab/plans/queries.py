@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import dates, numbers, params, privacy, text, words
-from veritab.operators import checks, lifecycle, merge, sinks, summaries, windows
+from veritab.operators import checks, decisions, lifecycle, merge, sinks, summaries, windows
 from veritab.plans.logic import condition
 from veritab.sources.tables import facts, table
 
@@ -589,3 +589,85 @@ def aligned_turns(spark, d):
     c = table(spark, d, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("next is not null")
     key = F.concat_ws(":", "conv_id", "turn", "role")
     return checks.align(c.select(key.alias("pair"), F.split("text", " ").alias("a"), F.split("next", " ").alias("b")), "pair", "a", "b")
+
+
+# read models and decisions
+
+
+@query("""SELECT c_custkey, coalesce(o.n, 0) AS files, coalesce(o.open, 0) AS open_conflicts, o.latest AS status, coalesce(e.n, 0) AS activity
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS open, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey
+LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) e ON user_id = c_custkey""")
+def project_list(spark, d):
+    """One row per project from grouped tables, each read once."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("activity"))
+    j = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").join(e, F.col("c_custkey") == F.col("user_id"), "left")
+    return j.select("c_custkey", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("open", F.lit(0)).alias("open_conflicts"), "status", F.coalesce("activity", F.lit(0)).alias("activity"))
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) > 0 AND coalesce(bool_and(l_quantity > 1), true) AND o_orderstatus <> 'P' AS ready,
+concat_ws(', ', CASE WHEN count(l_orderkey) = 0 THEN 'no sections' END, CASE WHEN NOT coalesce(bool_and(l_quantity > 1), true) THEN 'not approved' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END) AS why
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus""")
+def approval_conditions(spark, d):
+    """Conditions per document as flags, with the reasons of those that fail."""
+    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") > 1).alias("ok"))
+    j = table(spark, d, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    flags = {"no sections": F.col("ok").isNotNull(), "not approved": F.coalesce("ok", F.lit(True)), "pending": F.col("o_orderstatus") != "P"}
+    why = F.concat_ws(", ", *[F.when(~c, F.lit(k)) for k, c in flags.items()])
+    return j.select("o_orderkey", (why == "").alias("ready"), why.alias("why"))
+
+
+@query("""WITH dec AS (SELECT event_id % 2000 AS k, arg_max(event_type, event_id) AS choice, arg_max(value, event_id) AS v FROM events GROUP BY 1),
+j AS (SELECT coalesce(o_orderkey, k) AS o_orderkey, o_orderstatus, choice, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN NOT o_orderstatus IN ('O', 'P') THEN 'not open' WHEN v <= 5 THEN 'no reason' END AS refused FROM dec LEFT JOIN orders ON o_orderkey = k)
+SELECT o_orderkey, refused FROM j""")
+def decision_log(spark, d):
+    """Which decisions are taken and which are refused."""
+    return _decided(spark, d)[1]
+
+
+@query("""WITH dec AS (SELECT event_id % 2000 AS k, arg_max(event_type, event_id) AS choice, arg_max(value, event_id) AS v FROM events GROUP BY 1)
+SELECT o_orderkey, CASE WHEN k IS NOT NULL AND o_orderstatus IN ('O', 'P') AND v > 5 THEN choice ELSE o_orderstatus END AS status FROM orders LEFT JOIN dec ON o_orderkey = k""")
+def decided_state(spark, d):
+    return _decided(spark, d)[0]
+
+
+def _decided(spark, d):
+    state = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    asked = table(spark, d, "events").select((F.col("event_id") % 2000).alias("o_orderkey"), "event_id", F.col("event_type").alias("choice"), "value")
+    guards = [("not open", F.col("status").isin("O", "P")), ("no reason", F.col("d_value") > 5)]
+    return decisions.decide(state, asked, "o_orderkey", "event_id", guards, {"status": F.col("d_choice")})
+
+
+@query("""WITH r AS (SELECT o_custkey, count(*) AS n_runs, max(o_orderdate) AS last FROM orders GROUP BY o_custkey), s AS (SELECT user_id, sum(CAST(floor(value) AS BIGINT)) AS sec FROM events GROUP BY user_id)
+SELECT coalesce(o_custkey, user_id) AS project, coalesce(n_runs, 0) AS runs, CAST(coalesce(sec, 0) AS BIGINT) AS seconds FROM r FULL JOIN s ON o_custkey = user_id""")
+def project_metrics(spark, d):
+    """Metrics of every project that either side knows."""
+    r = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("p")).agg(F.count(F.lit(1)).alias("runs"))
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("q")).agg(F.sum(F.floor("value").cast("long")).alias("seconds"))
+    return r.join(s, F.col("p") == F.col("q"), "full_outer").select(F.coalesce("p", "q").alias("project"), F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("seconds", F.lit(0)).alias("seconds"))
+
+
+@query("""SELECT l_orderkey, bool_or(l_quantity > 49) AS large, NOT bool_or(l_returnflag = 'R') AS none_returned FROM lineitem GROUP BY l_orderkey""")
+def rules_over_collections(spark, d):
+    """Rules over the rows of a collection: some row fits, no row fits."""
+    some = lambda rule: F.bool_or(condition(rule))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(some((">", "l_quantity", 49)).alias("large"), (~some(("=", "l_returnflag", "R"))).alias("none_returned"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderstatus || ' ' || o_orderpriority AS was, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END || ' ' || o_orderpriority AS now FROM orders)
+SELECT o_orderkey, was, now, was <> now AS changed FROM t""")
+def revision_diff(spark, d):
+    o = table(spark, d, "orders")
+    was = o.select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("was"))
+    now = o.select(F.col("o_orderkey").alias("k"), F.concat_ws(" ", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")), "o_orderpriority").alias("now"))
+    return was.join(now, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", "was", "now", (F.col("was") != F.col("now")).alias("changed"))
+
+
+@query("""SELECT l_suppkey, list_sort(list((l_orderkey, l_linenumber, l_partkey)))[1][1] AS first_order, count(*) AS n, array_to_string(list_sort(list(CAST(l_orderkey AS BIGINT) * 100 + l_linenumber))[1:3], ',') AS head FROM lineitem GROUP BY l_suppkey""")
+def nested_occurrences(spark, d):
+    """A read model with nested rows: occurrences of a designation in order, and its first ones."""
+    li = table(spark, d, "lineitem")
+    occ = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
+    g = li.groupBy("l_suppkey").agg(occ.alias("o"))
+    head = F.array_join(F.transform(F.slice("o", 1, 3), lambda x: (x["l_orderkey"] * 100 + x["l_linenumber"]).cast("string")), ",")
+    return g.select("l_suppkey", F.col("o")[0]["l_orderkey"].alias("first_order"), F.size("o").cast("long").alias("n"), head.alias("head"))
