@@ -17,9 +17,9 @@ from veritab.llm.common import saved, table
 LENGTH, GRAM = 50, 16
 PLACES = LENGTH - GRAM + 1
 #: Bytes hashed at a time, and anchors after which a task sorts and sends what it has.
-PIECE, FLUSH = 1 << 20, 1 << 20
+PIECE, FLUSH = 1 << 20, 1 << 19
 #: Anchors that one bucket range should hold.
-RANGE = 1_000_000
+RANGE = 500_000
 
 _rng = np.random.default_rng(20)
 _LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,12 +214,12 @@ def _range_rows(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decide the anchors of whole bucket ranges: (doc, a, b, key), key null for a repeat, else still open at a."""
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    held: dict[int, list[tuple[bytes, int]]] = {}  # a range is unpacked when its turn comes
     for batch in batches:
         for p, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            held.setdefault(p, []).append(_columns(blob.as_py(), n))
+            held.setdefault(p, []).append((blob.as_py(), n))
     while held:
-        key, around, doc, pos, left, right = (np.concatenate(x) for x in zip(*held.popitem()[1], strict=True))
+        key, around, doc, pos, left, right = (np.concatenate(x) for x in zip(*[_columns(z, n) for z, n in held.popitem()[1]], strict=True))
         o, copy, wait = _resolve(key, around, doc)
         c, w = o[copy], o[wait]
         d, a, b = _runs(doc[c], pos[c] - left[c], pos[c] + right[c])
@@ -293,7 +293,7 @@ def refine(key: np.ndarray, doc: np.ndarray, left: np.ndarray, texts: list[bytes
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> (doc, a, b) of repeats; whole buckets, some hundred thousand rows at a time."""
+    """Rows sorted by key -> (doc, a, b) of repeats; whole buckets, some ten thousand rows at a time."""
     def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         key, doc, pos, left = (t.column(c).to_numpy() for c in ("key", "doc", "pos", "left"))
@@ -307,7 +307,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(b)
         count += b.num_rows
         key = b.column(0).to_numpy()
-        if count >= 60_000 and key[0] != key[-1]:
+        if count >= 30_000 and key[0] != key[-1]:
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
             held[-1], rest = b.slice(0, cut), b.slice(cut)
             yield done(held)
