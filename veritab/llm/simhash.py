@@ -133,10 +133,11 @@ class _Union:
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         r = self.root
-        pairs = np.unique(np.stack([r[i], r[j]], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        if not len(pairs):
+        a, b = r[i], r[j]
+        apart = a != b
+        if not apart.any():
             return
+        pairs = np.unique(np.stack([a[apart], b[apart]], axis=1), axis=0)
 
         def find(x: int) -> int:
             while r[x] != x:
@@ -290,6 +291,8 @@ def link_sized(points: DataFrame, width: int, similarity: float) -> DataFrame:
                 c = order[q : min(q + 4096, hi)]
                 i, j = np.nonzero(np.bitwise_count(f[0][a][:, None] ^ f[0][c][None, :]) <= first)
                 i, j = a[i], c[j]
+                apart = links.root[i] != links.root[j]
+                i, j = i[apart], j[apart]
                 d = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f)
                 fit = (d <= limit) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
                 links.add(i[fit], j[fit])
