@@ -81,3 +81,29 @@ def test_components(spark):
     want = _roots({x for p in pairs for x in p}, pairs)
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame([*pairs, (None, 3)], "a long, b long")).collect()}
     assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_stage_links_by_exact_jaccard(spark):
+    """Pairs just above and just below the bound, which 512 bits cannot tell apart, and a chain over common boilerplate."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    rows = []
+    for g in range(120):
+        w = [word() for _ in range(204)]  # 200 shingles; a changed tail of c words leaves 200 - c
+        c = (21, 22, 23, 24, 26)[g % 5]  # Jaccard (200 - c) / (200 + c): 0.81, 0.80, 0.79, 0.79, 0.77
+        rows += [(1000 * g, " ".join(w)), (1000 * g + 1, " ".join(w[:-c] + [word() for _ in range(c)]))]
+    plate = [word() for _ in range(164)]  # 160 of 200 shingles each: Jaccard 2/3
+    rows += [(500_000 + i, " ".join(plate + [word() for _ in range(40)])) for i in range(150)]
+    short = [(600_000, "a b c d e f g h i"), (600_001, "a b c d e f g h"), (600_002, "a b c d e f g")]
+    rows += short
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: shingles(t) for i, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert {a % 1000 + b % 1000 for a, b in near if a < 500_000} == {1} and len(near) == 49
+    root = _roots(sets, near)
+    got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {i for i in sets if root[i] == i}

@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.llm.common import saved, table
+from veritab.llm.common import dropped, saved, table
 from veritab.llm.graph import components
 
 #: Distinct fingerprints that one shard should own, and rows from which the driver chooses vantage points.
@@ -232,8 +232,13 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, r
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The near-duplicate stage: shingles of five words, 512 bits, estimated resemblance of 0.8 or more.
+#: The near-duplicate stage: sets of shingles of five words, 512 bits, Jaccard of 0.8 or more.
 STAGE_SHINGLE, STAGE_WIDTH, STAGE_SIMILARITY = 5, 8, 0.8
+#: Documents sampled to learn which shingles are common, and common shingles that the driver hands to the tasks.
+ORDER_SAMPLE, ORDER_TABLE = 20_000, 500_000
+#: Differing bits of 512 up to which a pair is compared exactly. Jaccard 0.8 is expected to differ in 78 bits, and in 96
+#: if the sets have 5 and 4 shingles; 160 is more than seven deviations above either.
+STAGE_RADIUS = 160
 
 
 def bits_for(similarity: float, bits: int) -> int:
@@ -241,79 +246,138 @@ def bits_for(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def link_sized(points: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(f0.., shingles, lo) -> (node, root): components of fingerprints with an estimated Jaccard of ``similarity``.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; words and hashes are those of :func:`fingerprint`."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    runs = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in runs), dtype=np.uint64, count=len(runs)))
+
+
+def set_bits(h: np.ndarray, width: int) -> list[int]:
+    """``width`` signed 64-bit words of the SimHash of a set of hashes."""
+    out = []
+    for j in range(width):
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), 50_000):
+            ones += np.unpackbits(_spread(h[at : at + 50_000], j).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<i8")[0]))
+    return out
 
-    For a radius this wide a vantage point among the fingerprints prunes nothing, so the vantage point is the
-    empty document: a document's distance to it is its number of shingles, and Jaccard s bounds the ratio of two
-    such distances to s. Shards are shells of that distance, cut in blocks of rows by hash; a row owns a place in
-    one block and visits the blocks of all shells up to its size / s, so every pair meets where the larger is.
+
+def common_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that a sample of documents shares: at most ORDER_TABLE of them.
+
+    They only order shingles; every order finds the same pairs, one with rare shingles first compares fewer.
     """
-    n = points.count()
-    blocks = max(48, math.ceil(n / 20_000))
-    if n == 0:
-        return components(points.select(F.col("lo").alias("a"), F.col("lo").alias("b")))
-    shells = min(32, blocks)
-    cuts = sorted({int(x) for x in points.select(F.percentile_approx("shingles", [i / shells for i in range(1, shells)], 10_000)).first()[0]})
-    edges = np.array(cuts, dtype=np.int64)
-    owned = np.zeros(len(cuts) + 1, dtype=np.int64)
-    at_shell = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("shingles"))) if cuts else F.lit(0)
-    for r in points.groupBy(at_shell.alias("s")).count().collect():  # at most one row per shell
-        owned[r["s"]] = r["count"]
-    subs = np.maximum(1, np.ceil(owned * blocks / n).astype(np.int64))
-    base = np.concatenate([[0], np.cumsum(subs)])
-    limit, first = bits_for(similarity, 64 * width), bits_for(similarity, 64) + 11
-    names = [f"f{j}" for j in range(width)]
+    step = max(1, slim.count() // ORDER_SAMPLE)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = b["shingles"].to_numpy()
-            own = np.searchsorted(edges, size, side="right")
-            top = np.searchsorted(edges, np.floor(size / similarity).astype(np.int64), side="right")
-            spot = base[own] + (b["f0"].to_numpy().view(np.uint64) % subs[own].astype(np.uint64)).astype(np.int64)
-            many = base[top + 1] - base[own]
-            rows = np.repeat(np.arange(len(b)), many)
-            block = np.repeat(base[own], many) + np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-            out = b.iloc[rows].assign(block=block.astype(np.int32), home=block == spot[rows])
-            yield out
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], names=["t"])
 
-    def local(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("lo", kind="stable")
-        f, size, links = [b[c].to_numpy().view(np.uint64) for c in names], b["shingles"].to_numpy(), _Union(len(b))
-        order = np.argsort(size, kind="stable")
-        ranked = size[order]
-        homes = order[b["home"].to_numpy()[order]]
-        for p in range(0, len(homes), 512):
-            a = homes[p : p + 512]
-            lo = np.searchsorted(ranked, math.ceil(size[a[0]] * similarity), side="left")
-            hi = np.searchsorted(ranked, size[a[-1]], side="right")
-            for q in range(lo, hi, 4096):
-                c = order[q : min(q + 4096, hi)]
-                i, j = np.nonzero(np.bitwise_count(f[0][a][:, None] ^ f[0][c][None, :]) <= first)
-                i, j = a[i], c[j]
-                apart = links.root[i] != links.root[j]
-                i, j = i[apart], j[apart]
-                d = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in f)
-                fit = (d <= limit) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-                links.add(i[fit], j[fit])
-        return _edges(b["lo"].to_numpy(), links)
+    part = slim.filter(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("text")
+    top = part.mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).cast("int").alias("c")).filter("c >= 3").orderBy(F.desc("c"), "t").limit(ORDER_TABLE).toPandas()
+    h, c = top["t"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefixes(slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
+    """(id, text) -> (id, k, n, prefix, f0..): digest and size of the set of shingles, its prefix, its SimHash.
+
+    Two sets of Jaccard ``similarity`` share a shingle among the first n - ceil(similarity n) + 1 of either, in any
+    order that all documents keep.
+    """
+    known, counts = common_shingles(slim, shingle)
 
-    kinds = ", ".join([*[f"{c} long" for c in names], "shingles long, lo long, block int, home boolean"])
-    dealt = points.select(*names, "shingles", "lo").mapInPandas(deal, kinds)
-    return components(dealt.groupBy("block").applyInPandas(local, "a long, b long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(1):
+                h = shingle_set(t.as_py(), shingle)
+                rank = np.zeros(len(h), dtype=np.int64)
+                if len(known) and len(h):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, counts[at], 0)
+                first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+                rows.append((xxhash.xxh128_digest(h.tobytes()), len(h), h[np.lexsort((h, rank))[:first]].view(np.int64), *set_bits(h, width)))
+            k, n, p, *f = zip(*rows, strict=True) if rows else [()] * (3 + width)
+            cols = [b.column(0), pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.int64())), *[pa.array(x, pa.int64()) for x in f]]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "n", "prefix", *[f"f{j}" for j in range(width)]])
+
+    return slim.select("id", "text").mapInArrow(run, ", ".join(["id long, k binary, n long, prefix array<long>", *[f"f{j} long" for j in range(width)]]))
+
+
+def similar(pairs: DataFrame, points: DataFrame, slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of shingles have a Jaccard of ``similarity`` or more, counted exactly."""
+    f = [f"f{j}" for j in range(width)]
+    side = lambda x: points.select(F.col("lo").alias(x), *[F.col(c).alias(x + c) for c in f])
+    bits = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in f), F.lit(0))
+    near = saved(pairs.join(side("a"), "a").join(side("b"), "b").filter(bits <= STAGE_RADIUS * width // 8).select("a", "b").distinct(), "near-pairs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fit = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                fit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    sets = saved(slim.join(ends, "id", "left_semi").select("id", "text").mapInArrow(cut, "id long, s binary").dropDuplicates(), "shingle-sets")
+    two = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    out = saved(two.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct(), "similar-pairs")
+    dropped(near, sets)
+    return out
+
+
+def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
+    """(lo, n, prefix, f0..) -> (node, root): components over ``lo`` of sets with a Jaccard of ``similarity``.
+
+    Sets meet on a shingle of both prefixes if size and places leave room for enough others. Each first meets the
+    smallest ``lo`` of its shingle only, so that a large group of copies costs one pair each; then all those meet
+    that are not linked yet. SimHash drops pairs far apart, and the sets of the others are compared.
+    """
+    p = points.select("lo", "n", F.posexplode("prefix").alias("i", "t"))
+    every = Window.partitionBy("t")
+    p = saved(p.withColumns({"v": F.min(F.struct("lo", "n", "i")).over(every), "c": F.count(F.lit(1)).over(every)}).filter("c > 1").drop("c"), "shared-shingles")
+
+    def room(n: Column, i: Column, m: Column, j: Column) -> Column:
+        fits = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+        return fits & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6)
+
+    first = p.filter((F.col("lo") > F.col("v.lo")) & room(F.col("n"), F.col("i"), F.col("v.n"), F.col("v.i")))
+    one = similar(first.select(F.col("v.lo").alias("a"), F.col("lo").alias("b")).distinct(), points, slim, shingle, width, similarity)
+    roots = components(one)
+    q = p.select("t", "lo", "n", "i").join(roots, F.col("lo") == F.col("node"), "left").select("t", "lo", "n", "i", F.coalesce("root", "lo").alias("root"))
+    q = q.withColumns({"x": F.min("root").over(every), "y": F.max("root").over(every)}).filter("x < y").drop("x", "y")
+    q = saved(q, "open-shingles")
+    l, r = q.alias("l"), q.alias("r")
+    met = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.lo") < F.col("r.lo")) & (F.col("l.root") != F.col("r.root")) & room(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")))
+    two = similar(met.select(F.col("l.lo").alias("a"), F.col("r.lo").alias("b")).distinct(), points, slim, shingle, width, similarity)
+    dropped(p, q)
+    return components(one.unionByName(two))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays, whole.
 
+    Near are two texts whose sets of ``shingle``-word runs have a Jaccard of ``similarity`` or more.
     Texts without words, and rows with a null id, are nobody's near-duplicates and stay. Of repeated rows with
     one id, one stays.
     """
-    names = [f"f{j}" for j in range(width)]
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    f = saved(fingerprints(slim.filter("id is not null"), "text", shingle, width).filter("shingles > 0"), "fingerprints")
-    points = saved(f.groupBy(*names, "shingles").agg(F.min("id").alias("lo")), "points")
-    comp = link_sized(points, width, similarity)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    f = saved(prefixes(slim, shingle, width, similarity).filter("n > 0"), "prefixes")
+    points = saved(f.groupBy("k").agg(F.min("id").alias("lo"), *[F.first(c).alias(c) for c in f.columns if c not in ("id", "k")]), "points")
+    comp = link_similar(points, slim, shingle, width, similarity)
     lows = points.join(comp, F.col("lo") == F.col("node"), "left").filter("root is null").select(F.col("lo").alias("keep_id"))
     other = F.col(id_col).isNull() | (F.length(F.translate(F.coalesce(text_col, F.lit("")), " \t\n\x0b\x0c\r", "")) == 0)
     kept = docs.filter(~other).join(lows.distinct(), F.col(id_col) == F.col("keep_id"), "left_semi").dropDuplicates([id_col])
