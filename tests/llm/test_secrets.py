@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from veritab.llm import secrets as S
@@ -39,3 +41,15 @@ def test_base_and_added_spans(spark):
             assert r["spans"] == []
     assert S.scan(df.limit(0), "text").count() == 0
     assert [r["spans"] for r in S.scan(df.filter("doc_id = 2"), "text").collect()] == [[]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_planted_tokens_with_production_parameters(spark):
+    rnd = random.Random(3)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = {n: ["".join(rnd.choice(mixed) for _ in range(n)) for _ in range(100)] for n in (16, 24, 32)}
+    rows = [(10**9 + 1000 * n + i, f"the value {t} stands here") for n, ts in planted.items() for i, t in enumerate(ts)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {s["token"] for r in S.scan(docs, "text").filter(F.col("doc_id") >= 10**9).collect() for s in r["spans"]}
+    share = {n: sum(t in found for t in ts) for n, ts in planted.items()}
+    assert all(n >= 98 for n in share.values()), share

@@ -85,25 +85,25 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(t)), F.lit(0.0), lambda acc, i: acc + F.get(cells, _cell(t, i)))
 
 
-def scan(rows: DataFrame, text_col: str, share: int = 32, min_ratio: float = MIN_RATIO) -> DataFrame:
+def scan(rows: DataFrame, text_col: str, share: int = 1, min_ratio: float = MIN_RATIO) -> DataFrame:
     """Replace ``text_col`` by ``base`` and ``spans``: arrays of (start, kind, stop, token), by start and kind.
 
     The labelled samples are taken from the rows: random strings are the hits of the fixed patterns in all rows
-    and ordinary identifiers are the words that recur (three times or more: secrets rarely do) in one row in
-    ``share`` (by hash of the text) without hits. Tokens of MIN_TOKEN characters or more that no base span touches are added if their ratio reaches ``min_ratio``.
+    and ordinary identifiers are the words that recur (three times or more: secrets rarely do) in all rows without
+    hits, or in one row in ``share`` (by hash of the text) where a caller asks for less. Tokens of MIN_TOKEN characters or more that no base span touches are added if their ratio reaches ``min_ratio``.
 
     A null or empty text has no spans. Without any hit there are no random samples and nothing is added. Repeated
     rows are all kept; other columns stay, and must not be named base, spans or tokens.
     """
     found = saved(
-        rows.withColumns({"base": find_base(F.col(text_col)), "tokens": _spans(F.col(text_col), TOKEN, TOKEN, 3), "_words": F.when(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0, F.split(text_col, SPACE))}).drop(text_col),
+        rows.withColumns({"base": find_base(F.col(text_col)), "tokens": _spans(F.col(text_col), TOKEN, TOKEN, 3), "_text": F.when(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0, F.col(text_col))}).drop(text_col),
         "secret-spans",
     )
     hits = found.select(F.explode("base").alias("s")).select("s.token").groupBy("token").agg(F.count(F.lit(1)).alias("weight"))
-    words = found.filter(F.size("base") == 0).select(F.explode("_words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("weight"))
-    found = found.drop("_words")
+    words = found.filter(F.size("base") == 0).select(F.explode(F.split("_text", SPACE)).alias("token")).filter(F.length("token") >= 4).groupBy("token").agg(F.count(F.lit(1)).alias("weight"))
+    found = found.drop("_text")
     none = F.array().cast(SPAN)
-    model = train(hits.withColumn("weight", F.lit(1)), words.filter((F.length("token") >= 4) & (F.col("weight") >= 3)))
+    model = train(hits.withColumn("weight", F.lit(1)), words.filter("weight >= 3"))
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     extra = F.filter(free, lambda t: ratio(t["token"], model) >= min_ratio)
     more = F.when(F.size("tokens") > 0, extra).otherwise(none) if hits.limit(1).count() else none
