@@ -58,3 +58,17 @@ def test_against_all_windows(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs if (10 if d is None else d) not in want}
     assert D.clean_rows(df.limit(0), bench).count() == 0
     assert D.clean_rows(df, bench.limit(0)).count() == len(docs)
+
+
+def test_common_templates_with_light_edits(spark):
+    """Items of one template: their shingles weigh little, the edits in a window much."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    plate = [word() for _ in range(24)]
+    items = [(i, " ".join(plate)) for i in range(60)] + [(100 + i, " ".join(word() for _ in range(24))) for i in range(20)]
+    docs = [(d, " ".join([word() for _ in range(30)] + plate[:20] + [word() for _ in range(34)])) for d in range(60)]  # 16 of 20 shingles
+    docs += [(100 + d, " ".join([word() for _ in range(30)] + plate[:19] + [word() for _ in range(35)])) for d in range(20)]  # 15 of 20
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["text_key"]: r["item_ids"] for r in D.contaminated(df, "text", spark.createDataFrame(items, "item_id long, text string")).collect()}
+    named = {r["doc_id"]: got.get(r["k"]) for r in df.select("doc_id", D.text_key(df["text"]).alias("k")).collect()}
+    assert {d: ids for d, ids in named.items() if ids} == {d: list(range(60)) for d in range(60)}

@@ -1,17 +1,13 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only."""
+"""Benchmark decontamination by exact similarity of item-sized windows, in DataFrame functions only."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm.common import SPACE, let, saved, small, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints are compared in BLOCKS blocks of 8 bits; within RADIUS bits some block differs by RADIUS // BLOCKS at most.
-BLOCKS, RADIUS = 8, 23
 #: Rows up to which a side of a join may be broadcast: at most some 20 MB.
 BROADCAST = 500_000
 
@@ -27,31 +23,17 @@ def shingles_of(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def _fingerprint(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, h, weight) -> keys, fp: bit b is 1 if the weights of shingles with bit b outweigh the others."""
-    sums = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << b if b < 63 else -(1 << 63))) != 0, F.col("weight")).otherwise(-F.col("weight"))).alias(f"s{b}") for b in range(64)]
-    got = weighted.groupBy(*keys).agg(*sums)
-    fp = F.lit(0).cast("long")
-    for b in range(64):
-        fp = fp.bitwiseOR(F.when(F.col(f"s{b}") > 0, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
-    return got.select(*keys, fp.alias("fp"))
-
-
-def _block(fp: Column, b: Column) -> Column:
-    return F.call_function("shiftright", fp, (b * 8).cast("int")).bitwiseAND(F.lit(255)).cast("int")
-
-
-def leaks(rows: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(text_key, item, start, words, distance, similarity): where texts hold windows near to benchmark items.
+def leaks(rows: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_key, item, start, words, similarity): where texts hold windows near to benchmark items.
 
     A window has as many words as the item (or all words of a shorter text). Its similarity to the item is the
     weight of the item's shingles of five words that the window holds, repeats counted, over the weight of all the
     item's shingles; a shingle weighs 1 + ln((1 + items) / (1 + items that have it)). An item of fewer than five
     words is one shingle.
 
-    1. Windows that share no shingle with the item have similarity 0, so only windows laid over a shared shingle
-       are fingerprinted. 2. Windows and items whose SimHash differs by ``radius`` bits at most meet on a block of
-       8 bits that differs by ``radius // 8`` bits at most. 3. Their exact similarity decides.
+    Windows that share no shingle with the item have similarity 0; all windows laid over a shared shingle are
+    compared exactly. No fingerprint stands before that: a weighted SimHash of a window lies far from that of an
+    item whose shingles are common, whatever the window holds of it.
 
     ``text_key`` is :func:`text_key` of the text; equal texts are judged once. Null, empty and wordless texts and
     items match nothing; repeated items are items of their own if their ids differ.
@@ -82,25 +64,14 @@ def leaks(rows: DataFrame, text_col: str, items: DataFrame, item_col: str, item_
     cut = cut.join(texts, "text_key").select("text_key", let(words_of(F.col("text")), lambda w: F.transform(F.col("cuts"), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["len"].alias("len"), F.slice(w, c["start"] + 1, c["len"]).alias("w")))).alias("cs"))
     cut = cut.select("text_key", F.explode("cs").alias("c")).select("text_key", "c.start", "c.n", "c.len", "c.w")
     own = F.coalesce(*[F.when(F.least("n", F.lit(SHINGLE)) == k, shingles_of(F.col("w"), k)) for k in sizes or [SHINGLE]])
-    ws = cut.select("text_key", "start", "n", "len", F.explode(own).alias("h")).join(small(known, n_sh, BROADCAST), "h", "left")
-    ws = saved(ws.withColumn("weight", F.coalesce("weight", 1 + F.log(top))), "window-shingles")
     key = ["text_key", "start", "n", "len"]
-    wf, itf = _fingerprint(ws, key), saved(_fingerprint(sh, ["item", "n"]), "item-fingerprints")
-
-    blocks = F.array(*[F.lit(b) for b in range(BLOCKS)])
-    near = [sum(1 << b for b in c) for r in range(radius // BLOCKS + 1) for c in combinations(range(8), r)]
-    masks = F.array(*[F.lit(m) for m in near])
-    probe = itf.select("item", "n", "fp", F.explode(blocks).alias("b")).select("item", "n", "fp", "b", F.explode(F.transform(masks, lambda m: _block(F.col("fp"), F.col("b")).bitwiseXOR(m))).alias("v"))
-    seek = wf.select(*key, "fp", F.explode(blocks).alias("b")).withColumn("v", _block(F.col("fp"), F.col("b"))).withColumnRenamed("fp", "wfp")
-    met = seek.join(small(probe, n_items * BLOCKS * len(near), BROADCAST), ["n", "b", "v"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))))
-    pairs = met.filter(F.col("distance") <= radius).select(*key, "item", "distance").distinct()
-
+    ws = cut.select(*key, F.explode(own).alias("h")).join(small(known.select("h"), n_sh, BROADCAST), "h", "left_semi")
     have = ws.groupBy(*key, "h").agg(F.count(F.lit(1)).alias("c"))
-    want = sh.groupBy("item", "h", "weight").agg(F.count(F.lit(1)).alias("c0"))
+    want = sh.groupBy("item", "n", "h", "weight").agg(F.count(F.lit(1)).alias("c0"))
     whole = sh.groupBy("item").agg(F.sum("weight").alias("all"))
-    common = pairs.join(have, key).join(small(want, n_sh, BROADCAST), ["item", "h"]).groupBy(*key, "item", "distance").agg(F.sum(F.least("c", "c0") * F.col("weight")).alias("got"))
+    common = have.join(small(want, n_sh, BROADCAST), ["n", "h"]).groupBy(*key, "item").agg(F.sum(F.least("c", "c0") * F.col("weight")).alias("got"))
     out = common.join(small(whole, n_items, BROADCAST), "item").withColumn("similarity", F.round(F.col("got") / F.col("all"), 9))
-    return out.filter(F.col("similarity") >= similarity).select("text_key", "item", "start", F.col("len").alias("words"), "distance", "similarity")
+    return out.filter(F.col("similarity") >= similarity).select("text_key", "item", "start", F.col("len").alias("words"), "similarity")
 
 
 def text_key(text: Column) -> Column:
