@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.llm.common import SPACE, let, saved, small, table
@@ -73,28 +73,32 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(judged: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """Cutoffs per stratum and signal: stratum, signal, cutoff.
-
-    ``judged`` has stratum, good (boolean), fold (0 fits, 1 certifies) and the signals. A cutoff is certified if
-    the holdout's k rejections among n good rows give P(Bin(n, alpha / signals) <= k) <= delta / tests, where
-    tests counts every stratum, signal and cutoff (Bonferroni): with probability 1 - delta no stratum then
-    loses more than ``alpha`` of its good rows to all signals together. Of the certified cutoffs the one with the
-    best balance on the fitting fold (bad rows rejected less 5 x good rows rejected) is taken, if it is positive.
+    """Certified cutoffs per stratum: stratum and, for each signal, ``<signal>_cut`` (null: none).
+
+    ``judged`` has stratum, good (boolean), fold (0 fits, 1 is the holdout) and the signals. The fitting fold gives
+    each signal of a stratum the cutoff of GRID with the best gain (bad rows rejected less 5 x good rows rejected;
+    ties: the higher cutoff), and orders the signals with a positive gain by it. The rules "the first r signals
+    reject" are nested, and the holdout tests them in this order: rule r is certified if its k rejections among n
+    good rows give P(Bin(n, alpha) <= k) <= delta / strata, and testing stops at the first that fails. A fixed
+    sequence needs no further correction, so with probability 1 - delta no stratum loses more than ``alpha`` of its
+    good rows (Bonferroni over strata).
     """
+    fit, hold = judged.filter("fold = 0"), judged.filter("fold = 1 and good")
     each = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(c).alias("cutoff"), (F.col(s) >= c).cast("long").alias("hit")) for s in SIGNALS for c in GRID])
-    t = judged.select("stratum", "good", "fold", F.explode(each).alias("x")).groupBy("stratum", "x.signal", "x.cutoff")
-    one = lambda c: F.sum(F.when(c, F.col("x.hit")).otherwise(0))
-    t = t.agg(
-        F.count(F.when(F.col("good") & (F.col("fold") == 1), 1)).alias("n"),
-        one(F.col("good") & (F.col("fold") == 1)).alias("k"),
-        (one(~F.col("good") & (F.col("fold") == 0)) - 5 * one(F.col("good") & (F.col("fold") == 0))).alias("gain"),
-    )
-    share = alpha / len(SIGNALS)
+    gain = F.sum(F.col("x.hit") * F.when(F.col("good"), -5).otherwise(1)).alias("gain")
+    gains = fit.select("stratum", "good", F.explode(each).alias("x")).groupBy("stratum", "x.signal", "x.cutoff").agg(gain).filter("gain > 0")
+    best = gains.groupBy("stratum", "signal").agg(F.max(F.struct("gain", "cutoff")).alias("b")).select("stratum", "signal", "b.*")
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("gain"), "signal")))
+    of = lambda s, c: F.max(F.when(F.col("signal") == s, F.col(c)))
+    wide = best.groupBy("stratum").agg(*[of(s, "cutoff").alias(f"{s}_cut") for s in SIGNALS], *[of(s, "rank").alias(f"{s}_rank") for s in SIGNALS])
+    first = F.least(*[F.when(F.col(s) >= F.col(f"{s}_cut"), F.col(f"{s}_rank")) for s in SIGNALS])
+    ranks = range(1, len(SIGNALS) + 1)
+    k = hold.join(wide, "stratum").withColumn("first", first).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= r).alias(f"k{r}") for r in ranks])
     strata = judged.agg(F.greatest(F.count_distinct("stratum"), F.lit(1)).alias("strata"))
-    t = t.join(F.broadcast(strata)).filter((F.col("k") < share * F.col("n")) & (F.col("gain") > 0))  # strata: one row
-    t = t.filter(binomial_cdf(F.col("k"), F.col("n"), share) * F.col("strata") * len(SIGNALS) * len(GRID) <= delta)
-    best = t.groupBy("stratum", "signal").agg(F.max(F.struct("gain", "cutoff"))["cutoff"].alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"{s}_cut") for s in SIGNALS])
+    k = k.join(F.broadcast(strata))  # strata: one row
+    passed = [F.when(binomial_cdf(F.col(f"k{r}"), F.col("n"), alpha) * F.col("strata") <= delta, r) for r in ranks]
+    k = k.select("stratum", F.greatest(*passed).alias("upto")).filter("upto is not null")  # k grows with r, so what passes is a beginning
+    return wide.join(k, "stratum").select("stratum", *[F.when(F.col(f"{s}_rank") <= F.col("upto"), F.col(f"{s}_cut")).alias(f"{s}_cut") for s in SIGNALS])
 
 
 def judge(stats: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
@@ -152,17 +156,18 @@ s AS (
          n_repeat_words / greatest(n_words, 1) AS repeat_share, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 lab AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
 j AS (SELECT s.*, good, md5('fold:' || doc_id)[1] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS certifies FROM s JOIN lab USING (doc_id) WHERE NOT base_failed),
-v AS (SELECT stratum, good, certifies, unnest([{", ".join(f"{{'signal': '{x}', 'v': {x}}}" for x in SIGNALS)}], recursive := true) FROM j),
+v AS (SELECT doc_id, stratum, good, certifies, unnest([{", ".join(f"{{'signal': '{x}', 'v': {x}}}" for x in SIGNALS)}], recursive := true) FROM j),
 t AS (
-  SELECT stratum, signal, cutoff, count(*) FILTER (good AND certifies) AS n, count(*) FILTER (good AND certifies AND v >= cutoff) AS k,
-         count(*) FILTER (NOT good AND NOT certifies AND v >= cutoff) - 5 * count(*) FILTER (good AND NOT certifies AND v >= cutoff) AS gain
-  FROM v, (SELECT unnest([{", ".join(map(str, GRID))}]::DOUBLE[]) AS cutoff) GROUP BY ALL),
+  SELECT stratum, signal, cutoff, count(*) FILTER (NOT good AND v >= cutoff) - 5 * count(*) FILTER (good AND v >= cutoff) AS gain
+  FROM v, (SELECT unnest([{", ".join(map(str, GRID))}]::DOUBLE[]) AS cutoff) WHERE NOT certifies GROUP BY ALL),
+b AS (SELECT stratum, signal, max(gain) AS gain, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM t WHERE gain > 0 GROUP BY stratum, signal),
+o AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, signal) AS rank FROM b),
+f AS (SELECT doc_id, stratum, min(rank) FILTER (v >= cutoff) AS first FROM v JOIN o USING (stratum, signal) WHERE good AND certifies GROUP BY doc_id, stratum),
+k AS (SELECT o.stratum, o.rank, count(*) AS n, count(*) FILTER (first <= rank) AS k FROM o JOIN f USING (stratum) GROUP BY o.stratum, o.rank),
 z AS (
-  SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) AS p
-  FROM t WHERE k < 0.01 * n AND gain > 0),
-b AS (
-  SELECT stratum, signal, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM z
-  WHERE p * (SELECT count(DISTINCT stratum) FROM j) * {len(SIGNALS)} * {len(GRID)} <= 0.05 GROUP BY ALL),
-bad AS (SELECT DISTINCT s.doc_id FROM s JOIN b USING (stratum) WHERE CASE b.signal {" ".join(f"WHEN '{x}' THEN {x}" for x in SIGNALS)} END >= b.cutoff)
+  SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))) AS p FROM k),
+u AS (SELECT stratum, max(rank) AS upto FROM z WHERE p * (SELECT count(DISTINCT stratum) FROM j) <= 0.05 GROUP BY stratum),
+c2 AS (SELECT stratum, signal, cutoff FROM o JOIN u USING (stratum) WHERE rank <= upto),
+bad AS (SELECT DISTINCT s.doc_id FROM s JOIN c2 USING (stratum) WHERE CASE signal {" ".join(f"WHEN '{x}' THEN {x}" for x in SIGNALS)} END >= cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM s
 """
