@@ -72,3 +72,24 @@ def test_common_templates_with_light_edits(spark):
     got = {r["text_key"]: r["item_ids"] for r in D.contaminated(df, "text", spark.createDataFrame(items, "item_id long, text string")).collect()}
     named = {r["doc_id"]: got.get(r["k"]) for r in df.select("doc_id", D.text_key(df["text"]).alias("k")).collect()}
     assert {d: ids for d, ids in named.items() if ids} == {d: list(range(60)) for d in range(60)}
+
+
+def test_windows_between_two_alignments(spark):
+    """Two words put into an item: the best window starts at neither alignment's own place."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    head, tail = [word() for _ in range(5)], [word() for _ in range(5)]
+    base = [[*head, *[word() for _ in range(20)], *tail] for _ in range(20)]
+    items = [(i, " ".join(w)) for i, w in enumerate(base)]
+    docs = []
+    for d in range(200):
+        w = list(base[d % 20])
+        at = rnd.randrange(6, 25)
+        w[at:at] = [word() for _ in range(1 + d % 3)]
+        docs.append((d, " ".join([word() for _ in range(rnd.randrange(40))] + w + [word() for _ in range(rnd.randrange(40))])))
+    docs.append((500, " ".join(" ".join(base[3]) for _ in range(300))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["text_key"]: set(r["item_ids"]) for r in D.contaminated(df, "text", spark.createDataFrame(items, "item_id long, text string")).collect()}
+    named = df.select("doc_id", D.text_key(df["text"]).alias("k")).collect()
+    want = _brute(docs, items)
+    assert len(want) > 40 and {r["doc_id"]: got[r["k"]] for r in named if r["k"] in got} == want

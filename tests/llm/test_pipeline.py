@@ -30,12 +30,10 @@ def test_stages_against_brute_force(spark):
     docs = saved(P.quality_rules(spark, docs, SF), "t1")
     assert docs.columns == columns and {r["doc_id"] for r in docs.collect()} == kept
 
-    prints = {i: simhash.fingerprint(texts[i][0], 5, simhash.STAGE_WIDTH) for i in kept}
-    limit = simhash.bits_for(0.8, 64 * simhash.STAGE_WIDTH)
+    sets = {i: set(simhash.shingle_set(texts[i][0], 5).tolist()) for i in kept}
 
     def near(a, b):
-        (f, n), (g, m) = prints[a], prints[b]
-        return min(n, m) >= 0.8 * max(n, m) and sum((x ^ y).bit_count() for x, y in zip(f, g, strict=True)) <= limit
+        return 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
 
     root = _roots(kept, [(a, b) for a in kept for b in kept if a < b and near(a, b)])
     kept = {i for i in kept if root[i] == i}

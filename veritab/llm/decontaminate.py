@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.llm.common import SPACE, let, saved, small, table
@@ -31,9 +31,11 @@ def leaks(rows: DataFrame, text_col: str, items: DataFrame, item_col: str, item_
     item's shingles; a shingle weighs 1 + ln((1 + items) / (1 + items that have it)). An item of fewer than five
     words is one shingle.
 
-    Windows that share no shingle with the item have similarity 0; all windows laid over a shared shingle are
-    compared exactly. No fingerprint stands before that: a weighted SimHash of a window lies far from that of an
-    item whose shingles are common, whatever the window holds of it.
+    No window is lost. A window that misses all shingles of a set that weighs more than 1 - ``similarity`` of the
+    item is too far, so texts and items meet on such a set, the item's rarest shingles, by an equi-join. Moving a
+    window on to its first shared shingle, or to the end of the text, loses none of its shared shingles: windows
+    that start there are enough to find every item and the highest similarity. Windows and shared shingles of one
+    text and item meet by stretches of the item's length, so a long text makes no product.
 
     ``text_key`` is :func:`text_key` of the text; equal texts are judged once. Null, empty and wordless texts and
     items match nothing; repeated items are items of their own if their ids differ.
@@ -41,37 +43,37 @@ def leaks(rows: DataFrame, text_col: str, items: DataFrame, item_col: str, item_
     it = items.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("w")).filter(F.size("w") > 0).dropDuplicates(["item"])
     it = saved(it.select("item", F.size("w").alias("n"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w"), "items")
     n_items = it.count()
-    sizes = sorted(r[0] for r in it.select("k").distinct().collect())  # at most SHINGLE values
-    hashed = F.coalesce(*[F.when(F.col("k") == k, shingles_of(F.col("w"), k)) for k in sizes or [SHINGLE]])
-    sh = it.select("item", "n", "k", F.posexplode(hashed).alias("at", "h"))
-    df = sh.groupBy("h").agg(F.count_distinct("item").alias("items"))
-    top = F.lit(float(1 + n_items))
-    sh = saved(sh.join(df, "h").select("item", "n", "k", "at", "h", (1 + F.log(top / (1 + F.col("items")))).alias("weight")), "item-shingles")
+    sizes = sorted(r[0] for r in it.select("k").distinct().collect()) or [SHINGLE]  # at most SHINGLE values
+    hashed = F.coalesce(*[F.when(F.col("k") == k, shingles_of(F.col("w"), k)) for k in sizes])
+    sh = it.select("item", "n", "k", F.explode(hashed).alias("h")).groupBy("item", "n", "k", "h").agg(F.count(F.lit(1)).alias("c0"))
+    df = sh.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
+    sh = sh.join(df, "h").withColumn("weight", 1 + F.log(F.lit(float(1 + n_items)) / (1 + F.col("items"))))
+    rare = Window.partitionBy("item").orderBy(F.desc("weight"), "h").rowsBetween(Window.unboundedPreceding, -1)
+    sh = sh.withColumns({"all": F.sum(F.col("c0") * F.col("weight")).over(Window.partitionBy("item")), "before": F.coalesce(F.sum(F.col("c0") * F.col("weight")).over(rare), F.lit(0.0))})
+    sh = saved(sh, "item-shingles")
     n_sh = sh.count()
-    known = sh.select("h", "weight").distinct()
+    first = sh.filter(F.col("before") <= (1 - similarity + 1e-9) * F.col("all")).select("h", "item")
 
     keyed = rows.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("text_key", text_key(F.col("text")))
-    spots_of = lambda w: F.concat(*[F.transform(shingles_of(w, k), lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.size(w).alias("m"))) for k in sizes or [SHINGLE]])
-    every = let(words_of(F.col("text")), spots_of)
-    spots = keyed.select("text_key", F.explode(every).alias("x")).select("text_key", F.col("x.h").alias("h"), F.col("x.i").alias("i"), F.col("x.m").alias("m"))
-    hits = spots.join(small(known.select("h"), n_sh, BROADCAST), "h", "left_semi")
-    hits = hits.join(small(sh.select("h", "n", "at"), n_sh, BROADCAST), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.col("m") - F.col("n")))
-    windows = saved(hits.select("text_key", start.alias("start"), "n", F.least("n", F.col("m") - start).alias("len")).distinct(), "windows")
-
-    texts = keyed.join(small(windows.select("text_key").distinct(), windows.count(), BROADCAST), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    cut = windows.groupBy("text_key").agg(F.collect_set(F.struct("start", "n", "len")).alias("cuts"))
-    cut = cut.join(texts, "text_key").select("text_key", let(words_of(F.col("text")), lambda w: F.transform(F.col("cuts"), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["len"].alias("len"), F.slice(w, c["start"] + 1, c["len"]).alias("w")))).alias("cs"))
-    cut = cut.select("text_key", F.explode("cs").alias("c")).select("text_key", "c.start", "c.n", "c.len", "c.w")
-    own = F.coalesce(*[F.when(F.least("n", F.lit(SHINGLE)) == k, shingles_of(F.col("w"), k)) for k in sizes or [SHINGLE]])
-    key = ["text_key", "start", "n", "len"]
-    ws = cut.select(*key, F.explode(own).alias("h")).join(small(known.select("h"), n_sh, BROADCAST), "h", "left_semi")
-    have = ws.groupBy(*key, "h").agg(F.count(F.lit(1)).alias("c"))
-    want = sh.groupBy("item", "n", "h", "weight").agg(F.count(F.lit(1)).alias("c0"))
-    whole = sh.groupBy("item").agg(F.sum("weight").alias("all"))
-    common = have.join(small(want, n_sh, BROADCAST), ["n", "h"]).groupBy(*key, "item").agg(F.sum(F.least("c", "c0") * F.col("weight")).alias("got"))
-    out = common.join(small(whole, n_items, BROADCAST), "item").withColumn("similarity", F.round(F.col("got") / F.col("all"), 9))
-    return out.filter(F.col("similarity") >= similarity).select("text_key", "item", "start", F.col("len").alias("words"), "similarity")
+    spots_of = lambda w: F.concat(*[F.transform(shingles_of(w, k), lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.size(w).alias("m"))) for k in sizes])
+    spots = keyed.select("text_key", F.explode(let(words_of(F.col("text")), spots_of)).alias("x")).select("text_key", "x.h", "x.i", "x.m")
+    spots = spots.join(small(sh.select("h").distinct(), n_sh, BROADCAST), "h", "left_semi")
+    spots = saved(spots.distinct(), "shared-places")
+    pairs = saved(spots.join(small(first, n_sh, BROADCAST), "h").select("text_key", "item").distinct(), "text-items")
+    n_pairs = pairs.count()
+    hits = spots.join(small(sh.select("item", "n", "k", "h", "c0", "weight", "all"), n_sh, BROADCAST), "h")
+    hits = saved(hits.join(small(pairs, n_pairs, BROADCAST), ["text_key", "item"], "left_semi"), "shared-shingles")
+
+    key = ["text_key", "item"]
+    start = F.greatest(F.lit(0), F.least(F.col("i"), F.col("m") - F.col("n")))
+    windows = hits.select(*key, start.alias("start"), "n", F.least("n", "m").alias("words")).distinct()
+    stretch = F.floor(F.col("start") / F.col("n"))
+    windows = windows.select(*key, "start", "words", F.explode(F.array(stretch, stretch + 1)).alias("at"))
+    met = windows.join(hits.withColumn("at", F.floor(F.col("i") / F.col("n"))), [*key, "at"]).filter("i >= start and i <= start + words - k")
+    held = met.groupBy(*key, "start", "words", "h", "c0", "weight", "all").agg(F.count(F.lit(1)).alias("c"))
+    got = held.groupBy(*key, "start", "words", "all").agg(F.sum(F.least("c", "c0") * F.col("weight")).alias("got"))
+    out = got.withColumn("similarity", F.round(F.col("got") / F.col("all"), 9))
+    return out.filter(F.col("similarity") >= similarity).select(*key, "start", "words", "similarity")
 
 
 def text_key(text: Column) -> Column:
@@ -87,8 +89,10 @@ def contaminated(rows: DataFrame, text_col: str, items: DataFrame, item_col: str
 
 def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item."""
+    names = docs.columns
     bad = saved(contaminated(docs, text_col, items).select("text_key"), "leaks")
-    return docs.withColumn("text_key_", text_key(F.col(text_col))).join(small(bad.withColumnRenamed("text_key", "text_key_"), bad.count(), BROADCAST), "text_key_", "left_anti").drop("text_key_")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), text_key(F.col(f"`{text_col}`")).alias("text_key"))
+    return keyed.join(small(bad, bad.count(), BROADCAST), "text_key", "left_anti").select("_d.*")
 
 
 def op3_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +113,10 @@ whole AS (SELECT item_id, sum(c0 * weight) AS total FROM want JOIN wt USING (k,
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
 dk AS (SELECT doc_id, w, len(w) AS m, k FROM dw, (SELECT DISTINCT k FROM it)),
 ds AS (SELECT doc_id, m, k, i, array_to_string(w[i + 1:i + k], ' ') AS s FROM (SELECT *, unnest(range(0, greatest(m - k + 1, 0))) AS i FROM dk)),
-win AS (SELECT DISTINCT doc_id, sh.n, sh.k, greatest(0, least(i - p, m - sh.n)) AS st, least(sh.n, m - greatest(0, least(i - p, m - sh.n))) AS len FROM ds JOIN sh USING (k, s)),
-have AS (SELECT win.doc_id, win.n, win.k, st, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.k = win.k AND i >= st AND i <= st + len - win.k GROUP BY ALL),
+hit AS (SELECT ds.* FROM ds SEMI JOIN sh ON ds.k = sh.k AND ds.s = sh.s),
+near AS (SELECT DISTINCT doc_id, m, n, k, i FROM hit JOIN sh USING (k, s)),
+win AS (SELECT DISTINCT doc_id, n, k, m, unnest(range(greatest(0, least(i - (n - k), m - n)), greatest(0, least(i, m - n)) + 1)) AS st FROM near),
+have AS (SELECT win.doc_id, win.n, win.k, st, s, count(*) AS c FROM win JOIN hit ON hit.doc_id = win.doc_id AND hit.k = win.k AND i >= st AND i <= st + least(win.n, win.m) - win.k GROUP BY ALL),
 got AS (SELECT doc_id, st, item_id, sum(least(c, c0) * weight) AS g FROM have JOIN want USING (n, k, s) JOIN wt USING (k, s) GROUP BY doc_id, st, n, item_id),
 ok AS (SELECT doc_id, item_id, round(g / total, 9) AS sim FROM got JOIN whole USING (item_id) WHERE round(g / total, 9) >= 0.8),
 fin AS (SELECT doc_id, list_sort(list_distinct(list(item_id))) AS ids, max(sim) AS sim FROM ok GROUP BY doc_id)

@@ -286,7 +286,7 @@ def common_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def prefixes(slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
-    """(id, text) -> (id, k, n, prefix, f0..): digest and size of the set of shingles, its prefix, its SimHash.
+    """(id, row, text) -> (id, row, k, n, prefix, f0..): digest and size of the set of shingles, its prefix, its SimHash.
 
     Two sets of Jaccard ``similarity`` share a shingle among the first n - ceil(similarity n) + 1 of either, in any
     order that all documents keep.
@@ -296,7 +296,7 @@ def prefixes(slim: DataFrame, shingle: int, width: int, similarity: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1):
+            for t in b.column(2):
                 h = shingle_set(t.as_py(), shingle)
                 rank = np.zeros(len(h), dtype=np.int64)
                 if len(known) and len(h):
@@ -305,22 +305,24 @@ def prefixes(slim: DataFrame, shingle: int, width: int, similarity: float) -> Da
                 first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
                 rows.append((xxhash.xxh128_digest(h.tobytes()), len(h), h[np.lexsort((h, rank))[:first]].view(np.int64), *set_bits(h, width)))
             k, n, p, *f = zip(*rows, strict=True) if rows else [()] * (3 + width)
-            cols = [b.column(0), pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.int64())), *[pa.array(x, pa.int64()) for x in f]]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "n", "prefix", *[f"f{j}" for j in range(width)]])
+            cols = [b.column(0), b.column(1), pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.int64())), *[pa.array(x, pa.int64()) for x in f]]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "k", "n", "prefix", *[f"f{j}" for j in range(width)]])
 
-    return slim.select("id", "text").mapInArrow(run, ", ".join(["id long, k binary, n long, prefix array<long>", *[f"f{j} long" for j in range(width)]]))
+    id_type = slim.schema["id"].dataType.simpleString()
+    return slim.select("id", "row", "text").mapInArrow(run, ", ".join([f"id {id_type}, row long, k binary, n long, prefix array<long>", *[f"f{j} long" for j in range(width)]]))
 
 
 def similar(pairs: DataFrame, points: DataFrame, slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets of shingles have a Jaccard of ``similarity`` or more, counted exactly."""
+    """Those of the pairs (a, b) of sets whose Jaccard is ``similarity`` or more, counted exactly."""
     f = [f"f{j}" for j in range(width)]
-    side = lambda x: points.select(F.col("lo").alias(x), *[F.col(c).alias(x + c) for c in f])
+    side = lambda x: points.select(F.col("k").alias(x), *[F.col(c).alias(x + c) for c in f])
     bits = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in f), F.lit(0))
     near = saved(pairs.join(side("a"), "a").join(side("b"), "b").filter(bits <= STAGE_RADIUS * width // 8).select("a", "b").distinct(), "near-pairs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["k", "s"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,38 +333,40 @@ def similar(pairs: DataFrame, points: DataFrame, slim: DataFrame, shingle: int,
                 fit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = saved(slim.join(ends, "id", "left_semi").select("id", "text").mapInArrow(cut, "id long, s binary").dropDuplicates(), "shingle-sets")
-    two = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    out = saved(two.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long").distinct(), "similar-pairs")
+    ends = near.select(F.col("a").alias("k")).union(near.select(F.col("b").alias("k"))).distinct()
+    texts = slim.join(points.join(ends, "k", "left_semi").select("id", "row"), ["id", "row"], "left_semi").select("text")
+    sets = saved(texts.mapInArrow(cut, "k binary, s binary").dropDuplicates(["k"]), "shingle-sets")
+    two = near.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    out = saved(two.select("a", "b", "sa", "sb").mapInArrow(judge, "a binary, b binary").distinct(), "similar-pairs")
     dropped(near, sets)
     return out
 
 
 def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
-    """(lo, n, prefix, f0..) -> (node, root): components over ``lo`` of sets with a Jaccard of ``similarity``.
+    """(k, id, row, n, prefix, f0..) -> (node, root): components over the digests ``k`` of sets of Jaccard ``similarity``.
 
     Sets meet on a shingle of both prefixes if size and places leave room for enough others. Each first meets the
-    smallest ``lo`` of its shingle only, so that a large group of copies costs one pair each; then all those meet
+    smallest ``k`` of its shingle only, so that a large group of copies costs one pair each; then all those meet
     that are not linked yet. SimHash drops pairs far apart, and the sets of the others are compared.
     """
-    p = points.select("lo", "n", F.posexplode("prefix").alias("i", "t"))
+    p = points.select("k", "n", F.posexplode("prefix").alias("i", "t"))
     every = Window.partitionBy("t")
-    p = saved(p.withColumns({"v": F.min(F.struct("lo", "n", "i")).over(every), "c": F.count(F.lit(1)).over(every)}).filter("c > 1").drop("c"), "shared-shingles")
+    heads = p.groupBy("t").agg(F.min(F.struct("k", "n", "i")).alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    p = saved(p.join(heads, "t"), "shared-shingles")
 
     def room(n: Column, i: Column, m: Column, j: Column) -> Column:
         fits = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
         return fits & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
-    first = p.filter((F.col("lo") > F.col("v.lo")) & room(F.col("n"), F.col("i"), F.col("v.n"), F.col("v.i")))
-    one = similar(first.select(F.col("v.lo").alias("a"), F.col("lo").alias("b")).distinct(), points, slim, shingle, width, similarity)
+    first = p.filter((F.col("k") > F.col("v.k")) & room(F.col("n"), F.col("i"), F.col("v.n"), F.col("v.i")))
+    one = similar(first.select(F.col("v.k").alias("a"), F.col("k").alias("b")).distinct(), points, slim, shingle, width, similarity)
     roots = components(one)
-    q = p.select("t", "lo", "n", "i").join(roots, F.col("lo") == F.col("node"), "left").select("t", "lo", "n", "i", F.coalesce("root", "lo").alias("root"))
-    q = q.withColumns({"x": F.min("root").over(every), "y": F.max("root").over(every)}).filter("x < y").drop("x", "y")
-    q = saved(q, "open-shingles")
+    q = p.select("t", "k", "n", "i").join(roots, F.col("k") == F.col("node"), "left").select("t", "k", "n", "i", F.coalesce("root", "k").alias("root"))
+    mixed = q.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("t")
+    q = saved(q.join(mixed, "t", "left_semi"), "open-shingles")
     l, r = q.alias("l"), q.alias("r")
-    met = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.lo") < F.col("r.lo")) & (F.col("l.root") != F.col("r.root")) & room(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")))
-    two = similar(met.select(F.col("l.lo").alias("a"), F.col("r.lo").alias("b")).distinct(), points, slim, shingle, width, similarity)
+    met = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.root") != F.col("r.root")) & room(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")))
+    two = similar(met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct(), points, slim, shingle, width, similarity)
     dropped(p, q)
     return components(one.unionByName(two))
 
@@ -370,15 +374,20 @@ def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, s
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays, whole.
 
-    Near are two texts whose sets of ``shingle``-word runs have a Jaccard of ``similarity`` or more.
-    Texts without words, and rows with a null id, are nobody's near-duplicates and stay. Of repeated rows with
-    one id, one stays.
+    Near are two texts whose sets of ``shingle``-word runs have a Jaccard of ``similarity`` or more. Texts without
+    words, and rows with a null id, are nobody's near-duplicates and stay. Rows with one id are judged by their
+    texts, each on its own; among rows of one group with the smallest id, the one with the least hash of all its
+    columns stays, and of rows that are equal in every column one.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    f = saved(prefixes(slim, shingle, width, similarity).filter("n > 0"), "prefixes")
-    points = saved(f.groupBy("k").agg(F.min("id").alias("lo"), *[F.first(c).alias(c) for c in f.columns if c not in ("id", "k")]), "points")
+    names = docs.columns
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    other = F.col("id").isNull() | (F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) == 0)
+    slim = wide.filter(~other).select("id", "row", "text")
+    f = saved(prefixes(slim, shingle, width, similarity), "prefixes")
+    points = f.groupBy("k").agg(F.min(F.struct("id", "row")).alias("lo"), *[F.first(c).alias(c) for c in f.columns if c not in ("id", "row", "k")])
+    points = saved(points.select("k", "lo.*", *[c for c in f.columns if c not in ("id", "row", "k")]), "points")
     comp = link_similar(points, slim, shingle, width, similarity)
-    lows = points.join(comp, F.col("lo") == F.col("node"), "left").filter("root is null").select(F.col("lo").alias("keep_id"))
-    other = F.col(id_col).isNull() | (F.length(F.translate(F.coalesce(text_col, F.lit("")), " \t\n\x0b\x0c\r", "")) == 0)
-    kept = docs.filter(~other).join(lows.distinct(), F.col(id_col) == F.col("keep_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(other))
+    group = points.join(comp, F.col("k") == F.col("node"), "left").groupBy(F.coalesce("root", "k").alias("g")).agg(F.min(F.struct("id", "row")).alias("lo"))
+    kept = wide.filter(~other).join(group.select("lo.*"), ["id", "row"], "left_semi").dropDuplicates(["id", "row"])
+    return kept.select("_d").unionByName(wide.filter(other).select("_d")).select("_d.*")
