@@ -1,6 +1,6 @@
 import zlib
 
-from veritab.llm.sharding import histogram_shards
+from veritab.llm.sharding import histogram_shards, sharded
 
 
 def _check(rows, shards, tolerance):
@@ -37,3 +37,23 @@ def test_even_bytes_hot_group_and_odd_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert histogram_shards(df, "doc_id", "text").collect() == []
+
+
+def test_groups_that_would_overfill_a_shard(spark):
+    """Nine groups of 0.6 shares for eight shards: whole groups would put two into one."""
+    docs = [(100 * g + i, f"group {g} " + "text " * 20) for g in range(9) for i in range(60)]
+    docs += [(10_000 + i, f"{i} other " + "words " * 12) for i in range(520)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    _check(histogram_shards(df, "doc_id", "text", shards=8).collect(), 8, 0.03)
+
+
+def test_whole_documents(spark):
+    docs = [(i % 300, f"{i % 300} " + "word " * (i % 11), "x", i % 7) for i in range(900)] + [(None, None, None, 1)] * 3
+    df = spark.createDataFrame(docs, "doc_id long, text string, shard string, g int")
+    out = sharded(df, shards=4)
+    assert out.columns == ["doc_id", "text", "g", "shard", "slot"]
+    rows = out.collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "", r["g"]) for r in rows) == sorted((a or -1, b or "", d) for a, b, _, d in docs)
+    slots = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(4)}
+    assert all(v == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 903
+    assert sharded(df.limit(0)).count() == 0

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.llm.common import saved, table
+from veritab.llm.common import saved, small, table
 
 LOW, HIGH = -(2**63), 2**63 - 1
 
@@ -59,34 +59,25 @@ def splitters(keys: DataFrame, goals: list[int], total: int, tolerance: int, pro
     return [done[i] for i in range(len(goals))]
 
 
-def histogram_shards(rows: DataFrame, id_col: str, text_col: str, shards: int = 40, tolerance: float = 0.01) -> DataFrame:
-    """Add ``size``, ``text_crc32``, ``shard`` and ``slot`` to the ids of ``rows``.
-
-    The sort key is a hash of the text, so equal texts are neighbours. A group of equal texts that is heavier
-    than ``tolerance`` of a shard (at most ``shards / tolerance`` such groups exist) is placed whole, largest
-    first, into the lightest shard; a group heavier than a shard cannot stay whole and its rows are spread by id.
-    The rest is cut by :func:`splitters` to what each shard still lacks. ``slot`` numbers a shard's rows from 0
-    without gaps in key order, by counts of sub-ranges, so no task sees a whole shard.
+def place(rows: DataFrame, shards: int, tolerance: float) -> DataFrame:
+    """``rows`` (id, size, g: hash of the text, any more) with ``shard`` and ``slot``, exchanged once.
 
-    Nulls: a null text has size 16 and CRC 0; a null id is an id of its own. Repeated rows are all kept. An empty
-    table gives no rows.
+    The sort key is the hash of the text, so equal texts are neighbours. A group of equal texts that is heavier than
+    ``tolerance`` of a shard (at most ``shards / tolerance`` such groups exist) is placed whole, largest first, into
+    the lightest shard if it has room; otherwise its rows are spread by id, since whole groups and near-equal bytes
+    exclude each other there. The rest is cut by :func:`splitters` to what each shard still lacks. Histograms, groups
+    and counts are taken from a narrow table of keys; the rows themselves move when they are numbered, by sub-ranges
+    of a shard, so no task sees a whole shard.
     """
     spark = rows.sparkSession
-    keys = saved(
-        rows.select(
-            F.col(id_col).alias("id"),
-            (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
-            F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.xxhash64(text_col).alias("g"),
-        ),
-        "shard-keys",
-    )
+    unit = F.xxhash64("id")
+    keys = saved(rows.select("size", "g", unit.alias("u")), "shard-keys")
     total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     share = total / shards
     heavy = keys.groupBy("g").agg(F.sum("size").alias("b")).filter(F.col("b") > max(1.0, share * tolerance)).collect() if n else []
     load, placed, spread = [(0, s) for s in range(shards)], {}, []
     for r in sorted(heavy, key=lambda r: (-r["b"], r["g"])):
-        if r["b"] > share:
+        if load[0][0] + r["b"] > share * (1 + tolerance / 2):
             spread.append(r["g"])
             continue
         b, s = heapq.heappop(load)
@@ -94,52 +85,63 @@ def histogram_shards(rows: DataFrame, id_col: str, text_col: str, shards: int =
         heapq.heappush(load, (b + r["b"], s))
     lack = [max(0.0, share - b) for b, _ in sorted(load, key=lambda x: x[1])]
     fixed = spark.createDataFrame([(g, s) for g, s in placed.items()] + [(g, -1) for g in spread], "g long, home int")
-    keys = keys.join(F.broadcast(fixed), "g", "left").withColumn("k", F.when(F.col("home") == -1, F.xxhash64("g", "id")).otherwise(F.col("g")))
-    light = keys.filter(F.coalesce(F.col("home"), F.lit(-1)) == -1)
+
+    def keyed(t: DataFrame) -> DataFrame:
+        return t.join(F.broadcast(fixed), "g", "left").withColumn("k", F.when(F.col("home") == -1, F.xxhash64("g", "u")).otherwise(F.col("g")))  # shards / tolerance rows at most
+
+    light = keyed(keys).filter(F.coalesce("home", F.lit(-1)) == -1)
     rest = int(light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     goals = [int(rest * x) for x in np.cumsum(lack)[:-1] / max(sum(lack), 1e-9)]
     cuts = splitters(light, goals, rest, int(share * tolerance / 4)) if n else [LOW] * (shards - 1)
-    edges = np.maximum.accumulate(np.array(cuts, dtype=np.int64)) if shards > 1 else np.array([], dtype=np.int64)
-    subs = max(16, n // (shards * 100_000))
-    lower, upper = np.array([LOW, *edges], dtype=np.float64), np.array([*edges, HIGH], dtype=np.float64)
+    edges = np.maximum.accumulate(np.array(cuts, dtype=np.int64)).tolist() if shards > 1 else []
+    subs = max(16, n // (shards * 50_000))
+    low = F.array(*[F.lit(float(x)) for x in (LOW, *edges)])
+    wide = F.array(*[F.lit(max(1.0, float(b) - float(a))) for a, b in zip((LOW, *edges), (*edges, HIGH), strict=True)])
+    bounds = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<bigint>")
+
+    def dealt(t: DataFrame) -> DataFrame:
+        t = keyed(t).withColumn("shard", F.coalesce(F.nullif("home", F.lit(-1)), F.size(F.filter(bounds, lambda e: e <= F.col("k")))).cast("int"))
+        part = F.floor((F.col("k") - F.get(low, F.col("shard"))) / F.get(wide, F.col("shard")) * subs)
+        inside = F.greatest(F.lit(0), F.least(part, F.lit(subs - 1)))
+        return t.withColumn("sub", F.when(F.col("home") >= 0, subs + F.pmod("u", F.lit(subs))).otherwise(inside).cast("int"))
+
+    counts = dealt(keys).groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1))
+    base = saved(counts.select("shard", "sub", F.coalesce(before, F.lit(0)).alias("base")), "shard-counts")
+    in_order = Window.partitionBy("shard", "sub").orderBy("k", F.col("id").asc_nulls_first(), "size", F.xxhash64(*[c for c in rows.columns if c not in ("g", "size")]))
+    out = dealt(rows.withColumn("u", unit)).withColumn("at", F.row_number().over(in_order))
+    out = out.join(small(base, base.count(), 2_000_000), ["shard", "sub"])
+    return out.select(*rows.columns, "shard", (F.col("base") + F.col("at") - 1).cast("long").alias("slot"))
+
+
+def _measured(id_col: str, text_col: str) -> list:
+    text = F.col(f"`{text_col}`")
+    return [
+        F.col(f"`{id_col}`").alias("id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.xxhash64(text).alias("g"),
+    ]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            k, home = b["k"].to_numpy(), b["home"].fillna(-1).to_numpy().astype(np.int64)
-            s = np.searchsorted(edges, k, side="right")
-            part = np.clip((k - lower[s]) / np.maximum(upper[s] - lower[s], 1) * subs, 0, subs - 1).astype(np.int64)
-            b["shard"] = np.where(home >= 0, home, s).astype(np.int32)
-            b["sub"] = np.where(home >= 0, subs + b["spot"].to_numpy(), part).astype(np.int32)
-            yield b.drop(columns=["home", "spot"])
-
-    out = keys.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(subs)).cast("int")).select("id", "size", "text_crc32", "k", "home", "spot").mapInPandas(
-        place, "id " + keys.schema["id"].dataType.simpleString() + ", size long, text_crc32 long, k long, shard int, sub int"
-    )
-    out = saved(out, "shard-rows")
-    counts = out.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("c"))
-    base = counts.withColumn("base", F.sum("c").over(Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "sub", F.coalesce("base", F.lit(0)).alias("base"))
-    in_order = Window.partitionBy("shard", "sub").orderBy("k", F.col("id").asc_nulls_first(), "size")
-    return (
-        out.withColumn("at", F.row_number().over(in_order))
-        .join(F.broadcast(base), ["shard", "sub"])  # shards * 2 * subs rows at most
-        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("at") - 1).cast("long").alias("slot"))
-    )
-
-
-def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``. Rows that are equal in id and text are numbered among themselves.
-
-    Columns of ``docs`` named shard or slot are replaced.
+
+def histogram_shards(rows: DataFrame, id_col: str, text_col: str, shards: int = 40, tolerance: float = 0.01) -> DataFrame:
+    """Ids of ``rows`` with ``size``, ``text_crc32``, ``shard`` and ``slot``, as :func:`place` deals them.
+
+    Nulls: a null text has size 16 and CRC 0; a null id is an id of its own. Repeated rows are all kept. An empty
+    table gives no rows.
+    """
+    out = place(rows.select(*_measured(id_col, text_col)), shards, tolerance)
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, tolerance: float = 0.01) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``; whole documents are exchanged once.
+
+    Repeated rows are all kept, each with a slot. Columns of ``docs`` named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
-    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-    repeat = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1)))
-    keyed = saved(docs.withColumn("_row", row).withColumn("_row", F.struct("_row.id", "_row.text", repeat.alias("copy"))), "shard-docs")
-    where = histogram_shards(keyed.select("_row", text_col), "_row", text_col, shards)
-    same = F.xxhash64(F.col("_row"))
-    placed = where.select(same.alias("_key"), F.col("_row").alias("_at"), "shard", "slot")
-    out = keyed.withColumn("_key", same).join(placed, "_key").filter(F.col("_row").eqNullSafe(F.col("_at")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
+    wide = docs.select(*_measured(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
+    return place(wide, shards, tolerance).select("_d.*", "shard", "slot")
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
