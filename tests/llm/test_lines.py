@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from veritab.llm import lines as L
 
 
@@ -43,5 +41,17 @@ def test_against_brute_force(spark):
         else:
             assert r["n_removed"] == 0 and r["kept"] == docs[8][1]
     assert L.drop_repeated_chunks(df.limit(0), "doc_id", "text").count() == 0
-    with pytest.raises(ValueError, match="different texts"):
-        L.drop_repeated_chunks(spark.createDataFrame([(1, "a"), (1, "b")], "doc_id long, text string"), "doc_id", "text")
+
+
+def test_ids_with_several_texts_and_hot_chunks(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART", 20)
+    passage = "\n".join(f"line {i} of a passage" for i in range(60)) + "\n"
+    docs = [(f"d{i:03}", f"start {i}\n{passage}end {i}\n") for i in range(200)]
+    docs += [("d000", "another text\n" + passage), ("d300", docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = L.drop_repeated_chunks(df, "doc_id", "text").collect()
+    assert len(got) == len(docs)
+    inner = sum(n for n, c in L.chunks_of(docs[0][1]) if n >= 2 and c in passage.encode())
+    assert inner >= 20 and sum(r["n_removed"] == 0 for r in got if r["doc_id"] == "d000") == 1
+    assert all(r["n_removed"] >= inner for r in got if r["doc_id"] != "d000")
+    assert next(r for r in got if r["doc_id"] == "d300")["kept"].count("\n") < 30

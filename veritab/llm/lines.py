@@ -14,21 +14,23 @@ from veritab.llm.common import saved, table
 
 #: One line pair in STEP ends a chunk; a chunk that may go has at least LEAST lines.
 STEP, LEAST = 3, 2
+#: Parts over which the places of one hash are dealt, and places of a repeated chunk that one part should hold.
+SALTS, PART = 8, 500
 
 
 def chunks_of(text: str | None) -> list[tuple[int, bytes]]:
     """(lines, bytes) of the chunks of a text; the bytes joined are the text's UTF-8.
 
     Lines end after their newline. A chunk ends after line i if the hash of the hashes of lines i - 1 and i is 0
-    modulo STEP, and it then has LEAST lines or more: a boundary depends on two lines alone, so the chunks of a
-    passage are found again wherever it stands, but for those at its ends.
+    modulo STEP. A boundary depends on these two lines alone, so the chunks of a passage are found again wherever it
+    stands, but for those at its ends.
     """
     lines = (text or "").encode().split(b"\n")
     lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
     out, start, before = [], 0, 0
     for i, line in enumerate(lines):
         h = xxhash.xxh64_intdigest(line.rstrip(b"\n"))
-        if i - start + 1 >= LEAST and xxhash.xxh64_intdigest(h.to_bytes(8, "little") + before.to_bytes(8, "little")) % STEP == 0:
+        if i and xxhash.xxh64_intdigest(h.to_bytes(8, "little") + before.to_bytes(8, "little")) % STEP == 0:
             out.append((i - start + 1, b"".join(lines[start : i + 1])))
             start = i + 1
         before = h
@@ -37,28 +39,34 @@ def chunks_of(text: str | None) -> list[tuple[int, bytes]]:
     return out
 
 
+def _batch(b: pa.RecordBatch, rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t or b.column(0).type) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+
 def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, idx, h): multi-line chunks by hash."""
+    """(id, row, text) -> (id, row, idx, h): multi-line chunks by hash."""
     for b in batches:
-        rows = [(i, k, xxhash.xxh64_intdigest(c)) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if i is not None for k, (n, c) in enumerate(chunks_of(t.as_py())) if n >= LEAST]
-        i, k, h = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array([x - 2**63 for x in h], pa.int64())], names=["id", "idx", "h"])
+        rows = []
+        for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if i is not None:
+                rows += [(i, r, k, xxhash.xxh64_intdigest(c) - 2**63) for k, (n, c) in enumerate(chunks_of(t.as_py())) if n >= LEAST]
+        yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "h": pa.int64()})
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress((t.as_py() or "").encode(), 1) for t in b.column(1)], pa.binary())], names=["id", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zstandard.compress((t.as_py() or "").encode(), 1) for t in b.column(2)], pa.binary())], names=["id", "row", "z"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, z, places) -> (id, idx, h, bytes) of the chunks named by places."""
+    """(id, row, z, places) -> (id, row, idx, h, parts, bytes) of the chunks named by places."""
     for b in batches:
         rows = []
-        for i, z, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+        for i, r, z, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
             own = chunks_of(zstandard.decompress(z.as_py()).decode())
-            rows += [(i, p["idx"], p["h"], own[p["idx"]][1]) for p in places]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["id", "idx", "h", "bytes"])
+            rows += [(i, r, p["idx"], p["h"], p["parts"], own[p["idx"]][1]) for p in places]
+        yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "h": pa.int64(), "parts": pa.int32(), "bytes": pa.binary()})
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,26 +83,31 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kept, n_lines, n_removed, n_chunks): texts without multi-line chunks that stand earlier.
 
-    Of chunks with equal bytes the one with the smallest (id, place) stays. Chunks are found by hash; those whose
-    hash recurs are then fetched and compared byte by byte with the first of that hash.
+    Of chunks with equal bytes the one with the smallest (id, text's hash, place) stays. Chunks are found by hash;
+    those whose hash recurs are then fetched and compared byte by byte with the first of that hash. The places of a
+    frequent chunk are dealt over several parts, each with its own copy of the first.
 
     Nulls: a null text is empty; rows with a null id are kept whole and compared with nothing. Repeated rows with
-    one id hold the same places, so neither removes the other; an id must not name different texts (a ValueError
-    says so). An empty table gives no rows.
+    one id and text hold the same places, so neither removes the other; rows with one id and different texts are
+    documents of their own. Ids of any ordered type. An empty table gives no rows.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    mixed = slim.groupBy("id").agg((F.min(F.xxhash64("text")) < F.max(F.xxhash64("text"))).alias("m"))
-    if mixed.filter("m and id is not null").limit(1).count():
-        raise ValueError("an id names different texts")
-    shape = saved(slim.mapInArrow(_shape, "id long, idx int, h long"), "chunks")
-    firsts = shape.groupBy("h").agg(F.min(F.struct("id", "idx")).alias("f"), F.max(F.struct("id", "idx")).alias("l")).filter("f < l").select("h", "f")
-    places = shape.join(firsts.select("h"), "h").groupBy("id").agg(F.collect_set(F.struct("idx", "h")).alias("places"))
-    packed = slim.mapInArrow(_pack, "id long, z binary")
-    got = saved(packed.join(places, "id").select("id", "z", "places").mapInArrow(_fetch, "id long, idx int, h long, bytes binary"), "repeated-chunks")
-    first = got.groupBy("h").agg(F.min_by("bytes", F.struct("id", "idx")).alias("first"), F.min(F.struct("id", "idx")).alias("f"))
-    gone = got.join(first, "h").filter((F.col("bytes") == F.col("first")) & (F.struct("id", "idx") > F.col("f")))
-    gone = gone.groupBy("id").agg(F.collect_list("idx").alias("gone"))
-    out = packed.join(gone, "id", "left").select("id", "z", "gone").mapInArrow(_keep, "id long, kept string, n_lines long, n_removed long, n_chunks long")
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    kind = slim.schema["id"].dataType.simpleString()
+    place = F.struct("id", "row", "idx")
+    shape = saved(slim.mapInArrow(_shape, f"id {kind}, row long, idx int, h long"), "chunks")
+    many = shape.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l")
+    many = many.select("h", F.least(F.lit(256), F.ceil(F.col("c") / PART)).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    places = shape.withColumn("salt", F.pmod(F.xxhash64("id", "idx"), F.lit(SALTS)).cast("int")).join(many, ["h", "salt"])
+    places = places.groupBy("id", "row").agg(F.collect_set(F.struct("idx", "h", "parts")).alias("places"))
+    packed = slim.mapInArrow(_pack, f"id {kind}, row long, z binary")
+    got = packed.join(places, ["id", "row"]).select("id", "row", "z", "places").mapInArrow(_fetch, f"id {kind}, row long, idx int, h long, parts int, bytes binary")
+    got = saved(got.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.col("parts")).cast("int")), "repeated-chunks")
+    low = got.groupBy("h").agg(F.min(place).alias("f"), F.max("parts").alias("parts"))
+    first = got.join(low.select("h", "f.*"), ["h", "id", "row", "idx"], "left_semi").select("h", F.col("bytes").alias("first"), place.alias("f"), "parts").dropDuplicates(["h"])
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    gone = got.join(first, ["h", "part"]).filter((F.col("bytes") == F.col("first")) & (place > F.col("f")))
+    gone = gone.groupBy("id", "row").agg(F.collect_set("idx").alias("gone"))
+    out = packed.join(gone, ["id", "row"], "left").select("id", "z", "gone").mapInArrow(_keep, f"id {kind}, kept string, n_lines long, n_removed long, n_chunks long")
     return out.withColumnRenamed("id", id_col)
 
 
