@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -69,3 +70,24 @@ def test_held_out_accuracy(spark):
     assert {(r["doc_id"], r["score"]) for r in T.toxicity(d, flipped).collect()} == {(r["doc_id"], r["score"]) for r in got}
     assert T.toxicity(d.limit(0), lab).count() == 0
     assert {r["score"] for r in T.toxicity(d, lab.limit(0)).collect()} == {0.0}
+
+
+def test_every_path_of_random_lattices(spark):
+    """Against all paths, on words that mix every channel; the readings are different and ordered by cost."""
+    model = T.character_model(spark.createDataFrame([("the idiot and the moron sat in this house with the thing that is in there " * 30,)], "text string"))
+    rnd = random.Random(3)
+    for _ in range(150):
+        w = "".join(rnd.choice("01345@$!.-*aeinothss") for _ in range(rnd.randrange(2, 7)))
+        if any(c not in T.FILLERS for c in w):
+            got = T.decode(w, model)
+            assert len(set(got)) == len(got) and got[0] == _exhaustive(w, model), w
+
+
+def test_long_words_and_spacing(spark):
+    model = T.character_model(spark.createDataFrame([("the idiot and the moron " * 30,)], "text string"))
+    long = "1d10t" * 20_000
+    start = time.monotonic()
+    assert len(T.decode(long, model)[0]) > 20_000
+    assert time.monotonic() - start < 60
+    for t in ("m o r o n!", "m o r o n. ok", "x m  o  r  o  n", "m\to\tr\to\tn", "m\no\nr\no\nn, go", "m,o,r,o,n", "mmorron", "m0r0n"):
+        assert any("moron" in T.features(w, model) for w in T.words_of(t)), t

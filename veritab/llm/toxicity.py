@@ -20,15 +20,18 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 FILLERS = " .-_*~'`,:;/\\^"
 #: Costs, in nats, of a substitution, a filler, a dropped repetition, and a character kept that is no letter.
 SWAP, SKIP, AGAIN, STRANGE = 0.7, 0.3, 0.3, 7.0
-#: Hypotheses kept at each character, and readings of a word that are scored.
-BEAM, READINGS = 24, 4
+#: Readings of a word that are scored.
+READINGS = 4
 #: Labelled rows from which the classifier is fitted at most, lowest by hash of the id.
 FIT_ROWS = 20_000
 #: Score from which a word is sure.
 SURE = 0.7
 PREFIXES = (4, 5, 6, 7)
-ODD = re.compile(r"(?=.*[^\W\d_]).*(?:[\w@$][0-9@$!|+(€£.\-_*~'`:/\\^]+[^\W_]|[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$!|]|(.)\1\1)", re.S)
-SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
+LETTER = re.compile(r"[^\W\d_]")
+#: A word with a letter is decoded if it has one of these; each is found in time linear in the word.
+ODD = re.compile(r"(?<=.)[0-9@$!|+(€£.\-_*~'`:/\\^,;\s](?=.)|[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$!|]|(.)\1", re.S)
+#: Three or more single characters with one or two blanks of any kind between them, and marks after the last.
+SPACED = re.compile(r"(?<!\S)[\w@$|!+(€£*](?:\s{1,2}[\w@$|!+(€£*]){2,}(?=[.,;:!?\"')\]]*(?:\s|$))")
 STRIP = ".,;:!?\"'()[]{}<>*&%#$+=~`|/\\-_"
 SYMBOLS = 28  # boundary, a to z, any other letter
 
@@ -67,40 +70,63 @@ def character_model(texts: DataFrame) -> list[float]:
 def decode(word: str, model: list[float], readings: int = READINGS) -> list[str]:
     """The likeliest readings of an obfuscated word, best first.
 
-    The lattice has, for each character, itself, the letters that it may stand for, nothing if it is a filler,
-    and nothing if it repeats the one before; fillers that are blanks may also end a word. Viterbi over the last
-    two characters of the reading, with the character model as prior and the costs above as channel.
+    The lattice has, for each character, itself, the letters that it may stand for, nothing if it is a filler, and
+    nothing if it repeats the one before; fillers that are blanks may also end a word. The character model is the
+    prior and the costs above are the channel. Viterbi: what follows depends on the last two symbols of the reading
+    and its last character, so hypotheses that agree there meet, and each such state keeps its ``readings`` best
+    different ones. No other path is discarded, and time and memory grow with the length of the word. Readings are
+    linked backwards from character to character.
     """
-    beam: list[tuple[float, int, int, str]] = [(0.0, 0, 0, "")]
+    now: dict[tuple[int, int, str], list[tuple[float, int, tuple | None]]] = {(0, 0, ""): [(0.0, 0, None)]}
     before = ""
     for c in word:
-        step: dict[tuple[int, int, str], tuple[float, int, int, str]] = {}
-        options: list[tuple[str, float]] = []
-        if c.isalpha():
-            options.append((c, 0.0))
-        elif c not in FILLERS:
-            options.append((c, STRANGE))
-        options += [(x, SWAP) for x in LEET.get(c, "")]
-        for cost, a, b, out in beam:
-            if c in FILLERS:
-                step_add(step, (cost + SKIP, a, b, out))
-                if c == " " and b:
-                    step_add(step, (cost - model[(a * SYMBOLS + b) * SYMBOLS], b, 0, out + " "))
-            for x, price in options:
-                k = _code(x)
-                step_add(step, (cost + price - model[(a * SYMBOLS + b) * SYMBOLS + k], b, k, out + x))
-            if out and (c == before or out[-1] in LEET.get(c, "") or out[-1] == c):
-                step_add(step, (cost + AGAIN, a, b, out))
-        beam = sorted(step.values())[:BEAM] or beam
+        after: dict[tuple[int, int, str], list[tuple[float, int, tuple | None]]] = {}
+        stands = LEET.get(c, "")
+        filler, blank = c in FILLERS or c.isspace(), c.isspace()
+        options = [(c, _code(c), 0.0)] if c.isalpha() else [] if filler else [(c, _code(c), STRANGE)]
+        options += [(x, _code(x), SWAP) for x in stands]
+        for (a, b, last), hyps in now.items():
+            at = (a * SYMBOLS + b) * SYMBOLS
+            if filler:
+                after.setdefault((a, b, last), []).extend((cost + SKIP, h, node) for cost, h, node in hyps)
+                if blank and b:
+                    after.setdefault((b, 0, " "), []).extend((cost - model[at], _step(h, " "), (" ", node)) for cost, h, node in hyps)
+            for x, k, price in options:
+                paid = price - model[at + k]
+                after.setdefault((b, k, x), []).extend((cost + paid, _step(h, x), (x, node)) for cost, h, node in hyps)
+            if last and (c == before or last in stands or last == c):
+                after.setdefault((a, b, last), []).extend((cost + AGAIN, h, node) for cost, h, node in hyps)
+        now = {state: _best(hyps, readings) for state, hyps in after.items()} or now
         before = c
-    ends = sorted((cost - model[(a * SYMBOLS + b) * SYMBOLS], out) for cost, a, b, out in beam)
-    return list(dict.fromkeys(out for _, out in ends))[:readings]
+    ends = [(cost - model[(a * SYMBOLS + b) * SYMBOLS], h, node) for (a, b, _), hyps in now.items() for cost, h, node in hyps]
+    return [_spelt(node) for _, _, node in _best(ends, readings)]
 
 
-def step_add(step: dict, h: tuple[float, int, int, str]) -> None:
-    key = (h[1], h[2], h[3])
-    if key not in step or h < step[key]:
-        step[key] = h
+def _step(h: int, x: str) -> int:
+    """The hash of a reading that goes on by ``x``."""
+    return (h * 1_000_003 + ord(x) + 1) & 0xFFFFFFFFFFFFFFFF
+
+
+def _best(hyps: list[tuple[float, int, tuple | None]], most: int) -> list[tuple[float, int, tuple | None]]:
+    """The ``most`` cheapest hypotheses of different readings."""
+    if len(hyps) == 1:
+        return hyps
+    out, seen = [], set()
+    for hyp in sorted(hyps, key=lambda x: (x[0], x[1])):
+        if hyp[1] not in seen:
+            seen.add(hyp[1])
+            out.append(hyp)
+            if len(out) == most:
+                break
+    return out
+
+
+def _spelt(node: tuple | None) -> str:
+    out = []
+    while node:
+        out.append(node[0])
+        node = node[1]
+    return "".join(reversed(out))
 
 
 def features(word: str, model: list[float]) -> frozenset[str]:
@@ -108,7 +134,7 @@ def features(word: str, model: list[float]) -> frozenset[str]:
     bare = word.strip(STRIP)
     forms = {bare} if bare else set()
     core = word.strip("\"'.,;:?()[]{}<>&%#=")
-    if core and ODD.match(core):
+    if core and LETTER.search(core) and ODD.search(core):
         for reading in decode(core, model):
             forms.update(reading.split())
     out = set()
@@ -121,7 +147,7 @@ def features(word: str, model: list[float]) -> frozenset[str]:
 def words_of(text: str | None) -> set[str]:
     """Distinct lower-case words, and runs of single characters that may spell one."""
     t = (text or "").lower()
-    return set(t.split()) | {m[0] for m in SPACED.finditer(t)}
+    return set(t.split()) | {m[0] for m in SPACED.finditer(t) if LETTER.search(m[0])}
 
 
 def _learn(labelled: DataFrame, model: list[float], base: float, known: dict[str, float], whole: bool) -> dict[str, float]:
