@@ -239,6 +239,8 @@ ORDER_SAMPLE, ORDER_TABLE = 20_000, 500_000
 #: Differing bits of 512 up to which a pair is compared exactly. Jaccard 0.8 is expected to differ in 78 bits, and in 96
 #: if the sets have 5 and 4 shingles; 160 is more than seven deviations above either.
 STAGE_RADIUS = 160
+#: Sets of a shingle that all others of it meet first.
+HEADS = 8
 
 
 def bits_for(similarity: float, bits: int) -> int:
@@ -345,21 +347,24 @@ def similar(pairs: DataFrame, points: DataFrame, slim: DataFrame, shingle: int,
 def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
     """(k, id, row, n, prefix, f0..) -> (node, root): components over the digests ``k`` of sets of Jaccard ``similarity``.
 
-    Sets meet on a shingle of both prefixes if size and places leave room for enough others. Each first meets the
-    smallest ``k`` of its shingle only, so that a large group of copies costs one pair each; then all those meet
+    Sets meet on a shingle of both prefixes if size and places leave room for enough others. Each first meets HEADS
+    sets of its shingle, chosen by hash, so that a large group of copies costs a few pairs each; then all those meet
     that are not linked yet. SimHash drops pairs far apart, and the sets of the others are compared.
     """
     p = points.select("k", "n", F.posexplode("prefix").alias("i", "t"))
-    every = Window.partitionBy("t")
-    heads = p.groupBy("t").agg(F.min(F.struct("k", "n", "i")).alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    p = saved(p.join(heads, "t"), "shared-shingles")
+    each = [F.min(F.struct(F.xxhash64("k", F.lit(j)).alias("o"), "k", "n", "i")) for j in range(HEADS)]
+    slim_heads = F.array_distinct(F.transform(F.array(*each), lambda x: F.struct(x["k"].alias("hk"), x["n"].alias("hn"), x["i"].alias("hi"))))
+    heads = p.groupBy("t").agg(slim_heads.alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    heads = saved(heads.select("t", F.explode("v").alias("v")).select("t", "v.*"), "shingle-heads")
+    p = saved(p.join(heads.select("t").distinct(), "t", "left_semi"), "shared-shingles")
 
     def room(n: Column, i: Column, m: Column, j: Column) -> Column:
         fits = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
         return fits & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
-    first = p.filter((F.col("k") > F.col("v.k")) & room(F.col("n"), F.col("i"), F.col("v.n"), F.col("v.i")))
-    one = similar(first.select(F.col("v.k").alias("a"), F.col("k").alias("b")).distinct(), points, slim, shingle, width, similarity)
+    first = p.join(heads, "t").filter((F.col("k") != F.col("hk")) & room(F.col("n"), F.col("i"), F.col("hn"), F.col("hi")))
+    first = first.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
+    one = similar(first, points, slim, shingle, width, similarity)
     roots = components(one)
     q = p.select("t", "k", "n", "i").join(roots, F.col("k") == F.col("node"), "left").select("t", "k", "n", "i", F.coalesce("root", "k").alias("root"))
     mixed = q.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("t")
@@ -367,7 +372,7 @@ def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, s
     l, r = q.alias("l"), q.alias("r")
     met = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.root") != F.col("r.root")) & room(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")))
     two = similar(met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct(), points, slim, shingle, width, similarity)
-    dropped(p, q)
+    dropped(p, q, heads)
     return components(one.unionByName(two))
 
 
