@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.llm.common import dropped, saved, table
+from veritab.llm.common import dropped, saved, small, table
 from veritab.llm.graph import components
 
 #: Distinct fingerprints that one shard should own, and rows from which the driver chooses vantage points.
@@ -239,6 +239,8 @@ ORDER_SAMPLE, ORDER_TABLE = 20_000, 500_000
 #: Differing bits of 512 up to which a pair is compared exactly. Jaccard 0.8 is expected to differ in 78 bits, and in 96
 #: if the sets have 5 and 4 shingles; 160 is more than seven deviations above either.
 STAGE_RADIUS = 160
+#: Rows up to which ids are broadcast: some 20 MB.
+BROADCAST = 500_000
 #: Sets of a shingle that all others of it meet first.
 HEADS = 8
 
@@ -336,11 +338,12 @@ def similar(pairs: DataFrame, points: DataFrame, slim: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
     ends = near.select(F.col("a").alias("k")).union(near.select(F.col("b").alias("k"))).distinct()
-    texts = slim.join(points.join(ends, "k", "left_semi").select("id", "row"), ["id", "row"], "left_semi").select("text")
+    rows = saved(points.join(ends, "k", "left_semi").select("id", "row"), "pair-rows")
+    texts = slim.join(small(rows, rows.count(), BROADCAST), ["id", "row"], "left_semi").select("text")
     sets = saved(texts.mapInArrow(cut, "k binary, s binary").dropDuplicates(["k"]), "shingle-sets")
     two = near.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     out = saved(two.select("a", "b", "sa", "sb").mapInArrow(judge, "a binary, b binary").distinct(), "similar-pairs")
-    dropped(near, sets)
+    dropped(near, sets, rows)
     return out
 
 
@@ -394,5 +397,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     points = saved(points.select("k", "lo.*", *[c for c in f.columns if c not in ("id", "row", "k")]), "points")
     comp = link_similar(points, slim, shingle, width, similarity)
     group = points.join(comp, F.col("k") == F.col("node"), "left").groupBy(F.coalesce("root", "k").alias("g")).agg(F.min(F.struct("id", "row")).alias("lo"))
-    kept = wide.filter(~other).join(group.select("lo.*"), ["id", "row"], "left_semi").dropDuplicates(["id", "row"])
-    return kept.select("_d").unionByName(wide.filter(other).select("_d")).select("_d.*")
+    group = saved(group.select("lo.*"), "kept-rows")
+    twice = saved(f.groupBy("id", "row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id", "row"), "equal-rows")
+    n, n_twice = group.count(), twice.count()
+    dropped(f, points)
+    kept = wide.filter(~other).select("_d", "id", "row").join(small(group, n, BROADCAST), ["id", "row"], "left_semi")
+    out = wide.filter(other).select("_d").unionByName(kept.join(small(twice, n_twice, BROADCAST), ["id", "row"], "left_anti").select("_d"))
+    if n_twice:
+        out = out.unionByName(kept.join(small(twice, n_twice, BROADCAST), ["id", "row"], "left_semi").dropDuplicates(["id", "row"]).select("_d"))
+    return out.select("_d.*")
