@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +81,16 @@ def decode(word: str, model: list[float], readings: int = READINGS) -> list[str]
     now: dict[tuple[int, int, str], list[tuple[float, int, tuple | None]]] = {(0, 0, ""): [(0.0, 0, None)]}
     before = ""
     for c in word:
+        stands, filler, blank, options = _channel(c)
+        if len(now) == 1 and len(options) == 1 and not filler:
+            (((a, b, last), hyps),) = now.items()
+            if c != before and last != c and last not in stands:  # one way on: nothing meets
+                x, k, price = options[0]
+                paid, o = price - model[(a * SYMBOLS + b) * SYMBOLS + k], ord(x) + 1
+                now = {(b, k, x): [(cost + paid, (h * 1_000_003 + o) & _MASK, (x, node)) for cost, h, node in hyps]}
+                before = c
+                continue
         after: dict[tuple[int, int, str], list[tuple[float, int, tuple | None]]] = {}
-        stands = LEET.get(c, "")
-        filler, blank = c in FILLERS or c.isspace(), c.isspace()
-        options = [(c, _code(c), 0.0)] if c.isalpha() else [] if filler else [(c, _code(c), STRANGE)]
-        options += [(x, _code(x), SWAP) for x in stands]
         for (a, b, last), hyps in now.items():
             at = (a * SYMBOLS + b) * SYMBOLS
             if filler:
@@ -102,9 +108,21 @@ def decode(word: str, model: list[float], readings: int = READINGS) -> list[str]
     return [_spelt(node) for _, _, node in _best(ends, readings)]
 
 
+_MASK = 0xFFFFFFFFFFFFFFFF
+
+
+@lru_cache(maxsize=10_000)
+def _channel(c: str) -> tuple[str, bool, bool, list[tuple[str, int, float]]]:
+    """What a character may stand for, whether it may be a filler or a blank, and the symbols it may be with their costs."""
+    stands, blank = LEET.get(c, ""), c.isspace()
+    filler = blank or c in FILLERS
+    options = [(c, _code(c), 0.0)] if c.isalpha() else [] if filler else [(c, _code(c), STRANGE)]
+    return stands, filler, blank, options + [(x, _code(x), SWAP) for x in stands]
+
+
 def _step(h: int, x: str) -> int:
     """The hash of a reading that goes on by ``x``."""
-    return (h * 1_000_003 + ord(x) + 1) & 0xFFFFFFFFFFFFFFFF
+    return (h * 1_000_003 + ord(x) + 1) & _MASK
 
 
 def _best(hyps: list[tuple[float, int, tuple | None]], most: int) -> list[tuple[float, int, tuple | None]]:
