@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from veritab.plans import queries as plans
+from veritab.plans import catalogue as plans
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")

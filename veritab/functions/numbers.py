@@ -68,3 +68,30 @@ def tax_number_ok(digits: Column) -> Column:
     s = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(0), lambda acc, i: acc + (10 - i) * digits.substr(i, F.lit(1)).cast("int"))
     want = F.when(s % 11 < 2, 0).otherwise(11 - s % 11)
     return F.when(digits.rlike(r"^\d{9}$"), want == digits.substr(9, 1).cast("int")).otherwise(False)
+
+
+def said_number(x: Column) -> Column:
+    """Grammar of parameters: the word ``uma`` is 1; a comma is a decimal point; nothing separates thousands."""
+    t = F.lower(F.trim(x))
+    return F.when(t == "uma", F.lit(1.0)).otherwise(_double(F.translate(t, ",", ".")))
+
+
+def grouped_number(x: Column) -> Column:
+    """Grammar of comparisons of entries: thousands in groups of three by dots or blanks, decimals after a comma only."""
+    t = F.trim(x)
+    return F.when(t.rlike(r"^[+-]?(?:\d{1,3}(?:[. ]\d{3})+|\d+)(?:,\d+)?$"), _double(F.translate(F.translate(t, ". ", ""), ",", ".")))
+
+
+def minutes(seconds: Column) -> Column:
+    """Time for people: minutes below an hour and a half, else hours; a dash for null."""
+    return F.when(seconds.isNull(), "—").when(seconds < 5400, F.concat(F.format_string("%.0f", F.bround(seconds / 60, 0)), F.lit(" min"))).otherwise(F.concat(F.format_string("%.1f", seconds / 3600), F.lit(" h")))
+
+
+def percent(value: Column) -> Column:
+    return F.when(value.isNull(), "—").otherwise(F.concat(F.format_string("%.0f", F.bround(value * 100, 0)), F.lit(" %")))
+
+
+def same(a: Column, b: Column, folded_a: Column, folded_b: Column) -> Column:
+    """Equal as numbers where both are, else equal as folded texts."""
+    x, y = checked_number(a), checked_number(b)
+    return F.when(x.isNotNull() & y.isNotNull(), close(x, y)).otherwise(folded_a == folded_b)

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritab.functions import numbers
+
 
 @F.pandas_udf(T.StringType())
 def fold(x: pd.Series) -> pd.Series:
@@ -38,9 +40,19 @@ def slug(x: Column) -> Column:
     return F.coalesce(F.nullif(got, F.lit("")), F.lit("sem_titulo"))
 
 
+#: Names of the supply entry and of the main board.
+ENTRY = ("PORT", "PORTINHOLA", "ARM", "ARMARIO", "CP", "CAIXAPORTINHOLA")
+MAIN = ("QE", "QEG", "QGBT", "QG")
+
+
 def core(name: Column) -> Column:
-    """Upper-case letters and digits of a name, without the prefix that boards share."""
-    return F.regexp_replace(F.regexp_replace(F.upper(name), "[^0-9A-Z]", ""), "^Q[PE]?(?=[0-9A-Z])", "")
+    """Upper-case letters and digits of a board's name without its prefix; the entry and the main board by one name each."""
+    bare = F.regexp_replace(F.regexp_replace(F.upper(F.regexp_replace(name, r"(?i)^\s*quadro\s+", "")), r"\p{M}", ""), "[^0-9A-Z]", "")
+    return F.when(bare.isin(*ENTRY), "PORTINHOLA").when(bare.isin(*MAIN), "QEG").otherwise(F.regexp_replace(bare, "^QP?(?=[0-9A-Z])", ""))
+
+
+def same_board(a: Column, b: Column) -> Column:
+    return core(a) == core(b)
 
 
 def match_score(a: Column, b: Column) -> Column:
@@ -49,12 +61,39 @@ def match_score(a: Column, b: Column) -> Column:
     return F.when(blank, 0).when(a == b, 2).when(a.startswith(b) | b.startswith(a), 1).otherwise(0)
 
 
-def letters(n: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA: bijective base 26 up to three letters."""
-    at = lambda x: F.chr(65 + x)
-    one, two = at(n), F.concat(at(F.floor(n / 26) - 1), at(n % 26))
-    three = F.concat(at(F.floor((n - 702) / 676)), at(F.floor((n - 702) / 26) % 26), at((n - 702) % 26))
-    return F.when(n < 26, one).when(n < 702, two).otherwise(three)
+def letters(n: Column, most: int = 13) -> Column:
+    """0 -> A, 25 -> Z, 26 -> AA: bijective base 26, up to ``most`` letters (13 hold every long)."""
+    start = F.struct(F.lit("").alias("out"), (n.cast("long") + 1).alias("rest"))
+
+    def step(acc: Column, _: Column) -> Column:
+        k = acc["rest"] - 1
+        go = F.struct(F.concat(F.chr(65 + k % 26), acc["out"]).alias("out"), F.floor(k / 26).cast("long").alias("rest"))
+        return F.when(acc["rest"] > 0, go).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["out"]
+
+
+def next_label(label: Column) -> Column:
+    """The label after another as revisions are named: the last letter moves on, and Z gets an A behind it.
+
+    ZA is followed by B, so labels may meet again: :func:`letters` is the sound sequence.
+    """
+    last = F.substring(label, -1, 1)
+    return F.when(last < "Z", F.chr(F.ascii(last) + 1)).otherwise(F.concat(label, F.lit("A")))
+
+
+def same_words(a: Column, b: Column, stop: tuple[str, ...] = ("de", "da", "do", "das", "dos", "e"), least: int = 5) -> Column:
+    """Equal word texts, or one a shorter form of the other: its words are all in the other, one of them long enough."""
+    words = lambda c: F.array_except(F.filter(F.split(c, " "), lambda w: w != ""), F.array(*[F.lit(w) for w in stop]))
+    x, y = words(a), words(b)
+    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    inside = (F.size(short) > 0) & (F.size(F.array_except(short, long)) == 0) & F.exists(short, lambda w: F.length(w) >= least)
+    return (a == b) | inside
+
+
+def entity(folded: Column) -> Column:
+    """One name for a municipality and its chamber."""
+    return F.regexp_replace(folded, r"^(?:a\s+)?camara municipal d[eoa]\s+", "municipio de ")
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -83,3 +122,48 @@ def language(text: Column, least: int = 3) -> Column:
 
 def _one_of(v: tuple[str, ...]):
     return lambda w: w.isin(*v)
+
+
+@F.pandas_udf(T.StringType())
+def fold_in_place(x: pd.Series) -> pd.Series:
+    """Lower case without accents, one character for each of the text, so that places stay valid."""
+
+    def one(s: str | None) -> str | None:
+        return None if s is None else "".join(unicodedata.normalize("NFKD", c)[0].lower() for c in s)
+
+    return x.map(one)
+
+
+def comparable(kind: Column, value: Column) -> Column:
+    """The form in which two sources are compared: numbers as numbers, boards by their cores, public bodies by one name, supplies as three-phase or single-phase, other texts folded."""
+    folded = fold(value)
+    number = numbers.ingest_number(value)
+    phase = F.when(folded.startswith("tri"), "trif").when(folded.startswith("mon"), "mono").otherwise(folded)
+    return F.when((kind == "number") & number.isNotNull(), number.cast("string")).when(kind == "board", core(value)).when(kind == "entity", entity(folded)).when(kind == "phase", phase).otherwise(folded)
+
+
+#: Steps of screens, and the steps that become corrections after a first review.
+STEPS = {"ficheiros": "dados", "ficha": "ficha", "documentos": "mdj", "validacao": "verificacao", "equipamentos": "verificacao", "revisao": "conjunto"}
+EDITING = ("ficha", "mdj", "cte", "formularios")
+
+
+def work_step(screen: Column, hint: Column, reviewed: Column) -> Column:
+    """The step of a screen; null for screens outside a project. The hint only tells which part of the editor is used."""
+    known = F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv])
+    step = F.when((screen == "documentos") & hint.isin("mdj", "cte", "formularios"), hint).otherwise(F.try_element_at(known, screen))
+    return F.when(reviewed & step.isin(*EDITING), "correcoes").otherwise(step)
+
+
+def luminaire_codes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:L\d+(?:\.\d+)?|SNC)"), F.lit(0)), F.upper)
+
+
+def luminaire_type(code: Column) -> Column:
+    """The type that a code is a variant of."""
+    return F.regexp_replace(F.upper(code), r"\.\d+$", "")
+
+
+def first_keyword(key: Column, table: list[tuple[str, str]]) -> Column:
+    """The category of the first keyword that the last part of a dotted key holds; null if none."""
+    tail = F.element_at(F.split(key, r"\."), -1)
+    return F.coalesce(*[F.when(tail.contains(k), F.lit(c)) for k, c in table])

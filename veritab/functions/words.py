@@ -5,33 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Portuguese numerals.
+#: Portuguese numerals, with the spellings of Portugal and Brazil and both genders.
 NUMERALS = {
-    "um": 1, "uma": 1, "dois": 2, "duas": 2, "tres": 3, "quatro": 4, "cinco": 5, "seis": 6, "sete": 7, "oito": 8, "nove": 9, "dez": 10,
-    "onze": 11, "doze": 12, "treze": 13, "catorze": 14, "quinze": 15, "dezasseis": 16, "dezassete": 17, "dezoito": 18, "dezanove": 19,
+    "zero": 0, "um": 1, "uma": 1, "dois": 2, "duas": 2, "tres": 3, "quatro": 4, "cinco": 5, "seis": 6, "sete": 7, "oito": 8, "nove": 9, "dez": 10,
+    "onze": 11, "doze": 12, "treze": 13, "catorze": 14, "quatorze": 14, "quinze": 15, "dezasseis": 16, "dezesseis": 16, "dezassete": 17, "dezessete": 17, "dezoito": 18, "dezanove": 19, "dezenove": 19,
     "vinte": 20, "trinta": 30, "quarenta": 40, "cinquenta": 50, "sessenta": 60, "setenta": 70, "oitenta": 80, "noventa": 90,
-    "cem": 100, "cento": 100, "duzentos": 200, "trezentos": 300, "quatrocentos": 400, "quinhentos": 500, "seiscentos": 600, "setecentos": 700, "oitocentos": 800, "novecentos": 900,
+    "cem": 100, "cento": 100, "duzentos": 200, "duzentas": 200, "trezentos": 300, "trezentas": 300, "quatrocentos": 400, "quatrocentas": 400, "quinhentos": 500, "quinhentas": 500,
+    "seiscentos": 600, "seiscentas": 600, "setecentos": 700, "setecentas": 700, "oitocentos": 800, "oitocentas": 800, "novecentos": 900, "novecentas": 900,
 }
+_NUMERAL = "|".join(sorted(NUMERALS, key=len, reverse=True))
+_COUNT = rf"(\d+|(?:{_NUMERAL})(?: e (?:{_NUMERAL}))*)"
 
 
 def words_to_int(folded: Column) -> Column:
-    """Digits, or numerals joined by `` e ``; an unknown word makes the whole null."""
-    table = F.create_map(*[F.lit(x) for kv in NUMERALS.items() for x in kv])
-    parts = F.transform(F.split(F.trim(folded), r"\s+e\s+"), lambda w: F.try_element_at(table, w))
-    return F.coalesce(F.trim(folded).try_cast("int"), F.when(~F.exists(parts, lambda p: p.isNull()), F.aggregate(parts, F.lit(0), lambda a, b: a + b)))
+    """A folded text of digits, or of numerals with `` e `` between them; any other word makes it null."""
+    known = F.create_map(*[F.lit(x) for kv in NUMERALS.items() for x in kv])
+    parts = F.transform(F.split(F.trim(folded), r"\s+e\s+"), lambda w: F.try_element_at(known, w))
+    total = F.aggregate(parts, F.lit(0), lambda a, b: a + b)  # null as soon as one part is
+    return F.coalesce(F.trim(folded).try_cast("int"), total)
 
 
 def quantity_of(folded: Column, noun: str, container: str) -> Column:
-    """How many ``noun`` a text tells of: N containers with M nouns in each, else the first ``N noun``.
+    """How many ``noun`` a folded text counts.
 
-    A number after "dos quais" or "das quais" is a part of a quantity, not the quantity.
+    "N containers with M nouns in each" multiplies; otherwise the first count before the noun is taken, unless the
+    words before it say that it counts a subset ("dos quais", "das quais").
     """
-    n = r"(\d+|[a-z]+(?: e [a-z]+)*?)"
-    times = rf"\b{n} {container}s?\b[^.]*?\b{n} {noun}s?\b[^.]*?\b(?:em cada|por {container}|cada)\b"
-    plain = rf"(?<!\bd[oa]s quais )\b{n} {noun}s?\b"
-    both = words_to_int(F.regexp_extract(folded, times, 1)) * words_to_int(F.regexp_extract(folded, times, 2))
-    last = F.regexp_extract(F.regexp_extract(folded, plain, 1), r"(\d+|[a-z]+(?: e [a-z]+)*)$", 1)
-    return F.coalesce(both, words_to_int(last))
+    product = rf"\b{_COUNT} {container}s?\b[^.]*?\b{_COUNT} {noun}s?\b[^.]*?\b(?:em cada|por {container}|cada)\b"
+    single = rf"(?<!\bd[oa]s quais )\b{_COUNT} {noun}s?\b"
+    times = words_to_int(F.regexp_extract(folded, product, 1)) * words_to_int(F.regexp_extract(folded, product, 2))
+    return F.coalesce(times, words_to_int(F.regexp_extract(folded, single, 1)))
 
 
 def sheet_name(file: Column) -> Column:

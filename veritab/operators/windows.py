@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +20,43 @@ def fill_forward(value: Column, present: Column, keys: list[str], *order: Column
     return F.last(F.when(present, F.struct(value.alias("v"))), ignorenulls=True).over(w)["v"]
 
 
-def anchored_groups(values: Column, tolerance: float) -> Column:
-    """Cut a sorted array where a value lies more than ``tolerance`` after the first value of its group."""
-    empty = F.array().cast("array<struct<first:double,n:int>>")
+def anchored_groups(rows: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
+    """(key, first, n): values of a key cut where one lies more than ``tolerance`` after the first value of its group.
+
+    Equal values are counted first. Then each task walks its keys in order and holds one group at a time, so a key of
+    any size needs no memory. Null values are left out.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    counted = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: tuple | None = None
+        for b in batches:
+            out = []
+            for k, v, c in zip(b["k"], b["v"], b["c"], strict=True):
+                if open_ and open_[0] == k and v - open_[1] <= tolerance:
+                    open_ = (k, open_[1], open_[2] + c)
+                else:
+                    out += [open_] if open_ else []
+                    open_ = (k, v, c)
+            yield pd.DataFrame(out, columns=[key, "first", "n"])
+        if open_:
+            yield pd.DataFrame([open_], columns=[key, "first", "n"])
+
+    return counted.repartition("k").sortWithinPartitions("k", "v").mapInPandas(run, f"{key} {kind}, first double, n long")
+
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(x.cast("double").alias("first"), F.lit(1).alias("n"))
-        grown = F.struct(last["first"].alias("first"), (last["n"] + 1).cast("int").alias("n"))
-        joins = (F.size(acc) > 0) & (x - last["first"] <= tolerance)
-        return F.when(joins, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, new)).cast("array<struct<first:double,n:int>>")
+def numbered(df: DataFrame, stretch: Column, name: str, *order: Column) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in ``order``, of which ``stretch`` is a coarser, monotone form.
 
-    return F.aggregate(values, empty, add)
+    Rows are numbered inside their stretch and go on where the stretches before end, so only the table of stretches
+    is ordered as a whole.
+    """
+    t = df.withColumn("_b", stretch)
+    ahead = F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = t.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).select(F.col("_b").alias("_s"), ahead.alias("_base"))
+    t = t.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return t.join(base, F.col("_b").eqNullSafe(F.col("_s"))).select(*df.columns, (F.col("_n") + F.col("_base")).alias(name))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, values: list[str]) -> DataFrame:

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritab.functions import dates, numbers, params, privacy, text, words
 from veritab.operators import checks, decisions, lifecycle, merge, sinks, summaries, windows
 from veritab.plans.logic import condition
+from veritab.plans.registry import QUERIES, SQL, query
 from veritab.sources.tables import facts, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # scans, projections, predicates
 
 
@@ -196,7 +181,7 @@ def found_so_far(spark, d):
     first = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_shipdate").alias("first"))
     per = first.groupBy(F.greatest(F.lit(0), F.ceil(F.months_between(F.col("first").cast("timestamp"), F.lit("1993-01-01").cast("timestamp")) / 12)).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     r = table(spark, d, "region").select("r_regionkey")
-    return r.join(F.broadcast(per.filter("y <= 200")), F.col("y") <= F.col("r_regionkey")).groupBy("r_regionkey").agg(F.sum("n").alias("found"))
+    return r.join(per, F.col("y") <= F.col("r_regionkey")).groupBy("r_regionkey").agg(F.sum("n").alias("found"))
 
 
 # aggregations
@@ -341,11 +326,12 @@ def chain_check(spark, d):
     return li.select("l_orderkey", "l_linenumber", numbers.three_valued(low, F.col("l_quantity"), F.col("l_extendedprice") / 1000).alias("result"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT DISTINCT user_id, value FROM events), g AS (SELECT user_id, min(value) AS first FROM v GROUP BY user_id
+UNION ALL SELECT g.user_id, n.first FROM g JOIN LATERAL (SELECT min(value) AS first FROM v WHERE v.user_id = g.user_id AND v.value - g.first > 3.5) n ON n.first IS NOT NULL)
+SELECT e.user_id, first, count(*) AS n FROM (SELECT e.user_id, e.value, (SELECT max(first) FROM g WHERE g.user_id = e.user_id AND g.first <= e.value) AS first FROM events e) e GROUP BY ALL""")
 def anchored_clusters(spark, d):
     """Values of a user cut where they leave the reach of the first value of their group."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.col("value"))).alias("v"))
-    return e.select("user_id", F.explode(windows.anchored_groups(F.col("v"), 3.5)).alias("g")).select("user_id", F.round("g.first", 6).alias("first"), F.col("g.n").alias("n"))
+    return windows.anchored_groups(table(spark, d, "events"), "user_id", "value", 3.5)
 
 
 @query("SELECT n_nationkey, CASE WHEN n < 26 THEN chr(65 + n) ELSE chr(64 + n // 26) || chr(65 + n % 26) END AS label FROM (SELECT n_nationkey, n_nationkey * 7 AS n FROM nation)")
@@ -365,10 +351,11 @@ def latest_activity(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "ts", "user_id")
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_size < 20) SELECT p_brand, p_size, row_number() OVER (ORDER BY substr(p_brand, 1, 6), CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER), p_size) AS place FROM c""")
+@query("""WITH c AS (SELECT DISTINCT p_brand, p_size FROM part) SELECT p_brand, p_size, row_number() OVER (ORDER BY substr(p_brand, 1, 6), CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER), p_size) AS place FROM c""")
 def natural_order(spark, d):
-    c = table(spark, d, "part").filter("p_size < 20").select("p_brand", "p_size").distinct()
-    return c.select("p_brand", "p_size", F.row_number().over(Window.orderBy(F.substring("p_brand", 1, 6), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int"), "p_size")).alias("place"))
+    c = table(spark, d, "part").select("p_brand", "p_size").distinct()
+    letters, number = F.substring("p_brand", 1, 6), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    return windows.numbered(c, F.struct(letters.alias("l"), number.alias("n")), "place", F.col("p_size"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey) FILTER (l_returnflag = 'R'))) AS a, list_sort(list_distinct(list(l_suppkey) FILTER (l_returnflag <> 'R'))) AS b FROM lineitem GROUP BY l_orderkey)
@@ -487,7 +474,7 @@ for _p in privacy.PATTERNS.values():
 
 @query(f"SELECT doc_id, sha256({_NESTED}) AS masked FROM documents")
 def masked_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(privacy.masked("text"), 256).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(privacy.masked(F.col("text"), privacy.PATTERNS), 256).alias("masked"))
 
 
 @query(f"""WITH h AS (SELECT doc_id, unnest({_KINDS['email']}) AS v FROM documents), f AS (SELECT v, min(doc_id) AS first, count(*) AS n FROM h GROUP BY v)
@@ -496,7 +483,8 @@ def email_pseudonyms(spark, d):
     """One pseudonym for each real address, numbered by first appearance; two passes: harvest, then number."""
     hits = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(privacy.PATTERNS["email"]), F.lit(0))).alias("real"))
     f = hits.groupBy("real").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    return f.select("real", F.concat(F.lit("user"), F.row_number().over(Window.orderBy("first", "real")).cast("string"), F.lit("@example.invalid")).alias("pseudonym"), "n")
+    f = windows.numbered(f, F.floor(F.col("first") / 1000), "number", F.col("first"), F.col("real"))
+    return f.select("real", F.concat(F.lit("user"), F.col("number").cast("string"), F.lit("@example.invalid")).alias("pseudonym"), "n")
 
 
 # further checks
@@ -528,14 +516,14 @@ SELECT doc_id, term FROM p JOIN t ON contains(w, ' ' || term || ' ')""")
 def incompatible_terms(spark, d):
     t = spark.createDataFrame([(x,) for x in TERMS], "term string")
     p = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("w"))
-    return checks.terms_in(p, F.col("w"), F.broadcast(t)).select("doc_id", "term")
+    return checks.terms_in(p, F.col("w"), t).select("doc_id", "term")
 
 
-@query("""WITH n AS (SELECT c_custkey, 'Maria ' || c_mktsegment || ' ' || n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 60),
+@query(r"""WITH n AS (SELECT c_custkey, 'Maria ' || c_mktsegment || ' ' || n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 v AS (SELECT DISTINCT c_custkey, unnest([name, 'Maria ' || regexp_extract(name, '(\S+)$', 1), 'M. ' || regexp_extract(name, '(\S+)$', 1)]) AS variant FROM n)
 SELECT variant, min(c_custkey) AS c_custkey FROM v GROUP BY variant HAVING count(DISTINCT c_custkey) = 1""")
 def unshared_name_variants(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey <= 60").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     v = c.select("c_custkey", F.explode(words.name_variants(F.concat_ws(" ", F.lit("Maria"), "c_mktsegment", "n_name"))).alias("variant"))
     return checks.unique_owner(v, "variant", "c_custkey")
 
@@ -671,3 +659,6 @@ def nested_occurrences(spark, d):
     g = li.groupBy("l_suppkey").agg(occ.alias("o"))
     head = F.array_join(F.transform(F.slice("o", 1, 3), lambda x: (x["l_orderkey"] * 100 + x["l_linenumber"]).cast("string")), ",")
     return g.select("l_suppkey", F.col("o")[0]["l_orderkey"].alias("first_order"), F.size("o").cast("long").alias("n"), head.alias("head"))
+
+
+__all__ = ["QUERIES", "SQL"]
