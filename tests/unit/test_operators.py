@@ -2,12 +2,13 @@ import datetime as dt
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from veritab.functions import dates, numbers, params, privacy, text, words
 from veritab.operators import checks, decisions, lifecycle, merge, sinks, summaries, windows
 from veritab.plans.logic import condition
-from veritab.sources import workbook
+from veritab.sources import documents, grids, workbook
 from veritab.streaming import seconds
 
 
@@ -148,3 +149,39 @@ def test_decisions_are_guarded(spark):
     new, log = decisions.decide(state, asked, "id", "ord", guards, {"status": F.lit("ignored")})
     assert {tuple(r) for r in new.collect()} == {(1, "ignored"), (2, "done"), (3, "open")}
     assert {tuple(r) for r in log.collect()} == {(1, None), (2, "not open"), (3, "note too short"), (9, "unknown")}
+
+
+def test_paragraphs_and_unique_files(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    table = f"<w:tbl><w:tr><w:tc>{p('a')}{p('b')}</w:tc><w:tc>{p('a b')}</w:tc><w:tc>{p('c')}</w:tc></w:tr></w:tbl>"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p('first')}{p(' ')}{table}{p('last')}</w:body></w:document>")
+    for name in ("a.docx", "b.docx"):
+        (tmp_path / name).write_bytes(data.getvalue())
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    got = documents.read_paragraphs(spark, str(tmp_path / "[ac].docx")).collect()
+    assert [(r["kind"], r["text"], r["note"]) for r in sorted(got, key=lambda r: (r["path"], r["ord"]))] == [
+        ("paragraph", "first", None), ("row", "a b | c", None), ("paragraph", "last", None), (None, None, "unreadable: BadZipFile")]
+    assert sorted(r["path"][-6:] for r in grids.unique_files(spark, str(tmp_path)).collect()) == ["a.docx", "c.docx"]
+
+
+def test_audit_log_and_staging(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, what string")
+    log = sinks.AuditLog(str(tmp_path / "log"))
+    log.append(df)
+    log.append(df)
+    assert log.rows(df).count() == 4
+    for refuse in (log.update, log.delete, log.truncate):
+        with pytest.raises(PermissionError):
+            refuse(df)
+    bad = lambda t: t.filter("what = 'b'")
+    assert sinks.staged(df, str(tmp_path / "s1"), str(tmp_path / "f1"), bad) == 1 and not (tmp_path / "f1").exists()
+    assert sinks.staged(df.filter("id = 1"), str(tmp_path / "s2"), str(tmp_path / "f2"), bad) == 0 and spark.read.parquet(str(tmp_path / "f2")).count() == 1
+
+
+def test_rules_are_two_valued(spark):
+    df = spark.createDataFrame([(None, "[]", ["k"]), ("Évora", "x", None)], "t string, k string, links array<string>")
+    rows = df.select(condition(("<>", "t", "a")).alias("a"), condition(("not", ("<>", "t", "a"))).alias("b"), condition(("has", "k"), F.col("links")).alias("c"), condition(("has", "k")).alias("d"), condition(("<", "t", "z")).alias("e"), condition(("in", "t", ["évora", "x"])).alias("f"))
+    assert [tuple(r) for r in rows.collect()] == [(False, True, True, False, False, False), (True, False, True, True, False, True)]

@@ -28,3 +28,31 @@ def unread(pieces: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 def manifest(files: DataFrame, name: str, content: str) -> DataFrame:
     """One JSON line per file: name, bytes, SHA-256."""
     return files.select(F.to_json(F.struct(F.col(name).alias("name"), F.octet_length(content).alias("bytes"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))).alias("entry"))
+
+
+class AuditLog:
+    """Rows that are only ever added: there is a way to append and to read, and the others refuse."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def append(self, df: DataFrame) -> None:
+        append_only(df, self.path)
+
+    def rows(self, like: DataFrame) -> DataFrame:
+        return like.sparkSession.read.schema(like.schema).parquet(self.path)
+
+    def update(self, *_: object) -> None:
+        raise PermissionError("an audit log is not changed")
+
+    delete = truncate = update
+
+
+def staged(df: DataFrame, staging: str, final: str, residue) -> int:
+    """Write to ``staging``, count what ``residue(df)`` finds there, and move all of it to ``final`` only if it finds nothing."""
+    df.write.mode("overwrite").parquet(staging)
+    written = df.sparkSession.read.schema(df.schema).parquet(staging)
+    left = residue(written).count()
+    if not left:
+        written.write.mode("overwrite").parquet(final)
+    return left

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritab.functions import cables, citations, privacy, text
-from veritab.operators import decisions, links, rules, windows
+from veritab.operators import checks, decisions, links, rules, summaries, windows
 from veritab.plans.cases import literal
+from veritab.plans.logic import condition
 from veritab.plans.registry import add, query
+from veritab.sources import grids
 from veritab.sources.tables import table
 
 # paragraphs: each order is one, its text the case o_orderkey % 7
@@ -359,3 +361,119 @@ def project_reports(spark, d):
     line = F.concat(F.lit("- "), F.col("o_orderkey").cast("string"), F.lit(": "), F.col("o_orderstatus"))
     g = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("x"))
     return g.select("o_custkey", F.concat(F.lit("## "), F.col("o_custkey").cast("string"), F.lit("\n"), F.array_join(F.transform("x", lambda x: x["l"]), "\n")).alias("report"))
+
+
+# workbooks: each order is one, its cells the case o_orderkey % 5
+
+GRIDS = (
+    [(1, 1, 1, "Tabela"), (1, 3, 1, "Origem"), (1, 3, 2, "DESTINO"), (1, 3, 3, "TIPO C"), (1, 4, 3, "Total instalado"), (1, 4, 4, "Norma"), (1, 5, 1, "ENTRADA"), (1, 6, 1, "QE"), (1, 6, 2, "QP.1"), (1, 6, 3, "13,8"), (1, 7, 1, "QE"), (1, 7, 2, "QP.2"), (1, 8, 1, "EDIFÍCIO"), (1, 9, 1, "QP.1"), (1, 9, 2, "QP.3"), (1, 9, 3, "6")],
+    [(1, 1, 1, "Lista de Preços"), (1, 5, 1, "Designação"), (1, 5, 2, "Quant.")],
+    [(1, 2, 2, "DESIGNAÇÃO DOS TRABALHOS"), (1, 2, 3, "Quantidade")],
+    [(1, 45, 18, "FE_v20190222"), (1, 3, 1, "Origem"), (1, 3, 2, "Destino")],
+    [(1, 1, 1, "nada"), (2, 1, 1, "Destino"), (2, 1, 4, "origem"), (2, 2, 1, "5"), (2, 3, 1, "QP.9"), (2, 3, 4, "QE")],
+)
+
+
+def _cells(spark, d):
+    given = spark.createDataFrame([(i, *c) for i, g in enumerate(GRIDS) for c in g], "c int, sheet_no int, row int, col int, value string")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_orderkey") % len(GRIDS)).cast("int").alias("c"))
+    return o.join(F.broadcast(given), "c").drop("c")  # a few dozen rows
+
+
+@query("SELECT o_orderkey AS path, CASE o_orderkey % 5 WHEN 0 THEN 'calc_summary' WHEN 1 THEN 'lpu' WHEN 2 THEN 'mqt' WHEN 3 THEN 'ficha_eletrotecnica' ELSE 'calc_summary' END AS kind, CASE o_orderkey % 5 WHEN 3 THEN 'FE_v20190222' END AS version FROM orders")
+def detected_kinds(spark, d):
+    """What a workbook is, by its first sheet that tells."""
+    return grids.detect(_cells(spark, d))
+
+
+@query("""SELECT o_orderkey AS path, e."row", section, origin, destination, kva FROM orders JOIN (VALUES (0, 6, 'ENTRADA', 'QE', 'QP.1', '13,8'), (0, 7, 'ENTRADA', 'QE', 'QP.2', NULL), (0, 9, 'EDIFÍCIO', 'QP.1', 'QP.3', '6'), (4, 3, NULL, 'QE', 'QP.9', NULL), (4, 2, NULL, NULL, '5', NULL)) AS e(c, "row", section, origin, destination, kva) ON o_orderkey % 5 = c""")
+def calculation_rows(spark, d):
+    """Rows of calculation tables: header by words, two header lines, columns by patterns, sections filled forward."""
+    of = lambda k: F.try_element_at(F.col("fields"), F.lit(k)).alias(k)
+    return grids.calc_rows(_cells(spark, d).filter(F.col("path") % 5 != 3)).select("path", "row", "section", of("origin"), of("destination"), of("kva"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) * CASE WHEN l_returnflag = 'A' THEN 100 ELSE 1 END AS number FROM lineitem")
+def scaled_readings(spark, d):
+    """Readings times the scale of their key, where the map has one."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("key"), F.col("l_quantity").cast("string").alias("value"))
+    return grids.scaled(li, spark.createDataFrame([("A", 100.0)], "key string, scale double")).drop("key", "value")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS project, CAST(regexp_replace('EL' || lpad(CAST(l_partkey % 7 AS VARCHAR), 3, '0'), '[^0-9]', '', 'g') AS VARCHAR) AS k FROM lineitem WHERE l_linenumber <= 3),
+p AS (SELECT l_orderkey AS project, lpad(CAST(l_suppkey % 7 AS VARCHAR), 3, '0') AS k, l_suppkey % 7 = 0 AS is_index FROM lineitem),
+a AS (SELECT DISTINCT project, k FROM i), b AS (SELECT project, k, bool_or(is_index) AS is_index FROM p GROUP BY ALL)
+SELECT coalesce(a.project, b.project) AS project, count(*) FILTER (b.k IS NULL) AS missing, count(*) FILTER (a.k IS NULL AND NOT b.is_index) AS unlisted FROM a FULL JOIN b ON a.project = b.project AND a.k = b.k GROUP BY 1""")
+def index_and_pages(spark, d):
+    """Listed sheets against drawn ones by the digits of their codes; the index sheet need not be listed."""
+    li = table(spark, d, "lineitem")
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    listed = li.filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("p1"), digits(F.concat(F.lit("EL"), F.lpad((F.col("l_partkey") % 7).cast("string"), 3, "0"))).alias("k1")).distinct()
+    drawn = li.groupBy(F.col("l_orderkey").alias("p2"), digits(F.lpad((F.col("l_suppkey") % 7).cast("string"), 3, "0")).alias("k2")).agg(F.bool_or(F.col("l_suppkey") % 7 == 0).alias("is_index"))
+    j = listed.join(drawn, (F.col("p1") == F.col("p2")) & (F.col("k1") == F.col("k2")), "full_outer")
+    return j.groupBy(F.coalesce("p1", "p2").alias("project")).agg(F.count_if(F.col("k2").isNull()).alias("missing"), F.count_if(F.col("k1").isNull() & ~F.col("is_index")).alias("unlisted"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, 'L' || (l_partkey % 6) || CASE WHEN l_suppkey % 2 = 0 THEN '.1' ELSE '' END || ' luminaria' AS designation, CASE WHEN l_returnflag = 'A' THEN 'm' ELSE 'un' END AS unit, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+SELECT l_orderkey, CASE WHEN count(DISTINCT unit) <= 1 THEN CAST(sum(q) AS BIGINT) END AS quantity, count(*) AS articles FROM a WHERE starts_with(designation, 'L3 ') OR starts_with(designation, 'L5 ') GROUP BY l_orderkey""")
+def slot_quantities(spark, d):
+    """Quantity of a luminaire by its codes: L3 is not L3.1 and not L31; the sum stands if there is one unit."""
+    code = F.concat(F.lit("L"), F.col("l_partkey") % 6, F.when(F.col("l_suppkey") % 2 == 0, ".1").otherwise(""), F.lit(" luminaria"))
+    a = table(spark, d, "lineitem").select("l_orderkey", code.alias("designation"), F.when(F.col("l_returnflag") == "A", "m").otherwise("un").alias("unit"), F.col("l_quantity").cast("long").alias("q"))
+    pattern = r"(?i)^\s*(?:" + "|".join(rf"\Q{c}\E" for c in "L3/L5".split("/")) + r")(?![\d.])"
+    return a.filter(F.col("designation").rlike(pattern)).groupBy("l_orderkey").agg(summaries.guarded_sum(F.col("q"), F.col("unit")).alias("quantity"), F.count(F.lit(1)).alias("articles"))
+
+
+@query("""SELECT o_orderkey, o_totalprice IS NOT NULL AND o_orderpriority LIKE '%URGENT%' AS a, NOT (o_orderstatus = 'F') AS b, o_custkey % 3 = 0 AS has_key, false AS texts_have_no_order, true AS constant FROM orders""")
+def rule_nodes(spark, d):
+    """Every node of the rule language: presence with links, containment, constants, and texts without an order."""
+    o = table(spark, d, "orders").withColumns({"key": F.when(F.col("o_custkey") % 6 == 0, "x").when(F.col("o_custkey") % 6 == 3, "[]"), "links": F.when(F.col("o_custkey") % 6 == 3, F.array(F.lit("key")))})
+    return o.select("o_orderkey", condition(("all", ("has", "o_totalprice"), ("~", "o_orderpriority", "urgent"))).alias("a"), condition(("not", ("=", "o_orderstatus", "f"))).alias("b"), condition(("has", "key"), F.col("links")).alias("has_key"), condition((">", "o_orderpriority", "a")).alias("texts_have_no_order"), condition(("const", True)).alias("constant"))
+
+
+@query("""WITH m AS (SELECT p_partkey, p_brand AS maker, p_size AS reference, p_type AS model FROM part WHERE p_partkey % 3 = 0), l AS (SELECT p_brand AS maker, p_size AS reference, min(p_partkey) AS item FROM part WHERE p_partkey % 3 = 1 GROUP BY ALL), n AS (SELECT p_brand AS maker, p_type AS model, min(p_partkey) AS item FROM part WHERE p_partkey % 3 = 1 GROUP BY ALL)
+SELECT p_partkey, coalesce(l.item, n.item) AS item, CASE WHEN l.item IS NOT NULL THEN 'reference' WHEN n.item IS NOT NULL THEN 'model' ELSE 'unmatched' END AS rule FROM m LEFT JOIN l USING (maker, reference) LEFT JOIN n ON n.maker = m.maker AND n.model = m.model""")
+def manifest_matches(spark, d):
+    """Sheets of a manifest against the library: by maker and reference, else by maker and model; the unmatched are told."""
+    p = table(spark, d, "part")
+    lib = p.filter("p_partkey % 3 = 1")
+    by_reference = lib.groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("r"))
+    by_model = lib.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("m"))
+    j = p.filter("p_partkey % 3 = 0").select("p_partkey", "p_brand", "p_size", "p_type").join(by_reference, ["p_brand", "p_size"], "left").join(by_model, ["p_brand", "p_type"], "left")
+    return j.select("p_partkey", F.coalesce("r", "m").alias("item"), F.when(F.col("r").isNotNull(), "reference").when(F.col("m").isNotNull(), "model").otherwise("unmatched").alias("rule"))
+
+
+@query("""SELECT o_orderkey, sha256('v2|' || o_orderkey)[1:32] AS new_id, count(l_orderkey) AS children, coalesce(bool_and(sha256('v2|' || l_orderkey)[1:32] = sha256('v2|' || o_orderkey)[1:32]), true) AS same_parent FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def revision_clones(spark, d):
+    """A copy of a revision with its children under new ids."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("id"))
+    parents, children = checks.remapped(o, table(spark, d, "lineitem").select("l_orderkey"), "id", "l_orderkey", "v2")
+    n = children.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    j = parents.join(n, F.col("id") == F.col("l_orderkey"), "left")
+    return j.select("o_orderkey", F.col("id").alias("new_id"), F.coalesce("n", F.lit(0)).alias("children"), F.coalesce(F.col("id") == F.col("l_orderkey"), F.lit(True)).alias("same_parent"))
+
+
+@query("""SELECT value, count(DISTINCT piece) AS pieces, string_agg(DISTINCT piece, ',' ORDER BY piece) AS "where" FROM (SELECT p_brand AS value, l_returnflag || l_linestatus AS piece FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY value HAVING count(DISTINCT piece) > 1""")
+def values_of_several_pieces(spark, d):
+    """Each value with the set of pieces that have it, where there are several."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("value")), F.col("l_partkey") == F.col("p_partkey"))
+    g = li.groupBy("value").agg(F.sort_array(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("s")).filter(F.size("s") > 1)
+    return g.select("value", F.size("s").cast("long").alias("pieces"), F.array_join("s", ",").alias("where"))
+
+
+@query("""WITH n AS (SELECT DISTINCT n_name AS name FROM nation UNION SELECT DISTINCT 'Cliente ' || (c_custkey % 50) FROM customer), k AS (SELECT DISTINCT n_name AS name FROM nation WHERE n_regionkey = 1) SELECT lower(name) AS name FROM n WHERE name NOT IN (SELECT name FROM k)""")
+def new_blocked_terms(spark, d):
+    """Names harvested from several sources that are not yet blocked, compared folded."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("Cliente "), F.col("c_custkey") % 50).alias("name"))
+    known = table(spark, d, "nation").filter("n_regionkey = 1").select(text.fold(F.col("n_name")).alias("name")).distinct()
+    return n.unionByName(c).distinct().select(text.fold(F.col("name")).alias("name")).distinct().join(known, "name", "left_anti")
+
+
+@query("""SELECT o_custkey AS project, kind, severity, count(*) AS n FROM (SELECT o_custkey, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['email', 'nif'] WHEN 1 THEN ['phone'] ELSE [] END) AS kind, unnest(CASE o_orderkey % 3 WHEN 0 THEN ['error', 'error'] WHEN 1 THEN ['warning'] ELSE [] END) AS severity FROM orders) GROUP BY ALL""")
+def personal_summary(spark, d):
+    """Hits of personal data by project, kind and severity: what has a check digit or a form of its own is an error, the rest a warning."""
+    texts = F.get(F.array(F.lit("mail ana@x.pt nif 123456789"), F.lit("tel. 912 345 678"), F.lit("nada")), (F.col("o_orderkey") % 3).cast("int"))
+    hits = table(spark, d, "orders").select(F.col("o_custkey").alias("project"), F.explode(privacy.personal(texts)).alias("h"))
+    severity = F.when(F.col("h.kind").isin("email", "nif", "cc"), "error").otherwise("warning")
+    return hits.groupBy("project", F.col("h.kind").alias("kind"), severity.alias("severity")).agg(F.count(F.lit(1)).alias("n"))

@@ -9,24 +9,44 @@ from pyspark.sql import functions as F
 
 from veritab.functions.numbers import rule_number
 
+#: Texts of values that are there and say nothing.
+EMPTY = ("", "[]", "{}")
 
-def condition(rule: tuple) -> Column:
-    """("all" | "any", rules...), ("not", rule), ("has", field), ("in", field, values), (op, field, value).
 
-    A comparison with a null field is false; ``has`` is false for nulls and empty text. Texts are compared as
-    numbers if the value is one.
+def compared(field: Column, op: str, value) -> Column:
+    """One comparison, two-valued: a missing or empty field is false, even for ``<>``.
+
+    ``~`` is true if the text holds the value, whatever the case. Two numbers compare as numbers; texts are equal
+    or not, whatever the case, and have no order.
+    """
+    said = field.cast("string")
+    if op == "in":
+        return reduce(lambda a, b: a | b, [compared(field, "=", v) for v in value], F.lit(False))
+    if op == "~":
+        return F.coalesce(F.lower(said).contains(str(value).lower()), F.lit(False))
+    left, right = rule_number(said), rule_number(F.lit(str(value)))
+    numeric = {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
+    same = F.lower(F.trim(said)) == F.lit(str(value).strip().lower())
+    textual = {"=": same, "<>": ~same}.get(op, F.lit(False))
+    test = F.when(left.isNotNull() & right.isNotNull(), numeric).otherwise(textual)
+    return F.coalesce(F.when(said != "", test), F.lit(False))
+
+
+def condition(rule: tuple, linked: Column | None = None) -> Column:
+    """("const", bool), ("all" | "any", rules...), ("not", rule), ("has", field), ("in", field, values), (op, field, value).
+
+    Every node is true or false, so that ``not`` of a missing value is true. ``has`` is false for nulls, empty texts
+    and empty collections, unless ``linked``, an array of keys that articles are linked to, holds the field.
     """
     op, *args = rule
+    if op == "const":
+        return F.lit(bool(args[0]))
     if op in ("all", "any"):
-        return reduce(lambda a, b: a & b if op == "all" else a | b, [condition(r) for r in args], F.lit(op == "all"))
+        return reduce(lambda a, b: a & b if op == "all" else a | b, [condition(r, linked) for r in args], F.lit(op == "all"))
     if op == "not":
-        return ~condition(args[0])
+        return ~condition(args[0], linked)
     field = F.col(args[0])
     if op == "has":
-        return F.coalesce(field.cast("string") != "", F.lit(False))
-    if op == "in":
-        return F.coalesce(field.isin(*args[1]), F.lit(False))
-    value = args[1]
-    left = rule_number(field.cast("string")) if isinstance(value, int | float) else field
-    tests = {"=": left == value, "<>": left != value, "<": left < value, "<=": left <= value, ">": left > value, ">=": left >= value}
-    return F.coalesce(tests[op], F.lit(False))
+        there = F.coalesce(~field.cast("string").isin(*EMPTY), F.lit(False))
+        return there if linked is None else there | F.coalesce(F.array_contains(linked, args[0]), F.lit(False))
+    return compared(field, op, args[1])
