@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veritab.functions import cables, citations, dates, numbers, params, privacy, spans, text, trees, words
+from veritab.functions import cables, citations, dates, numbers, params, privacy, spans, templates, text, trees, words
 from veritab.plans.registry import add
 from veritab.sources.tables import table
 
@@ -319,3 +319,43 @@ by_case(
     [(("ele.quadros_iluminacao",), ("lighting",)), (("ele.quadros",), ("boards",)), (("ele.sistema_fotovoltaico",), ("pv",)), (("ele.terra",), (None,))],
     "The category of the first keyword that a key holds.",
 )
+
+
+by_case(
+    "entry_differences", "t string, o string",
+    {
+        "fits": lambda t, o: templates.captured(t, o).isNotNull(),
+        "differ": lambda t, o: joined(F.coalesce(templates.differing(t, o, F.col("values")), F.array().cast("array<struct<key:string,got:string,mine:string>>")), "key", "got", "mine"),
+        "classes": lambda t, o: F.array_join(F.transform(F.coalesce(templates.differing(t, o, F.col("values")), F.array().cast("array<struct<key:string,got:string,mine:string>>")), lambda d: templates.difference_class(d["key"], d["got"], d["mine"])), ","),
+    },
+    [
+        (("Potência de {{v:ele.p}} kVA em {{v:doc.local}}.", "Potência de 34,50 kVA em Lisboa."), (True, "ele.p:34,50:34.5; doc.local:Lisboa:-", "number_format,profile")),
+        (("Requerente: {{v:req.nome}}", "Requerente:  ANA  SILVA"), (True, "req.nome:ANA SILVA:Ana Silva", "case")),
+        (("Quadro {{v:ele.q}} e {{v:ele.p}}", "Quadro QP.2 e 34.5"), (True, "ele.q:QP.2:QP.1", "value")),
+        (("Igual {{v:ele.q}}", "Igual QP.1"), (True, "", "")),
+        (("Falta {{v:x.y}}", "Falta algo"), (True, "x.y:algo:-", "missing")),
+        (("Um texto {{v:ele.q}}", "Outro texto QP.1"), (False, "", "")),
+        (("Data {{v:doc.data}} (a+b)", "Data maio (a+b)"), (True, "doc.data:maio:-", "date")),
+    ],
+    "Texts against their templates: values captured, those that differ, and why.",
+    {"values": lambda t, o: F.create_map(*[F.lit(x) for x in ("ele.p", "34.5", "req.nome", "Ana Silva", "ele.q", "QP.1")])},
+)
+
+by_case(
+    "labelled_facts", "t string",
+    {"found": lambda t: joined(templates.labelled(t, {"req.nome": "requerente|dono da obra", "doc.local": "local"}), "key", "value"), "brand": lambda t: templates.first_brand(t, ["Legrand", "ABB", "Hager"])},
+    [
+        (("Requerente: Ana Silva\nLocal - Lisboa\nLocal: x",), ("req.nome:Ana Silva; doc.local:Lisboa", None)),
+        (("DONO DA OBRA: Município\nquadro ABB, série Hager",), ("req.nome:Município", "ABB")),
+        (("tomada hager ou legrand",), ("", "Hager")),
+        ((None,), ("", None)),
+    ],
+    "Labelled values of a text, and the brand that stands first in it.",
+)
+
+by_case(
+    "expected_cases", "m string, w array<string>, r string, e string",
+    {"found": lambda m, w, r, e: templates.case_found(m, w, r, e)},
+    [(("Designação de cabos diferente: MDJ indica H07V-U", ["cabos", "h07v-u"], "A peça está errada.", "A peça"), (True,)), (("Potência diferente", ["cabos"], "A peça", "A peça"), (False,)), (("Potência diferente", ["potência"], "Vários", "A peça"), (False,)), (("x", [], "", ""), (True,))],
+    "Whether an expected case is among the messages, with the reading expected.",
+)

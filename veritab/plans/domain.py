@@ -477,3 +477,29 @@ def personal_summary(spark, d):
     hits = table(spark, d, "orders").select(F.col("o_custkey").alias("project"), F.explode(privacy.personal(texts)).alias("h"))
     severity = F.when(F.col("h.kind").isin("email", "nif", "cc"), "error").otherwise("warning")
     return hits.groupBy("project", F.col("h.kind").alias("kind"), severity.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, CASE l_linenumber WHEN 3 THEN 'obra.local' WHEN 1 THEN 'req.nome' WHEN 2 THEN 'ele.potencia' ELSE 'outro.' || l_linenumber END AS key, min(l_partkey) AS v, count(DISTINCT l_suppkey) > 1 AS open FROM lineitem GROUP BY ALL),
+k(key, rank) AS (VALUES ('req.nome', 0), ('obra.local', 1), ('ele.potencia', 2)), s AS (SELECT l_orderkey, f.key, CASE WHEN f.key = 'req.nome' THEN '•••' ELSE CAST(v AS VARCHAR) END AS shown, open, coalesce(rank, 3) AS rank FROM f LEFT JOIN k USING (key))
+SELECT l_orderkey, string_agg(key || '=' || shown, '; ' ORDER BY rank, key) AS said, count(*) FILTER (open) AS open_conflicts, count(*) FILTER (open) = 0 AS can_confirm, 3 - count(*) FILTER (rank < 3) AS missing FROM s GROUP BY l_orderkey""")
+def record_view(spark, d):
+    """A record's values nested in the order of the catalogue, unknown keys last, masked, with conflicts and missing keys."""
+    catalogue = ["req.nome", "obra.local", "ele.potencia"]
+    n = F.col("l_linenumber")
+    key = F.when(n == 3, "obra.local").when(n == 1, "req.nome").when(n == 2, "ele.potencia").otherwise(F.concat(F.lit("outro."), n))
+    f = table(spark, d, "lineitem").groupBy("l_orderkey", key.alias("key")).agg(F.min("l_partkey").cast("string").alias("v"), (F.count_distinct("l_suppkey") > 1).alias("open"))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(k) for k in catalogue]), F.col("key")), F.lit(0)), F.lit(len(catalogue) + 1).cast("long"))
+    shown = F.when(F.col("key") == "req.nome", privacy.MARK).otherwise(F.col("v"))
+    g = f.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(rank.alias("r"), "key", shown.alias("s")))).alias("x"), F.count_if("open").alias("open_conflicts"), F.count_if(rank <= len(catalogue)).alias("n"))
+    said = F.array_join(F.transform("x", lambda x: F.concat_ws("=", x["key"], x["s"])), "; ")
+    return g.select("l_orderkey", said.alias("said"), "open_conflicts", (F.col("open_conflicts") == 0).alias("can_confirm"), (len(catalogue) - F.col("n")).alias("missing"))
+
+
+@query("""WITH i AS (SELECT p_partkey, p_size AS slot, [p_partkey % 7, p_partkey % 11] AS units FROM part), s AS (SELECT DISTINCT c_custkey AS project, c_custkey % 50 + 1 AS slot FROM customer)
+SELECT project, slot, arg_min(p_partkey, (NOT list_contains(units, project % 11), p_partkey)) AS item, bool_or(list_contains(units, project % 11)) AS own FROM s JOIN i USING (slot) GROUP BY ALL""")
+def slot_items(spark, d):
+    """The item of each slot: one of the project's own if there is any, else the first of the slot."""
+    i = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("slot"), F.array(F.col("p_partkey") % 7, F.col("p_partkey") % 11).alias("units"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 50 + 1).alias("slot"))
+    own = F.array_contains("units", F.col("project") % 11)
+    return s.join(i, "slot").groupBy("project", "slot").agg(F.min_by("p_partkey", F.struct(~own, "p_partkey")).alias("item"), F.bool_or(own).alias("own"))
