@@ -27,9 +27,9 @@ def test_base_and_added_spans(spark):
     texts += [f"word number{i} passwd: {key(18)} tail {key(32, mixed)}" for i in range(30)]
     texts += ["ordinary identifiers such as connectionhandlerfactory and userpreferencesdialog are common " * 3] * 40
     texts.append("the leaked value " + (leak := key(40, mixed)) + " stands here beside internationalisation_of_names")
-    df = spark.createDataFrame([(i, t, "e") for i, t in enumerate(texts)], "doc_id long, text string, extra string")
+    df = spark.createDataFrame([(i, t, "e", "b", 1) for i, t in enumerate(texts)], "doc_id long, text string, extra string, base string, tokens int")
     out = S.scan(df, "text", share=1)
-    assert "extra" in out.columns
+    assert out.columns == ["doc_id", "extra", "tokens", "base", "spans"]
     for r in out.select("doc_id", "base", "spans", F.sha2(S.said(F.col("base")), 256).alias("h")).collect():
         want = _base(texts[r["doc_id"]])
         assert [(s["start"], s["kind"], s["stop"]) for s in r["base"]] == want, texts[r["doc_id"]]

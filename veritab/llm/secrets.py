@@ -93,10 +93,13 @@ def scan(rows: DataFrame, text_col: str, share: int = 1, min_ratio: float = MIN_
     hits, or in one row in ``share`` (by hash of the text) where a caller asks for less. Tokens of MIN_TOKEN characters or more that no base span touches are added if their ratio reaches ``min_ratio``.
 
     A null or empty text has no spans. Without any hit there are no random samples and nothing is added. Repeated
-    rows are all kept; other columns stay, and must not be named base, spans or tokens.
+    rows are all kept; other columns stay, but columns named base and spans are replaced.
     """
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in (text_col, "base", "spans")]
+    text = F.col(f"`{text_col}`")
+    sampled = F.when(F.pmod(F.xxhash64(text), F.lit(share)) == 0, text)
     found = saved(
-        rows.withColumns({"base": find_base(F.col(text_col)), "tokens": _spans(F.col(text_col), TOKEN, TOKEN, 3), "_text": F.when(F.pmod(F.xxhash64(text_col), F.lit(share)) == 0, F.col(text_col))}).drop(text_col),
+        rows.select(F.struct(*others or [F.lit(0).alias("_")]).alias("_d"), find_base(text).alias("base"), _spans(text, TOKEN, TOKEN, 3).alias("tokens"), sampled.alias("_text")),
         "secret-spans",
     )
     hits = found.select(F.explode("base").alias("s")).select("s.token").groupBy("token").agg(F.count(F.lit(1)).alias("weight"))
@@ -107,7 +110,8 @@ def scan(rows: DataFrame, text_col: str, share: int = 1, min_ratio: float = MIN_
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     extra = F.filter(free, lambda t: ratio(t["token"], model) >= min_ratio)
     more = F.when(F.size("tokens") > 0, extra).otherwise(none) if hits.limit(1).count() else none
-    return found.withColumn("spans", F.sort_array(F.concat("base", more))).drop("tokens")
+    out = found.select("_d.*", "base", F.sort_array(F.concat("base", more)).alias("spans"))
+    return out if others else out.drop("_")
 
 
 def said(spans: Column) -> Column:
