@@ -90,10 +90,10 @@ def thresholds(judged: DataFrame, alpha: float, delta: float) -> DataFrame:
     best = gains.groupBy("stratum", "signal").agg(F.max(F.struct("gain", "cutoff")).alias("b")).select("stratum", "signal", "b.*")
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("gain"), "signal")))
     of = lambda s, c: F.max(F.when(F.col("signal") == s, F.col(c)))
-    wide = best.groupBy("stratum").agg(*[of(s, "cutoff").alias(f"{s}_cut") for s in SIGNALS], *[of(s, "rank").alias(f"{s}_rank") for s in SIGNALS])
+    wide = saved(best.groupBy("stratum").agg(*[of(s, "cutoff").alias(f"{s}_cut") for s in SIGNALS], *[of(s, "rank").alias(f"{s}_rank") for s in SIGNALS]), "quality-paths")
     first = F.least(*[F.when(F.col(s) >= F.col(f"{s}_cut"), F.col(f"{s}_rank")) for s in SIGNALS])
     ranks = range(1, len(SIGNALS) + 1)
-    k = hold.join(wide, "stratum").withColumn("first", first).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= r).alias(f"k{r}") for r in ranks])
+    k = hold.join(small(wide, wide.count(), 100_000), "stratum").withColumn("first", first).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= r).alias(f"k{r}") for r in ranks])
     strata = judged.agg(F.greatest(F.count_distinct("stratum"), F.lit(1)).alias("strata"))
     k = k.join(F.broadcast(strata))  # strata: one row
     passed = [F.when(binomial_cdf(F.col(f"k{r}"), F.col("n"), alpha) * F.col("strata") <= delta, r) for r in ranks]
