@@ -605,7 +605,7 @@ def approval_conditions(spark, d):
     return j.select("o_orderkey", (why == "").alias("ready"), why.alias("why"))
 
 
-@query("""WITH dec AS (SELECT event_id % 2000 AS k, arg_max(event_type, event_id) AS choice, arg_max(value, event_id) AS v FROM events GROUP BY 1),
+@query("""WITH dec AS (SELECT user_id * 11 AS k, arg_max(event_type, event_id) AS choice, arg_max(value, event_id) AS v FROM events GROUP BY 1),
 j AS (SELECT coalesce(o_orderkey, k) AS o_orderkey, o_orderstatus, choice, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN NOT o_orderstatus IN ('O', 'P') THEN 'not open' WHEN v <= 5 THEN 'no reason' END AS refused FROM dec LEFT JOIN orders ON o_orderkey = k)
 SELECT o_orderkey, refused FROM j""")
 def decision_log(spark, d):
@@ -613,7 +613,7 @@ def decision_log(spark, d):
     return _decided(spark, d)[1]
 
 
-@query("""WITH dec AS (SELECT event_id % 2000 AS k, arg_max(event_type, event_id) AS choice, arg_max(value, event_id) AS v FROM events GROUP BY 1)
+@query("""WITH dec AS (SELECT user_id * 11 AS k, arg_max(event_type, event_id) AS choice, arg_max(value, event_id) AS v FROM events GROUP BY 1)
 SELECT o_orderkey, CASE WHEN k IS NOT NULL AND o_orderstatus IN ('O', 'P') AND v > 5 THEN choice ELSE o_orderstatus END AS status FROM orders LEFT JOIN dec ON o_orderkey = k""")
 def decided_state(spark, d):
     return _decided(spark, d)[0]
@@ -621,7 +621,7 @@ def decided_state(spark, d):
 
 def _decided(spark, d):
     state = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    asked = table(spark, d, "events").select((F.col("event_id") % 2000).alias("o_orderkey"), "event_id", F.col("event_type").alias("choice"), "value")
+    asked = table(spark, d, "events").select((F.col("user_id") * 11).alias("o_orderkey"), "event_id", F.col("event_type").alias("choice"), "value")
     guards = [("not open", F.col("status").isin("O", "P")), ("no reason", F.col("d_value") > 5)]
     return decisions.decide(state, asked, "o_orderkey", "event_id", guards, {"status": F.col("d_choice")})
 
@@ -655,10 +655,11 @@ def revision_diff(spark, d):
 def nested_occurrences(spark, d):
     """A read model with nested rows: occurrences of a designation in order, and its first ones."""
     li = table(spark, d, "lineitem")
-    occ = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
-    g = li.groupBy("l_suppkey").agg(occ.alias("o"))
-    head = F.array_join(F.transform(F.slice("o", 1, 3), lambda x: (x["l_orderkey"] * 100 + x["l_linenumber"]).cast("string")), ",")
-    return g.select("l_suppkey", F.col("o")[0]["l_orderkey"].alias("first_order"), F.size("o").cast("long").alias("n"), head.alias("head"))
+    n = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    first = li.withColumn("r", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))).filter("r <= 3")
+    o = first.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("r", "l_orderkey", "l_linenumber"))).alias("o"))  # three rows at most
+    head = F.array_join(F.transform("o", lambda x: (x["l_orderkey"] * 100 + x["l_linenumber"]).cast("string")), ",")
+    return n.join(o, "l_suppkey").select("l_suppkey", F.col("o")[0]["l_orderkey"].alias("first_order"), "n", head.alias("head"))
 
 
 __all__ = ["QUERIES", "SQL"]
