@@ -355,11 +355,11 @@ def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, s
     that are not linked yet. SimHash drops pairs far apart, and the sets of the others are compared.
     """
     p = points.select("k", "n", F.posexplode("prefix").alias("i", "t"))
+    shared = saved(p.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t"), "shared")  # few of the shingles; the others stay out of what follows
+    p = saved(p.join(small(shared, shared.count(), 2 * BROADCAST), "t", "left_semi"), "shared-shingles")
     each = [F.min(F.struct(F.xxhash64("k", F.lit(j)).alias("o"), "k", "n", "i")) for j in range(HEADS)]
     slim_heads = F.array_distinct(F.transform(F.array(*each), lambda x: F.struct(x["k"].alias("hk"), x["n"].alias("hn"), x["i"].alias("hi"))))
-    heads = p.groupBy("t").agg(slim_heads.alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    heads = saved(heads.select("t", F.explode("v").alias("v")).select("t", "v.*"), "shingle-heads")
-    p = saved(p.join(heads.select("t").distinct(), "t", "left_semi"), "shared-shingles")
+    heads = saved(p.groupBy("t").agg(slim_heads.alias("v")).select("t", F.explode("v").alias("v")).select("t", "v.*"), "shingle-heads")
 
     def room(n: Column, i: Column, m: Column, j: Column) -> Column:
         fits = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
@@ -375,7 +375,7 @@ def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, s
     l, r = q.alias("l"), q.alias("r")
     met = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.root") != F.col("r.root")) & room(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")))
     two = similar(met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct(), points, slim, shingle, width, similarity)
-    dropped(p, q, heads)
+    dropped(p, q, heads, shared)
     return components(one.unionByName(two))
 
 
