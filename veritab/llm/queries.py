@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritab.llm import decontaminate, lines, mixing, quality, repeats, secrets, sharding, simhash, toxicity, urls
+from veritab.llm import decontaminate, lines, mixing, quality, repeats, secrets, sharding, simhash, tokens, toxicity, urls, whitening
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_risk_controlled": quality.op8_risk_controlled,
     "op9_url_filter": urls.op9_url_filter,
     "op10_bucket_pointers": repeats.op10_bucket_pointers,
+    "op12_welford_whitening": whitening.op12_welford_whitening,
+    "op13_overlap_tokens": tokens.op13_overlap_tokens,
 }
 SQL = {
     "op3_simhash_leaks": decontaminate.OP3_SQL,
