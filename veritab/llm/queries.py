@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritab.llm import decontaminate, lines, mixing, quality, repeats, secrets, sharding, simhash, tokens, toxicity, urls, whitening
+from veritab.llm import collocations, decontaminate, lines, mixing, quality, repeats, secrets, sharding, simhash, tokens, toxicity, urls, whitening
 
 QUERIES = {
     "op1_histogram_shards": sharding.op1_histogram_shards,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_risk_controlled": quality.op8_risk_controlled,
     "op9_url_filter": urls.op9_url_filter,
     "op10_bucket_pointers": repeats.op10_bucket_pointers,
+    "op11_pair_collocations": collocations.op11_pair_collocations,
     "op12_welford_whitening": whitening.op12_welford_whitening,
     "op13_overlap_tokens": tokens.op13_overlap_tokens,
 }
@@ -24,4 +25,5 @@ SQL = {
     "op8_risk_controlled": quality.OP8_SQL,
     "op9_url_filter": urls.OP9_SQL,
     "op10_bucket_pointers": repeats.OP10_SQL,
+    "op11_pair_collocations": collocations.OP11_SQL,
 }
