@@ -14,9 +14,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets one of its own; a cluster is refused, since each executor would write to
+    its own disk and read back a part only.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it names a folder that the driver and all executors share")
         where = "file:///tmp/checkpoints/veritab"
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -351,8 +351,10 @@ def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, s
     """(k, id, row, n, prefix, f0..) -> (node, root): components over the digests ``k`` of sets of Jaccard ``similarity``.
 
     Sets meet on a shingle of both prefixes if size and places leave room for enough others. Each first meets HEADS
-    sets of its shingle, chosen by hash, so that a large group of copies costs a few pairs each; then all those meet
-    that are not linked yet. SimHash drops pairs far apart, and the sets of the others are compared.
+    sets of its shingle, chosen by hash, so that a large group of copies costs a few pairs each. Shingles whose sets are
+    not all linked by then go into rounds: HEADS times as many heads as before meet the sets that are not linked to
+    them, and leave; so a shingle of c sets is done after log(c) rounds, and linked sets cost no more pairs. SimHash
+    drops pairs far apart, and the sets of the others are compared.
     """
     p = points.select("k", "n", F.posexplode("prefix").alias("i", "t"))
     shared = saved(p.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t"), "shared")  # few of the shingles; the others stay out of what follows
@@ -366,17 +368,27 @@ def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, s
         return fits & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
     first = p.join(heads, "t").filter((F.col("k") != F.col("hk")) & room(F.col("n"), F.col("i"), F.col("hn"), F.col("hi")))
-    first = first.select(F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")).distinct()
-    one = similar(first, points, slim, shingle, width, similarity)
-    roots = components(one)
-    q = p.select("t", "k", "n", "i").join(roots, F.col("k") == F.col("node"), "left").select("t", "k", "n", "i", F.coalesce("root", "k").alias("root"))
-    mixed = q.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("t")
-    q = saved(q.join(mixed, "t", "left_semi"), "open-shingles")
-    l, r = q.alias("l"), q.alias("r")
-    met = l.join(r, (F.col("l.t") == F.col("r.t")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.root") != F.col("r.root")) & room(F.col("l.n"), F.col("l.i"), F.col("r.n"), F.col("r.i")))
-    two = similar(met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct(), points, slim, shingle, width, similarity)
-    dropped(p, q, heads, shared)
-    return components(one.unionByName(two))
+    pair = [F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")]
+    links = similar(first.select(*pair).distinct(), points, slim, shingle, width, similarity)
+    dropped(heads)
+    left, most, seed = p.select("t", "k", "n", "i"), HEADS, 0
+    while True:
+        roots = saved(components(links), "roots")
+        q = left.join(roots, F.col("k") == F.col("node"), "left").select("t", "k", "n", "i", F.coalesce("root", "k").alias("root"))
+        mixed = q.groupBy("t").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("t")
+        q = saved(q.join(mixed, "t", "left_semi"), "open-shingles")
+        if q.isEmpty():
+            dropped(p, shared, q)
+            return roots
+        most, seed = most * HEADS, seed + 1
+        rank = F.row_number().over(Window.partitionBy("t").orderBy(F.xxhash64("k", F.lit(seed)), "k"))
+        heads = saved(q.withColumn("o", rank).filter(F.col("o") <= most).select("t", F.col("k").alias("hk"), F.col("n").alias("hn"), F.col("i").alias("hi"), F.col("root").alias("hroot")), "shingle-heads")
+        met = q.join(heads, "t").filter((F.col("root") != F.col("hroot")) & room(F.col("n"), F.col("i"), F.col("hn"), F.col("hi")))
+        more = similar(met.select(*pair).distinct(), points, slim, shingle, width, similarity)
+        both = saved(links.unionByName(more).distinct(), "similar-pairs")
+        left = saved(q.join(heads, (q["t"] == heads["t"]) & (F.col("k") == F.col("hk")), "left_anti").select("t", "k", "n", "i"), "unmet-shingles")
+        dropped(heads, roots, q, links, more)
+        links = both
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY) -> DataFrame:
