@@ -123,12 +123,10 @@ def test_words_and_names(spark):
     assert {r["v"] for r in checks.unique_owner(df, "v", "id").collect()} == {"Ana Maria Reis", "Rui Sol", "R. Sol"}
 
 
-def test_likely_reading_and_alignment(spark):
+def test_likely_reading_and_copies(spark):
     obs = [(1, "a", "x", "2024-01"), (1, "b", "x", "2024-01"), (1, "c", "y", "2024-02"), (2, "a", "x", "2024-03"), (2, "b", "x", "2024-03"), (2, "c", "y", "2024-01"), (3, "a", "x", "1"), (3, "b", "y", "1")]
     got = {r["k"]: (r["reading"], r["piece"]) for r in checks.likely_reading(spark.createDataFrame(obs, "k int, p string, v string, d string"), ["k"], "p", "v", "d").collect()}
     assert got == {1: ("others_outdated", "c"), 2: ("piece_wrong", "c"), 3: ("several", None)}
-    pairs = spark.createDataFrame([(1, ["a", "b", "c"], ["a", "x", "c", "d"]), (2, None, ["q"])], "k int, l array<string>, r array<string>")
-    assert [tuple(r) for r in checks.align(pairs, "k", "l", "r").collect()] == [(1, "equal", "a", "a"), (1, "replace", "b", "x"), (1, "equal", "c", "c"), (1, "insert", "", "d"), (2, "insert", "", "q")]
     a, b = checks.remapped(spark.createDataFrame([("p",)], "id string"), spark.createDataFrame([("c", "p")], "id string, parent string"), "id", "parent", "copy")
     assert a.join(b, a["id"] == b["parent"]).count() == 1
 
@@ -185,3 +183,23 @@ def test_rules_are_two_valued(spark):
     df = spark.createDataFrame([(None, "[]", ["k"]), ("Évora", "x", None)], "t string, k string, links array<string>")
     rows = df.select(condition(("<>", "t", "a")).alias("a"), condition(("not", ("<>", "t", "a"))).alias("b"), condition(("has", "k"), F.col("links")).alias("c"), condition(("has", "k")).alias("d"), condition(("<", "t", "z")).alias("e"), condition(("in", "t", ["évora", "x"])).alias("f"))
     assert [tuple(r) for r in rows.collect()] == [(False, True, True, False, False, False), (True, False, True, True, False, True)]
+
+
+def test_folds_equal_their_definition(spark):
+    import random
+
+    from veritab.functions import text
+
+    r = random.Random(5)
+    pool = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA0, 0x250), 0x1C, 0x300, 0x301, 0x2013, 0x2026, 0x20AC, 0xFB01, 0x1E9E, 0x4E2D, 0x1F600, 0x3000, 0x130, 0x212B]]
+    rows = ["".join(r.choice(pool) for _ in range(r.randrange(12))) for _ in range(3_000)] + pool + ["São  João ", "ﬁm", None]
+    got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", text.fold(F.col("x")).alias("y")).collect()
+    assert all(g.y == (None if g.x is None else " ".join(text._bare(g.x).split())) for g in got)
+
+
+def test_accented_boards(spark):
+    from veritab.functions.text import core
+
+    names = {"Q.P.ÁTRIO": "ATRIO", "Q.P.ATRIO": "ATRIO", "átrio": "ATRIO", "Pavilhão": "PAVILHAO", "Quadro Q.E.G.": "QEG", "Armário": "PORTINHOLA", "Q.P.": "P", "QP1": "1", "Q": "Q", "": ""}
+    got = {r.n: r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", core(F.col("n")).alias("c")).collect()}
+    assert got == names

@@ -12,17 +12,29 @@ from pyspark.sql import types as T
 from veritab.functions import numbers
 
 
+def _bare(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).casefold()
+
+
+#: Latin letters whose folded form is one character, by rule; texts of these, ASCII and some signs need no Python.
+LATIN = [c for c in map(chr, range(0xC0, 0x250)) if len(_bare(c)) == 1]
+UNFOLDED = "".join(map(chr, range(65, 91))) + "".join(LATIN)
+FOLDED = "".join(map(_bare, UNFOLDED))
+PLAIN = "^[\\t\\n\\x0B\\f\\r\\x20-\\x7E–—‘’“”•€" + "".join(LATIN) + "]*$"
+
+
 @F.pandas_udf(T.StringType())
-def fold(x: pd.Series) -> pd.Series:
-    """NFKD without combining marks, casefolded, blanks collapsed and trimmed; null stays null."""
+def _fold_any(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else " ".join(_bare(s).split()))
 
-    def one(s: str | None) -> str | None:
-        if s is None:
-            return None
-        bare = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-        return " ".join(bare.casefold().split())
 
-    return x.map(one)
+def fold(x: Column) -> Column:
+    """NFKD without combining marks, casefolded, blanks collapsed and trimmed; null stays null.
+
+    Texts of ASCII, Latin letters and common signs are folded by built-in functions; only others go through Python.
+    """
+    plain = F.trim(F.regexp_replace(F.translate(x, UNFOLDED, FOLDED), r"\s+", " "))
+    return F.when(x.rlike(PLAIN), plain).otherwise(_fold_any(F.when(~x.rlike(PLAIN), x)))
 
 
 def folded_text(x: Column) -> Column:
@@ -46,8 +58,8 @@ MAIN = ("QE", "QEG", "QGBT", "QG")
 
 
 def core(name: Column) -> Column:
-    """Upper-case letters and digits of a board's name without its prefix; the entry and the main board by one name each."""
-    bare = F.regexp_replace(F.regexp_replace(F.upper(F.regexp_replace(name, r"(?i)^\s*quadro\s+", "")), r"\p{M}", ""), "[^0-9A-Z]", "")
+    """Upper-case letters and digits of a board's name without accents and prefix; the entry and the main board by one name each."""
+    bare = F.regexp_replace(F.upper(fold(F.regexp_replace(name, r"(?i)^\s*quadro\s+", ""))), "[^0-9A-Z]", "")
     return F.when(bare.isin(*ENTRY), "PORTINHOLA").when(bare.isin(*MAIN), "QEG").otherwise(F.regexp_replace(bare, "^QP?(?=[0-9A-Z])", ""))
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,24 +58,6 @@ def between_labels(labels: DataFrame, values: DataFrame, by: str, at: str) -> Da
     return both.withColumn("label", F.last("label", ignorenulls=True).over(w)).filter("_s = 1").select(by, at, "label", "value")
 
 
-def align(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """(key, tag, left, right) of the aligned units of two text lists per row: equal, replace, delete, insert.
-
-    A row is one pair of documents, whose units fit a task; pairs are spread over tasks.
-    """
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for k, x, y in zip(b[key], b[left], b[right], strict=True):
-                x, y = list(x if x is not None else []), list(y if y is not None else [])
-                for tag, a0, a1, b0, b1 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                    out.append((k, tag, " ".join(x[a0:a1]), " ".join(y[b0:b1])))
-            yield pd.DataFrame(out, columns=[key, "tag", left, right])
-
-    return pairs.select(key, left, right).mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, tag string, {left} string, {right} string")
-
-
 def remapped(parents: DataFrame, children: DataFrame, parent_id: str, child_parent: str, seed: str) -> tuple[DataFrame, DataFrame]:
     """A copy of a table and of its children under new ids, which follow from the old ones and ``seed``."""
     new = lambda c: F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(c).cast("string")), 256), 1, 32)

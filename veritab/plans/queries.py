@@ -571,14 +571,6 @@ def pieces_to_read_again(spark, d):
     return sinks.unread(o, cache, ["o_orderkey", "hash"]).select("o_orderkey")
 
 
-@query()
-def aligned_turns(spark, d):
-    """Words of two neighbouring turns, aligned."""
-    c = table(spark, d, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("next is not null")
-    key = F.concat_ws(":", "conv_id", "turn", "role")
-    return checks.align(c.select(key.alias("pair"), F.split("text", " ").alias("a"), F.split("next", " ").alias("b")), "pair", "a", "b")
-
-
 # read models and decisions
 
 
