@@ -104,8 +104,8 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
     src = str(tmp_path / "in")
     events.repartition(4).write.parquet(src)
-    seconds.run_once(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    totals = seconds.run_once(spark, src, str(tmp_path / "out"), str(tmp_path / "ck")).totals()
+    got = {tuple(r) for r in totals.select("user_id", "step", "day", "seconds", "beats").collect()}
     assert got == {tuple(r) for r in seconds.step_seconds(events).collect()}
     assert sum(r["n"] for r in seconds.late_counts(events).collect()) == 200
 
