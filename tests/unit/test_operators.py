@@ -203,3 +203,26 @@ def test_accented_boards(spark):
     names = {"Q.P.ÁTRIO": "ATRIO", "Q.P.ATRIO": "ATRIO", "átrio": "ATRIO", "Pavilhão": "PAVILHAO", "Quadro Q.E.G.": "QEG", "Armário": "PORTINHOLA", "Q.P.": "P", "QP1": "1", "Q": "Q", "": ""}
     got = {r.n: r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", core(F.col("n")).alias("c")).collect()}
     assert got == names
+
+
+def _grid(spark, *sheets):
+    rows = [(p, n, r, c, v) for p, n, lines in sheets for r, line in enumerate(lines, 1) for c, v in enumerate(line, 1) if v is not None]
+    return spark.createDataFrame(rows, "path string, sheet_no int, row int, col int, value string")
+
+
+def test_calculation_table(spark):
+    head = ["Destino", "Origem", "TIPO C", None, "Tipo\nF D", "Iz (A)", "1,45 x Iz", "Observações", "Fases", "Condutor", "N.º de polos", "Montagem", "Designação do cabo", "Iz (A)"]
+    sub = [None, None, "Norma [kVA]", "Total instalado", "Disjuntor"]
+    one = [["Tabela"], head, sub, [None, None, "EDIFÍCIO"], ["Q.P.1", "QEG", "3", "34,5", "Fusível", "1.200,5", "x", "nota", "Trifásico", "Alumínio", "tetrapolar", "Enterrado", "XZ1 4x1x185mm²", "9"], [], ["C1", None, None, None, "?", "", None, None, "2", "Zn", "?", "ar livre"]]
+    two = [["Origem", "Destino"], ["a", "5"], ["PISO 1"], [None, "c"], ["d"], ["5"]]
+    cells = _grid(spark, ("x", 1, [["Origem dos dados"], ["7"]]), ("x", 2, one), ("x", 3, one), ("y", 2, two), ("z", 1, [["nada", "Destino"]]))
+    got = {(r.path, r.row): r.asDict() for r in grids.calc_rows(cells).collect()}
+    assert [(k, got[k]["section"]) for k in sorted(got)] == [(("x", 5), "EDIFÍCIO"), (("x", 7), "EDIFÍCIO"), (("y", 2), None), (("y", 4), "PISO 1"), (("y", 6), "d")]
+    a = got["x", 5]
+    assert (a["sheet_no"], a["section"], a["origin"], a["destination"], a["kva"], a["protection_type"], a["iz_a"], a["iz145_a"]) == (2, "EDIFÍCIO", "QEG", "Q.P.1", 34.5, "F", 1200.5, None)
+    assert (a["phases"], a["conductor"], a["pole_type"], a["installation"], a["section_mm2"]) == (3, "Al", "MUL", "ENT", 185.0)
+    b = got["x", 7]
+    assert (b["section"], b["origin"], b["protection_type"], b["phases"], b["conductor"], b["pole_type"], b["installation"]) == ("EDIFÍCIO", None, None, None, None, None, "AR")
+    assert sorted(r.warning for r in grids.calc_warnings(cells).filter("path = 'x'").collect()) == ["Coluna não reconhecida: «Iz (A)».", "Coluna não reconhecida: «Observações»."]
+    values = {r.key: r.value for r in grids.calc_values(grids.calc_rows(cells)).filter("path = 'x'").collect()}
+    assert values == {"ele.potencia_alimentar_kva": "34.5", "ele.entrada": "Trif", "ele.quadros": "Q.P.1", "ele.cabos": "XZ1 4x1x185mm²"}

@@ -363,34 +363,63 @@ def project_reports(spark, d):
     return g.select("o_custkey", F.concat(F.lit("## "), F.col("o_custkey").cast("string"), F.lit("\n"), F.array_join(F.transform("x", lambda x: x["l"]), "\n")).alias("report"))
 
 
-# workbooks: each order is one, its cells the case o_orderkey % 5
-
-GRIDS = (
-    [(1, 1, 1, "Tabela"), (1, 3, 1, "Origem"), (1, 3, 2, "DESTINO"), (1, 3, 3, "TIPO C"), (1, 4, 3, "Total instalado"), (1, 4, 4, "Norma"), (1, 5, 1, "ENTRADA"), (1, 6, 1, "QE"), (1, 6, 2, "QP.1"), (1, 6, 3, "13,8"), (1, 7, 1, "QE"), (1, 7, 2, "QP.2"), (1, 8, 1, "EDIFÍCIO"), (1, 9, 1, "QP.1"), (1, 9, 2, "QP.3"), (1, 9, 3, "6")],
-    [(1, 1, 1, "Lista de Preços"), (1, 5, 1, "Designação"), (1, 5, 2, "Quant.")],
-    [(1, 2, 2, "DESIGNAÇÃO DOS TRABALHOS"), (1, 2, 3, "Quantidade")],
-    [(1, 45, 18, "FE_v20190222"), (1, 3, 1, "Origem"), (1, 3, 2, "Destino")],
-    [(1, 1, 1, "nada"), (2, 1, 1, "Destino"), (2, 1, 4, "origem"), (2, 2, 1, "5"), (2, 3, 1, "QP.9"), (2, 3, 4, "QE")],
-)
+# workbooks: each order is one, of the kind of its status; columns, header row and sheet follow from its key
 
 
 def _cells(spark, d):
-    given = spark.createDataFrame([(i, *c) for i, g in enumerate(GRIDS) for c in g], "c int, sheet_no int, row int, col int, value string")
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_orderkey") % len(GRIDS)).cast("int").alias("c"))
-    return o.join(F.broadcast(given), "c").drop("c")  # a few dozen rows
-
-
-@query("SELECT o_orderkey AS path, CASE o_orderkey % 5 WHEN 0 THEN 'calc_summary' WHEN 1 THEN 'lpu' WHEN 2 THEN 'mqt' WHEN 3 THEN 'ficha_eletrotecnica' ELSE 'calc_summary' END AS kind, CASE o_orderkey % 5 WHEN 3 THEN 'FE_v20190222' END AS version FROM orders")
+    """Cells of a workbook per order: a calculation table of its lines (F), a list with a title of its priority (O), a form (P).
+
+    Every workbook has another sheet with texts in the same places.
+    """
+    o = table(spark, d, "orders").withColumn("s", (1 + F.col("o_orderkey") % 2).cast("int")).withColumn("h", (1 + F.col("o_orderkey") % 4).cast("int"))
+    li = table(spark, d, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")))
+    li = li.join(o.filter("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"))
+    at = lambda j: (1 + (F.lit(j) + F.col("o_orderkey")) % 8).cast("int")
+    cell = lambda row, col, value: F.struct(F.col("s").alias("sheet_no"), row.cast("int").alias("row"), col.alias("col"), value.cast("string").alias("value"))
+    heads = ["ORIGEM", "Destino", "Total instalado (kVA)", "Tipo de proteção", "Nº de fases", "Cabo", "Norma [kVA]", "Observações"]
+    calc = [cell(F.col("h"), at(j), F.lit(x)) for j, x in enumerate(heads)] + [cell(F.col("h") + 1, at(0), F.lower("o_orderpriority"))]
+    lines = [F.concat(F.lit("Q.P.ÁTRIO "), F.col("l_suppkey")), F.concat(F.lit("Pavilhão "), F.col("l_partkey")), F.translate(F.format_string("%.1f", "l_quantity"), ".", ","), F.element_at(F.create_map(F.lit("A"), F.lit("Disjuntor"), F.lit("N"), F.lit("FUSÍVEL"), F.lit("R"), F.lit("-")), F.col("l_returnflag")), F.when(F.col("l_linestatus") == "O", "Trifásico").otherwise("1"), F.concat(F.lit("XV 5G"), F.col("l_linenumber") * 4)]
+    rows = [cell(F.col("h") + 1 + F.col("i"), at(j), v) for j, v in enumerate(lines)]
+    title = F.when(F.col("o_orderpriority").startswith("1"), "Lista de Preços").otherwise("Mapa")
+    items = [cell(F.lit(1), F.lit(1), title), cell(F.col("h") + 1, F.lit(2), F.lit("DESIGNAÇÃO dos trabalhos")), cell(F.col("h") + 1, F.lit(3), F.lit("Quant."))]
+    form = [cell(F.lit(45), F.lit(18), F.concat(F.lit("FE_v"), F.date_format("o_orderdate", "yyyyMMdd"))), cell(F.lit(2), F.lit(2), F.lit("Origem"))]
+    noise = [F.struct((3 - F.col("s")).alias("sheet_no"), F.col("h").alias("row"), at(0).alias("col"), F.lit("Origem dos dados").alias("value")), F.struct((3 - F.col("s")).alias("sheet_no"), (F.col("h") + 3).alias("row"), at(1).alias("col"), F.lit("7,5").alias("value"))]
+    told = F.concat(F.array(*noise), F.when(F.col("o_orderstatus") == "F", F.array(*calc)).when(F.col("o_orderstatus") == "O", F.array(*items)).otherwise(F.array(*form)))
+    heads = o.select(F.col("o_orderkey").alias("path"), F.explode(told).alias("x"))
+    return heads.unionByName(li.select(F.col("o_orderkey").alias("path"), F.explode(F.array(*rows)).alias("x"))).select("path", "x.*")
+
+
+@query("""SELECT o_orderkey AS path, CASE o_orderstatus WHEN 'F' THEN 'calc_summary' WHEN 'O' THEN CASE WHEN o_orderpriority LIKE '1%' THEN 'lpu' ELSE 'mqt' END ELSE 'ficha_eletrotecnica' END AS kind,
+CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, 'FE_v%Y%m%d') END AS version FROM orders""")
 def detected_kinds(spark, d):
     """What a workbook is, by its first sheet that tells."""
     return grids.detect(_cells(spark, d))
 
 
-@query("""SELECT o_orderkey AS path, e."row", section, origin, destination, kva FROM orders JOIN (VALUES (0, 6, 'ENTRADA', 'QE', 'QP.1', '13,8'), (0, 7, 'ENTRADA', 'QE', 'QP.2', NULL), (0, 9, 'EDIFÍCIO', 'QP.1', 'QP.3', '6'), (4, 3, NULL, 'QE', 'QP.9', NULL), (4, 2, NULL, NULL, '5', NULL)) AS e(c, "row", section, origin, destination, kva) ON o_orderkey % 5 = c""")
+@query("""SELECT o_orderkey AS path, CAST(1 + o_orderkey % 2 AS INTEGER) AS sheet_no, CAST(2 + o_orderkey % 4 + row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INTEGER) AS "row",
+lower(o_orderpriority) AS section, 'Q.P.ÁTRIO ' || l_suppkey AS origin, 'ATRIO' || l_suppkey AS board, 'Pavilhão ' || l_partkey AS destination, CAST(l_quantity AS DOUBLE) AS kva,
+CASE l_returnflag WHEN 'A' THEN 'D' WHEN 'N' THEN 'F' END AS protection_type, CASE WHEN l_linestatus = 'O' THEN 3 ELSE 1 END AS phases, CAST(l_linenumber * 4 AS DOUBLE) AS section_mm2
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
 def calculation_rows(spark, d):
-    """Rows of calculation tables: header by words, two header lines, columns by patterns, sections filled forward."""
-    of = lambda k: F.try_element_at(F.col("fields"), F.lit(k)).alias(k)
-    return grids.calc_rows(_cells(spark, d).filter(F.col("path") % 5 != 3)).select("path", "row", "section", of("origin"), of("destination"), of("kva"))
+    """Rows of calculation tables: sheet and header by words, columns by patterns, typed fields, sections filled forward."""
+    r = grids.calc_rows(_cells(spark, d))
+    return r.select("path", "sheet_no", "row", "section", "origin", text.core(F.col("origin")).alias("board"), "destination", "kva", "protection_type", "phases", "section_mm2")
+
+
+@query("SELECT o_orderkey AS path, 'Coluna não reconhecida: «Observações».' AS warning FROM orders WHERE o_orderstatus = 'F'")
+def calculation_warnings(spark, d):
+    """Columns of calculation tables that no pattern knows."""
+    return grids.calc_warnings(_cells(spark, d))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')
+SELECT o_orderkey AS path, 'ele.potencia_alimentar_kva' AS key, CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR) AS value FROM l WHERE i = 1
+UNION ALL SELECT o_orderkey, 'ele.entrada', CASE WHEN l_linestatus = 'O' THEN 'Trif' ELSE 'Mono' END FROM l WHERE i = 1
+UNION ALL SELECT o_orderkey, 'ele.quadros', string_agg('Q.P.ÁTRIO ' || l_suppkey, '; ' ORDER BY i) FROM (SELECT o_orderkey, l_suppkey, min(i) AS i FROM l GROUP BY ALL) GROUP BY o_orderkey
+UNION ALL SELECT o_orderkey, 'ele.cabos', string_agg('XV 5G' || (n * 4), '; ' ORDER BY i) FROM (SELECT o_orderkey, l_linenumber AS n, min(i) AS i FROM l GROUP BY ALL) GROUP BY o_orderkey""")
+def calculation_values(spark, d):
+    """What projects take from their calculation tables."""
+    return grids.calc_values(grids.calc_rows(_cells(spark, d)))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) * CASE WHEN l_returnflag = 'A' THEN 100 ELSE 1 END AS number FROM lineitem")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.numbers import ingest_number
 from veritab.functions.text import fold
+from veritab.functions.words import cable_section
 from veritab.operators.windows import first_per
 
 #: Rows that may hold a header, rows that may hold the title, and the cell of a form's version (row, column).
@@ -52,29 +53,95 @@ def field_of(folded: Column) -> Column:
     return F.coalesce(*[F.when(folded.rlike(p), F.lit(f)) for f, p in COLUMNS])
 
 
+#: Fields that hold numbers, and columns that are known but not kept.
+NUMERIC = ("kva", "voltage_v", "ib_a", "in_a", "idn_ma", "iz_a", "i2_a", "iz145_a", "length_m", "vd_section_pct", "vd_upstream_pct", "vd_total_pct", "breaking_capacity_ka")
+UNUSED = r"^norma|^socorro|^seguranca|quadros|^tipo c$|^imped|corte geral"
+FIELDS = [f for f, _ in COLUMNS]
+
+
+def typed(field: str, raw: Column) -> Column:
+    """A cell's text as its field has it: numbers, the codes of enumerations (null if it is none of them), or trimmed text."""
+    w = fold(raw)
+    begins = lambda *heads: w.rlike("^(?:" + "|".join(heads) + ")")
+    if field in NUMERIC:
+        return ingest_number(raw)
+    if field == "protection_type":
+        return F.when(begins("d"), "D").when(begins("f"), "F")
+    if field == "pole_type":
+        return F.when(begins("mon", "uni", "1"), "MON").when(begins("mul", "tri", "tetra", "bi", "3", "4"), "MUL")
+    if field == "installation":
+        code = F.upper(F.substring(w, 1, 3))
+        return F.when(code.isin("TUB", "EST", "ENT"), code).when(begins("ar"), "AR")
+    if field == "phases":
+        return F.when(begins("tri", "3"), 3).when(begins("mon", "1"), 1)
+    if field == "conductor":
+        return F.when(begins("cu"), "Cu").when(begins("al"), "Al")
+    return F.trim(raw)
+
+
+def _headed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(header, rest) of the first sheet of each workbook that has a header.
+
+    header: (path, sheet_no, col, w, text, nth of its field); rest: the cells below it. The header is the first row
+    with ORIGEM and DESTINO; a next row of two texts or more without a number is its second line and names the columns
+    where it has text.
+    """
+    c = cells.select("path", "sheet_no", "row", "col", "value").filter(F.trim("value") != "").withColumns({"w": fold(F.col("value")), "number": ingest_number(F.col("value")).isNotNull()})
+    rows = c.groupBy("path", "sheet_no", "row").agg((F.max(F.col("w").startswith("origem")) & F.max(F.col("w").startswith("destino"))).alias("head"), F.count(F.lit(1)).alias("n"), F.max("number").alias("numbers"))
+    top = rows.filter(F.col("head") & (F.col("row") <= HEADER_ROWS)).groupBy("path").agg(F.min(F.struct("sheet_no", "row")).alias("at")).select("path", "at.sheet_no", F.col("at.row").alias("top"))
+    second = rows.join(top, ["path", "sheet_no"]).filter((F.col("row") == F.col("top") + 1) & (F.col("n") >= 2) & ~F.col("numbers")).select("path", F.lit(1).alias("two"))
+    top = top.join(second, "path", "left").select("path", "sheet_no", "top", F.coalesce("two", F.lit(0)).alias("two"))
+    c = c.join(top, ["path", "sheet_no"])
+    named = c.filter(F.col("row").between(F.col("top"), F.col("top") + F.col("two"))).groupBy("path", "sheet_no", "col").agg(F.max_by(F.struct("w", "value"), "row").alias("h"))
+    named = named.select("path", "sheet_no", "col", "h.w", F.col("h.value").alias("text"), field_of(F.col("h.w")).alias("field"))
+    named = named.withColumn("nth", F.when(F.col("field").isNotNull(), F.row_number().over(Window.partitionBy("path", "field").orderBy("col"))))
+    return named, c.filter(F.col("row") > F.col("top") + F.col("two"))
+
+
 def calc_rows(cells: DataFrame) -> DataFrame:
-    """(path, row, section, fields): rows of the calculation table with the section line above them.
+    """(path, sheet_no, row, section, a column for each field, section_mm2): rows of the calculation table, typed.
 
-    The header is the first row with ORIGEM and DESTINO; a next row of two texts or more without a number is its
-    second line and names the columns where it has text. Of columns with one field the first counts. A row with one
-    text and no destination is a section line; rows without origin and destination are left out.
+    Of each workbook the first sheet with a header is read, see :func:`_headed`; of columns with one field the first
+    counts. A row with one text and no destination is a section line for the rows below it; rows without origin and
+    destination are left out. Numbers and codes that a cell does not hold are null. ``section_mm2`` is read from the
+    cable's name. Repeated cells of one place: the greatest text counts. No header: no rows.
     """
-    c = cells.filter(F.trim("value") != "").withColumns({"w": fold(F.col("value")), "number": ingest_number(F.col("value")).isNotNull()})
-    rows = c.groupBy("path", "row").agg((F.max(F.col("w").startswith("origem")) & F.max(F.col("w").startswith("destino"))).alias("head"), F.count(F.lit(1)).alias("n"), F.max("number").alias("numbers"))
-    head = rows.filter(F.col("head") & (F.col("row") <= HEADER_ROWS)).groupBy("path").agg(F.min("row").alias("top"))
-    second = rows.join(head, "path").filter((F.col("row") == F.col("top") + 1) & (F.col("n") >= 2) & ~F.col("numbers")).select("path", F.lit(1).alias("two"))
-    head = head.join(second, "path", "left").select("path", "top", F.coalesce("two", F.lit(0)).alias("two"))
-    c = c.join(head, "path")
-    named = c.filter(F.col("row").between(F.col("top"), F.col("top") + F.col("two"))).groupBy("path", "col").agg(F.max_by("w", "row").alias("w"))
-    named = first_per(named.withColumn("field", field_of(F.col("w"))).filter("field is not null"), ["path", "field"], F.col("col"))
-    data = c.filter(F.col("row") > F.col("top") + F.col("two")).join(named.select("path", "col", "field"), ["path", "col"], "left")
-    pair = F.when(F.col("field").isNotNull(), F.struct("field", F.trim("value").alias("v")))
-    r = data.groupBy("path", "row").agg(F.map_from_entries(F.collect_list(pair)).alias("fields"), F.count(F.lit(1)).alias("n"), F.max("number").alias("numbers"), F.first(F.trim("value")).alias("only"))
-    end = F.try_element_at(F.col("fields"), F.lit("destination"))
-    line = (F.col("n") == 1) & ~F.col("numbers") & end.isNull()
+    named, below = _headed(cells)
+    data = below.join(named.filter("nth = 1").select("path", "col", "field"), ["path", "col"], "left")
+    of = [F.max(F.when(F.col("field") == f, F.trim("value"))).alias(f) for f in FIELDS]
+    r = data.groupBy("path", "sheet_no", "row").agg(*of, F.count_distinct("col").alias("n"), F.max("number").alias("numbers"), F.max(F.trim("value")).alias("only"))
+    line = (F.col("n") == 1) & ~F.col("numbers") & F.col("destination").isNull()
     w = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("section", F.last(F.when(line, F.col("only")), ignorenulls=True).over(w))
-    return r.filter(~line & (end.isNotNull() | F.try_element_at(F.col("fields"), F.lit("origin")).isNotNull())).select("path", "row", "section", "fields")
+    r = r.filter(~line & (F.col("destination").isNotNull() | F.col("origin").isNotNull()))
+    return r.select("path", "sheet_no", "row", "section", *[typed(f, F.col(f)).alias(f) for f in FIELDS], cable_section(F.col("cable_raw")).alias("section_mm2"))
+
+
+def calc_warnings(cells: DataFrame) -> DataFrame:
+    """(path, warning): columns of the header that no pattern knows, or whose field an earlier column has."""
+    named, _ = _headed(cells)
+    odd = F.when(F.col("field").isNull(), ~F.col("w").rlike(UNUSED)).otherwise(F.col("nth") > 1)
+    label = F.substring(F.regexp_replace(F.trim("text"), r"\s+", " "), 1, 60)
+    return named.filter(odd).select("path", F.concat(F.lit("Coluna não reconhecida: «"), label, F.lit("».")).alias("warning"))
+
+
+def calc_values(rows: DataFrame) -> DataFrame:
+    """(path, key, value): what a project takes from the table: power and supply of the first row, the boards and cables.
+
+    A board is an origin or destination that is named as one; lists are in order of appearance.
+    """
+    first = first_per(rows, ["path"], F.col("row"))
+    phases = F.when(F.col("phases") == 3, "Trif").when(F.col("phases") == 1, "Mono")
+    of = first.select("path", F.explode(F.array(F.struct(F.lit("ele.potencia_alimentar_kva").alias("key"), F.col("kva").cast("string").alias("value")), F.struct(F.lit("ele.entrada").alias("key"), phases.alias("value")))).alias("x")).select("path", "x.*").filter("value is not null")
+
+    def listed(key: str, *names: str) -> DataFrame:
+        one = rows.select("path", "row", F.posexplode(F.array(*names)).alias("at", "v")).filter("v is not null")
+        if key == "ele.quadros":
+            one = one.filter(F.col("v").rlike(r"(?i)^q\b|^q\.|^quadro"))
+        one = one.groupBy("path", "v").agg(F.min(F.struct("row", "at")).alias("o")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("l"))
+        return one.select("path", F.lit(key).alias("key"), F.array_join(F.transform("l", lambda x: x["v"]), "; ").alias("value"))
+
+    return of.unionByName(listed("ele.quadros", "origin", "destination")).unionByName(listed("ele.cabos", "cable_raw"))
 
 
 def scaled(values: DataFrame, scales: DataFrame) -> DataFrame:
