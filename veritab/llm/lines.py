@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm.common import saved, table
+from veritab.llm.common import dropped, saved, table
 
 #: One line pair in STEP ends a chunk; a chunk that may go has at least LEAST lines.
 STEP, LEAST = 3, 2
@@ -18,24 +18,46 @@ STEP, LEAST = 3, 2
 SALTS, PART = 8, 500
 
 
-def chunks_of(text: str | None) -> list[tuple[int, bytes]]:
-    """(lines, bytes) of the chunks of a text; the bytes joined are the text's UTF-8.
+def lines_of(text: str | None) -> list[bytes]:
+    """Lines of a text, each with its newline; joined they are the text's UTF-8."""
+    lines = (text or "").encode().split(b"\n")
+    return [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+
 
-    Lines end after their newline. A chunk ends after line i if the hash of the hashes of lines i - 1 and i is 0
-    modulo STEP. A boundary depends on these two lines alone, so the chunks of a passage are found again wherever it
-    stands, but for those at its ends.
+def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, line behind the last) of the chunks of a text.
+
+    A chunk ends after line i if the hash of the hashes of lines i - 1 and i is 0 modulo STEP. A boundary depends on
+    these two lines alone, so the chunks of a passage are found again wherever it stands, but for those at its ends.
     """
-    lines = (text or "").encode().split(b"\n")
-    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
     out, start, before = [], 0, 0
     for i, line in enumerate(lines):
         h = xxhash.xxh64_intdigest(line.rstrip(b"\n"))
         if i and xxhash.xxh64_intdigest(h.to_bytes(8, "little") + before.to_bytes(8, "little")) % STEP == 0:
-            out.append((i - start + 1, b"".join(lines[start : i + 1])))
+            out.append((start, i + 1))
             start = i + 1
         before = h
-    if start < len(lines):
-        out.append((len(lines) - start, b"".join(lines[start:])))
+    return out + ([(start, len(lines))] if start < len(lines) else [])
+
+
+def _covered(spans: list[dict] | None) -> set[int]:
+    return {i for s in spans or () for i in range(s["a"], s["b"])}
+
+
+def pieces(lines: list[bytes], gone: list[dict] | None) -> list[tuple[int, int, bytes]]:
+    """(first line, line behind the last, bytes) of what may go.
+
+    Without ``gone`` (null) these are the chunks of LEAST lines or more that hold text. With the spans that went as chunks, they are
+    the pairs of neighbouring lines that are not blank (blank ones stand between them at most), of which one line is
+    still there: the ends of repeated passages, which no chunk holds whole, and passages shorter than a chunk.
+    """
+    if gone is None:
+        return [(a, b, b"".join(lines[a:b])) for a, b in chunks_of(lines) if b - a >= LEAST and any(x.strip() for x in lines[a:b])]
+    out, went = [], _covered(gone)
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    for i, j in zip(full, full[1:], strict=False):
+        if i not in went or j not in went:
+            out.append((i, j + 1, lines[i].rstrip(b"\n") + b"\n" + lines[j].rstrip(b"\n")))
     return out
 
 
@@ -44,13 +66,17 @@ def _batch(b: pa.RecordBatch, rows: list[tuple], kinds: dict[str, pa.DataType])
     return pa.RecordBatch.from_arrays([pa.array(c, t or b.column(0).type) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
+def _unpacked(z: pa.Scalar) -> list[bytes]:
+    return lines_of(zstandard.decompress(z.as_py()).decode())
+
+
 def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, row, text) -> (id, row, idx, h): multi-line chunks by hash."""
+    """(id, row, z, gone) -> (id, row, idx, h): pieces by hash, at their first lines."""
     for b in batches:
         rows = []
-        for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        for i, r, z, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
             if i is not None:
-                rows += [(i, r, k, xxhash.xxh64_intdigest(c) - 2**63) for k, (n, c) in enumerate(chunks_of(t.as_py())) if n >= LEAST]
+                rows += [(i, r, a, xxhash.xxh64_intdigest(c) - 2**63) for a, _, c in pieces(_unpacked(z), gone)]
         yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "h": pa.int64()})
 
 
@@ -60,57 +86,74 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, row, z, places) -> (id, row, idx, h, parts, bytes) of the chunks named by places."""
+    """(id, row, z, gone, places) -> (id, row, idx, stop, h, parts, bytes) of the pieces named by places."""
     for b in batches:
         rows = []
-        for i, r, z, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-            own = chunks_of(zstandard.decompress(z.as_py()).decode())
-            rows += [(i, r, p["idx"], p["h"], p["parts"], own[p["idx"]][1]) for p in places]
-        yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "h": pa.int64(), "parts": pa.int32(), "bytes": pa.binary()})
+        for i, r, z, gone, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            own = {a: (e, c) for a, e, c in pieces(_unpacked(z), gone)}
+            rows += [(i, r, p["idx"], own[p["idx"]][0], p["h"], p["parts"], own[p["idx"]][1]) for p in places]
+        yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "stop": pa.int32(), "h": pa.int64(), "parts": pa.int32(), "bytes": pa.binary()})
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, z, gone) -> (id, kept, n_lines, n_removed, n_chunks)."""
+    """(id, z, gone, ends) -> (id, kept, n_lines, n_removed, n_chunks, n_pairs)."""
     for b in batches:
         rows = []
-        for z, gone in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-            own, out = chunks_of(zstandard.decompress(z.as_py()).decode()), set(gone or ())
-            rows.append((b"".join(c for k, (_, c) in enumerate(own) if k not in out).decode(), sum(n for n, _ in own), sum(own[k][0] for k in out), len(out)))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["id", "kept", "n_lines", "n_removed", "n_chunks"])
+        for z, gone, ends in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            own, out = _unpacked(z), _covered(gone) | _covered(ends)
+            rows.append((b"".join(x for k, x in enumerate(own) if k not in out).decode(), len(own), len(out), len(gone or ()), len(ends or ())))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["id", "kept", "n_lines", "n_removed", "n_chunks", "n_pairs"])
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kept, n_lines, n_removed, n_chunks): texts without multi-line chunks that stand earlier.
-
-    Of chunks with equal bytes the one with the smallest (id, text's hash, place) stays. Chunks are found by hash;
-    those whose hash recurs are then fetched and compared byte by byte with the first of that hash. The places of a
-    frequent chunk are dealt over several parts, each with its own copy of the first.
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(id, row, z, gone) -> (id, row, spans) of the pieces whose bytes stand at an earlier place, written.
 
-    Nulls: a null text is empty; rows with a null id are kept whole and compared with nothing. Repeated rows with
-    one id and text hold the same places, so neither removes the other; rows with one id and different texts are
-    documents of their own. Ids of any ordered type. An empty table gives no rows.
+    Pieces are found by hash; those whose hash recurs are then fetched and compared byte by byte with the first of that
+    hash. The places of a frequent piece are dealt over several parts, each with its own copy of the first.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
     place = F.struct("id", "row", "idx")
-    shape = saved(slim.mapInArrow(_shape, f"id {kind}, row long, idx int, h long"), "chunks")
+    shape = saved(rows.mapInArrow(_shape, f"id {kind}, row long, idx int, h long"), "pieces")
     many = shape.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l")
     many = many.select("h", F.least(F.lit(256), F.ceil(F.col("c") / PART)).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     places = shape.withColumn("salt", F.pmod(F.xxhash64("id", "idx"), F.lit(SALTS)).cast("int")).join(many, ["h", "salt"])
     places = places.groupBy("id", "row").agg(F.collect_set(F.struct("idx", "h", "parts")).alias("places"))
-    packed = slim.mapInArrow(_pack, f"id {kind}, row long, z binary")
-    got = packed.join(places, ["id", "row"]).select("id", "row", "z", "places").mapInArrow(_fetch, f"id {kind}, row long, idx int, h long, parts int, bytes binary")
-    got = saved(got.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.col("parts")).cast("int")), "repeated-chunks")
+    got = rows.join(places, ["id", "row"]).select("id", "row", "z", "gone", "places").mapInArrow(_fetch, f"id {kind}, row long, idx int, stop int, h long, parts int, bytes binary")
+    got = saved(got.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.col("parts")).cast("int")), "repeated-pieces")
     low = got.groupBy("h").agg(F.min(place).alias("f"), F.max("parts").alias("parts"))
-    first = got.join(low.select("h", "f.*"), ["h", "id", "row", "idx"], "left_semi").select("h", F.col("bytes").alias("first"), place.alias("f"), "parts").dropDuplicates(["h"])
+    first = got.join(low.select("h", "f.*"), ["h", "id", "row", "idx"], "left_semi").select("h", F.col("bytes").alias("first"), place.alias("f"), F.col("stop").alias("f_stop"), "parts").dropDuplicates(["h"])
     first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    gone = got.join(first, ["h", "part"]).filter((F.col("bytes") == F.col("first")) & (place > F.col("f")))
-    gone = gone.groupBy("id", "row").agg(F.collect_set("idx").alias("gone"))
-    out = packed.join(gone, ["id", "row"], "left").select("id", "z", "gone").mapInArrow(_keep, f"id {kind}, kept string, n_lines long, n_removed long, n_chunks long")
+    inside = (F.col("id") == F.col("f.id")) & (F.col("row") == F.col("f.row")) & (F.col("idx") < F.col("f_stop"))  # of the first itself
+    gone = got.join(first, ["h", "part"]).filter((F.col("bytes") == F.col("first")) & (place > F.col("f")) & ~inside)
+    out = saved(gone.groupBy("id", "row").agg(F.collect_set(F.struct(F.col("idx").alias("a"), F.col("stop").alias("b"))).alias("spans")), "gone")
+    dropped(shape, got)
+    return out
+
+
+def drop_repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, kept, n_lines, n_removed, n_chunks, n_pairs): texts without multi-line passages that stand earlier.
+
+    Of chunks with equal bytes the one with the smallest (id, text's hash, place) stays, see :func:`_repeated`. What
+    repeated passages keep then, the lines at their ends and passages shorter than a chunk, goes by pairs of lines that
+    stand earlier: so of a repeated passage of two lines or more with text nothing stays, and a line alone never goes.
+
+    Nulls: a null text is empty; rows with a null id are kept whole and compared with nothing. Repeated rows with
+    one id and text hold the same places, so neither removes the other; rows with one id and different texts are
+    documents of their own. Ids of any ordered type. An empty table gives no rows. Blank lines go only between lines
+    that go together.
+    """
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    kind = slim.schema["id"].dataType.simpleString()
+    none = F.lit(None).cast("array<struct<a:int,b:int>>")
+    packed = slim.mapInArrow(_pack, f"id {kind}, row long, z binary")
+    chunks = _repeated(packed.withColumn("gone", none)).withColumnRenamed("spans", "gone")
+    rows = packed.join(chunks, ["id", "row"], "left").select("id", "row", "z", F.coalesce("gone", F.array().cast("array<struct<a:int,b:int>>")).alias("gone"))
+    ends = _repeated(rows).withColumnRenamed("spans", "ends")
+    out = rows.join(ends, ["id", "row"], "left").select("id", "z", "gone", "ends").mapInArrow(_keep, f"id {kind}, kept string, n_lines long, n_removed long, n_chunks long, n_pairs long")
     return out.withColumnRenamed("id", id_col)
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return out.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_chunks", "n_pairs", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
