@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veritab.operators import draft, order
+from veritab.operators import draft, order, sequences
 from veritab.plans.registry import add, query
 from veritab.sources.stage import saved, shared_dir
 from veritab.sources.tables import table
@@ -114,3 +114,69 @@ def ledger_seconds(spark, d):
     ledger = seconds.run_once(spark, f"{where}/in", f"{where}/out", f"{where}/state")
     ledger.add(seconds.step_seconds(events), 0)
     return ledger.totals()
+
+
+# decisions in their order: a user's events are decisions on one thing each
+
+ACTIONS = {
+    "issue": ["ignore", "reopen", "fix", "ignore", "reopen"],
+    "revision": ["read", "confirm", "resolve", "read", "confirm"],
+    "document": ["approve_section", "approve_section", "approve", "edit", "approve_section"],
+    "block": ["require", "review", "approved", "require", "rejected"],
+}
+ARGS = {
+    "issue": ("CASE WHEN value > 30 THEN concat('note ', event_id) END", "CASE WHEN value > 30 THEN 'note ' || event_id END"),
+    "revision": ("CASE WHEN value > 60 THEN 'conflict' END", "CASE WHEN value > 60 THEN 'conflict' END"),
+    "document": ("concat('p', event_id % 3)", "'p' || (event_id % 3)"),
+    "block": ("CASE WHEN value > 40 THEN 'approved' ELSE 'rejected' END", "CASE WHEN value > 40 THEN 'approved' ELSE 'rejected' END"),
+}
+
+
+def _decisions(spark, d, name):
+    kind = F.array_position(F.array(*[F.lit(x) for x in TYPES]), F.col("event_type")).cast("int")
+    return table(spark, d, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), F.element_at(F.array(*[F.lit(a) for a in ACTIONS[name]]), kind).alias("action"),
+        F.expr(ARGS[name][0]).alias("arg"), (F.floor(F.col("event_id") / 3) % sequences.SECTIONS).cast("int").alias("section"),
+    )
+
+
+def _walked(name: str, start: str, columns: str, why: str, step: str, status: str, detail: str) -> str:
+    """SQL that walks a user's events one by one: ``columns`` of the state ``s``, the refusal, the next state, what is shown."""
+    return f"""WITH RECURSIVE e AS (SELECT 'u' || user_id AS key, event_id AS seq, {ACTIONS[name]!r}[list_position({TYPES!r}, event_type)] AS action, {ARGS[name][1]} AS arg, CAST((event_id // 3) % {sequences.SECTIONS} AS INTEGER) + 1 AS section,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS refused, {start} FROM (SELECT DISTINCT key FROM e)
+  UNION ALL
+  SELECT key, n, seq, refused, {step} FROM (SELECT *, {why} AS refused FROM (SELECT w.key, e.n, e.seq, {", ".join("w." + c for c in columns.split(", "))}, e.action, e.arg, e.section FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)))
+SELECT key, seq, refused, {status} AS status, {detail} AS detail FROM w WHERE n > 0"""
+
+
+def _history(name: str, machine, sql: str) -> None:
+    def run(spark, d):
+        return sequences.decided_in_order(_decisions(spark, d, name), machine)
+
+    run.__name__, run.__doc__ = f"{name}_history", f"Every decision on a user's {name}, in order: taken or refused, and the state after it."
+    add(run, sql)
+
+
+_history("issue", sequences.issue, _walked(
+    "issue", "'open' AS s, CAST(NULL AS VARCHAR) AS note", "s, note",
+    "CASE action WHEN 'ignore' THEN CASE WHEN s <> 'open' THEN 'not open' WHEN arg IS NULL THEN 'no note' END WHEN 'fix' THEN CASE WHEN s <> 'open' THEN 'not open' END ELSE CASE WHEN s = 'open' THEN 'open' END END",
+    "CASE WHEN refused IS NOT NULL THEN s WHEN action = 'ignore' THEN 'ignored' WHEN action = 'fix' THEN 'fixed' ELSE 'open' END, CASE WHEN refused IS NOT NULL THEN note WHEN action = 'ignore' THEN arg END", "s", "note"))
+_history("revision", sequences.revision, _walked(
+    "revision", "'none' AS s, 0 AS r, 0 AS o, 0 AS c, 0 AS p", "s, r, o, c, p",
+    "CASE action WHEN 'resolve' THEN CASE WHEN s <> 'draft' OR o = 0 THEN 'no conflict' END WHEN 'confirm' THEN CASE WHEN s <> 'draft' THEN 'no draft' WHEN o > 0 THEN 'open conflicts' END END",
+    "CASE WHEN action = 'read' THEN 'draft' WHEN action = 'confirm' AND refused IS NULL THEN 'confirmed' ELSE s END, CASE WHEN action = 'read' AND s <> 'draft' THEN r + 1 ELSE r END, "
+    "CASE WHEN action = 'read' THEN CASE WHEN s = 'draft' THEN o ELSE 0 END + CASE WHEN arg = 'conflict' THEN 1 ELSE 0 END WHEN action = 'resolve' AND refused IS NULL THEN o - 1 ELSE o END, "
+    "CASE WHEN action = 'confirm' AND refused IS NULL THEN r ELSE c END, CASE WHEN action = 'confirm' AND refused IS NULL THEN c ELSE p END", "s", "r || '/' || c || '/' || p || '/' || o"))
+_history("document", sequences.document, _walked(
+    "document", "'draft' AS s, 1 AS r, CAST([NULL, NULL, NULL] AS VARCHAR[]) AS b, [false, false, false] AS d", "s, r, b, d",
+    "CASE action WHEN 'approve_section' THEN CASE WHEN b[section] = arg THEN 'own edit' WHEN d[section] THEN 'approved' END WHEN 'approve' THEN CASE WHEN s = 'approved' THEN 'approved' WHEN list_contains(d, false) THEN 'sections open' END END",
+    "CASE WHEN action = 'edit' THEN 'draft' WHEN action = 'approve' AND refused IS NULL THEN 'approved' ELSE s END, CASE WHEN action = 'edit' AND s = 'approved' THEN r + 1 ELSE r END, "
+    "CASE WHEN action = 'edit' THEN list_transform([1, 2, 3], lambda i: CASE WHEN i = section THEN arg ELSE b[i] END) ELSE b END, "
+    "CASE WHEN action = 'edit' OR (action = 'approve_section' AND refused IS NULL) THEN list_transform([1, 2, 3], lambda i: CASE WHEN i = section THEN action <> 'edit' ELSE d[i] END) ELSE d END", "s", "r || '/' || len(list_filter(d, lambda x: x))"))
+_history("block", sequences.block, _walked(
+    "block", "'proposed' AS s, 0 AS o, 0 AS a, 0 AS r", "s, o, a, r",
+    "CASE action WHEN 'review' THEN CASE WHEN o = 0 THEN 'nothing open' END WHEN 'require' THEN NULL ELSE CASE WHEN s = action THEN action END END",
+    "CASE WHEN refused IS NULL AND action IN ('approved', 'rejected') THEN action ELSE s END, CASE WHEN refused IS NOT NULL THEN o WHEN action = 'require' THEN CASE WHEN s = 'proposed' THEN o + 1 ELSE o END WHEN action = 'review' THEN o - 1 ELSE 0 END, "
+    "a + CASE WHEN refused IS NOT NULL THEN 0 WHEN action = 'approved' THEN o WHEN (action = 'require' AND s = 'approved') OR (action = 'review' AND arg = 'approved') THEN 1 ELSE 0 END, "
+    "r + CASE WHEN refused IS NOT NULL THEN 0 WHEN action = 'rejected' THEN o WHEN (action = 'require' AND s = 'rejected') OR (action = 'review' AND arg = 'rejected') THEN 1 ELSE 0 END", "s", "o || '/' || a || '/' || r"))

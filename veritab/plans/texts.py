@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veritab.functions import privacy, text
-from veritab.operators import blocks, known
+from veritab.operators import blocks, known, pseudonyms
 from veritab.plans.registry import query
+from veritab.sources.stage import dropped, saved, shared_dir
 from veritab.sources.tables import table
 
 
@@ -54,3 +57,32 @@ def personal_places(spark, d):
     """Openings, then the driver's kinds of personal data where no opening stands. No SQL: tested against a search for
     all values at all places."""
     return known.personal_spans(table(spark, d, "documents"), "doc_id", "text", _openings(spark, d), privacy.PATTERNS)
+
+
+def _two_runs(spark, d):
+    """A map after a run over the English documents and a run over all; the second one's texts; what is left in them."""
+    none = spark.createDataFrame([], "kind string, value string")
+    people = pseudonyms.PseudonymMap(spark, f"{shared_dir(spark)}/pseudonyms-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    shown = lambda kind, number: F.concat(F.lit("["), kind, F.lit(" "), number.cast("string"), F.lit("]"))
+    for part in (docs.filter("lang = 'en'"), docs):
+        found = saved(known.personal_spans(part, "doc_id", "text", none, privacy.PATTERNS).select("doc_id", "start", "stop", "kind", F.lower("said").alias("key")), "found")
+        name, numbers = people.extended(found)
+        texts = saved(pseudonyms.replaced(part, "doc_id", "text", found, numbers, shown), "replaced")
+        left = people.swap(name, known.personal_spans(texts, "doc_id", "text", none, privacy.PATTERNS))
+        dropped(found)
+    return people, texts, left
+
+
+@query("WITH f AS (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS kind, lower(unnest(regexp_extract_all(text, '{p}'))) AS key FROM documents" for k, p in privacy.PATTERNS.items()) + """),
+k AS (SELECT kind, key, CASE WHEN bool_or(coalesce(lang, '') = 'en') THEN 1 ELSE 2 END AS run FROM f GROUP BY kind, key)
+SELECT kind, key, row_number() OVER (PARTITION BY kind ORDER BY run, key) AS number, run FROM k""")
+def lasting_pseudonyms(spark, d):
+    """Numbers of personal data after two runs over a growing table: the first run's numbers stay."""
+    return _two_runs(spark, d)[0].current()
+
+
+@query()
+def pseudonymised_documents(spark, d):
+    """Texts of all documents with numbers in place of personal data; tested against a replacement one by one."""
+    return _two_runs(spark, d)[1]
