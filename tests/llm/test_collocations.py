@@ -72,11 +72,11 @@ def test_long_texts_are_cut_at_ends_of_pieces(monkeypatch):
     for b in got:
         for r in b.to_pylist():
             if r["seq"] is None:
-                names[r["block"], r["lid"]] = r["word"]
+                names[r["uid"]] = r["word"]
     for b in got:
         for r in b.to_pylist():
             if r["seq"] is not None:
-                own = [names.get((r["block"], int(i)), ".") for i in __import__("numpy").frombuffer(zstandard.decompress(r["seq"]), "int32")]
+                own = [names.get((r["block"] << collocations.LID) + int(i), ".") for i in __import__("numpy").frombuffer(zstandard.decompress(r["seq"]), "int32")]
                 pieces += [p.split() for p in " ".join(own).split(".") if p.split()]
     assert pieces == [p.split() for p in re.split("[.,]", text) if p.split()]
 

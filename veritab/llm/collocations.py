@@ -15,11 +15,13 @@ from veritab.llm.common import dropped, saved, table
 
 #: Bytes of text that a task reads into one block.
 BLOCK = 16 << 20
+#: A name in a block is its block's number and its own, of LID bits; a task numbers its blocks by BLOCKS bits.
+LID, BLOCKS = 28, 14
 #: Parts over which the phrases of a language are dealt before the best of each part meet.
 PARTS = 32
 #: A-Z are lowered, tabs are spaces, and whatever ends a piece is a line end.
 FLAT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
-_BLOCK = {"block": pa.int64(), "lang": pa.string(), "seq": pa.binary(), "lid": pa.int32()}
+_BLOCK = {"block": pa.int64(), "lang": pa.string(), "seq": pa.binary(), "uid": pa.int64()}
 _WORDS = pa.schema(_BLOCK | {"word": pa.string(), "n": pa.int64()})
 _PAIRS = pa.schema(_BLOCK | {"first": pa.int64(), "rest": pa.int64(), "n": pa.int64()})
 
@@ -41,9 +43,11 @@ def _packed(seq: np.ndarray) -> bytes:
 
 def _rows(shape: pa.Schema, block: int, lang: str, seq: np.ndarray, lids: np.ndarray, *rest: pa.Array) -> Iterator[pa.RecordBatch]:
     """The row that holds a block's sequence, then its dictionary."""
-    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, lang, _packed(seq)), shape.types[:3], strict=True)] + [pa.nulls(1, t) for t in shape.types[3:]], schema=shape)
     n = len(lids)
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([lang] * n, pa.string()), pa.nulls(n, pa.binary()), pa.array(lids, pa.int32()), *rest], schema=shape)
+    if n and int(lids[-1]) >= 1 << LID:
+        raise OverflowError(f"a block of more than {1 << LID} names")
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block, lang, _packed(seq)), shape.types[:3], strict=True)] + [pa.nulls(1, t) for t in shape.types[3:]], schema=shape)
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([lang] * n if shape is _WORDS else [None] * n, pa.string()), pa.nulls(n, pa.binary()), pa.array((block << LID) + lids.astype(np.int64)), *rest], schema=shape)
 
 
 def _stretches(flat: bytes) -> Iterator[bytes]:
@@ -58,7 +62,7 @@ def _stretches(flat: bytes) -> Iterator[bytes]:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> blocks of numbered words, one for each language of some BLOCK bytes of text."""
-    number, size, blocks = TaskContext.get().partitionId() << 32, 0, {}
+    number, size, blocks = TaskContext.get().partitionId() << BLOCKS, 0, {}
 
     def emptied() -> Iterator[pa.RecordBatch]:
         nonlocal number, size
@@ -66,6 +70,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seq, words = np.concatenate(seqs), [w.decode() for w in list(names)[2:]]
             yield from _rows(_WORDS, number, lang, seq, np.arange(2, len(names)), pa.array(words, pa.string()), pa.array(np.bincount(seq, minlength=len(names))[2:], pa.int64()))
             number += 1
+            if not number % (1 << BLOCKS):
+                raise OverflowError(f"more than {1 << BLOCKS} blocks in a task")
         size = 0
         blocks.clear()
 
@@ -92,7 +98,7 @@ def _paired(last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         out = []
         for row in block.to_pylist():
             seq = np.frombuffer(zstandard.decompress(row["seq"]), np.int32)
-            lids = names.column("lid").to_numpy()
+            lids = names.column("uid").to_numpy() & ((1 << LID) - 1)
             ids = np.full(max(int(seq.max(initial=0)), int(lids.max(initial=0))) + 1, -1)
             ids[lids] = names.column("id").to_numpy()
             good = ids[seq] >= 0
@@ -108,36 +114,47 @@ def _paired(last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return pairs
 
 
+def _named(own: DataFrame, key: list[str], least: int) -> DataFrame:
+    """(uid, key, f, id) of names that occur ``least`` times over all blocks; ``id`` is the least uid of a name.
+
+    One exchange both counts a name and hands its global id to each block that has it: a name has one row a block.
+    """
+    w = Window.partitionBy(*key)
+    out = own.withColumns({"f": F.sum("n").over(w), "id": F.min("uid").over(w)}).drop("n")
+    return saved(out.filter(F.col("f") >= least), "names")
+
+
 def _levels(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n), and for each length (lang, id, first, rest, phrase, word, f, pre, suf) of the frequent phrases.
 
     ``first`` and ``rest`` name the phrase without its last and without its first word; ``pre[i]`` is how often its
     first i + 1 words occur, ``suf[i]`` how often what follows them does.
     """
-    rows = saved(docs.mapInArrow(_words, "block long, lang string, seq binary, lid int, word string, n long"), "word-blocks")
+    rows = saved(docs.mapInArrow(_words, "block long, lang string, seq binary, uid long, word string, n long"), "word-blocks")
     own = rows.filter("seq is null")
     totals = saved(own.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
-    known = own.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     none = F.lit(None).cast("long")
     counts = F.array().cast("array<long>")
-    level = saved(known.select("lang", F.monotonically_increasing_id().alias("id"), none.alias("first"), none.alias("rest"), F.col("word").alias("phrase"), "word", "f", counts.alias("pre"), counts.alias("suf")), "phrases")
-    out, key = [level], ["lang", "word"]
+    names = _named(own.select("uid", "lang", "word", "n"), ["lang", "word"], least)
+    level = saved(names.filter("uid = id").select("lang", "id", none.alias("first"), none.alias("rest"), F.col("word").alias("phrase"), "word", "f", counts.alias("pre"), counts.alias("suf")), "phrases")
+    out = [level]
     for k in range(2, longest + 1):
-        names = own.join(level.select(*key, "id"), key).select(F.col("block").alias("home"), "lid", "id")
         seqs = rows.filter("seq is not null").select("block", "lang", "seq")
-        pairs = seqs.groupBy("block").cogroup(names.groupBy("home")).applyInArrow(_paired(k == longest), "block long, lang string, seq binary, lid int, first long, rest long, n long")
-        pairs = saved(pairs, "pair-blocks")
-        dropped(rows)
-        rows, own, key = pairs, pairs.filter("seq is null"), ["first", "rest"]
-        known = own.groupBy("lang", "first", "rest").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        known = saved(known.withColumn("id", F.monotonically_increasing_id()), "pair-names")
-        a = level.select(F.col("id").alias("first"), F.col("phrase").alias("p"), F.concat("pre", F.array("f")).alias("pre"))
+        mine = names.select(F.shiftright("uid", LID).alias("home"), "uid", "id")
+        pairs = seqs.groupBy("block").cogroup(mine.groupBy("home")).applyInArrow(_paired(k == longest), "block long, lang string, seq binary, uid long, first long, rest long, n long")
+        if k < longest:
+            before, rows = [rows, names], saved(pairs, "pair-blocks")
+            names = _named(rows.filter("seq is null").select("uid", "first", "rest", "n"), ["first", "rest"], least)
+            dropped(*before)
+            known = names.filter("uid = id").select("id", "first", "rest", "f")
+        else:  # nobody needs the last names in their places
+            known = pairs.filter("seq is null").groupBy("first", "rest").agg(F.sum("n").alias("f"), F.min("uid").alias("id")).filter(F.col("f") >= least)
+        a = level.select("lang", F.col("id").alias("first"), F.col("phrase").alias("p"), F.concat("pre", F.array("f")).alias("pre"))
         z = level.select(F.col("id").alias("rest"), "word", F.concat(F.array("f"), "suf").alias("suf"))
         met = known.join(a, "first").join(z, "rest")
         level = saved(met.select("lang", "id", "first", "rest", F.concat_ws(" ", "p", "word").alias("phrase"), "word", "f", "pre", "suf"), "phrases")
-        dropped(known)
         out.append(level)
-    dropped(rows)
+    dropped(rows, names)
     return totals, out
 
 
