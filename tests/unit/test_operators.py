@@ -226,3 +226,21 @@ def test_calculation_table(spark):
     assert sorted(r.warning for r in grids.calc_warnings(cells).filter("path = 'x'").collect()) == ["Coluna não reconhecida: «Iz (A)».", "Coluna não reconhecida: «Observações»."]
     values = {r.key: r.value for r in grids.calc_values(grids.calc_rows(cells)).filter("path = 'x'").collect()}
     assert values == {"ele.potencia_alimentar_kva": "34.5", "ele.entrada": "Trif", "ele.quadros": "Q.P.1", "ele.cabos": "XZ1 4x1x185mm²"}
+
+
+def test_places_of_many_hits_take_linear_time(spark):
+    import time
+
+    from veritab.functions import privacy, spans
+
+    line = "mail a.b@c.pt, 912345678 and {{v:x}}; "
+    for n in (0, 1, 255, 256, 257, 700):
+        df = spark.createDataFrame([(line * n,)], "t string")
+        hits = df.select(spans.found(F.col("t"), r"[a-z.]+@[a-z.]+").alias("h")).first()["h"]
+        assert [(h.start, h.stop) for h in hits] == [(5 + i * len(line), 13 + i * len(line)) for i in range(n)]
+        assert df.select(spans.blanked(F.col("t"), r"\{\{[a-z:]+\}\}").alias("b")).first()["b"] == line.replace("{{v:x}}", " " * 7) * n
+        assert df.select(privacy.masked(F.col("t")).alias("m")).first()["m"] == line.replace("a.b@c.pt", privacy.MARK).replace("912345678", privacy.MARK) * n
+    big = spark.createDataFrame([("x",)], "t string").withColumn("t", F.repeat(F.lit(line), 50_000))
+    began = time.time()
+    assert big.select(F.size(spans.found(F.col("t"), r"[a-z.]+@[a-z.]+")).alias("n"), F.length(privacy.masked(F.col("t"))).alias("m"), F.length(spans.blanked(F.col("t"), r"\{\{[a-z:]+\}\}")).alias("b")).first()["n"] == 50_000
+    assert time.time() - began < 20

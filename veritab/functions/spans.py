@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,23 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+#: Numbers whose running sums are taken at a time.
+RUN = 256
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array of whole numbers: in stretches of RUN, then from stretch to stretch, so that no array
+    grows by one element a number."""
+
+    def sums(z: Column) -> Column:
+        add = lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(z) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.aggregate(F.slice(z, i + 1, RUN), F.array().cast("array<int>"), add))
+        before = let(parts, lambda p: F.aggregate(F.transform(p, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0))), F.array(F.lit(0)), add))
+        return F.flatten(F.zip_with(parts, let(before, lambda b: F.slice(b, 1, F.size(parts))), lambda x, o: F.transform(x, lambda y: y + o)))
+
+    return let(numbers, sums)
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """Non-overlapping matches from left to right: (start, stop, text of ``group``). Null text: none.
 
@@ -22,8 +41,8 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     def place(hits: Column) -> Column:
         said = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
         gaps = F.split(text, pattern, -1)
-        sizes = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-        ends = let(sizes, lambda z: F.aggregate(z, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x["g"] + x["h"])))
+        sizes = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.length(g) + F.length(h))
+        ends = running(sizes)
         spans = let(ends, lambda e: F.transform(hits, lambda h, i: F.struct((F.get(e, i) - F.length(h)).alias("start"), F.get(e, i).alias("stop"))))
         return F.zip_with(spans, said, lambda s, t: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), t.alias("text"))).cast(SPAN)
 
@@ -43,20 +62,20 @@ def in_turn(*spans: Column) -> Column:
     return F.sort_array(kept)
 
 
-def replaced(text: Column, spans: Column, by) -> Column:
-    """``text`` with its spans, sorted by start, replaced by ``by(span)``; one that begins inside the last one stays out."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        go = F.struct(F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), by(s)).alias("out"), s["stop"].alias("at"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(go)
-
-    return let(F.aggregate(spans, start, step), lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+def replaced(text: Column, pattern: str, by) -> Column:
+    """``text`` with each match of a pattern replaced by ``by(match)``: what lies between is joined with what comes instead."""
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.concat(gap, F.coalesce(F.when(hit.isNotNull(), by(hit)), F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
 
 
 def blanked(text: Column, pattern: str) -> Column:
     """Every match as blanks of the same length, so that places stay what they were."""
-    return let(found(text, pattern), lambda s: replaced(text, s, lambda x: F.repeat(F.lit(" "), x["stop"] - x["start"])))
+    return replaced(text, pattern, lambda hit: F.repeat(F.lit(" "), F.length(hit)))
+
+
+def either(patterns: list[str]) -> str:
+    """One pattern that finds what any of them does, from left to right; where two begin at one place, the first of them."""
+    return "|".join(re.sub(r"^\(\?([a-zA-Z]+)\)(.*)$", r"(?\1:\2)", p, flags=re.S) if p.startswith("(?") and re.match(r"^\(\?[a-zA-Z]+\)", p) else f"(?:{p})" for p in patterns)
 
 
 def snippet(text: Column, start: Column, stop: Column, around: int) -> Column:

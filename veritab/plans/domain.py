@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veritab.functions import cables, citations, privacy, text
+from veritab.functions import cables, citations, privacy, spans, text
 from veritab.operators import checks, decisions, links, rules, summaries, windows
 from veritab.plans.cases import literal
 from veritab.plans.logic import condition
@@ -207,7 +207,7 @@ def anonymised_mail(spark, d):
     numbered = windows.numbered(each.groupBy(F.lower("real").alias("v")).agg(F.min("doc_id").alias("first")), F.floor(F.col("first") / 1000), "n", F.col("first"), F.col("v")).withColumn("n", F.col("n").cast("string"))
     pairs = each.withColumn("v", F.lower("real")).join(numbered, "v").select("doc_id", "real", F.concat(F.lit("pessoa"), F.lpad("n", F.greatest(F.lit(3), F.length("n")), F.lit("0")), F.lit("@example.com")).alias("said"))
     maps = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("real", "said"))).alias("m"))
-    out = hits.join(maps, "doc_id").withColumn("new", privacy.replaced(F.col("text"), privacy.found(F.col("text"), privacy.PATTERNS["email"]), lambda s: F.try_element_at(F.col("m"), s["text"])))
+    out = hits.join(maps, "doc_id").withColumn("new", spans.replaced(F.col("text"), privacy.PATTERNS["email"], lambda hit: F.try_element_at(F.col("m"), hit)))
     left = F.filter(F.regexp_extract_all("new", F.lit(privacy.PATTERNS["email"]), F.lit(0)), lambda e: ~e.rlike(r"^pessoa\d{3,}@example\.com$"))
     return out.select("doc_id", F.array_sort(F.array_distinct(F.map_values("m"))).alias("said"), F.size(left).alias("residue"))
 
