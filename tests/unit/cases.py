@@ -1,4 +1,4 @@
-"""Functions of texts over whole tables: a row takes the case that its key points to, and SQL states what must come out."""
+"""Cases of functions of texts: inputs, and what must come out."""
 
 from __future__ import annotations
 
@@ -8,35 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veritab.functions import cables, citations, dates, numbers, params, privacy, spans, templates, text, trees, words
-from veritab.plans.registry import add
-from veritab.sources.tables import table
 
-
-def literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    return f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+CASES: dict[str, tuple] = {}
 
 
 def by_case(name: str, inputs: str, outputs: dict[str, Callable[..., Column]], cases: list[tuple[tuple, tuple]], doc: str, before: dict[str, Callable[..., Column]] | None = None) -> None:
-    """Register a query over ``orders``: (o_orderkey, outputs of the case o_orderkey % n), each output a function of the input columns."""
-    fields = [f.split()[0] for f in inputs.split(",")]
-
-    def run(spark, d):
-        given = spark.createDataFrame([(i, *a) for i, (a, _) in enumerate(cases)], f"_c int, {inputs}")
-        for k, f in (before or {}).items():
-            given = given.withColumn(k, f(*[F.col(c) for c in fields]))
-        out = given.select("_c", *[f(*[F.col(c) for c in fields]).alias(k) for k, f in outputs.items()])
-        o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % len(cases)).cast("int").alias("_c"))
-        return o.join(F.broadcast(out), "_c").drop("_c")  # one row per case
-
-    run.__name__, run.__doc__ = name, doc
-    rows = ", ".join(f"({i}, {', '.join(map(literal, out))})" for i, (_, out) in enumerate(cases))
-    add(run, f"SELECT o_orderkey, {', '.join(outputs)} FROM orders JOIN (VALUES {rows}) AS e(c, {', '.join(outputs)}) ON o_orderkey % {len(cases)} = c")
+    CASES[name] = (inputs, outputs, cases, before or {})
 
 
 def joined(items: Column, *fields: str) -> Column:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from veritab.functions import cables, citations, privacy, spans, text
 from veritab.operators import checks, decisions, links, rules, summaries, windows
-from veritab.plans.cases import literal
 from veritab.plans.logic import condition
-from veritab.plans.registry import add, query
+from veritab.plans.registry import add, literal, query
 from veritab.sources import grids
 from veritab.sources.tables import table
 

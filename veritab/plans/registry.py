@@ -22,3 +22,14 @@ def query(sql: str | None = None):
         return f
 
     return put
+
+
+def literal(v) -> str:
+    """A value as SQL."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
