@@ -53,3 +53,24 @@ def test_planted_tokens_with_production_parameters(spark):
     found = {s["token"] for r in S.scan(docs, "text").filter(F.col("doc_id") >= 10**9).collect() for s in r["spans"]}
     share = {n: sum(t in found for t in ts) for n, ts in planted.items()}
     assert all(n >= 98 for n in share.values()), share
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_false_rate_on_ordinary_text(spark):
+    """Neighbouring words glued together as long identifiers, which no model saw: hardly any of them counts as random."""
+    rnd = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = [w for r in docs.filter("doc_id < 300").collect() for w in re.findall(r"[A-Za-z]{3,}", r.text or "")]
+    glued = {rnd.choice(["", "_"]).join(words[i : i + 4])[: rnd.choice([16, 24, 32])] for i in rnd.sample(range(len(words) - 4), 2_000)}
+    glued = sorted(x for x in glued if len(x) >= 16)
+    rows = spark.createDataFrame([(10**9 + i, f"a {t} b") for i, t in enumerate(glued)], "doc_id long, text string")
+    found = S.scan(docs.unionByName(rows), "text").filter((F.col("doc_id") >= 10**9) & (F.size("spans") > 0)).count()
+    assert len(glued) > 1_000 and found <= 0.01 * len(glued), (found, len(glued))
+
+
+def test_many_hits_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([("token=abcdefgh ",)], "t string").withColumn("t", F.repeat("t", 40_000))
+    began = time.time()
+    assert df.select(F.size(S.find_base(F.col("t")))).first()[0] == 40_000 and time.time() - began < 15

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.functions.spans import running
 from veritab.llm.common import SPACE, let, saved, table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -19,19 +20,19 @@ MIN_TOKEN = 16
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN
 KINDS = ("assign", "access", "hex", "markov")
 SPAN = "array<struct<start:int,kind:int,stop:int,token:string>>"
-#: Log-likelihood ratio above which a token counts as random.
-MIN_RATIO = 12.0
+#: Share of held-out ordinary words that may count as random, and the scores among which the cutoff is chosen.
+FALSE_RATE, GRID = 1e-4, [x / 4 for x in range(4, 61)]
+#: Share of random strings that must reach the cutoff.
+FOUND = 0.98
+#: Held-out words that are enough to set a cutoff; with fewer all words train the model and set the cutoff.
+HELD = 100
 
 
 def _spans(text: Column, gate: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Matches of ``pattern`` with code-point positions: a split at the pattern gives what lies between matches."""
 
     def place(found: Column) -> Column:
-        ends = let(F.split(text, pattern, -1), lambda gaps: F.aggregate(
-            F.transform(found, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m))),
-            F.array().cast("array<int>"),
-            lambda acc, n: F.array_append(acc, n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))),
-        ))
+        ends = let(F.split(text, pattern, -1), lambda gaps: running(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))))
         token = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
         at = lambda e: F.transform(found, lambda m, i: F.struct((F.get(e, i) - F.length(m)).cast("int").alias("start"), F.lit(kind).alias("kind"), F.get(e, i).cast("int").alias("stop")))
         both = F.zip_with(let(ends, at), token, lambda s, t: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), t.alias("token")))
@@ -85,12 +86,37 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(t)), F.lit(0.0), lambda acc, i: acc + F.get(cells, _cell(t, i)))
 
 
-def scan(rows: DataFrame, text_col: str, share: int = 1, min_ratio: float = MIN_RATIO) -> DataFrame:
+def calibrated(words: DataFrame, secrets: DataFrame, model: list[float], false_rate: float, found: float = FOUND) -> tuple[float, float, float]:
+    """(mean, deviation, cutoff) from ordinary words (token) that the model was not trained on, and from random strings.
+
+    A ratio is a sum over characters, so an ordinary word of n characters has about n times the mean and root n times the
+    deviation of one; a token's score is how many deviations its ratio lies above that. The cutoff is the least of
+    GRID that at most a share of ``false_rate`` of the words reaches, but no higher than what a share of ``found`` of
+    the random strings reaches: where the classes overlap, a missed secret is worse than a word too many.
+    """
+    scored = lambda t: t.select(F.length("token").cast("double").alias("n"), ratio(F.col("token"), model).alias("r"))
+    r, s = scored(words), scored(secrets.filter(F.length("token") >= MIN_TOKEN))
+    m = r.agg(F.sum("r"), F.sum("n"), F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("n")), F.sum(F.col("n") * F.col("n"))).first()
+    if not m[1]:
+        m = (0.0, 1.0, 1.0, 0.0, 1.0)
+    mean = m[0] / m[1]
+    deviation = math.sqrt(max((m[2] - 2 * mean * m[3] + mean * mean * m[4]) / m[1], 1e-9))
+    z = (F.col("r") - mean * F.col("n")) / (deviation * F.sqrt("n"))
+    over = [x.agg(F.count(F.lit(1)), *[F.count_if(z >= c) for c in GRID]).first() for x in (r, s)]
+    least = next((c for c, k in zip(GRID, over[0][1:], strict=True) if k <= false_rate * over[0][0]), GRID[-1])
+    most = max((c for c, k in zip(GRID, over[1][1:], strict=True) if k >= found * over[1][0]), default=GRID[0])
+    return mean, deviation, min(least, most)
+
+
+def scan(rows: DataFrame, text_col: str, share: int = 1, false_rate: float = FALSE_RATE) -> DataFrame:
     """Replace ``text_col`` by ``base`` and ``spans``: arrays of (start, kind, stop, token), by start and kind.
 
     The labelled samples are taken from the rows: random strings are the hits of the fixed patterns in all rows
     and ordinary identifiers are the words that recur (three times or more: secrets rarely do) in all rows without
-    hits, or in one row in ``share`` (by hash of the text) where a caller asks for less. Tokens of MIN_TOKEN characters or more that no base span touches are added if their ratio reaches ``min_ratio``.
+    hits, or in one row in ``share`` (by hash of the text) where a caller asks for less. A quarter of the ordinary words
+    (by hash) is held out and sets the cutoff with the random strings, see :func:`calibrated` and HELD. Tokens of MIN_TOKEN characters or more that no
+    base span touches are added if their score reaches it and their ratio log(1 / false_rate): under the ordinary model
+    a token reaches that with a probability of ``false_rate`` at most.
 
     A null or empty text has no spans. Without any hit there are no random samples and nothing is added. Repeated
     rows are all kept; other columns stay, but columns named base and spans are replaced.
@@ -106,9 +132,14 @@ def scan(rows: DataFrame, text_col: str, share: int = 1, min_ratio: float = MIN_
     words = found.filter(F.size("base") == 0).select(F.explode(F.split("_text", SPACE)).alias("token")).filter(F.length("token") >= 4).groupBy("token").agg(F.count(F.lit(1)).alias("weight"))
     found = found.drop("_text")
     none = F.array().cast(SPAN)
-    model = train(hits.withColumn("weight", F.lit(1)), words.filter("weight >= 3"))
+    words = saved(words.filter("weight >= 3").withColumn("held", F.pmod(F.xxhash64("token"), F.lit(4)) == 0), "ordinary-words")
+    judged = words.filter(F.col("token").rlike("^[A-Za-z0-9+/_=-]+$"))
+    apart = judged.filter("held").count() >= HELD
+    model = train(hits.withColumn("weight", F.lit(1)), words.filter(~F.col("held")) if apart else words)
+    mean, deviation, cutoff = calibrated(judged.filter("held") if apart else judged, hits, model, false_rate)
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    extra = F.filter(free, lambda t: ratio(t["token"], model) >= min_ratio)
+    n = lambda t: F.length(t["token"])
+    extra = F.filter(free, lambda t: ratio(t["token"], model) >= F.greatest(F.lit(math.log(1 / false_rate)), mean * n(t) + cutoff * deviation * F.sqrt(n(t))))
     more = F.when(F.size("tokens") > 0, extra).otherwise(none) if hits.limit(1).count() else none
     out = found.select("_d.*", "base", F.sort_array(F.concat("base", more)).alias("spans"))
     return out if others else out.drop("_")
