@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from veritab.llm import repeats as R
 
@@ -44,7 +45,9 @@ def _docs(seed, n):
     return docs
 
 
-def test_against_every_string(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_against_every_string(spark, monkeypatch, hot):
+    monkeypatch.setattr(R, "HOT", hot)
     docs = _docs(1, 160)
     rows = docs + [docs[5], docs[5], (None, docs[20][1]), (5000, docs[30][1]), (5000, docs[31][1])]
     random.Random(2).shuffle(rows)
@@ -91,6 +94,19 @@ def _run(docs, piece, flush, monkeypatch):
     return out
 
 
+def test_one_passage_among_different_neighbours_in_many_documents(spark, monkeypatch):
+    """A third of all documents hold one passage with neighbours of their own: its bucket meets in no single task."""
+    monkeypatch.setattr(R, "HOT", 20)
+    rnd = random.Random(5)
+    say = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = say(70)
+    docs = [(i, say(80) + (passage if i % 3 == 0 else "") + say(80)) for i in range(300)]
+    seen = []
+    monkeypatch.setattr(R, "_one_by_one", lambda rows, f=R._one_by_one: seen.append(rows.select("key").distinct().count()) or f(rows))
+    got = {r["doc_id"]: (bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in R.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == _brute(docs) and seen and seen[0] > 0 and sum(g[2] >= 70 for g in got.values()) == 99
+
+
 def test_small_parts_and_flushes(monkeypatch):
     for seed in (3, 4):
         docs = _docs(seed, 120)

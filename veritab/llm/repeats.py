@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm.common import saved, table
+from veritab.llm.common import saved, small, table
 
 #: Bytes of a string that counts as repeated, bytes of an initial bucket, and places of a bucket in a string.
 LENGTH, GRAM = 50, 16
@@ -20,6 +21,8 @@ PLACES = LENGTH - GRAM + 1
 PIECE, FLUSH = 1 << 20, 1 << 19
 #: Anchors that one bucket range should hold.
 RANGE = 500_000
+#: Open anchors of a bucket from which its strings are compared one by one, wherever they are, and not in one task.
+HOT = 50_000
 
 _rng = np.random.default_rng(20)
 _LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -316,6 +319,30 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, doc, pos, left, bytes) -> (doc, a, h, h2): the strings around open anchors, by both halves of a digest."""
+    for b in batches:
+        doc, at, digests = [], [], []
+        for d, p, left, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for i in range(max(0, left - PLACES + 1), min(left, len(raw) - LENGTH) + 1):
+                doc.append(d)
+                at.append(p - left + i)
+                digests.append(hashlib.blake2b(raw[i : i + LENGTH], digest_size=16).digest())
+        h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "a", "h", "h2"])
+
+
+def _one_by_one(rows: DataFrame) -> DataFrame:
+    """(doc, a, b) of the strings of open anchors that stand in a smaller document too.
+
+    A string is known by a digest that nobody can find two strings for. Smallest documents are found with partial
+    sums, and a string of any number of places meets its smallest document in as many tasks as Spark splits it into.
+    """
+    s = rows.mapInArrow(_strings, "doc long, a long, h long, h2 long")
+    least = s.groupBy("h", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+    return s.join(least, ["h", "h2"]).filter("doc > least").select("doc", "a", (F.col("a") + LENGTH).alias("b")).distinct()
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         z = [zstandard.compress((t.as_py() or "").encode(), 1) for t in b.column(1)]
@@ -353,7 +380,8 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     1. Of every string the q-gram with the least hash is its anchor; anchors are dealt by their bucket (the hash
     of the q-gram) and each bucket splits by the hash of its surroundings: whoever is not first there is a copy.
     Copies inside one task's rows are taken out before the exchange. 2. Buckets that several documents share with
-    different surroundings are refined by bucket pointers (:func:`refine`), on the bytes.
+    different surroundings are refined by bucket pointers (:func:`refine`), on the bytes; buckets of HOT anchors or
+    more never meet in one task, their strings are compared by digests (:func:`_one_by_one`).
 
     Nulls: a null text is empty; rows with a null id are returned whole and compared with nothing. Repeated rows
     with one id are one document's text twice, equal or not: neither removes the other. Texts of any length are
@@ -370,9 +398,18 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     decided = blobs.mapInArrow(_first_meet, "doc long, a long, b long, key long")
     decided = saved(decided, "anchors")
     packed = slim.mapInArrow(_pack, "id long, z binary")
-    open_ = decided.filter("key is not null").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "a")).alias("places"))
-    rows = packed.join(open_, "id").select("id", "z", "places").mapInArrow(_around, "key long, doc long, pos long, left int, bytes binary")
-    more = rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_compare, "doc long, a long, b long")
+    waiting = decided.filter("key is not null")
+    hot = saved(waiting.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT).select("key"), "hot-buckets")
+    n_hot = hot.count()  # one bucket in HOT anchors at most
+
+    def around(places: DataFrame) -> DataFrame:
+        places = places.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("key", "a")).alias("places"))
+        return packed.join(places, "id").select("id", "z", "places").mapInArrow(_around, "key long, doc long, pos long, left int, bytes binary")
+
+    cold = waiting.join(small(hot, n_hot, 100_000), "key", "left_anti") if n_hot else waiting
+    more = around(cold).repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_compare, "doc long, a long, b long")
+    if n_hot:
+        more = more.unionByName(_one_by_one(around(waiting.join(small(hot, n_hot, 100_000), "key", "left_semi"))))
     runs = decided.filter("key is null").select("doc", "a", "b").unionByName(more)
     runs = runs.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     out = packed.join(runs, "id", "left").select("id", "z", "runs").mapInArrow(_cut, "id long, kept binary, n_bytes long, n_removed long, n_spans long")
