@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,21 +46,19 @@ def _covered(spans: list[dict] | None) -> set[int]:
     return {i for s in spans or () for i in range(s["a"], s["b"])}
 
 
-def pieces(lines: list[bytes], gone: list[dict] | None) -> list[tuple[int, int, bytes]]:
-    """(first line, line behind the last, bytes) of what may go.
+def chunks_to_go(lines: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """(first line, line behind the last, bytes) of the chunks of LEAST lines or more that hold text."""
+    return [(a, b, b"".join(lines[a:b])) for a, b in chunks_of(lines) if b - a >= LEAST and any(x.strip() for x in lines[a:b])]
 
-    Without ``gone`` (null) these are the chunks of LEAST lines or more that hold text. With the spans that went as chunks, they are
-    the pairs of neighbouring lines that are not blank (blank ones stand between them at most), of which one line is
-    still there: the ends of repeated passages, which no chunk holds whole, and passages shorter than a chunk.
+
+def pairs_of(lines: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """(first line, line behind the last, digest) of neighbouring lines that are not blank; blank ones stand between at most.
+
+    The digest is one that nobody can find two texts for, so equal digests count as equal bytes.
     """
-    if gone is None:
-        return [(a, b, b"".join(lines[a:b])) for a, b in chunks_of(lines) if b - a >= LEAST and any(x.strip() for x in lines[a:b])]
-    out, went = [], _covered(gone)
     full = [i for i, x in enumerate(lines) if x.strip()]
-    for i, j in zip(full, full[1:], strict=False):
-        if i not in went or j not in went:
-            out.append((i, j + 1, lines[i].rstrip(b"\n") + b"\n" + lines[j].rstrip(b"\n")))
-    return out
+    said = [lines[i].rstrip(b"\n") for i in full]
+    return [(i, j + 1, hashlib.blake2b(x + b"\n" + y, digest_size=16).digest()) for i, j, x, y in zip(full, full[1:], said, said[1:], strict=False)]
 
 
 def _batch(b: pa.RecordBatch, rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -66,18 +66,16 @@ def _batch(b: pa.RecordBatch, rows: list[tuple], kinds: dict[str, pa.DataType])
     return pa.RecordBatch.from_arrays([pa.array(c, t or b.column(0).type) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
-def _unpacked(z: pa.Scalar) -> list[bytes]:
-    return lines_of(zstandard.decompress(z.as_py()).decode())
-
-
 def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, row, z, gone) -> (id, row, idx, h): pieces by hash, at their first lines."""
+    """(id, row, text) -> (id, row, idx, stop, h, h2): chunks by hash (h2 is null), and pairs of lines by both halves of a digest."""
     for b in batches:
         rows = []
-        for i, r, z, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+        for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             if i is not None:
-                rows += [(i, r, a, xxhash.xxh64_intdigest(c) - 2**63) for a, _, c in pieces(_unpacked(z), gone)]
-        yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "h": pa.int64()})
+                lines = lines_of(t.as_py())
+                rows += [(i, r, a, e, xxhash.xxh64_intdigest(c) - 2**63, None) for a, e, c in chunks_to_go(lines)]
+                rows += [(i, r, a, e, *struct.unpack("<qq", h)) for a, e, h in pairs_of(lines)]
+        yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "stop": pa.int32(), "h": pa.int64(), "h2": pa.int64()})
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,12 +84,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, row, z, gone, places) -> (id, row, idx, stop, h, parts, bytes) of the pieces named by places."""
+    """(id, row, z, places) -> (id, row, idx, stop, h, parts, bytes) of the chunks named by places."""
     for b in batches:
         rows = []
-        for i, r, z, gone, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-            own = {a: (e, c) for a, e, c in pieces(_unpacked(z), gone)}
-            rows += [(i, r, p["idx"], own[p["idx"]][0], p["h"], p["parts"], own[p["idx"]][1]) for p in places]
+        for i, r, z, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+            lines = lines_of(zstandard.decompress(z.as_py()).decode())
+            rows += [(i, r, p["idx"], p["stop"], p["h"], p["parts"], b"".join(lines[p["idx"] : p["stop"]])) for p in places]
         yield _batch(b, rows, {"id": None, "row": pa.int64(), "idx": pa.int32(), "stop": pa.int32(), "h": pa.int64(), "parts": pa.int32(), "bytes": pa.binary()})
 
 
@@ -100,42 +98,48 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for z, gone, ends in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            own, out = _unpacked(z), _covered(gone) | _covered(ends)
+            own, out = lines_of(zstandard.decompress(z.as_py()).decode()), _covered(gone) | _covered(ends)
             rows.append((b"".join(x for k, x in enumerate(own) if k not in out).decode(), len(own), len(out), len(gone or ()), len(ends or ())))
         cols = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["id", "kept", "n_lines", "n_removed", "n_chunks", "n_pairs"])
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(id, row, z, gone) -> (id, row, spans) of the pieces whose bytes stand at an earlier place, written.
+def _chunks_gone(chunks: DataFrame, packed: DataFrame) -> DataFrame:
+    """(id, row, gone): chunks whose bytes stand at an earlier place.
 
-    Pieces are found by hash; those whose hash recurs are then fetched and compared byte by byte with the first of that
-    hash. The places of a frequent piece are dealt over several parts, each with its own copy of the first.
+    Chunks are found by hash; those whose hash recurs are then fetched and compared byte by byte with the first of that
+    hash. The places of a frequent chunk are dealt over several parts, each with its own copy of the first.
     """
-    kind = rows.schema["id"].dataType.simpleString()
-    place = F.struct("id", "row", "idx")
-    shape = saved(rows.mapInArrow(_shape, f"id {kind}, row long, idx int, h long"), "pieces")
-    many = shape.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l")
+    kind, place = chunks.schema["id"].dataType.simpleString(), F.struct("id", "row", "idx")
+    many = chunks.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f"), F.max(place).alias("l")).filter("f < l")
     many = many.select("h", F.least(F.lit(256), F.ceil(F.col("c") / PART)).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    places = shape.withColumn("salt", F.pmod(F.xxhash64("id", "idx"), F.lit(SALTS)).cast("int")).join(many, ["h", "salt"])
-    places = places.groupBy("id", "row").agg(F.collect_set(F.struct("idx", "h", "parts")).alias("places"))
-    got = rows.join(places, ["id", "row"]).select("id", "row", "z", "gone", "places").mapInArrow(_fetch, f"id {kind}, row long, idx int, stop int, h long, parts int, bytes binary")
-    got = saved(got.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.col("parts")).cast("int")), "repeated-pieces")
+    places = chunks.withColumn("salt", F.pmod(F.xxhash64("id", "idx"), F.lit(SALTS)).cast("int")).join(many, ["h", "salt"])
+    places = places.groupBy("id", "row").agg(F.collect_set(F.struct("idx", "stop", "h", "parts")).alias("places"))
+    got = packed.join(places, ["id", "row"]).select("id", "row", "z", "places").mapInArrow(_fetch, f"id {kind}, row long, idx int, stop int, h long, parts int, bytes binary")
+    got = saved(got.withColumn("part", F.pmod(F.xxhash64("id", "row"), F.col("parts")).cast("int")), "repeated-chunks")
     low = got.groupBy("h").agg(F.min(place).alias("f"), F.max("parts").alias("parts"))
-    first = got.join(low.select("h", "f.*"), ["h", "id", "row", "idx"], "left_semi").select("h", F.col("bytes").alias("first"), place.alias("f"), F.col("stop").alias("f_stop"), "parts").dropDuplicates(["h"])
+    first = got.join(low.select("h", "f.*"), ["h", "id", "row", "idx"], "left_semi").select("h", F.col("bytes").alias("first"), place.alias("f"), "parts").dropDuplicates(["h"])
     first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    inside = (F.col("id") == F.col("f.id")) & (F.col("row") == F.col("f.row")) & (F.col("idx") < F.col("f_stop"))  # of the first itself
-    gone = got.join(first, ["h", "part"]).filter((F.col("bytes") == F.col("first")) & (place > F.col("f")) & ~inside)
-    out = saved(gone.groupBy("id", "row").agg(F.collect_set(F.struct(F.col("idx").alias("a"), F.col("stop").alias("b"))).alias("spans")), "gone")
-    dropped(shape, got)
+    gone = got.join(first, ["h", "part"]).filter((F.col("bytes") == F.col("first")) & (place > F.col("f")))
+    out = saved(gone.groupBy("id", "row").agg(F.collect_set(F.struct(F.col("idx").alias("a"), F.col("stop").alias("b"))).alias("gone")), "chunks-gone")
+    dropped(got)
     return out
 
 
+def _pairs_gone(pairs: DataFrame) -> DataFrame:
+    """(id, row, ends): pairs of lines that stand at an earlier place, but for those that share a line with the first itself."""
+    first = pairs.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "row", "idx", "stop")).alias("f")).filter("c > 1").drop("c")
+    before = F.struct("f.id", "f.row", "f.idx")
+    inside = (F.col("id") == F.col("f.id")) & (F.col("row") == F.col("f.row")) & (F.col("idx") < F.col("f.stop"))
+    gone = pairs.join(first, ["h", "h2"]).filter((F.struct("id", "row", "idx") > before) & ~inside)
+    return gone.groupBy("id", "row").agg(F.collect_set(F.struct(F.col("idx").alias("a"), F.col("stop").alias("b"))).alias("ends"))
+
+
 def drop_repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, kept, n_lines, n_removed, n_chunks, n_pairs): texts without multi-line passages that stand earlier.
 
-    Of chunks with equal bytes the one with the smallest (id, text's hash, place) stays, see :func:`_repeated`. What
-    repeated passages keep then, the lines at their ends and passages shorter than a chunk, goes by pairs of lines that
+    Of chunks with equal bytes the one with the smallest (id, text's hash, place) stays, see :func:`_chunks_gone`. What
+    chunks leave of repeated passages, the lines at their ends and passages shorter than a chunk, goes by pairs of lines that
     stand earlier: so of a repeated passage of two lines or more with text nothing stays, and a line alone never goes.
 
     Nulls: a null text is empty; rows with a null id are kept whole and compared with nothing. Repeated rows with
@@ -145,12 +149,11 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    none = F.lit(None).cast("array<struct<a:int,b:int>>")
+    shape = saved(slim.mapInArrow(_shape, f"id {kind}, row long, idx int, stop int, h long, h2 long"), "pieces")
     packed = slim.mapInArrow(_pack, f"id {kind}, row long, z binary")
-    chunks = _repeated(packed.withColumn("gone", none)).withColumnRenamed("spans", "gone")
-    rows = packed.join(chunks, ["id", "row"], "left").select("id", "row", "z", F.coalesce("gone", F.array().cast("array<struct<a:int,b:int>>")).alias("gone"))
-    ends = _repeated(rows).withColumnRenamed("spans", "ends")
-    out = rows.join(ends, ["id", "row"], "left").select("id", "z", "gone", "ends").mapInArrow(_keep, f"id {kind}, kept string, n_lines long, n_removed long, n_chunks long, n_pairs long")
+    chunks = _chunks_gone(shape.filter("h2 is null"), packed)
+    gone = chunks.join(_pairs_gone(shape.filter("h2 is not null")), ["id", "row"], "full")
+    out = packed.join(gone, ["id", "row"], "left").select("id", "z", "gone", "ends").mapInArrow(_keep, f"id {kind}, kept string, n_lines long, n_removed long, n_chunks long, n_pairs long")
     return out.withColumnRenamed("id", id_col)
 
 
