@@ -407,12 +407,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     f = saved(prefixes(slim, shingle, width, similarity), "prefixes")
     points = f.groupBy("k").agg(F.min(F.struct("id", "row")).alias("lo"), *[F.first(c).alias(c) for c in f.columns if c not in ("id", "row", "k")])
     points = saved(points.select("k", "lo.*", *[c for c in f.columns if c not in ("id", "row", "k")]), "points")
+    twice = saved(f.groupBy("id", "row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id", "row"), "equal-rows")
+    dropped(f)
     comp = link_similar(points, slim, shingle, width, similarity)
     group = points.join(comp, F.col("k") == F.col("node"), "left").groupBy(F.coalesce("root", "k").alias("g")).agg(F.min(F.struct("id", "row")).alias("lo"))
     group = saved(group.select("lo.*"), "kept-rows")
-    twice = saved(f.groupBy("id", "row").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id", "row"), "equal-rows")
     n, n_twice = group.count(), twice.count()
-    dropped(f, points)
+    dropped(points)
     kept = wide.filter(~other).select("_d", "id", "row").join(small(group, n, BROADCAST), ["id", "row"], "left_semi")
     out = wide.filter(other).select("_d").unionByName(kept.join(small(twice, n_twice, BROADCAST), ["id", "row"], "left_anti").select("_d"))
     if n_twice:
