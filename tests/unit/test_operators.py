@@ -175,8 +175,10 @@ def test_audit_log_and_staging(spark, tmp_path):
         with pytest.raises(PermissionError):
             refuse(df)
     bad = lambda t: t.filter("what = 'b'")
-    assert sinks.staged(df, str(tmp_path / "s1"), str(tmp_path / "f1"), bad) == 1 and not (tmp_path / "f1").exists()
-    assert sinks.staged(df.filter("id = 1"), str(tmp_path / "s2"), str(tmp_path / "f2"), bad) == 0 and spark.read.parquet(str(tmp_path / "f2")).count() == 1
+    now = sinks.Versions(spark, str(tmp_path / "v"), df.schema)
+    assert sinks.staged(df, str(tmp_path / "v"), bad) == 1 and now.current().count() == 0
+    assert sinks.staged(df.filter("id = 1"), str(tmp_path / "v"), bad) == 0 and now.current().count() == 1
+    assert sinks.staged(df, str(tmp_path / "v"), bad) == 1 and now.current().count() == 1 and now.run() == 1
 
 
 def test_rules_are_two_valued(spark):

@@ -16,6 +16,11 @@ def _bare(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).casefold()
 
 
+def folded_value(s: str) -> str:
+    """:func:`fold` of one value."""
+    return " ".join(_bare(s).split())
+
+
 #: Latin letters whose folded form is one character, by rule; texts of these, ASCII and some signs need no Python.
 LATIN = [c for c in map(chr, range(0xC0, 0x250)) if len(_bare(c)) == 1]
 UNFOLDED = "".join(map(chr, range(65, 91))) + "".join(LATIN)

@@ -38,3 +38,17 @@ def persist(before: DataFrame, now: DataFrame) -> DataFrame:
     j = b.join(n, F.col("b") == F.col("n"), "full_outer")
     state = F.when(F.col("n").isNull(), "fixed").when(F.col("b").isNull(), "new").when(F.col("status") == "ignored", "ignored").otherwise("open")
     return j.select(F.coalesce("n", "b").alias("fingerprint"), state.alias("state"))
+
+
+def persist_runs(found: DataFrame) -> DataFrame:
+    """(run, fingerprint, state) of every run but the first against the one before it, as :func:`persist` has it.
+
+    ``found`` (run, fingerprint, status): one row for each finding of a run; runs are numbered without gaps.
+    """
+    ends = found.agg(F.min("run").alias("first"), F.max("run").alias("last"))  # one row
+    all_ = found.join(F.broadcast(ends))
+    b = all_.filter("run < last").select((F.col("run") + 1).alias("br"), F.col("fingerprint").alias("b"), "status")
+    n = all_.filter("run > first").select(F.col("run").alias("nr"), F.col("fingerprint").alias("n"))
+    j = b.join(n, (F.col("br") == F.col("nr")) & (F.col("b") == F.col("n")), "full_outer")
+    state = F.when(F.col("n").isNull(), "fixed").when(F.col("b").isNull(), "new").when(F.col("status") == "ignored", "ignored").otherwise("open")
+    return j.select(F.coalesce("nr", "br").alias("run"), F.coalesce("n", "b").alias("fingerprint"), state.alias("state"))

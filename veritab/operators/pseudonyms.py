@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veritab.operators.sinks import Versions
 from veritab.sources.stage import dropped, saved
 
 MAP = "kind string, key string, number long, run long"
 
 
-class PseudonymMap:
-    """Versions of a map (kind, key, number, run) under a path, and a pointer to the one that counts.
-
-    A version is written whole, beside the others; ``swap`` appends its name to the pointer, one small file, so
-    readers see the old map or the new one and nothing between. A version that no pointer names is never read.
-    """
+class PseudonymMap(Versions):
+    """Versions of a map (kind, key, number, run)."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-
-    def _pointers(self) -> list[tuple[int, str]]:
-        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointer")
-        if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
-            return []
-        return sorted(tuple(r) for r in self.spark.read.schema("run long, version string").parquet(f"{self.path}/pointer").collect())  # one row a run
-
-    def run(self) -> int:
-        """Runs so far."""
-        return max((r for r, _ in self._pointers()), default=0)
-
-    def current(self) -> DataFrame:
-        known = self._pointers()
-        if not known:
-            return self.spark.createDataFrame([], MAP)
-        return self.spark.read.schema(MAP).parquet(f"{self.path}/{known[-1][1]}")
+        super().__init__(spark, path, MAP)
 
     def extended(self, found: DataFrame) -> tuple[str, DataFrame]:
         """(name, map) of a new version: the current map, and numbers behind its last ones for what it does not have.
@@ -55,17 +35,9 @@ class PseudonymMap:
         last = now.groupBy("kind").agg(F.max("number").alias("last"))
         start = size.withColumn("before", before).join(last, "kind", "left").select("kind", "part", "first", (F.col("before") + F.coalesce("last", F.lit(0))).alias("start"))
         rows = placed.join(start, ["kind", "part"]).select("kind", "key", (F.col("start") + F.col("at") - F.col("first") + 1).alias("number"), F.lit(self.run() + 1).cast("long").alias("run"))
-        name = f"map-{uuid.uuid4().hex}"
-        now.unionByName(rows).write.parquet(f"{self.path}/{name}")
+        name = self.write(now.unionByName(rows))
         dropped(placed)
-        return name, self.spark.read.schema(MAP).parquet(f"{self.path}/{name}")
-
-    def swap(self, name: str, residues: DataFrame) -> int:
-        """Make a version the current one if ``residues`` has no rows; otherwise the old one stays. How many there are."""
-        left = residues.count()
-        if not left:
-            self.spark.createDataFrame([(self.run() + 1, name)], "run long, version string").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
-        return left
+        return name, self.version(name)
 
 
 def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

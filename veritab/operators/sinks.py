@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,11 +50,49 @@ class AuditLog:
     delete = truncate = update
 
 
-def staged(df: DataFrame, staging: str, final: str, residue) -> int:
-    """Write to ``staging``, count what ``residue(df)`` finds there, and move all of it to ``final`` only if it finds nothing."""
-    df.write.mode("overwrite").parquet(staging)
-    written = df.sparkSession.read.schema(df.schema).parquet(staging)
-    left = residue(written).count()
-    if not left:
-        written.write.mode("overwrite").parquet(final)
-    return left
+class Versions:
+    """Versions of a table under a path, and a pointer to the one that counts.
+
+    A version is written whole, beside the others; ``point`` appends its name to the pointer, one small file, so
+    readers see the old table or the new one and nothing between. A version that no pointer names is never read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _pointers(self) -> list[tuple[int, str]]:
+        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pointer")
+        if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
+            return []
+        return sorted(tuple(r) for r in self.spark.read.schema("run long, version string").parquet(f"{self.path}/pointer").collect())  # one row a run
+
+    def run(self) -> int:
+        """Versions that counted so far."""
+        return max((r for r, _ in self._pointers()), default=0)
+
+    def current(self) -> DataFrame:
+        known = self._pointers()
+        return self.version(known[-1][1]) if known else self.spark.createDataFrame([], self.schema)
+
+    def version(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
+
+    def write(self, df: DataFrame) -> str:
+        """The name of a new version, which does not count yet."""
+        name = f"version-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def swap(self, name: str, residues: DataFrame) -> int:
+        """Make a version the current one if ``residues`` has no rows; otherwise the old one stays. How many there are."""
+        left = residues.count()
+        if not left:
+            self.spark.createDataFrame([(self.run() + 1, name)], "run long, version string").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
+        return left
+
+
+def staged(df: DataFrame, path: str, residue) -> int:
+    """Write ``df`` as a new version under ``path`` that counts only if ``residue(df)`` finds nothing in what was written."""
+    table = Versions(df.sparkSession, path, df.schema)
+    name = table.write(df)
+    return table.swap(name, residue(table.version(name)))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.sources.stage import saved
+
 
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key."""
@@ -46,17 +48,18 @@ def anchored_groups(rows: DataFrame, key: str, value: str, tolerance: float) ->
     return counted.repartition("k").sortWithinPartitions("k", "v").mapInPandas(run, f"{key} {kind}, first double, n long")
 
 
-def numbered(df: DataFrame, stretch: Column, name: str, *order: Column) -> DataFrame:
-    """``df`` with ``name``: 1, 2, ... in ``order``, of which ``stretch`` is a coarser, monotone form.
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in the order of columns that tell its rows apart.
 
-    Rows are numbered inside their stretch and go on where the stretches before end, so only the table of stretches
-    is ordered as a whole.
+    Rows are sorted in parts by ranges and written; each part goes on where those before it end, so only the table of
+    parts, one row each, is ordered as a whole.
     """
-    t = df.withColumn("_b", stretch)
-    ahead = F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = t.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).select(F.col("_b").alias("_s"), ahead.alias("_base"))
-    t = t.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return t.join(base, F.col("_b").eqNullSafe(F.col("_s"))).select(*df.columns, (F.col("_n") + F.col("_base")).alias(name))
+    t = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    t = saved(t.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    parts = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
+    ahead = F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.withColumn("_base", ahead).select("_part", (F.col("_base") - F.col("_first") + 1).alias("_base"))
+    return t.join(F.broadcast(base), "_part").select(*df.columns, (F.col("_at") + F.col("_base")).alias(name))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, right_at: str, values: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import cables, citations, privacy, spans, text
 from veritab.operators import checks, decisions, links, rules, summaries, windows
-from veritab.plans.logic import condition
+from veritab.plans.logic import condition, explained
 from veritab.plans.registry import add, literal, query
 from veritab.sources import grids
 from veritab.sources.tables import table
@@ -203,7 +203,7 @@ def anonymised_mail(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     hits = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(privacy.PATTERNS["email"]), F.lit(0)).alias("hits")).filter(F.size("hits") > 0)
     each = hits.select("doc_id", F.explode("hits").alias("real"))
-    numbered = windows.numbered(each.groupBy(F.lower("real").alias("v")).agg(F.min("doc_id").alias("first")), F.floor(F.col("first") / 1000), "n", F.col("first"), F.col("v")).withColumn("n", F.col("n").cast("string"))
+    numbered = windows.numbered(each.groupBy(F.lower("real").alias("v")).agg(F.min("doc_id").alias("first")), "n", "first", "v").withColumn("n", F.col("n").cast("string"))
     pairs = each.withColumn("v", F.lower("real")).join(numbered, "v").select("doc_id", "real", F.concat(F.lit("pessoa"), F.lpad("n", F.greatest(F.lit(3), F.length("n")), F.lit("0")), F.lit("@example.com")).alias("said"))
     maps = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("real", "said"))).alias("m"))
     out = hits.join(maps, "doc_id").withColumn("new", spans.replaced(F.col("text"), privacy.PATTERNS["email"], lambda hit: F.try_element_at(F.col("m"), hit)))
@@ -318,11 +318,38 @@ def last_exports(spark, d):
     return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_done"), F.count(F.lit(1)).alias("exports"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS expected, len(regexp_extract_all(lower(text), '[0-9]+')) AS found FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '{spans.either(list(privacy.PATTERNS.values()))}', '•••', 'g') AS m FROM documents)
+SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS expected, len(regexp_extract_all(m, '[0-9]+')) AS found FROM t WHERE len(regexp_extract_all(text, '[0-9]+')) <> len(regexp_extract_all(m, '[0-9]+'))""")
 def object_counts(spark, d):
-    """Marks that a text should hold against those that its copy holds."""
+    """Numbers that a document holds against those that its masked copy holds, where they differ."""
     of = lambda c: F.size(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
-    return table(spark, d, "documents").select("doc_id", of(F.col("text")).alias("expected"), of(F.lower("text")).alias("found"))
+    t = table(spark, d, "documents").withColumn("copy", privacy.masked(F.col("text"), privacy.PATTERNS))
+    return t.select("doc_id", of(F.col("text")).alias("expected"), of(F.col("copy")).alias("found")).filter("expected <> found")
+
+
+@query("SELECT p_partkey, p_type AS block, p_name AS label, row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey) AS place FROM part WHERE p_size >= 10")
+def requirement_list(spark, d):
+    """Requirements that pass a filter, in order inside their block."""
+    p = table(spark, d, "part").filter("p_size >= 10")
+    return p.select("p_partkey", F.col("p_type").alias("block"), F.col("p_name").alias("label"), F.row_number().over(Window.partitionBy("p_type").orderBy("p_name", "p_partkey")).alias("place"))
+
+
+@query("""SELECT l_orderkey, count(DISTINCT l_suppkey) AS boards FROM lineitem GROUP BY l_orderkey""")
+def board_counts(spark, d):
+    """Boards of a project by their cores: names written in two ways count once."""
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Q.P.ÁTRIO "), F.col("l_suppkey"))).otherwise(F.concat(F.lit("átrio-"), F.col("l_suppkey")))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct(text.core(name)).alias("boards"))
+
+
+RULE = ("any", ("all", (">", "o_totalprice", 150000), ("=", "o_orderpriority", "1-urgênt")), ("all", ("in", "o_orderpriority", ["2-HIGH", "5-low"]), ("not", ("=", "o_orderstatus", "P")), ("has", "o_custkey")))
+
+
+@query("""SELECT o_orderkey, o_totalprice > 150000 AND o_orderpriority = '1-URGENT' OR o_orderpriority IN ('2-HIGH', '5-LOW') AND o_orderstatus <> 'P' AS active,
+CASE WHEN o_totalprice > 150000 AND o_orderpriority = '1-URGENT' OR o_orderpriority IN ('2-HIGH', '5-LOW') AND o_orderstatus <> 'P' THEN '' ELSE concat_ws('; ', CASE WHEN o_totalprice <= 150000 THEN 'o_totalprice > 150000' END, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'o_orderpriority = 1-urgênt' END,
+CASE WHEN o_orderpriority NOT IN ('2-HIGH', '5-LOW') THEN 'o_orderpriority in 2-HIGH, 5-low' END, CASE WHEN o_orderstatus = 'P' THEN 'not o_orderstatus = P' END) END AS why FROM orders""")
+def explained_rules(spark, d):
+    """Whether a rule holds, and which of its clauses make it false."""
+    return table(spark, d, "orders").select("o_orderkey", condition(RULE).alias("active"), F.array_join(explained(RULE), "; ").alias("why"))
 
 
 @query("""WITH f AS (SELECT *, last_value(CASE WHEN l_linenumber % 3 = 1 THEN l_partkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM lineitem)
@@ -527,7 +554,9 @@ def record_view(spark, d):
 SELECT project, slot, arg_min(p_partkey, (NOT list_contains(units, project % 11), p_partkey)) AS item, bool_or(list_contains(units, project % 11)) AS own FROM s JOIN i USING (slot) GROUP BY ALL""")
 def slot_items(spark, d):
     """The item of each slot: one of the project's own if there is any, else the first of the slot."""
-    i = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("slot"), F.array(F.col("p_partkey") % 7, F.col("p_partkey") % 11).alias("units"))
-    s = table(spark, d, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 50 + 1).alias("slot"))
-    own = F.array_contains("units", F.col("project") % 11)
-    return s.join(i, "slot").groupBy("project", "slot").agg(F.min_by("p_partkey", F.struct(~own, "p_partkey")).alias("item"), F.bool_or(own).alias("own"))
+    i = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("slot"), F.explode(F.array(F.col("p_partkey") % 7, F.col("p_partkey") % 11)).alias("unit"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 50 + 1).alias("slot"), (F.col("c_custkey") % 11).alias("unit"))
+    first = i.groupBy("slot").agg(F.min("p_partkey").alias("first"))
+    own = i.groupBy("slot", "unit").agg(F.min("p_partkey").alias("mine"))
+    j = s.join(first, "slot").join(own, ["slot", "unit"], "left")
+    return j.select("project", "slot", F.coalesce("mine", "first").alias("item"), F.col("mine").isNotNull().alias("own"))

@@ -157,14 +157,14 @@ def expected_and_present(spark, d):
     return e.join(f, F.col("e") == F.col("f"), "full_outer").select(F.coalesce("e", "f").alias("brand"), state.alias("state"))
 
 
-@query("""WITH f AS (SELECT DISTINCT year(o_orderdate) AS y, sha256('R1|' || o_custkey || '|' || o_orderpriority) AS fp, bool_or(o_orderstatus = 'P') AS ign FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY ALL),
-b AS (SELECT fp, ign FROM f WHERE y = 1995), n AS (SELECT fp FROM f WHERE y = 1996)
-SELECT coalesce(b.fp, n.fp) AS fingerprint, CASE WHEN n.fp IS NULL THEN 'fixed' WHEN b.fp IS NULL THEN 'new' WHEN ign THEN 'ignored' ELSE 'open' END AS state FROM b FULL JOIN n ON b.fp = n.fp""")
+@query("""WITH f AS (SELECT year(o_orderdate) AS y, sha256('R1|' || o_custkey || '|' || o_orderpriority) AS fp, bool_or(o_orderstatus = 'P') AS ign FROM orders GROUP BY ALL),
+e AS (SELECT min(y) AS first, max(y) AS last FROM f), b AS (SELECT y, fp, ign FROM f, e WHERE y < last), n AS (SELECT y - 1 AS y, fp FROM f, e WHERE y > first)
+SELECT coalesce(b.y, n.y) + 1 AS run, coalesce(b.fp, n.fp) AS fingerprint, CASE WHEN n.fp IS NULL THEN 'fixed' WHEN b.fp IS NULL THEN 'new' WHEN ign THEN 'ignored' ELSE 'open' END AS state FROM b FULL JOIN n ON b.y = n.y AND b.fp = n.fp""")
 def issue_lifecycle(spark, d):
-    o = table(spark, d, "orders").withColumn("y", F.year("o_orderdate")).filter(F.col("y").isin(1995, 1996))
+    """What becomes of each issue from one yearly run to the next, over all years."""
+    o = table(spark, d, "orders").withColumn("run", F.year("o_orderdate"))
     o = o.withColumn("fingerprint", text.fingerprint(F.lit("R1"), F.col("o_custkey").cast("string"), F.col("o_orderpriority")))
-    before = o.filter("y = 1995").groupBy("fingerprint").agg(F.max(F.when(F.col("o_orderstatus") == "P", "ignored").otherwise("")).alias("status"))
-    return lifecycle.persist(before, o.filter("y = 1996").select("fingerprint"))
+    return lifecycle.persist_runs(o.groupBy("run", "fingerprint").agg(F.max(F.when(F.col("o_orderstatus") == "P", "ignored").otherwise("")).alias("status")))
 
 
 @query("SELECT o_orderkey, max(ts) AS last_ts FROM orders LEFT JOIN events ON user_id = o_custkey AND ts <= o_orderdate + INTERVAL 30 YEAR GROUP BY o_orderkey")
@@ -355,7 +355,7 @@ def latest_activity(spark, d):
 def natural_order(spark, d):
     c = table(spark, d, "part").select("p_brand", "p_size").distinct()
     letters, number = F.substring("p_brand", 1, 6), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
-    return windows.numbered(c, F.struct(letters.alias("l"), number.alias("n")), "place", F.col("p_size"))
+    return windows.numbered(c.withColumns({"_l": letters, "_n": number}), "place", "_l", "_n", "p_size").drop("_l", "_n")
 
 
 @query("""WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey) FILTER (l_returnflag = 'R'))) AS a, list_sort(list_distinct(list(l_suppkey) FILTER (l_returnflag <> 'R'))) AS b FROM lineitem GROUP BY l_orderkey)
@@ -483,7 +483,7 @@ def email_pseudonyms(spark, d):
     """One pseudonym for each real address, numbered by first appearance; two passes: harvest, then number."""
     hits = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(privacy.PATTERNS["email"]), F.lit(0))).alias("real"))
     f = hits.groupBy("real").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    f = windows.numbered(f, F.floor(F.col("first") / 1000), "number", F.col("first"), F.col("real"))
+    f = windows.numbered(f, "number", "first", "real")
     return f.select("real", F.concat(F.lit("user"), F.col("number").cast("string"), F.lit("@example.invalid")).alias("pseudonym"), "n")
 
 
