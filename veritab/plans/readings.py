@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veritab.functions import cables, citations, dates, numbers, params, privacy, spans, templates, text, trees, words
+from veritab.operators import extract, mining
 from veritab.plans.registry import add
 from veritab.sources.tables import table
 
@@ -297,3 +298,96 @@ def folds_in_place(spark, d):
 
 
 add(folds_in_place, "SELECT doc_id, sha256(lower(strip_accents(text))) AS folded, CASE WHEN text IS NOT NULL THEN true END AS same_size FROM documents")
+
+
+def _paragraphs(spark, d, texts: str):
+    """Lines of orders as paragraphs: ``texts`` is SQL for an array of (section_kind, section, text) over the columns of LINES."""
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem_read")
+    table(spark, d, "part").createOrReplaceTempView("part_read")
+    rows = spark.sql(LINES.replace("FROM lineitem JOIN part", "FROM lineitem_read JOIN part_read"))
+    rows = rows.select(F.col("l_orderkey").alias("project"), F.concat(F.lit("MDJ-"), F.col("l_orderkey")).alias("piece"), (F.col("n").cast("long") * 1_000_000 + F.col("k")).alias("idx"), F.expr(texts).alias("x"))
+    return rows.select("project", "piece", "idx", F.col("x.col1").alias("section_kind"), F.col("x.col2").alias("section"), F.col("x.col3").alias("text"))
+
+
+_SAID = """CASE k % 8 WHEN 0 THEN struct('block', 'rede', concat('A potência a alimentar é de ', q, ',5 kVA, tomada em ', name))
+WHEN 1 THEN struct('block', 'rede', concat('Atualmente a instalação tem ', q, ' kVA')) WHEN 2 THEN struct('block', 'rede', concat('com uma UPS ', q, ' kVA e gerador de emergência'))
+WHEN 3 THEN struct('block', 'quadros', concat('Do Q.P.', s, ' sai o Q.P.', s + 1, ', com cabo XV ', n, 'G', qq)) WHEN 4 THEN struct('block', 'iluminacao', concat('Tipo L', n, '.', s % 9, ' e L', qq, ' - luminária ', name))
+WHEN 5 THEN struct('block', 'fotovolt', concat('São instalados ', qq, ' módulos fotovoltaicos com ', q, ',25 kWp')) WHEN 6 THEN struct('block', 'iluminacao_comando', concat('L', n, ' - comando; ', qq, ' kWp'))
+ELSE struct('cover', 'rede', concat('capa com ', q, ' kVA')) END"""
+
+
+def extracted_facts(spark, d):
+    """Powers, boards, luminaires, modules and cables of each order's paragraphs, by section and by what stands before."""
+    return extract.text_facts(_paragraphs(spark, d, _SAID)).select("project", "key", "value", "idx")
+
+
+_IDX = "CAST(n AS BIGINT) * 1000000 + k"
+add(extracted_facts, f"""WITH l AS (SELECT *, l_orderkey AS project, {_IDX} AS idx FROM ({LINES.replace('STRING', 'VARCHAR')})),
+b AS (SELECT project, c, min(idx) AS idx FROM (SELECT project, idx, unnest([CAST(s AS VARCHAR), CAST(s + 1 AS VARCHAR)]) AS c FROM l WHERE k % 8 = 3) GROUP BY ALL),
+t AS (SELECT project, t, min(idx) AS idx FROM (SELECT project, idx, unnest([n, qq]) AS t FROM l WHERE k % 8 = 4) GROUP BY ALL)
+SELECT project, 'ele.potencia_alimentar_kva' AS key, q || ',5' AS value, idx FROM l WHERE k % 8 = 0
+UNION ALL SELECT project, 'ele.potencia_existente_kva', CAST(q AS VARCHAR), idx FROM l WHERE k % 8 = 1
+UNION ALL SELECT project, 'names.quadros', string_agg(c, ', ' ORDER BY c), min(idx) FROM b GROUP BY project
+UNION ALL SELECT project, 'cabo', 'XV', idx FROM l WHERE k % 8 = 3
+UNION ALL SELECT project, 'types.luminarias', string_agg('L' || t, ', ' ORDER BY t), min(idx) FROM t GROUP BY project
+UNION ALL SELECT project, 'qty.fv_modulos', arg_min(CAST(qq AS VARCHAR), (idx, CAST(qq AS VARCHAR))), min(idx) FROM l WHERE k % 8 = 5 GROUP BY project
+UNION ALL SELECT project, 'fv.potencia_kwp', arg_min(q || ',25', (idx, q || ',25')), min(idx) FROM l WHERE k % 8 = 5 GROUP BY project""")
+
+_COVERS = """CASE n WHEN 1 THEN struct('cover', '', concat('REQUERENTE: ', name, ' ', type)) WHEN 2 THEN struct('cover', '', concat('Localização ', type, ' n.º ', k, ' ;')) WHEN 3 THEN struct('cover', '', concat(1000 + s, '-', 100 + qq, ', Vila ', name))
+WHEN 4 THEN struct('signature', '', concat('Vila ', type, ', maio de ', y)) WHEN 5 THEN struct('signature', '', concat('Ana ', upper(name), ', Eng. eletrotécnica')) WHEN 6 THEN struct('signature', '', concat('Membro da OET: ', s)) ELSE struct('signature', '', concat('e-mail u', k, '@x.pt')) END"""
+
+
+def cover_facts(spark, d):
+    """What covers and signatures say by their labels, the line after a location included."""
+    return extract.identity_facts(_paragraphs(spark, d, _COVERS)).select("project", "key", "value", "idx")
+
+
+add(cover_facts, f"""WITH l AS (SELECT *, l_orderkey AS project, {_IDX} AS idx FROM ({LINES.replace('STRING', 'VARCHAR')})),
+c AS (SELECT *, lag(n) OVER (PARTITION BY project ORDER BY idx, CASE n WHEN 1 THEN 'REQUERENTE: ' || name || ' ' || type WHEN 2 THEN 'Localização ' || type || ' n.º ' || k || ' ;' ELSE (1000 + s) || '-' || (100 + qq) || ', Vila ' || name END) AS prior FROM l WHERE n <= 3),
+e AS (SELECT project, idx, unnest(CASE n WHEN 1 THEN [{{'key': 'id.requerente.nome', 'value': name || ' ' || type}}] WHEN 2 THEN [{{'key': 'id.local.rua', 'value': type || ' n.º ' || k}}] ELSE CASE WHEN prior = 2 THEN [{{'key': 'id.local.cp', 'value': (1000 + s) || '-' || (100 + qq)}}, {{'key': 'id.local.concelho', 'value': 'Vila ' || name}}] END END, recursive := true) FROM c
+UNION ALL SELECT project, idx, unnest(CASE n WHEN 4 THEN [{{'key': 'doc.local', 'value': 'Vila ' || type}}, {{'key': 'doc.data', 'value': 'maio de ' || y}}] WHEN 5 THEN [{{'key': 'tec.nome', 'value': 'Ana ' || upper(name)}}, {{'key': 'tec.titulo', 'value': 'Eng. eletrotécnica'}}] WHEN 6 THEN [{{'key': 'tec.oet', 'value': CAST(s AS VARCHAR)}}] ELSE [{{'key': 'tec.email', 'value': 'u' || k || '@x.pt'}}] END, recursive := true) FROM l WHERE n > 3)
+SELECT project, key, value, idx FROM e""")
+
+_BRANDS = ["Legrand", "Hager", "EFAPEL", "Schneider Electric"]
+_BRAND = chosen("s", "'Legrand'", "'Hager'", "'EFAPEL'", "'Schneider Electric'", "'outra'")
+_LINE = f"""CASE WHEN n % 3 = 1 THEN struct('title', concat('Capítulo ', k), concat('Capítulo ', k, ' ', name)) ELSE struct('line', CAST(NULL AS STRING),
+{chosen("k", f"concat('Tomada ', name, ' da marca ', upper({_BRAND}), ', modelo M', qq, ' com tampa, ou equivalente')", f"concat('Aparelho ', {_BRAND}, ' série S', q, ', ref. ', 10000 + k, ' A')", f"concat('Quadro ', {_BRAND}, ' ', upper(brand), ', ou equivalente')", f"concat(name, ' de ', {_BRAND}, ' composto por peças')")}) END"""
+
+
+def mined_equipment(spark, d):
+    """Equipment that lines of orders name: brand, model, reference, and the chapter above."""
+    p = _paragraphs(spark, d, _LINE)
+    return mining.equipment(p.select("project", "idx", F.col("section").alias("title"), "text"), _BRANDS).drop("text")
+
+
+add(mined_equipment, f"""WITH l AS (SELECT *, l_orderkey AS project, {_IDX} AS idx, CASE WHEN n % 3 = 1 THEN 'Capítulo ' || k END AS title, {_BRAND} AS b FROM ({LINES.replace('STRING', 'VARCHAR')})),
+o AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY project ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS owner FROM l)
+SELECT project, idx, owner, b AS brand, CASE k % 4 WHEN 0 THEN 'M' || qq WHEN 1 THEN 'S' || q ELSE upper(brand) END AS model, CASE WHEN k % 4 = 1 THEN (10000 + k) || ' A' END AS reference, k % 4 <> 1 AS or_equivalent
+FROM o WHERE n % 3 <> 1 AND s % 5 <> 4 AND k % 4 <> 3""")
+
+
+def _said(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null")
+    return docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " ")), " "))).alias("term")).filter("term <> ''"), docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("kind"))
+
+
+_WORDS = r"""w AS (SELECT DISTINCT doc_id, lang, unnest(string_split(trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')), ' ')) AS term FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+o AS (SELECT lang, term, count(*) AS n FROM w WHERE term <> '' GROUP BY ALL)"""
+
+
+def associated_terms(spark, d):
+    """Words that go with a language: twenty of its documents or more hold them."""
+    return mining.associations(*_said(spark, d), 20)
+
+
+add(associated_terms, f"""WITH {_WORDS}, t AS (SELECT term, sum(n) AS m FROM o GROUP BY term), k AS (SELECT lang, count(*) AS c FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang)
+SELECT o.lang AS kind, term, n, CAST(m AS BIGINT) AS of_term, c AS of_kind, CAST((1000000::HUGEINT * n * (SELECT sum(c) FROM k)::HUGEINT) // (m::HUGEINT * c) AS BIGINT) AS lift FROM o JOIN t USING (term) JOIN k ON k.lang = o.lang WHERE n >= 20""")
+
+
+def terms_never_said(spark, d):
+    """Words that every other language has in two documents or more, and one never."""
+    return mining.never_said(*_said(spark, d), 2)
+
+
+add(terms_never_said, f"""WITH {_WORDS}, k AS (SELECT DISTINCT lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), g AS (SELECT term, list(lang) AS l, CAST(sum(n) AS BIGINT) AS elsewhere FROM o GROUP BY term HAVING min(n) >= 2 AND count(*) = (SELECT count(*) FROM k) - 1)
+SELECT lang AS kind, term, elsewhere FROM g JOIN k ON NOT list_contains(l, lang)""")
