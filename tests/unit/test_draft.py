@@ -1,6 +1,5 @@
 import random
 
-import pytest
 
 from veritab.operators import draft
 from veritab.streaming import draft as stream

@@ -2,9 +2,7 @@ import random
 import re
 import unicodedata
 
-import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from veritab.operators import known
 
