@@ -2,50 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritab.sources.stage import dropped, saved, shared_dir
+
+__all__ = ["SPACE", "WORD", "dropped", "let", "saved", "shared_dir", "small", "table"]
+
 #: Words are runs of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets one of its own; a cluster is refused, since each executor would write to
-    its own disk and read back a part only.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set: it names a folder that the driver and all executors share")
-        where = "file:///tmp/checkpoints/veritab"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete what :func:`saved` wrote, once nothing reads it any more."""
-    for t in tables:
-        jvm = t.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.saved_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``then`` as a lambda variable."""
     return F.transform(F.array(value), then)[0]
