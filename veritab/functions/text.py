@@ -25,7 +25,7 @@ def folded_value(s: str) -> str:
 LATIN = [c for c in map(chr, range(0xC0, 0x250)) if len(_bare(c)) == 1]
 UNFOLDED = "".join(map(chr, range(65, 91))) + "".join(LATIN)
 FOLDED = "".join(map(_bare, UNFOLDED))
-PLAIN = "^[\\t\\n\\x0B\\f\\r\\x20-\\x7E–—‘’“”•€" + "".join(LATIN) + "]*$"
+KEPT = "\t\n\x0b\x0c\r" + "".join(map(chr, range(0x20, 0x7F))) + "–—‘’“”•€" + "".join(LATIN)
 
 
 @F.pandas_udf(T.StringType())
@@ -39,7 +39,8 @@ def fold(x: Column) -> Column:
     Texts of ASCII, Latin letters and common signs are folded by built-in functions; only others go through Python.
     """
     plain = F.trim(F.regexp_replace(F.translate(x, UNFOLDED, FOLDED), r"\s+", " "))
-    return F.when(x.rlike(PLAIN), plain).otherwise(_fold_any(F.when(~x.rlike(PLAIN), x)))
+    odd = F.translate(x, KEPT, "") != ""
+    return F.when(~odd, plain).otherwise(_fold_any(F.when(odd, x)))
 
 
 def folded_text(x: Column) -> Column:
