@@ -68,10 +68,10 @@ def text_facts(paragraphs: DataFrame) -> DataFrame:
     return out.unionByName(p.select("project", "piece", "idx", F.explode(cables.designations(F.col("text"))).alias("d")).select(*_fact("cabo", F.col("d.family"))))
 
 
-def identity_facts(paragraphs: DataFrame) -> DataFrame:
+def identity_facts(paragraphs: DataFrame, postal: str = POSTAL) -> DataFrame:
     """(project, piece, key, value, idx) of covers and signatures by their labels.
 
-    The line after a location gives postal code and place. Values are tidied and have LEAST characters at least, but
+    The line after a location gives postal code and place, the two groups of ``postal``. Values are tidied and have LEAST characters at least, but
     for numbers of cards and members. A signature's line of place and date, or of name and title, is read as such.
     """
     lines = paragraphs.filter(F.col("section_kind").isin("cover", "signature") & F.col("text").isNotNull())
@@ -80,7 +80,7 @@ def identity_facts(paragraphs: DataFrame) -> DataFrame:
     got = lambda pattern, group=1: F.regexp_extract("text", pattern, group)
     pair = lambda k, v: F.struct(k.alias("key") if isinstance(k, Column) else F.lit(k).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(v, r"\s+", " ")), r"^[ ,;:]+|[ ,;:]+$", "").alias("value"))
     cover = F.when(F.col("label").isNotNull(), F.array(pair(F.col("label"), F.coalesce(*[F.when(F.col("label") == k, got(rf"(?iu)^\s*(?:{p})\s*:?\s*(.+?)\s*$")) for k, p in COVER]))))
-    cover = cover.when((F.col("prior") == "id.local.rua") & F.col("text").rlike(POSTAL), F.array(pair("id.local.cp", got(POSTAL)), pair("id.local.concelho", got(POSTAL, 2))))
+    cover = cover.when((F.col("prior") == "id.local.rua") & F.col("text").rlike(postal), F.array(pair("id.local.cp", got(postal)), pair("id.local.concelho", got(postal, 2))))
     dated, titled = r"^\s*([^,\d]+?),\s*(\w+\s+de\s+\d{4})\s*\.?\s*$", r"(?i)^\s*([^,\d]+?),\s*(eng\w*\.?\s.*?)\s*$"
     signed = F.when(F.col("text").rlike(dated), F.array(pair("doc.local", got(dated)), pair("doc.data", got(dated, 2)))).when(F.col("text").rlike(titled), F.array(pair("tec.nome", got(titled)), pair("tec.titulo", got(titled, 2))))
     for k, p in SIGNED:
