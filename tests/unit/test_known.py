@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 
 from veritab.operators import known
@@ -94,3 +95,11 @@ def test_long_text_with_many_hits():
     began = time.time()
     assert len(known.places(text, a, [("n", re.compile(r"[0-9]+"))])) == 200_000
     assert time.time() - began < 20
+
+
+def test_beginnings_that_no_value_has_are_not_exchanged(spark):
+    gram = spark.createDataFrame([("joao silva",), ("日本 a",), ("x",)], "gram string")
+    run = known._grams([1, 4, 10], spark.sparkContext.broadcast(known._bits(gram)))
+    texts = pa.RecordBatch.from_arrays([pa.array(["k"]), pa.array(["João Silva viu 日本 a, " + " ".join(map(str, range(2_000)))])], names=["key", "text"])
+    found = [g for b in run(iter([texts])) for g in b.column(1).to_pylist()]
+    assert {"joao silva", "日本 a"} <= set(found) and len(found) < 5

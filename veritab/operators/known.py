@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ BLANKS = "_"
 MOST, MOST_CHARS = 200_000, 2_000_000
 #: Characters of the beginning by which values and texts meet beyond that.
 GRAM = 12
+#: Bits (a power of two) that tell which beginnings no value has: 16 MB, whatever the number of values.
+BITS = 1 << 27
 #: Known values shorter than this are not looked for.
 LEAST = 4
 SPANS = "start int, stop int, kind string, source string, said string"
@@ -131,15 +135,26 @@ def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folded(v.as_py()) for v in b.column(1)], pa.string())], names=["kind", "value"])
 
 
-def _grams(lengths: list[int]) -> Callable:
-    """(key, text) -> (key, gram): what stands at the beginnings of words, once for each text."""
+def _bits(grams: DataFrame) -> bytes:
+    """BITS bits, set where the CRC-32 of a gram falls; put together by Spark, so that at most BITS / 64 numbers come to the driver."""
+    at = grams.select((F.crc32(F.col("gram").cast("binary")) % BITS).alias("at"))
+    words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toArrow()
+    out = np.zeros(BITS // 64, "<i8")
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return out.tobytes()
+
+
+def _grams(lengths: list[int], bits: Broadcast) -> Callable:
+    """(key, text) -> (key, gram): what stands at the beginnings of words, once for each text, where a value may begin so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = bits.value
         for b in batches:
             for key, text in zip(b.column(0), b.column(1), strict=True):
                 low = fold_map(text.as_py())[0]
                 starts = [i for i in range(len(low)) if not i or low[i - 1] not in _WORD]
-                found = list({low[i : i + n] for i in starts for n in lengths})
+                at = {g: zlib.crc32(g.encode()) % BITS for g in {low[i : i + n] for i in starts for n in lengths}}
+                found = [g for g, h in at.items() if some[h >> 3] >> (h & 7) & 1]
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(found), pa.string()), pa.array(found, pa.string())], names=["key", "gram"])
 
     return run
@@ -178,7 +193,7 @@ def personal_spans(docs: DataFrame, id_col: str, text_col: str, values: DataFram
     keyed = rows.withColumn("key", F.sha2("text", 256))
     gram = low.withColumn("gram", F.substring("value", 1, GRAM))
     lengths = sorted(r[0] for r in gram.select(F.length("gram")).distinct().collect())  # GRAM at most
-    met = keyed.select("key", "text").mapInArrow(_grams(lengths), "key string, gram string").distinct().join(gram, "gram")
+    met = keyed.select("key", "text").mapInArrow(_grams(lengths, rows.sparkSession.sparkContext.broadcast(_bits(gram))), "key string, gram string").distinct().join(gram, "gram")
     met = saved(met.groupBy("key").agg(F.collect_list(F.struct("value", "kind")).alias("own")), "met-values")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
