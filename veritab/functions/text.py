@@ -43,6 +43,18 @@ def fold(x: Column) -> Column:
     return F.when(~odd, plain).otherwise(_fold_any(F.when(odd, x)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fold_all(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None else [None if s is None else folded_value(s) for s in v])
+
+
+def fold_each(x: Column) -> Column:
+    """:func:`fold` of each text of an array."""
+    plain = F.transform(x, lambda s: F.trim(F.regexp_replace(F.translate(s, UNFOLDED, FOLDED), r"\s+", " ")))
+    odd = F.translate(F.array_join(x, ""), KEPT, "") != ""
+    return F.when(~odd, plain).otherwise(_fold_all(F.when(odd, x)))
+
+
 def folded_text(x: Column) -> Column:
     """:func:`fold` without closing punctuation at either end."""
     return F.regexp_replace(fold(x), r"^[ .,;:\-–—]+|[ .,;:\-–—]+$", "")

@@ -1,8 +1,11 @@
-"""Two versions of a text, unit by unit: anchors meet by equi-joins, gaps are aligned again in rounds, the rest is classed."""
+"""Two versions of a text, unit by unit: anchors cut gaps, gaps are aligned again in rounds, the rest is classed."""
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
+from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,126 +38,126 @@ def longest_run(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-@F.pandas_udf(_places("a", "b"))
-def _risen(x: pd.Series) -> pd.Series:
-    """Of the anchors of a gap, by their left place, the longest run that rises on the right too."""
-    return x.map(lambda c: [c[i] for i in longest_run([p["b"] for p in c])])
+#: CLOSING as Spark reads it: an end may be followed by one line end.
+_CLOSING = re.compile(CLOSING[:-1] + r"(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)")
+
+
+def anchors(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The longest run of units that stand once on either side; if there are none, of equal ones by their occurrence."""
+    left, right = Counter(x), Counter(y)
+    once = {t: [q] for q, t in enumerate(y) if left[t] == right[t] == 1}
+    places: dict[str, list[int]] = once or {}
+    if not once:
+        for q, t in enumerate(y):
+            places.setdefault(t, []).append(q)
+    met, seen = [], Counter()
+    for p, t in enumerate(x):
+        if seen[t] < len(places.get(t, ())):
+            met.append((p, places[t][seen[t]]))
+            seen[t] += 1
+    return [met[i] for i in longest_run([q for _, q in met])]
+
+
+def splits(x: list[str], y: list[str]) -> list[tuple[int, int, int, int]]:
+    """(a, na, b, nb), in order: units of one side that are the joined text of 2 to 4 units of the other."""
+    found = []
+    for many, one, turned in ((x, y, False), (y, x, True)):
+        places: dict[str, list[int]] = {}
+        for q, t in enumerate(one):
+            if t := _CLOSING.sub("", t):
+                places.setdefault(t, []).append(q)
+        seen: Counter[str] = Counter()
+        for p in range(len(many)):
+            for n in SPLIT:
+                t = _CLOSING.sub("", " ".join(many[p : p + n]))
+                if p + n <= len(many) and seen[t] < len(places.get(t, ())):
+                    q = places[t][seen[t]]
+                    seen[t] += 1
+                    found.append((q, 1, p, n) if turned else (p, n, q, 1))
+    out, a, b = [], 0, 0
+    for p in sorted(found):
+        if p[0] >= a and p[2] >= b:
+            out.append(p)
+            a, b = p[0] + p[1], p[2] + p[3]
+    return out
 
 
 @F.pandas_udf(_places("a", "na", "b", "nb"))
-def _chained(x: pd.Series) -> pd.Series:
-    """Of the splits of a gap, in order, each that begins behind the one before on both sides."""
-
-    def one(c):
-        out, a, b = [], -1, -1
-        for p in c:
-            if p["a"] >= a and p["b"] >= b:
-                out.append(p)
-                a, b = p["a"] + p["na"], p["b"] + p["nb"]
-        return out
+def _anchored(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([[(p, 1, q, 1) for p, q in anchors(list(i), list(j))] for i, j in zip(x, y, strict=True)])
 
-    return x.map(one)
 
+@F.pandas_udf(_places("a", "na", "b", "nb"))
+def _split(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([splits(list(i), list(j)) if len(i) and len(j) else [] for i, j in zip(x, y, strict=True)])
 
-def _gaps(units: DataFrame) -> DataFrame:
-    """Units that have no partner yet, with the number of partners before them: the same on both sides of a gap."""
-    before = F.sum(F.col("met").cast("int")).over(Window.partitionBy("pair", "side").orderBy("pos"))
-    return units.withColumn("gap", before).filter("not met").drop("met")
 
+#: The units of both sides in a stretch: their texts, and as they are compared.
+_SIDES = ("xt", "xf", "yt", "yf")
 
-def _marked(units: DataFrame, places: DataFrame) -> DataFrame:
-    """``units`` with met = true at the ``places`` (pair, side, pos)."""
-    hit = places.select("pair", "side", "pos", F.lit(True).alias("_hit"))
-    return units.join(hit, ["pair", "side", "pos"], "left").withColumn("met", F.col("met") | F.coalesce("_hit", F.lit(False))).drop("_hit")
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("met", T.BooleanType()), *[T.StructField(n, T.IntegerType()) for n in "ab"], *[T.StructField(n, T.ArrayType(T.StringType())) for n in _SIDES]])))
+def _pieces(cuts: pd.Series, a: pd.Series, b: pd.Series, xt: pd.Series, xf: pd.Series, yt: pd.Series, yf: pd.Series) -> pd.Series:
+    """A stretch cut at ``cuts``: these (met), and the gaps before, between and behind them that hold units."""
 
-def _anchors(units: DataFrame) -> DataFrame:
-    """(pair, a, b): in each gap the longest run of units that stand once on either side.
+    def one(cuts, a0, b0, xt, xf, yt, yf):
+        out, a, b = [], 0, 0
+        for c in [*cuts, {"a": len(xt), "na": 0, "b": len(yt), "nb": 0}]:
+            for met, p, p2, q, q2 in ((False, a, c["a"], b, c["b"]), (True, c["a"], c["a"] + c["na"], c["b"], c["b"] + c["nb"])):
+                if p < p2 or q < q2:
+                    out.append((met, a0 + p, b0 + q, xt[p:p2], xf[p:p2], yt[q:q2], yf[q:q2]))
+            a, b = c["a"] + c["na"], c["b"] + c["nb"]
+        return out
+
+    return pd.Series([one(*r) for r in zip(cuts, a, b, xt, xf, yt, yf, strict=True)])
 
-    A gap without such units takes those of equal text and equal number of occurrence instead.
-    """
-    u = _gaps(units.repartition("pair"))
-    same, gap = Window.partitionBy("pair", "gap", "norm"), Window.partitionBy("pair", "gap")
-    once = (F.count_if(F.col("side") == 0).over(same) == 1) & (F.count_if(F.col("side") == 1).over(same) == 1)
-    u = u.withColumn("once", once).withColumn("some", F.max("once").over(gap))
-    u = u.withColumn("nth", F.row_number().over(Window.partitionBy("pair", "gap", "norm", "side").orderBy("pos")))
-    at = lambda side: F.min(F.when(F.col("side") == side, F.col("pos")))
-    met = u.filter("once or not some").groupBy("pair", "gap", "norm", "nth").agg(at(0).alias("a"), at(1).alias("b")).filter("a is not null and b is not null")
-    runs = met.groupBy("pair", "gap").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("c"))
-    return runs.select("pair", F.explode(_risen("c")).alias("x")).select("pair", "x.*")
-
-
-def _splits(units: DataFrame) -> DataFrame:
-    """(pair, a, na, b, nb): units of one side that are the joined text of 2 to 4 units of the other."""
-    u = _gaps(units)
-    w = Window.partitionBy("pair", "gap", "side").orderBy("pos")
-    joined = lambda k: F.when(F.lead("pos", k - 1).over(w).isNotNull(), F.regexp_replace(F.concat_ws(" ", "folded", *[F.lead("folded", j).over(w) for j in range(1, k)]), CLOSING, ""))
-    runs = u.withColumn("x", F.array(*[F.struct(F.lit(k).alias("n"), joined(k).alias("norm")) for k in SPLIT]))
-    runs = runs.select("pair", "gap", "side", "pos", F.explode("x").alias("x")).select("pair", "gap", "side", "pos", "x.*").filter("norm <> ''")
-    ones = u.filter("norm <> ''").select("pair", "gap", (1 - F.col("side")).alias("side"), F.col("pos").alias("one"), "norm")
-    nth = lambda at: F.row_number().over(Window.partitionBy("pair", "gap", "side", "norm").orderBy(*at))
-    met = runs.withColumn("nth", nth(["pos", "n"])).join(ones.withColumn("nth", nth(["one"])), ["pair", "gap", "side", "norm", "nth"])
-    left = F.col("side") == 0
-    pick = F.struct(F.when(left, F.col("pos")).otherwise(F.col("one")).alias("a"), F.when(left, F.col("n")).otherwise(1).alias("na"), F.when(left, F.col("one")).otherwise(F.col("pos")).alias("b"), F.when(left, 1).otherwise(F.col("n")).alias("nb"))
-    chains = met.groupBy("pair", "gap").agg(F.array_sort(F.collect_list(pick)).alias("c"))
-    return chains.select("pair", F.explode(_chained("c")).alias("x")).select("pair", "x.*")
-
-
-def _spread(places: DataFrame, side: int, at: str, n: str) -> DataFrame:
-    return places.select("pair", F.lit(side).alias("side"), F.explode(F.sequence(F.col(at), F.col(at) + F.col(n) - 1)).alias("pos"))
+
+def _cut(gaps: DataFrame, kept: tuple[str, ...] = ("pair",)) -> DataFrame:
+    return gaps.select(*kept, F.explode(_pieces("cuts", "a", "b", *_SIDES)).alias("p")).select(*kept, "p.*")
 
 
 def classes(units: DataFrame) -> DataFrame:
+    """:func:`aligned` of units as rows: pair, side (0 or 1), pos (0, 1, ... on each side), text and folded.
+
+    Null texts and folded texts count as empty. Rows with a null pair are left out.
+    """
+    u = units.filter("pair is not null").select("pair", "side", F.struct(F.col("pos").cast("int"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("folded", F.lit("")).alias("folded")).alias("u"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("u"))))
+    g = u.groupBy("pair").agg(of(0).alias("x"), of(1).alias("y"))
+    return aligned(g.select("pair", F.col("x.text").alias("xt"), F.col("x.folded").alias("xf"), F.col("y.text").alias("yt"), F.col("y.folded").alias("yf")))
+
+
+def aligned(lists: DataFrame) -> DataFrame:
     """(pair, class, a, na, b, nb, left, right) of two versions of a text.
 
-    ``units`` has pair, side (0 or 1), pos (0, 1, ... on each side), text and folded (the text as it is compared).
-    Units that stand once on both sides of a gap meet by their text; the longest run of them in the order of both
-    sides is kept (patience), what lies between two of them is a gap of the next round, until no gap has a text on
-    both sides. Then units that equal 2 to 4 joined units of the other side are ``split``, and of what is left
-    between, whole gaps of equal joined text are ``split`` too, others ``different`` if both sides have units and
-    ``lone`` if one has. ``a``, ``b`` are first places (null where a side has none) and ``na``, ``nb`` numbers of units.
+    ``lists`` has a row for each pair: its units on the left (``xt``, and ``xf`` as they are compared) and on the
+    right (``yt``, ``yf``), no nulls among them. Units that stand once on both sides of a gap meet by their text; the
+    longest run of them in the order of both sides is kept (patience), what lies between two of them is a gap of the
+    next round, until no gap has a text on both sides. Then units that equal 2 to 4 joined units of the other side are
+    ``split``, and of what is left between, whole gaps of equal joined text are ``split`` too, others ``different`` if
+    both sides have units and ``lone`` if one has. ``a``, ``b`` are first places (null where a side has none) and
+    ``na``, ``nb`` numbers of units.
 
-    Null texts and folded texts count as empty; an empty unit equals an empty one and is never part of a split
-    alone. Rows with a null pair are left out. A pair's units must fit a task; pairs are spread over tasks. Each round
-    is written to the shared folder.
+    An empty unit equals an empty one and is never part of a split alone. A gap is a row with its units, so that
+    rounds exchange nothing; each writes the gaps that it cuts, once, to the shared folder. A pair must fit a task.
     """
-    start = units.filter("pair is not null").select("pair", F.col("side").cast("int").alias("side"), F.col("pos").cast("int").alias("pos"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("folded", F.lit("")).alias("folded"))
-    now = saved(start.withColumn("norm", F.regexp_replace("folded", CLOSING, "")).withColumn("met", F.lit(False)), "units")
-    equal = []
+    norm = lambda c: F.transform(c, lambda x: F.regexp_replace(x, CLOSING, ""))
+    meets = F.arrays_overlap(norm("xf"), norm("yf"))
+    start = lists.filter("pair is not null").select("pair", F.lit(0).alias("a"), F.lit(0).alias("b"), *_SIDES)
+    now, rounds = saved(start.withColumn("cuts", _anchored(norm("xf"), norm("yf"))), "gaps"), []
     while True:
-        found = saved(_anchors(now), "anchors")
-        if found.isEmpty():
-            dropped(found)
+        rounds.append(now)
+        now = saved(_cut(now.filter(F.size("cuts") > 0)).filter(~F.col("met") & meets).drop("met").withColumn("cuts", _anchored(norm("xf"), norm("yf"))), "gaps")
+        if now.isEmpty():
+            dropped(now)
             break
-        equal.append(found)
-        sides = found.select("pair", F.lit(0).alias("side"), F.col("a").alias("pos")).unionByName(found.select("pair", F.lit(1).alias("side"), F.col("b").alias("pos")))
-        after = saved(_marked(now, sides), "units")
-        dropped(now)
-        now = after
-    split = saved(_splits(now), "splits")
-    rest = _gaps(_marked(now, _spread(split, 0, "a", "na").unionByName(_spread(split, 1, "b", "nb"))))
-    # gaps between the splits too: the places of both sides rise together, so the numbers of pieces before them agree
-    cuts = split.select("pair", F.col("a").alias("p0"), F.col("b").alias("p1"), "na", "nb")
-    none = F.lit(None).cast("int")
-    steps = cuts.select("pair", F.lit(0).alias("side"), F.col("p0").alias("pos")).unionByName(cuts.select("pair", F.lit(1).alias("side"), F.col("p1").alias("pos"))).withColumn("step", F.lit(1))
-    for e in equal:
-        steps = steps.unionByName(e.select("pair", F.lit(0).alias("side"), F.col("a").alias("pos"), F.lit(1).alias("step"))).unionByName(e.select("pair", F.lit(1).alias("side"), F.col("b").alias("pos"), F.lit(1).alias("step")))
-    both = rest.drop("gap").withColumn("step", F.lit(0)).unionByName(steps, allowMissingColumns=True)
-    both = both.withColumn("gap", F.sum("step").over(Window.partitionBy("pair", "side").orderBy("pos"))).filter("step = 0")
-    of = lambda side, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", c)))), lambda x: x[c]), " ")
-    at = lambda side: F.min(F.when(F.col("side") == side, F.col("pos")))
-    left = both.groupBy("pair", "gap").agg(at(0).alias("a"), F.count_if(F.col("side") == 0).cast("int").alias("na"), at(1).alias("b"), F.count_if(F.col("side") == 1).cast("int").alias("nb"), of(0, "folded").alias("x"), of(1, "folded").alias("y"), of(0, "text").alias("left"), of(1, "text").alias("right"))
-    form = lambda c: F.regexp_replace(c, CLOSING, "")
-    kind = F.when(F.col("a").isNull() | F.col("b").isNull(), "lone").when(form("x") == form("y"), "split").otherwise("different")
-    out = left.select("pair", kind.alias("class"), "a", "na", "b", "nb", "left", "right")
-    text = now.select("pair", "side", "pos", "text")
-    whole = split.withColumn("class", F.lit("split"))
-    for e in equal:
-        whole = whole.unionByName(e.select("pair", F.lit("equal").alias("class"), "a", F.lit(1).alias("na"), "b", F.lit(1).alias("nb")))
-    pieces = whole.select("*", F.posexplode(F.array(F.struct(F.lit(0).alias("side"), F.sequence(F.col("a"), F.col("a") + F.col("na") - 1).alias("p")), F.struct(F.lit(1).alias("side"), F.sequence(F.col("b"), F.col("b") + F.col("nb") - 1).alias("p")))).alias("_i", "s"))
-    pieces = pieces.select("pair", "class", "a", "na", "b", "nb", "s.side", F.explode("s.p").alias("pos")).join(text, ["pair", "side", "pos"])
-    told = pieces.groupBy("pair", "class", "a", "na", "b", "nb").agg(of(0, "text").alias("left"), of(1, "text").alias("right"))
-    return told.unionByName(out.withColumns({"left": F.when(F.col("a").isNotNull(), F.col("left")), "right": F.when(F.col("b").isNotNull(), F.col("right"))})).withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
+    ends = reduce(DataFrame.unionByName, [_cut(r) for r in rounds]).filter(F.col("met") | ~meets).withColumnRenamed("met", "same")
+    p = _cut(ends.withColumn("cuts", _split("xf", "yf")), ("pair", "same"))
+    form = lambda c: F.regexp_replace(F.array_join(c, " "), CLOSING, "")
+    one = (F.size("xt") == 0) | (F.size("yt") == 0)
+    kind = F.when(F.col("same"), "equal").when(F.col("met"), "split").when(one, "lone").when(form("xf") == form("yf"), "split").otherwise("different")
+    has = lambda c, v: F.when(F.size(c) > 0, v)
+    return p.select("pair", kind.alias("class"), has("xt", F.col("a")).alias("a"), F.size("xt").alias("na"), has("yt", F.col("b")).alias("b"), F.size("yt").alias("nb"), has("xt", F.array_join("xt", " ")).alias("left"), has("yt", F.array_join("yt", " ")).alias("right"))
 
 
 def modes(pieces: DataFrame, keys: Column, personal: Column) -> DataFrame:

@@ -18,10 +18,11 @@ from veritab.sources.tables import table
 def aligned_turns(spark, d):
     """Words of two neighbouring turns of a conversation: equal, split, different, lone. No SQL: the rounds of gaps are
     tested against a recursion that compares all pairs."""
-    c = table(spark, d, "conversations").withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("next is not null")
-    pairs = c.select(F.concat_ws(":", "conv_id", "turn", "role").alias("pair"), F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("next").alias("text")))).alias("x"))
-    words = pairs.select("pair", "x.side", F.posexplode(F.split(F.trim(F.regexp_replace("x.text", r"\s+", " ")), " ")).alias("pos", "text"))
-    return blocks.classes(words.withColumn("folded", text.fold(F.col("text"))))
+    c = table(spark, d, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+    c = c.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).filter("next is not null")
+    words = lambda t: F.coalesce(F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " "), F.array().cast("array<string>"))
+    c = c.select(F.concat_ws(":", "conv_id", "turn", "role").alias("pair"), words("text").alias("xt"), words("next").alias("yt"))
+    return blocks.aligned(c.withColumns({"xf": text.fold_each(F.col("xt")), "yf": text.fold_each(F.col("yt"))}))
 
 
 def _openings(spark, d):
