@@ -27,21 +27,39 @@ def consolidate(candidates: DataFrame, by: list[str], source: str, order: str, f
     return per.select(*by, F.when(F.col("n_forms") == 1, F.col("_only")).alias("value"), status.alias("status"), "n_sources", "n_forms", "candidates")
 
 
+def best_rows(lefts: DataFrame, rights: DataFrame, scored: DataFrame, scope: str, left_id: str, right_id: str, ends: list[tuple[str, str]]) -> DataFrame:
+    """(left id, right id, score, is_unique) of the best names of each left row.
+
+    ``scored`` has scope, the names of ``ends`` (left and right column each) and a positive score, once for each pair
+    of names that fit. Names are many fewer than rows: the best ones are found and their rows counted among names, so
+    only pairs of rows that are part of the result are made, at the end, and none of them is exchanged or sorted.
+    Repeated rows count once; a left id of several names takes the best of all.
+    """
+    ls, rs = [x for x, _ in ends], [y for _, y in ends]
+    lefts, rights = lefts.select(scope, left_id, *ls).distinct(), rights.select(scope, right_id, *rs).distinct()
+    names = Window.partitionBy(scope, *ls)
+    best = scored.join(rights.groupBy(scope, *rs).agg(F.count(F.lit(1)).alias("_n")), [scope, *rs])
+    best = best.withColumn("_top", F.max("score").over(names)).filter("score = _top").withColumn("_n", F.sum("_n").over(names))
+    row = Window.partitionBy(left_id)
+    tops = lefts.join(best.select(scope, *ls, "score", "_n").distinct(), [scope, *ls]).withColumn("_top", F.max("score").over(row)).filter("score = _top")
+    tops = tops.select(scope, left_id, *ls, "score", (F.sum("_n").over(row) == 1).alias("is_unique"))
+    found = best.select(scope, *ls, *rs).join(rights, [scope, *rs]).select(scope, *ls, right_id)
+    return tops.join(found, [scope, *ls]).select(left_id, right_id, "score", "is_unique")
+
+
 def best_matches(left: DataFrame, right: DataFrame, scope: str, left_id: str, right_id: str, left_core: str, right_core: str) -> DataFrame:
     """(left id, right id, score, unique): all right rows of the scope with the best positive score of a left row.
 
     Equal names meet by an equi-join; names that begin alike meet on the shorter one's own prefixes, so no scope is
-    joined with itself whole.
+    joined with itself whole. Each name meets once, whatever the number of its rows.
     """
-    lefts, rights = left.select(scope, left_id, left_core), right.select(scope, right_id, right_core)
+    lefts, rights = left.select(scope, left_core).distinct(), right.select(scope, right_core).distinct()
     ends = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.col(c).substr(F.lit(1), i))
     a = lefts.withColumn("_k", F.explode(ends(left_core))).join(rights.withColumn("_k", F.col(right_core)), [scope, "_k"])
     b = lefts.withColumn("_k", F.col(left_core)).join(rights.withColumn("_k", F.explode(ends(right_core))), [scope, "_k"])
-    both = a.select(left_id, right_id, left_core, right_core).unionByName(b.select(left_id, right_id, left_core, right_core)).distinct()
+    both = a.select(scope, left_core, right_core).unionByName(b.select(scope, left_core, right_core)).distinct()
     scored = both.withColumn("score", match_score(F.col(left_core), F.col(right_core))).filter("score > 0")
-    w = Window.partitionBy(left_id)
-    best = scored.withColumn("_top", F.max("score").over(w)).filter("score = _top")
-    return best.select(left_id, right_id, "score", (F.count(F.lit(1)).over(w) == 1).alias("is_unique"))
+    return best_rows(left, right, scored, scope, left_id, right_id, [(left_core, right_core)])
 
 
 def changed_cells(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
