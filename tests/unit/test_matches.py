@@ -1,7 +1,7 @@
 import random
 import re
 
-from veritab.operators import merge
+from veritab.operators import links, merge
 
 
 def score(a, b):
@@ -40,3 +40,15 @@ def test_best_matches(spark):
         got = merge.best_matches(a, b, "s", "l", "r", "x", "y")
         assert narrow(got)
         assert sorted(map(tuple, got.collect())) == sorted(best(left, right, lambda p, q: score(p[0], q[0])))
+
+
+def test_best_by_both_ends(spark):
+    r = random.Random(5)
+    for n, m in ((40, 30), (4, 60), (5, 0)):
+        left, right = rows(r, n, 2), rows(r, m, 2)
+        a = spark.createDataFrame(left, "s int, l int, origin string, destination string")
+        b = spark.createDataFrame(right, "s int, r int, origin string, destination string")
+        got = links.best_by_both_ends(a, b, "s", "l", "r")
+        fits = lambda p, q: (f + s) if (f := score(p[0], q[0])) and (s := score(p[1], q[1])) else 0
+        assert narrow(got)
+        assert sorted(map(tuple, got.collect())) == sorted(best(left, right, fits))

@@ -6,26 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.text import match_score
+from veritab.operators.merge import best_rows
 
 
 def best_by_both_ends(left: DataFrame, right: DataFrame, scope: str, left_id: str, right_id: str, ends: tuple[str, str] = ("origin", "destination")) -> DataFrame:
     """(left id, right id, score, is_unique): right rows of the scope that fit both ends, with the best sum of scores.
 
     ``ends`` are columns of cores on both sides. Equal cores and cores that begin alike meet by equi-joins on the
-    beginnings of the first end; the second end is scored on those that met.
+    beginnings of the first end; the second end is scored on those that met. Each pair of cores meets once, whatever
+    the number of its rows.
     """
     a, b = ends
     lefts = left.select(scope, left_id, F.col(a).alias("la"), F.col(b).alias("lb")).filter("la <> '' and lb <> ''")
     rights = right.select(scope, right_id, F.col(a).alias("ra"), F.col(b).alias("rb")).filter("ra <> '' and rb <> ''")
+    ls, rs = lefts.select(scope, "la", "lb").distinct(), rights.select(scope, "ra", "rb").distinct()
     starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.col(c).substr(F.lit(1), i)))
-    one = lefts.withColumn("_k", starts("la")).join(rights.withColumn("_k", F.col("ra")), [scope, "_k"])
-    two = lefts.withColumn("_k", F.col("la")).join(rights.withColumn("_k", starts("ra")), [scope, "_k"])
+    one = ls.withColumn("_k", starts("la")).join(rs.withColumn("_k", F.col("ra")), [scope, "_k"])
+    two = ls.withColumn("_k", F.col("la")).join(rs.withColumn("_k", starts("ra")), [scope, "_k"])
     met = one.unionByName(two).drop("_k").distinct()
     first, second = match_score(F.col("la"), F.col("ra")), match_score(F.col("lb"), F.col("rb"))
-    scored = met.withColumns({"_f": first, "_s": second}).filter("_f > 0 and _s > 0").withColumn("score", F.col("_f") + F.col("_s"))
-    w = Window.partitionBy(left_id)
-    best = scored.withColumn("_top", F.max("score").over(w)).filter("score = _top")
-    return best.select(left_id, right_id, "score", (F.count(F.lit(1)).over(w) == 1).alias("is_unique"))
+    scored = met.withColumns({"_f": first, "_s": second}).filter("_f > 0 and _s > 0").withColumn("score", F.col("_f") + F.col("_s")).drop("_f", "_s")
+    return best_rows(lefts, rights, scored, scope, left_id, right_id, [("la", "ra"), ("lb", "rb")])
 
 
 def kept_links(new: DataFrame, old: DataFrame, keys: list[str], link: str) -> DataFrame:
