@@ -145,7 +145,10 @@ def calc_values(rows: DataFrame) -> DataFrame:
 
 
 def scaled(values: DataFrame, scales: DataFrame) -> DataFrame:
-    """``values`` (key, value) as numbers times the scale of their key, where ``scales`` (key, scale) has one."""
-    s = scales.select(F.col("key").alias("_k"), "scale")
+    """``values`` (key, value) as numbers times the scale of their key, where ``scales`` (key, scale) has one.
+
+    The map is a small table and goes to every task; values of a few keys are not dealt by them.
+    """
+    s = F.broadcast(scales.select(F.col("key").alias("_k"), "scale"))
     j = values.join(s, F.col("key") == F.col("_k"), "left")
     return j.withColumn("number", ingest_number(F.col("value")) * F.coalesce("scale", F.lit(1.0))).drop("_k", "scale")
