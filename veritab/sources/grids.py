@@ -79,37 +79,45 @@ def typed(field: str, raw: Column) -> Column:
     return F.trim(raw)
 
 
-def _headed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(header, rest) of the first sheet of each workbook that has a header.
+def _headed(cells: DataFrame) -> DataFrame:
+    """(path, sheet_no, row, col, value, w, number, top, two): cells of the first sheet of each workbook that has a header.
 
-    header: (path, sheet_no, col, w, text, nth of its field); rest: the cells below it. The header is the first row
-    with ORIGEM and DESTINO; a next row of two texts or more without a number is its second line and names the columns
-    where it has text.
+    The header is the first row with ORIGEM and DESTINO (``top``); a next row of two texts or more without a number is
+    its second line (``two`` = 1). Folded cells are dealt by workbook once (Python evaluation would lose the dealing), and all
+    that follows is told inside it by windows.
     """
-    c = cells.select("path", "sheet_no", "row", "col", "value").filter(F.trim("value") != "").withColumns({"w": fold(F.col("value")), "number": ingest_number(F.col("value")).isNotNull()})
-    rows = c.groupBy("path", "sheet_no", "row").agg((F.max(F.col("w").startswith("origem")) & F.max(F.col("w").startswith("destino"))).alias("head"), F.count(F.lit(1)).alias("n"), F.max("number").alias("numbers"))
-    top = rows.filter(F.col("head") & (F.col("row") <= HEADER_ROWS)).groupBy("path").agg(F.min(F.struct("sheet_no", "row")).alias("at")).select("path", "at.sheet_no", F.col("at.row").alias("top"))
-    second = rows.join(top, ["path", "sheet_no"]).filter((F.col("row") == F.col("top") + 1) & (F.col("n") >= 2) & ~F.col("numbers")).select("path", F.lit(1).alias("two"))
-    top = top.join(second, "path", "left").select("path", "sheet_no", "top", F.coalesce("two", F.lit(0)).alias("two"))
-    c = c.join(top, ["path", "sheet_no"])
-    named = c.filter(F.col("row").between(F.col("top"), F.col("top") + F.col("two"))).groupBy("path", "sheet_no", "col").agg(F.max_by(F.struct("w", "value"), "row").alias("h"))
-    named = named.select("path", "sheet_no", "col", "h.w", F.col("h.value").alias("text"), field_of(F.col("h.w")).alias("field"))
-    named = named.withColumn("nth", F.when(F.col("field").isNotNull(), F.row_number().over(Window.partitionBy("path", "field").orderBy("col"))))
-    return named, c.filter(F.col("row") > F.col("top") + F.col("two"))
+    c = cells.select("path", "sheet_no", "row", "col", "value").filter(F.trim("value") != "")
+    c = c.withColumns({"w": fold(F.col("value")), "number": ingest_number(F.col("value")).isNotNull()})
+    c = c.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    row, book = Window.partitionBy("path", "sheet_no", "row"), Window.partitionBy("path")
+    begins = lambda x: F.max(F.col("w").startswith(x)).over(row)
+    c = c.withColumns({"_head": begins("origem") & begins("destino"), "_n": F.count(F.lit(1)).over(row), "_numbers": F.max("number").over(row)})
+    c = c.withColumn("_at", F.min(F.when(F.col("_head") & (F.col("row") <= HEADER_ROWS), F.struct("sheet_no", "row"))).over(book)).filter(F.col("sheet_no") == F.col("_at.sheet_no"))
+    c = c.withColumn("top", F.col("_at.row"))
+    second = (F.col("row") == F.col("top") + 1) & (F.col("_n") >= 2) & ~F.col("_numbers")
+    return c.withColumn("two", F.max(F.when(second, 1).otherwise(0)).over(book)).drop("_head", "_n", "_numbers", "_at")
+
+
+#: Whether a cell of :func:`_headed` is part of the header.
+_NAMING = "row BETWEEN top AND top + two"
 
 
 def calc_rows(cells: DataFrame) -> DataFrame:
     """(path, sheet_no, row, section, a column for each field, section_mm2): rows of the calculation table, typed.
 
-    Of each workbook the first sheet with a header is read, see :func:`_headed`; of columns with one field the first
-    counts. A row with one text and no destination is a section line for the rows below it; rows without origin and
-    destination are left out. Numbers and codes that a cell does not hold are null. ``section_mm2`` is read from the
-    cable's name. Repeated cells of one place: the greatest text counts. No header: no rows.
+    Of each workbook the first sheet with a header is read, see :func:`_headed`; a second line names the columns where
+    it has text, and of columns with one field the first counts. A row with one text and no destination is a section
+    line for the rows below it; rows without origin and destination are left out. Numbers and codes that a cell does
+    not hold are null. ``section_mm2`` is read from the cable's name. Repeated cells of one place: the greatest text
+    counts. No header: no rows.
     """
-    named, below = _headed(cells)
-    data = below.join(named.filter("nth = 1").select("path", "col", "field"), ["path", "col"], "left")
+    c = _headed(cells)
+    named = F.when(F.expr(_NAMING), F.struct("row", "w", F.col("value").alias("text"), field_of(F.col("w")).alias("field")))
+    c = c.withColumn("field", F.max(named).over(Window.partitionBy("path", "col"))["field"])
+    first = F.min(F.when(F.col("field").isNotNull(), F.col("col"))).over(Window.partitionBy("path", "field"))
+    data = c.withColumn("_first", first).filter("row > top + two").withColumn("field", F.when(F.col("col") == F.col("_first"), F.col("field")))
     of = [F.max(F.when(F.col("field") == f, F.trim("value"))).alias(f) for f in FIELDS]
-    r = data.groupBy("path", "sheet_no", "row").agg(*of, F.count_distinct("col").alias("n"), F.max("number").alias("numbers"), F.max(F.trim("value")).alias("only"))
+    r = data.groupBy("path", "sheet_no", "row").agg(*of, F.size(F.collect_set("col")).alias("n"), F.max("number").alias("numbers"), F.max(F.trim("value")).alias("only"))
     line = (F.col("n") == 1) & ~F.col("numbers") & F.col("destination").isNull()
     w = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("section", F.last(F.when(line, F.col("only")), ignorenulls=True).over(w))
@@ -119,7 +127,9 @@ def calc_rows(cells: DataFrame) -> DataFrame:
 
 def calc_warnings(cells: DataFrame) -> DataFrame:
     """(path, warning): columns of the header that no pattern knows, or whose field an earlier column has."""
-    named, _ = _headed(cells)
+    named = _headed(cells).filter(_NAMING).groupBy("path", "col").agg(F.max(F.struct("row", "w", F.col("value").alias("text"))).alias("h"))
+    named = named.select("path", "col", "h.w", "h.text", field_of(F.col("h.w")).alias("field"))
+    named = named.withColumn("nth", F.row_number().over(Window.partitionBy("path", "field").orderBy("col")))
     odd = F.when(F.col("field").isNull(), ~F.col("w").rlike(UNUSED)).otherwise(F.col("nth") > 1)
     label = F.substring(F.regexp_replace(F.trim("text"), r"\s+", " "), 1, 60)
     return named.filter(odd).select("path", F.concat(F.lit("Coluna não reconhecida: «"), label, F.lit("».")).alias("warning"))
@@ -128,20 +138,18 @@ def calc_warnings(cells: DataFrame) -> DataFrame:
 def calc_values(rows: DataFrame) -> DataFrame:
     """(path, key, value): what a project takes from the table: power and supply of the first row, the boards and cables.
 
-    A board is an origin or destination that is named as one; lists are in order of appearance.
+    A board is an origin or destination that is named as one; lists are in order of appearance. The rows are read once
+    and a workbook is one group.
     """
-    first = first_per(rows, ["path"], F.col("row"))
-    phases = F.when(F.col("phases") == 3, "Trif").when(F.col("phases") == 1, "Mono")
-    of = first.select("path", F.explode(F.array(F.struct(F.lit("ele.potencia_alimentar_kva").alias("key"), F.col("kva").cast("string").alias("value")), F.struct(F.lit("ele.entrada").alias("key"), phases.alias("value")))).alias("x")).select("path", "x.*").filter("value is not null")
-
-    def listed(key: str, *names: str) -> DataFrame:
-        one = rows.select("path", "row", F.posexplode(F.array(*names)).alias("at", "v")).filter("v is not null")
-        if key == "ele.quadros":
-            one = one.filter(F.col("v").rlike(r"(?i)^q\b|^q\.|^quadro"))
-        one = one.groupBy("path", "v").agg(F.min(F.struct("row", "at")).alias("o")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("l"))
-        return one.select("path", F.lit(key).alias("key"), F.array_join(F.transform("l", lambda x: x["v"]), "; ").alias("value"))
-
-    return of.unionByName(listed("ele.quadros", "origin", "destination")).unionByName(listed("ele.cabos", "cable_raw"))
+    g = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row", "kva", "phases", "origin", "destination", "cable_raw"))).alias("r"))
+    first = F.col("r")[0]
+    phases = F.when(first["phases"] == 3, "Trif").when(first["phases"] == 1, "Mono")
+    boards = F.filter(F.flatten(F.transform("r", lambda x: F.array(x["origin"], x["destination"]))), lambda v: v.rlike(r"(?i)^q\b|^q\.|^quadro"))
+    cables = F.filter(F.transform("r", lambda x: x["cable_raw"]), lambda v: v.isNotNull())
+    listed = lambda x: F.when(F.size(x) > 0, F.array_join(F.array_distinct(x), "; "))
+    told = {"ele.potencia_alimentar_kva": first["kva"].cast("string"), "ele.entrada": phases, "ele.quadros": listed(boards), "ele.cabos": listed(cables)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in told.items()]))
+    return g.select("path", each.alias("x")).select("path", "x.*").filter("value is not null")
 
 
 def scaled(values: DataFrame, scales: DataFrame) -> DataFrame:
