@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from veritab.functions import text
 from veritab.sources import grids
 
 
@@ -6,3 +9,10 @@ def test_values_are_not_dealt_by_key(spark):
     out = grids.scaled(values, spark.createDataFrame([("A", 100.0)], "key string, scale double"))
     assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, (r.number for r in out.collect()))) == ["150.0", "2.0", "3.0", "None"]
+
+
+def test_core_folds_a_name_once(spark):
+    name = F.concat(F.lit("Quadro Q.P. Á"), F.col("id"))
+    out = spark.range(2).groupBy(text.core(name).alias("c")).count()
+    assert out._jdf.queryExecution().analyzed().toString().count("Quadro Q.P.") <= 6  # thrice in each of the two lists
+    assert sorted(r.c for r in out.collect()) == ["A0", "A1"]

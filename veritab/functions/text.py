@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritab.functions import numbers
+from veritab.functions.spans import let
 
 
 def _bare(s: str) -> str:
@@ -38,9 +39,8 @@ def fold(x: Column) -> Column:
 
     Texts of ASCII, Latin letters and common signs are folded by built-in functions; only others go through Python.
     """
-    plain = F.trim(F.regexp_replace(F.translate(x, UNFOLDED, FOLDED), r"\s+", " "))
-    odd = F.translate(x, KEPT, "") != ""
-    return F.when(~odd, plain).otherwise(_fold_any(F.when(odd, x)))
+    plain = lambda v: F.when(F.translate(v, KEPT, "") == "", F.trim(F.regexp_replace(F.translate(v, UNFOLDED, FOLDED), r"\s+", " ")))
+    return F.coalesce(let(x, plain), _fold_any(F.when(F.translate(x, KEPT, "") != "", x)))  # x is worked out once for the fold
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -77,8 +77,8 @@ MAIN = ("QE", "QEG", "QGBT", "QG")
 
 def core(name: Column) -> Column:
     """Upper-case letters and digits of a board's name without accents and prefix; the entry and the main board by one name each."""
-    bare = F.regexp_replace(F.upper(fold(F.regexp_replace(name, r"(?i)^\s*quadro\s+", ""))), "[^0-9A-Z]", "")
-    return F.when(bare.isin(*ENTRY), "PORTINHOLA").when(bare.isin(*MAIN), "QEG").otherwise(F.regexp_replace(bare, "^QP?(?=[0-9A-Z])", ""))
+    named = lambda b: F.when(b.isin(*ENTRY), "PORTINHOLA").when(b.isin(*MAIN), "QEG").otherwise(F.regexp_replace(b, "^QP?(?=[0-9A-Z])", ""))
+    return let(F.regexp_replace(F.upper(fold(F.regexp_replace(name, r"(?i)^\s*quadro\s+", ""))), "[^0-9A-Z]", ""), named)
 
 
 def same_board(a: Column, b: Column) -> Column:
