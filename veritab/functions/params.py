@@ -60,6 +60,11 @@ PARAMS = {
     "cpr_class": ("", "class", r"(?i)\b(A1ca|A2ca|B1ca|B2ca|Cca|Dca|Eca|Fca)\b"),
     "dimensions_mm": ("mm", "text", r"(?i)(\d+(?:[.,]\d+)?\s?[x×]\s?\d+(?:[.,]\d+)?(?:\s?[x×]\s?\d+(?:[.,]\d+)?)?)\s?mm\b"),
 }
+#: Cheap patterns that stand in every text where the parameter does: texts without them are not searched for it.
+GATES = {
+    "icc_ka": r"(?i)\d\s?kA", "power_kw": r"(?i)\d\s?kW", "peak_power_wp": r"\d\s?Wp", "luminous_flux_lm": r"(?i)\d\s?lm", "color_temperature_k": r"(?i)\d\s?K", "voltage_v": r"(?i)\d\s?V",
+    "detection_range_m": r"(?iu)\d\s?m", "detection_angle_deg": "[º°]", "efficiency_pct": "%", "cpr_class": r"(?i)\dca|[CDEF]ca", "dimensions_mm": "[x×X]",
+}
 
 
 def _value(name: str, raw: Column) -> Column:
@@ -81,7 +86,7 @@ def read(text: Column) -> Column:
 
     def of(name: str) -> Column:
         unit, _, pattern = PARAMS[name]
-        return F.transform(found(text, pattern, 1), lambda s: F.struct(s["start"].alias("start"), F.lit(name).alias("name"), _value(name, s["text"]).alias("value"), F.lit(unit).alias("unit")))
+        return F.transform(found(text, pattern, 1, GATES.get(name)), lambda s: F.struct(s["start"].alias("start"), F.lit(name).alias("name"), _value(name, s["text"]).alias("value"), F.lit(unit).alias("unit")))
 
     return F.sort_array(F.concat(*map(of, PARAMS)))
 

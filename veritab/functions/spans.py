@@ -32,22 +32,39 @@ def running(numbers: Column) -> Column:
     return let(numbers, sums)
 
 
-def found(text: Column, pattern: str, group: int = 0) -> Column:
+#: Characters that stand around a match, and between it and its group, while places are counted.
+EDGE, INNER = "\ue000", "\ue001"
+
+
+def found(text: Column, pattern: str, group: int = 0, gate: str | None = None) -> Column:
     """Non-overlapping matches from left to right: (start, stop, text of ``group``). Null text: none.
 
-    A split at the pattern gives what lies between the matches; running sums of both lengths give the places.
+    ``gate`` is a cheaper pattern that is found in every text where ``pattern`` is; others are not searched.
+
+    One pass of the pattern puts marks around each match; a split at the marks gives the matches and what lies between
+    them, and lengths give the places. Texts that hold a mark themselves are split at the pattern.
     """
 
-    def place(hits: Column) -> Column:
-        said = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-        gaps = F.split(text, pattern, -1)
-        sizes = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.length(g) + F.length(h))
-        ends = running(sizes)
-        spans = let(ends, lambda e: F.transform(hits, lambda h, i: F.struct((F.get(e, i) - F.length(h)).alias("start"), F.get(e, i).alias("stop"))))
-        return F.zip_with(spans, said, lambda s, t: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), t.alias("text"))).cast(SPAN)
+    def lone(p: Column) -> Column:
+        start, hit = F.length(p[0]), F.substring_index(p[1], INNER, 1)
+        return F.array(F.struct(start.alias("start"), (start + F.length(hit)).alias("stop"), F.substring_index(p[1], INNER, -1).alias("text")))
 
-    hits = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
-    return F.coalesce(F.when(text.rlike(pattern), hits), F.array().cast(SPAN))
+    def several(hits: Column, gaps: Column, said: Column) -> Column:
+        ends = running(F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.length(g) + F.length(h)))
+        spans = let(ends, lambda e: F.transform(hits, lambda h, i: F.struct((F.get(e, i) - F.length(h)).alias("start"), F.get(e, i).alias("stop"))))
+        return F.zip_with(spans, said, lambda s, t: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), t.alias("text")))
+
+    def parted(p: Column) -> Column:
+        inner = F.filter(p, lambda x, i: i % 2 == 1)
+        gaps, hits, said = F.filter(p, lambda x, i: i % 2 == 0), F.transform(inner, lambda x: F.substring_index(x, INNER, 1)), F.transform(inner, lambda x: F.substring_index(x, INNER, -1))
+        return F.when(F.size(p) == 3, lone(p).cast(SPAN)).otherwise(let(F.struct(hits.alias("h"), gaps.alias("g"), said.alias("s")), lambda v: several(v["h"], v["g"], v["s"])).cast(SPAN))
+
+    none = F.array().cast(SPAN)
+    marked = F.regexp_replace(text, pattern, f"{EDGE}$0{INNER}${group}{EDGE}")
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    held = let(every(0), lambda h: several(h, F.split(text, pattern, -1), every(group) if group else h)).cast(SPAN)
+    hits = F.when(text.contains(EDGE) | text.contains(INNER), held).otherwise(let(F.split(marked, EDGE, -1), parted))
+    return F.coalesce(F.when(text.rlike(gate) & text.rlike(pattern) if gate else text.rlike(pattern), hits), none)
 
 
 def in_turn(*spans: Column) -> Column:
