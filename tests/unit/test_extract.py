@@ -1,3 +1,7 @@
+import re
+
+from pyspark.sql import functions as F
+
 from veritab.functions import text
 from veritab.operators import extract, mining
 
@@ -56,3 +60,13 @@ def test_associations(spark):
     assert [tuple(r) for r in mining.never_said(df.select("doc", "term"), kinds, 1).collect()] == []
     more = spark.createDataFrame([(9, "d", "x"), (10, "d", "x"), (11, "e", "y")], "doc int, term string, kind string").unionByName(df)
     assert sorted(tuple(r) for r in mining.never_said(more.select("doc", "term"), more.select("doc", "kind").distinct(), 2).collect()) == [("y", "d", 2)]
+
+
+def test_few_terms_need_no_runs(spark):
+    from veritab.operators import checks
+
+    p = spark.createDataFrame([(1, "a b b c"), (2, "ab"), (3, ""), (4, None)], "id int, w string")
+    t = spark.createDataFrame([("b",), ("b c",), ("a b",), ("ab",), (None,)], "term string")
+    few, many = (checks.terms_in(p, F.col("w"), t, few=n) for n in (64, 0))
+    assert few.columns == many.columns and "explode" not in few._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [("a b", 1, "a b b c"), ("ab", 2, "ab"), ("b", 1, "a b b c"), ("b c", 1, "a b b c")]

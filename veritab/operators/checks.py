@@ -30,9 +30,22 @@ def likely_reading(observations: DataFrame, by: list[str], piece: str, value: st
     return g.select(*by, "values", reading.alias("reading"), F.when(single, odd["_p"]).alias("piece"))
 
 
-def terms_in(paragraphs: DataFrame, words: Column, terms: DataFrame, term: str = "term") -> DataFrame:
-    """(paragraph columns, term): whole-word terms of one to three words found in word texts, by equi-joins on runs of words."""
-    lengths = [r[0] for r in terms.select(F.size(F.split(term, " "))).distinct().collect()]  # one to three values
+#: Terms up to which each paragraph is searched for them one by one, which is cheaper than its runs of words are.
+FEW = 64
+
+
+def terms_in(paragraphs: DataFrame, words: Column, terms: DataFrame, term: str = "term", few: int = FEW) -> DataFrame:
+    """(term, paragraph columns): whole-word terms of one to three words found in word texts.
+
+    Up to ``few`` terms go to every task; more meet the runs of words of the paragraphs by an equi-join.
+    """
+    terms = terms.filter(F.col(term).isNotNull())
+    known = terms.groupBy(F.size(F.split(term, " ")).alias("n")).count().collect()  # one to three rows
+    if sum(r["count"] for r in known) <= few:
+        padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+        met = paragraphs.withColumn("_padded", padded(words)).join(F.broadcast(terms), F.col("_padded").contains(padded(F.col(term))))
+        return met.select(term, *paragraphs.columns, *[c for c in terms.columns if c != term])
+    lengths = [r["n"] for r in known]
 
     def runs_of(w: Column) -> Column:
         each = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), _run(w, n))).otherwise(F.array().cast("array<string>")) for n in lengths]
