@@ -62,6 +62,18 @@ def test_associations(spark):
     assert sorted(tuple(r) for r in mining.never_said(more.select("doc", "term"), more.select("doc", "kind").distinct(), 2).collect()) == [("y", "d", 2)]
 
 
+def test_terms_of_a_document_are_dealt_once(spark):
+    from veritab.operators.mining import _told
+
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x")], "doc int, term string, kind string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = _told(df, df.select("doc", "kind").distinct())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(doc#\d+, term", plan)  # dealt by document, not once more by document and term
+
+
 def test_few_terms_need_no_runs(spark):
     from veritab.operators import checks
 

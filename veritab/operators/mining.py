@@ -57,6 +57,12 @@ def equipment(lines: DataFrame, brands: list[str]) -> DataFrame:
     return owned.filter("f is not null").select("project", "idx", "owner", "f.*")
 
 
+def _told(said: DataFrame, every: DataFrame) -> DataFrame:
+    """(kind, term) once for each document: terms are dealt by document once, for being told apart and for meeting their kind."""
+    one = said.filter("term is not null").select("doc", "term").repartition("doc").distinct()
+    return one.join(every, "doc").select("kind", "term")
+
+
 def associations(said: DataFrame, kinds: DataFrame, least: int) -> DataFrame:
     """(kind, term, n, of_term, of_kind, lift) of terms that ``least`` documents of a kind hold.
 
@@ -67,7 +73,7 @@ def associations(said: DataFrame, kinds: DataFrame, least: int) -> DataFrame:
     every = kinds.filter("kind is not null")
     size = every.groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
     total = size.agg(F.sum("of_kind").alias("of_all"))  # one row
-    one = said.filter("term is not null").distinct().join(every, "doc").groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
+    one = _told(said, every).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
     terms = one.groupBy("term").agg(F.sum("n").alias("of_term"))
     j = one.filter(F.col("n") >= least).join(terms, "term").join(size, "kind").join(F.broadcast(total))
     return j.select("kind", "term", "n", "of_term", "of_kind", F.expr("(cast(1000000 as decimal(7,0)) * n * of_all) div (cast(of_term as decimal(19,0)) * of_kind)").alias("lift"))
@@ -76,7 +82,7 @@ def associations(said: DataFrame, kinds: DataFrame, least: int) -> DataFrame:
 def never_said(said: DataFrame, kinds: DataFrame, least: int) -> DataFrame:
     """(kind, term, elsewhere): terms that ``least`` documents of every other kind hold and none of this one. Kinds are few."""
     every = kinds.filter("kind is not null")
-    one = said.filter("term is not null").distinct().join(every, "doc").groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n"))
+    one = _told(said, every).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n"))
     g = one.groupBy("term").agg(F.collect_set("kind").alias("kinds"), F.min("n").alias("least"), F.sum("n").alias("elsewhere")).filter(F.col("least") >= least)
     names = every.agg(F.collect_set("kind").alias("names"))  # one row; kinds are few
     lacks = g.join(F.broadcast(names)).withColumn("lacks", F.array_except("names", "kinds")).filter(F.size("lacks") == 1)
