@@ -62,6 +62,11 @@ def test_associations(spark):
     assert sorted(tuple(r) for r in mining.never_said(more.select("doc", "term"), more.select("doc", "kind").distinct(), 2).collect()) == [("y", "d", 2)]
 
 
+def test_paragraphs_are_read_twice(spark):
+    p = paragraphs(spark, ("block", "quadros", "sai o Q.P.1 e o Q.P.2"))
+    assert extract.text_facts(p)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+
+
 def test_terms_of_a_document_are_dealt_once(spark):
     from veritab.operators.mining import _told
 

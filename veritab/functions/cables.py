@@ -29,6 +29,8 @@ _NEAR = r"(?:(?<=(?i:\bcabos?\b.{0,20}))|(?=.{0,20}(?i:\bcabos?\b)))"
 _LONG = rf"(?i:{'|'.join(FAMILIES)})(?!\w)(?:{_GEOMETRY})?"
 _BRIEF = rf"(?:(?i:{'|'.join(SHORT)})(?!\w){_GEOMETRY}|{_NEAR}(?i:{'|'.join(SHORT)})(?!\w))"
 PATTERN = rf"(?:\d+\s*[xX]\s*)?(?<![\w-])(?:{_LONG}|{_BRIEF})(?:\s*m?m[2²])?"
+#: What every family holds; texts without it name no cable.
+_GATE = r"(?i)H0|Z1|VAV|XAV|RV|VV|XV"
 _FAMILY = rf"(?i)(?<![\w-])({'|'.join((*FAMILIES, *SHORT))})(?!\w)"
 
 
@@ -56,7 +58,8 @@ def designations(text: Column) -> Column:
     """(raw, family, geometry) of every designation of a text."""
     clean = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), DASHES, "-" * len(DASHES)), r"\s+", " "))
     each = lambda m: F.struct(F.trim(m).alias("raw"), canonical_family(F.regexp_extract(m, _FAMILY, 1)).alias("family"), geometry(F.trim(m)).alias("geometry"))
-    return let(clean, lambda t: F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), each))
+    named = lambda t: F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), each)
+    return F.when(text.rlike(_GATE), let(clean, named)).otherwise(let(F.lit(""), named))
 
 
 def kind(family: Column) -> Column:

@@ -75,10 +75,19 @@ ENTRY = ("PORT", "PORTINHOLA", "ARM", "ARMARIO", "CP", "CAIXAPORTINHOLA")
 MAIN = ("QE", "QEG", "QGBT", "QG")
 
 
+def unprefixed(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?i)^\s*quadro\s+", "")
+
+
 def core(name: Column) -> Column:
     """Upper-case letters and digits of a board's name without accents and prefix; the entry and the main board by one name each."""
+    return core_of(fold(unprefixed(name)))
+
+
+def core_of(folded: Column) -> Column:
+    """:func:`core` of a name that is folded, its prefix gone before."""
     named = lambda b: F.when(b.isin(*ENTRY), "PORTINHOLA").when(b.isin(*MAIN), "QEG").otherwise(F.regexp_replace(b, "^QP?(?=[0-9A-Z])", ""))
-    return let(F.regexp_replace(F.upper(fold(F.regexp_replace(name, r"(?i)^\s*quadro\s+", ""))), "[^0-9A-Z]", ""), named)
+    return let(F.regexp_replace(F.upper(folded), "[^0-9A-Z]", ""), named)
 
 
 def same_board(a: Column, b: Column) -> Column:

@@ -24,48 +24,67 @@ SIGNED = (("tec.cc", r"(?i)^\s*C\.?\s?C\.?\s*(?:n\.?º)?\s*:?\s*(.+?)\s*$"), ("t
 LEAST = 4
 
 
-def _hits(df: DataFrame, pattern: str, group: int = 0) -> DataFrame:
-    """One row for each match: ``nth``, ``said``, and ``before``, the folded text of CONTEXT characters before it."""
-    rows = df.select("*", F.posexplode(spans.found(F.col("text"), pattern, group)).alias("nth", "s"))
-    before = F.col("text").substr(F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT)))
-    return rows.select(*df.columns, "nth", F.col("s.text").alias("said"), text.fold(before).alias("before"))
-
-
-def _fact(key: str | Column, value: Column) -> list[Column]:
-    return ["project", "piece", (F.lit(key) if isinstance(key, str) else key).alias("key"), value.cast("string").alias("value"), "idx"]
-
-
-def _first(df: DataFrame, key: str, value: Column) -> DataFrame:
-    """The value of the first paragraph of each piece that has one."""
-    v = df.withColumn("_v", value.cast("string")).filter("_v is not null").groupBy("project", "piece").agg(F.min(F.struct("idx", F.col("_v").alias("v"))).alias("f"))
-    return v.select("project", "piece", F.lit(key).alias("key"), F.col("f.v").alias("value"), F.col("f.idx").alias("idx"))
-
-
 def text_facts(paragraphs: DataFrame) -> DataFrame:
     """(project, piece, key, value, idx) of paragraphs (project, piece, section_kind, section, idx, text).
 
     Powers are facts each, unless the words just before say that they belong to a device; words in the CONTEXT before
     tell an existing power from the one to supply. Of counted things the first count of a piece stands; boards and
     types of luminaires are one list a piece, in natural order. Only blocks of a section that speaks of the subject
-    are read. Null texts have no facts.
+    are read. Null texts have no facts. The paragraphs are read twice: for facts that stand alone, and for those that
+    a piece has one of.
     """
     p = paragraphs.filter((F.col("section_kind") == "block") & F.col("text").isNotNull())
-    inside = lambda pattern: p.filter(F.col("section").rlike(pattern))
-    number = number_text(rule_number(F.col("said")))
-    power = _hits(p, KVA, 1).filter(~F.expr(f"right(before, {CLOSE})").rlike(NOT_SUPPLY) & number.isNotNull())
-    out = power.select(*_fact(F.when(F.col("before").rlike(EXISTING), "ele.potencia_existente_kva").otherwise("ele.potencia_alimentar_kva"), number))
-    counted = lambda where, key, noun, container: _first(inside(where).withColumn("w", text.fold(F.col("text"))), key, words.quantity_of(F.col("w"), noun, container))
-    out = out.unionByName(counted(BOARDS, "qty.quadros", r"quadros?\s+eletrico", "xx"))
-    out = out.unionByName(counted(CHARGERS, "qty.ve_carregadores", "carregador(?:es)?", r"(?:pedestal|pedestais|postos?)"))
-    out = out.unionByName(counted(PANELS, "qty.fv_modulos", r"modulos?(?:\s+fotovoltaico)?", "xx"))
-    out = out.unionByName(_first(_hits(inside(PANELS), KWP, 1).filter("nth = 0"), "fv.potencia_kwp", number))
-    named = _hits(inside(BOARDS), BOARD).withColumn("c", text.core(F.col("said"))).filter("c <> ''").groupBy("project", "piece", "c").agg(F.min("idx").alias("idx"))
-    out = out.unionByName(named.groupBy("project", "piece").agg(F.array_join(F.array_sort(F.collect_list("c")), ", ").alias("v"), F.min("idx").alias("idx")).select(*_fact("names.quadros", F.col("v"))))
-    lit = inside(LIGHTING).filter(~F.col("section").rlike(NOT_LIGHTING)).withColumn("codes", text.luminaire_codes(F.regexp_extract("text", LUMINAIRES, 1)))
-    types = lit.select("project", "piece", "idx", F.explode("codes").alias("c")).withColumn("t", text.luminaire_type(F.col("c"))).groupBy("project", "piece", "t").agg(F.min("idx").alias("idx"))
-    natural = F.struct(F.regexp_replace("t", r"\d+$", "").alias("a"), F.coalesce(F.regexp_extract("t", r"(\d+)$", 1).try_cast("int"), F.lit(0)).alias("n"), "t")
-    out = out.unionByName(types.groupBy("project", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(natural)), lambda x: x["t"]), ", ").alias("v"), F.min("idx").alias("idx")).select(*_fact("types.luminarias", F.col("v"))))
-    return out.unionByName(p.select("project", "piece", "idx", F.explode(cables.designations(F.col("text"))).alias("d")).select(*_fact("cabo", F.col("d.family"))))
+    return _lone_facts(p).unionByName(_piece_facts(p))
+
+
+def _stacked(p: DataFrame, *each: Column) -> DataFrame:
+    """A row for each item of arrays of (key, said, before)."""
+    return p.select("project", "piece", "idx", F.explode(F.concat(*each)).alias("x")).select("project", "piece", "idx", "x.*")
+
+
+def _item(key: str, said: Column, before: Column | None = None) -> Column:
+    return F.struct(F.lit(key).alias("key"), said.alias("said"), (F.lit(None).cast("string") if before is None else before).alias("before"))
+
+
+def _lone_facts(p: DataFrame) -> DataFrame:
+    """Powers with what stands before them, and cables."""
+    t = F.col("text")
+    before = lambda s: t.substr(F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+    powers = F.transform(spans.found(t, KVA, 1), lambda s: _item("", s["text"], before(s)))
+    rows = _stacked(p, powers, F.transform(cables.designations(t), lambda d: _item("cabo", d["family"])))
+    rows = rows.withColumn("before", text.fold(F.col("before")))
+    number, cable = number_text(rule_number(F.col("said"))), F.col("key") == "cabo"
+    supply = F.when(F.col("before").rlike(EXISTING), "ele.potencia_existente_kva").otherwise("ele.potencia_alimentar_kva")
+    one = F.array(F.struct(F.when(cable, F.col("key")).otherwise(supply).alias("key"), F.when(cable, F.col("said")).otherwise(number).alias("value")))
+    one = F.when(cable | (~F.expr(f"right(before, {CLOSE})").rlike(NOT_SUPPLY) & number.isNotNull()), one)  # a filter would fold a second time
+    return rows.select("project", "piece", F.explode(one).alias("x"), "idx").select("project", "piece", "x.key", "x.value", "idx")
+
+
+#: Counted things: key -> (sections, noun, container).
+COUNTED = {"qty.quadros": (BOARDS, r"quadros?\s+eletrico", "xx"), "qty.ve_carregadores": (CHARGERS, "carregador(?:es)?", r"(?:pedestal|pedestais|postos?)"), "qty.fv_modulos": (PANELS, r"modulos?(?:\s+fotovoltaico)?", "xx")}
+
+
+def _piece_facts(p: DataFrame) -> DataFrame:
+    """The first count of each thing, the first peak power, and the lists of boards and of types of luminaires."""
+    t, key, said = F.col("text"), F.col("key"), F.col("said")
+    inside = lambda pattern, items: F.when(F.col("section").rlike(pattern), items).otherwise(F.array().cast("array<struct<key:string,said:string,before:string>>"))
+    every = lambda k, pattern: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: _item(k, x))
+    peak = F.when(t.rlike(KWP), F.array(_item("fv.potencia_kwp", F.regexp_extract(t, KWP, 1)))).otherwise(F.array().cast("array<struct<key:string,said:string,before:string>>"))
+    lit = F.transform(text.luminaire_codes(F.regexp_extract(t, LUMINAIRES, 1)), lambda c: _item("types.luminarias", text.luminaire_type(c)))
+    rows = _stacked(p, *[inside(s, F.array(_item(k, t))) for k, (s, _, _) in COUNTED.items()], inside(PANELS, peak), inside(BOARDS, every("names.quadros", BOARD)), F.when(F.col("section").rlike(NOT_LIGHTING), inside("(?!)", lit)).otherwise(inside(LIGHTING, lit)))
+    board, w = key == "names.quadros", F.col("w")
+    rows = rows.withColumn("w", text.fold(F.when(board, text.unprefixed(said)).when(key.isin(*COUNTED), said)))
+    value = F.when(board, F.nullif(text.core_of(w), F.lit(""))).when(key == "fv.potencia_kwp", number_text(rule_number(said))).when(key == "types.luminarias", said)
+    for k, (_, noun, container) in COUNTED.items():
+        value = value.when(key == k, words.quantity_of(w, noun, container).cast("string"))
+    listed = board | (key == "types.luminarias")
+    rows = rows.select("project", "piece", "key", "idx", value.alias("v"))
+    first = F.min(F.when(F.col("v").isNotNull(), F.struct("idx", "v")))  # a filter before would work the values out a second time
+    g = rows.groupBy("project", "piece", "key").agg(first.alias("f"), F.collect_set(F.when(listed, F.col("v"))).alias("l")).filter("f is not null")
+    natural = lambda c: F.struct(F.regexp_replace(c, r"\d+$", "").alias("a"), F.coalesce(F.regexp_extract(c, r"(\d+)$", 1).try_cast("int"), F.lit(0)).alias("n"), c.alias("t"))
+    types = F.transform(F.array_sort(F.transform("l", natural)), lambda x: x["t"])
+    named = F.when(board, F.array_join(F.array_sort("l"), ", ")).when(key == "types.luminarias", F.array_join(types, ", ")).otherwise(F.col("f.v"))
+    return g.select("project", "piece", "key", named.alias("value"), F.col("f.idx").alias("idx"))
 
 
 def identity_facts(paragraphs: DataFrame, postal: str = POSTAL) -> DataFrame:
