@@ -33,3 +33,13 @@ def test_core_folds_a_name_once(spark):
     out = spark.range(2).groupBy(text.core(name).alias("c")).count()
     assert out._jdf.queryExecution().analyzed().toString().count("Quadro Q.P.") <= 6  # thrice in each of the two lists
     assert sorted(r.c for r in out.collect()) == ["A0", "A1"]
+
+
+def test_texts_without_rare_kinds_are_not_searched_for_them(spark):
+    said = ["10.1.99", "MAIO|1999", "abril de 2001", "julho/2020", "março  1999", "12345678 9 ZZ4", "C.C. 123456", "912345678", "4000 - 100", "999999990", "u@x.pt OET 123", "Rua Nova e 1234", None]
+    t = spark.createDataFrame([(x,) for x in said], "t string")
+    both = t.select("t", privacy.masked(F.col("t")).alias("a"), privacy.masked(F.col("t"), dict(privacy.PERSONAL)).alias("b"))
+    assert all(r.a == r.b for r in both.collect())
+    assert both._jdf.queryExecution().analyzed().toString().count("CASE WHEN RLIKE(t") == 1
+    for k, gate in privacy.RARE.items():
+        assert t.filter(F.col("t").rlike(privacy.PERSONAL[k])).count() == t.filter(F.col("t").rlike(privacy.PERSONAL[k]) & F.col("t").rlike(gate)).count() > 0, k
