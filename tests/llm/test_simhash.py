@@ -107,3 +107,29 @@ def test_stage_links_by_exact_jaccard(spark):
     root = _roots(sets, near)
     got = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == {i for i in sets if root[i] == i}
+
+
+def test_stage_pairs_near_words_in_vantage_point_shards(spark, monkeypatch):
+    """Every set with another one within the radius in a word gets a pair, no pair is further apart, and the stage goes that way."""
+    monkeypatch.setattr(S, "SHARD", 40)
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(120):
+        f = [rnd.getrandbits(64) for _ in range(2)]
+        for c in range(rnd.choice([1, 1, 2, 4])):
+            g = [f[0] ^ sum(1 << b for b in rnd.sample(range(64), c % 4)), f[1] if c == 2 else rnd.getrandbits(64)]
+            rows.append((len(rows).to_bytes(16, "big"), *[x - (1 << 64) if x >> 63 else x for x in g]))
+    points = spark.createDataFrame(rows, "k binary, f0 long, f1 long")
+    apart = lambda x, y: min(((x[j] ^ y[j]) & (1 << 64) - 1).bit_count() for j in (1, 2))
+    want = {x[0] for x in rows for y in rows if x is not y and apart(x, y) <= 2}
+    by = {r[0]: r for r in rows}
+    got = [(bytes(r["a"]), bytes(r["b"])) for r in S.vantage_pairs(points, 2, 2).collect()]
+    assert len(set(got)) == len(got) and all(a < b and apart(by[a], by[b]) <= 2 for a, b in got)
+    assert {k for pair in got for k in pair} == want and len(want) > 80
+
+    calls, old = [], S.vantage_pairs
+    monkeypatch.setattr(S, "vantage_pairs", lambda *a: calls.append(old(*a).collect()) or old(*a))
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other words of a third text")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.keep_one(docs).collect()) == [1, 3]
+    assert len(calls) == 1 and len(calls[0]) == 1

@@ -153,7 +153,19 @@ class _Union:
         self.root = r
 
 
-def _join(f: np.ndarray, points: np.ndarray, queries: np.ndarray, radius: int, links: _Union, depth: int = 0) -> None:
+class _First:
+    """The first other position that each array position is linked to; ``n`` if there is none."""
+
+    def __init__(self, n: int) -> None:
+        self.first = np.full(n, n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        i, j = i[i != j], j[i != j]
+        np.minimum.at(self.first, i, j)
+        np.minimum.at(self.first, j, i)
+
+
+def _join(f: np.ndarray, points: np.ndarray, queries: np.ndarray, radius: int, links: _Union | _First, depth: int = 0) -> None:
     """Link points and queries (positions in ``f``) within ``radius``: split by vantage points, then compare blocks."""
     if len(points) == 0 or len(queries) == 0:
         return
@@ -243,6 +255,8 @@ STAGE_RADIUS = 160
 BROADCAST = 500_000
 #: Sets of a shingle that all others of it meet first.
 HEADS = 8
+#: Bits in which a word of two sets' SimHash may differ in the vantage-point shards, as in op4.
+VANTAGE_RADIUS = 2
 
 
 def bits_for(similarity: float, bits: int) -> int:
@@ -347,31 +361,70 @@ def similar(pairs: DataFrame, points: DataFrame, slim: DataFrame, shingle: int,
     return out
 
 
+def vantage_pairs(points: DataFrame, width: int, radius: int) -> DataFrame:
+    """(k, f0..) -> pairs (a, b) of sets: each set and the first other one within ``radius`` bits of it, in any of the words.
+
+    Each word has a vantage-point tree of its own, whose leaves are the shards, as in :func:`link_fingerprints`. Sets
+    of one word are paired with the least of them, which alone stands for the word in the shards. The pairs are those
+    of near fingerprints; their sets are still to be compared.
+    """
+    f = [f"f{j}" for j in range(width)]
+    leaves = min(4096, math.ceil(points.count() / SHARD))
+    trees = [[] for _ in f]
+    if leaves > 1:
+        picked = points.orderBy(F.xxhash64("k", F.lit("sample"))).limit(SAMPLE).select(*f).toPandas()
+        trees = [build_tree(np.unique(picked[c].to_numpy().view(np.uint64)), leaves) for c in f]
+    each = points.select("k", F.posexplode(F.array(*f)).alias("w", "f"))
+    ones = saved(each.groupBy("w", "f").agg(F.min("k").alias("lo"), F.count(F.lit(1)).alias("c")), "words")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for w, part in b.groupby("w"):
+                f = part["f"].to_numpy()
+                for leaf, rows, home in route(trees[w], f.view(np.uint64), radius):
+                    yield pd.DataFrame({"w": w, "leaf": leaf, "home": home, "f": f[rows]})
+
+    def local(b: pd.DataFrame) -> pd.DataFrame:
+        f = np.sort(b["f"].to_numpy())
+        home = np.flatnonzero(np.isin(f, b["f"][b["home"]].to_numpy()))
+        links = _First(len(f))
+        _join(f.view(np.uint64), home, np.arange(len(f)), radius, links)
+        moved = np.flatnonzero(links.first < len(f))
+        return pd.DataFrame({"w": b["w"].iloc[0], "x": f[links.first[moved]], "y": f[moved]})
+
+    dealt = ones.select("w", "f").mapInPandas(deal, "w int, leaf int, home boolean, f long")
+    near = dealt.groupBy("w", "leaf").applyInPandas(local, "w int, x long, y long").distinct()
+    end = lambda c, name: ones.select("w", F.col("f").alias(c), F.col("lo").alias(name))
+    near = near.join(end("x", "a"), ["w", "x"]).join(end("y", "b"), ["w", "y"]).select("a", "b")
+    equal = each.join(ones.filter("c > 1"), ["w", "f"]).filter("k <> lo").select(F.col("lo").alias("a"), F.col("k").alias("b"))
+    out = saved(near.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "vantage-pairs")
+    dropped(ones)
+    return out
+
+
 def link_similar(points: DataFrame, slim: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
     """(k, id, row, n, prefix, f0..) -> (node, root): components over the digests ``k`` of sets of Jaccard ``similarity``.
 
-    Sets meet on a shingle of both prefixes if size and places leave room for enough others. Each first meets HEADS
-    sets of its shingle, chosen by hash, so that a large group of copies costs a few pairs each. Shingles whose sets are
-    not all linked by then go into rounds: HEADS times as many heads as before meet the sets that are not linked to
-    them, and leave; so a shingle of c sets is done after log(c) rounds, and linked sets cost no more pairs. SimHash
-    drops pairs far apart, and the sets of the others are compared.
+    Near fingerprints meet in vantage-point shards (:func:`vantage_pairs`), and their sets are compared. Sets that are
+    similar, yet lie further apart than a radius that prunes, meet by shingles: on one of both prefixes, if size and
+    places leave room for enough others. Only shingles whose sets are not all linked by then go into rounds:
+    HEADS of their sets, chosen by hash, meet the sets that are not linked to them, and leave; each round has HEADS
+    times as many. So a shingle of c sets is done after log(c) rounds, and linked sets cost no pairs. SimHash drops
+    pairs far apart, and the sets of the others are compared.
     """
+    near = vantage_pairs(points, width, VANTAGE_RADIUS)
+    links = similar(near, points, slim, shingle, width, similarity)
+    dropped(near)
     p = points.select("k", "n", F.posexplode("prefix").alias("i", "t"))
     shared = saved(p.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t"), "shared")  # few of the shingles; the others stay out of what follows
     p = saved(p.join(small(shared, shared.count(), 2 * BROADCAST), "t", "left_semi"), "shared-shingles")
-    each = [F.min(F.struct(F.xxhash64("k", F.lit(j)).alias("o"), "k", "n", "i")) for j in range(HEADS)]
-    slim_heads = F.array_distinct(F.transform(F.array(*each), lambda x: F.struct(x["k"].alias("hk"), x["n"].alias("hn"), x["i"].alias("hi"))))
-    heads = saved(p.groupBy("t").agg(slim_heads.alias("v")).select("t", F.explode("v").alias("v")).select("t", "v.*"), "shingle-heads")
 
     def room(n: Column, i: Column, m: Column, j: Column) -> Column:
         fits = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
         return fits & (F.least(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6)
 
-    first = p.join(heads, "t").filter((F.col("k") != F.col("hk")) & room(F.col("n"), F.col("i"), F.col("hn"), F.col("hi")))
     pair = [F.least("k", "hk").alias("a"), F.greatest("k", "hk").alias("b")]
-    links = similar(first.select(*pair).distinct(), points, slim, shingle, width, similarity)
-    dropped(heads)
-    left, most, seed = p.select("t", "k", "n", "i"), HEADS, 0
+    left, most, seed = p.select("t", "k", "n", "i"), 1, 0
     while True:
         roots = saved(components(links), "roots")
         q = left.join(roots, F.col("k") == F.col("node"), "left").select("t", "k", "n", "i", F.coalesce("root", "k").alias("root"))
