@@ -98,3 +98,32 @@ def test_a_replayed_stream_adds_nothing(spark, tmp_path):
     events.limit(10).write.mode("append").parquet(src)
     seconds.run_once(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), 1)
     assert len(ledger.entries()) == 4 and shown() != want
+
+
+def test_a_key_costs_two_calls_to_the_store_at_most():
+    """Readings come as rows in any order; the draft is read once, and written once if it changed."""
+    calls = []
+
+    class Kept:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    p = stream.DraftProcessor()
+    p.draft = Kept()
+    row = lambda seq, kind, source, *read: {"seq": seq, "kind": kind, "source": source, "read": [{"form": x, "value": x} for x in read] or None}
+    told = lambda *rows: [(r["key"], r["seq"], r["action"], r["value"]) for r in p.handleInputRows(("k",), iter(rows), None)]
+    assert told(row(1, "choose", None)) == [("k", 1, "refused", None)] and calls == ["get"]
+    assert told(row(3, "read", "t", "2"), row(2, "read", "s", "1"), row(3, "choose", None)) == [("k", 2, "new", "1"), ("k", 3, "refused", "1"), ("k", 3, "conflict", None)]
+    assert calls == ["get", "get", "update"]
+    assert told(row(4, "read", "u")) == [("k", 4, "agree", None)] and calls[3:] == ["get"]

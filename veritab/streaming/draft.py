@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veritab.operators.draft import READINGS, STEPS, step, told
 
+NAMES = [c.split()[0] for c in STEPS.split(", ")]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,16 +20,14 @@ class DraftProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.draft = handle.getValueState("draft", "draft string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        draft = json.loads(self.draft.get()[0]) if self.draft.exists() else None
-        got = pd.concat(list(rows)).sort_values(["seq", "kind", "source"], na_position="first", kind="stable")
-        out = []
-        for seq, kind, source, read in zip(got["seq"], got["kind"], got["source"], got["read"], strict=True):
-            read = [{"form": r["form"], "value": r["value"]} for r in read] if read is not None else []
-            draft, action = step(draft, kind, source, read)
-            out.append(told(key[0], int(seq), draft, action))
-        self.draft.update((json.dumps(draft),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEPS.split(", ")])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        kept = self.draft.get()  # one call to the store, and one more if the draft changes: a batch has few readings of a key
+        draft = before = json.loads(kept[0]) if kept else None
+        for r in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) if r[c] is not None else (False,) for c in ("seq", "kind", "source")]):
+            draft, action = step(draft, r["kind"], r["source"], [{"form": x["form"], "value": x["value"]} for x in r["read"] or []])
+            yield Row(**dict(zip(NAMES, told(key[0], r["seq"], draft, action), strict=True)))
+        if draft is not before:
+            self.draft.update((json.dumps(draft),))
 
     def close(self) -> None:
         pass
@@ -45,7 +43,7 @@ def drain(spark: SparkSession, readings: str, out: str, checkpoint: str, files:
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     stream = spark.readStream.schema(READINGS).option("maxFilesPerTrigger", files).parquet(readings).filter("key is not null")
-    steps = stream.groupBy("key").transformWithStateInPandas(DraftProcessor(), STEPS, "Append", "None")
+    steps = stream.groupBy("key").transformWithState(DraftProcessor(), STEPS, "Append", "None")
     spark.conf.set(setting, ROCKS)
     try:
         steps.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
