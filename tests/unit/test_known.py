@@ -103,3 +103,42 @@ def test_beginnings_that_no_value_has_are_not_exchanged(spark):
     texts = pa.RecordBatch.from_arrays([pa.array(["k"]), pa.array(["João Silva viu 日本 a, " + " ".join(map(str, range(2_000)))])], names=["key", "text"])
     found = [g for b in run(iter([texts])) for g in b.column(1).to_pylist()]
     assert {"joao silva", "日本 a"} <= set(found) and len(found) < 5
+
+
+def raw(text, values, table=known.Table):
+    """What a table and an automaton find."""
+    low = known.fold_map(text)[0]
+    kinds = {known.folded(v): k for k, v in values}
+    return sorted(table(list(kinds), list(kinds.values())).hits(low)), sorted(known._automaton_hits(low, known.automaton(kinds.items())))
+
+
+class SameHashes(known.Table):
+    """Hashes of one bit."""
+
+    _hash = staticmethod(lambda sums, start, stop: known.Table._hash(sums, start, stop) & known.np.uint64(1 << 63))
+
+
+@pytest.mark.parametrize("table", [known.Table, SameHashes])
+def test_table_finds_what_an_automaton_finds(table):
+    r, found = random.Random(3), 0
+    for text in samples(4):
+        parts = [text[i : i + n] for i, n in ((r.randrange(len(text) + 1), r.choice([5, 9, 70, 120, 200])) for _ in range(30))]
+        got, want = raw(text, [("a", p) for p in parts if len(known.folded(p)) >= known.LEAST] + [("b", "ana silva")], table)
+        found += len(got)
+        assert got == want
+    assert found > 200 and max(-x[1] for x in raw("a" * 90 + " b", [("k", "a" * 90)])[0]) == 90  # longer than NEAR
+
+
+def test_folds_of_a_batch():
+    for t in (samples(5), ["a\0B", "", " _"], [""], []):
+        assert known.folded_all(t) == [known.folded(x) for x in t]
+
+
+def test_many_values_are_searched_for_without_an_exchange_of_texts(spark, monkeypatch):
+    """More values than an automaton was sent for: texts and what stands in them are not dealt by it."""
+    monkeypatch.setattr(known, "_grams", None)
+    values = spark.range(250_000).selectExpr("'k' as kind", "concat('wert ', id) as value")
+    df = spark.createDataFrame([(1, "Wert 249999, WERT_7 und wert 250000")], "id int, text string")
+    out = known.personal_spans(df, "id", "text", values, {})
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.start, r.stop) for r in out.orderBy("start").collect()] == [(0, 11), (13, 19)]

@@ -19,14 +19,16 @@ from veritab.sources.stage import dropped, saved
 
 #: Characters that part words besides white space.
 BLANKS = "_"
-#: Known values, and their characters, up to which one automaton goes to all tasks: some 60 bytes a character.
-MOST, MOST_CHARS = 200_000, 2_000_000
+#: Known values, and their characters, up to which one table goes to all tasks: some 30 bytes a value and one to four a character.
+MOST, MOST_CHARS = 4_000_000, 64_000_000
 #: Characters of the beginning by which values and texts meet beyond that.
 GRAM = 12
 #: Bits (a power of two) that tell which beginnings no value has: 16 MB, whatever the number of values.
 BITS = 1 << 27
 #: Known values shorter than this are not looked for.
 LEAST = 4
+#: Characters up to which all ends of a value are tried at each beginning; longer values must first begin alike. Beginnings that are tried at a time.
+NEAR, AT_A_TIME = 64, 1 << 14
 SPANS = "start int, stop int, kind string, source string, said string"
 
 _WIDE = np.zeros(0x110000, np.uint8)  # code points of a character's fold; 0: not looked up yet
@@ -73,7 +75,14 @@ def folded(text: str) -> str:
     return fold_map(text)[0].strip()
 
 
+def folded_all(texts: list[str]) -> list[str]:
+    """:func:`folded` of each text, all in one pass: a NUL parts them and is no blank."""
+    out = fold_map("\0".join(texts))[0].split("\0") if texts else []
+    return [x.strip() for x in out] if len(out) == len(texts) else [folded(x) for x in texts]
+
+
 _WORD = frozenset("0123456789abcdefghijklmnopqrstuvwxyz")
+_IS_WORD = np.array([chr(c) in _WORD for c in range(128)])
 
 
 def automaton(values: Iterable[tuple[str, str]]):
@@ -85,14 +94,117 @@ def automaton(values: Iterable[tuple[str, str]]):
     return out if len(out) else None
 
 
-def known_places(text: str, known) -> list[tuple[int, int, str]]:
-    """(start, stop, kind) of known values, as places in ``text``: whole words, from left to right the longest at each place."""
-    low, at = fold_map(text)
-    hits = []
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers, and more, of the base of hashes and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(2 * n, base, np.uint64)
+            x[0] = 1
+            _POWERS[i] = np.cumprod(x)
+    return _POWERS
+
+
+class Table:
+    """Folded values by a rolling hash: a text is searched at the beginnings of its words only, all of them at a time.
+
+    A bit tells of most hashes that no value has them; the others are looked up, and the characters compared.
+    """
+
+    def __init__(self, values: list[str], kinds: list[str]):
+        self.names = sorted(set(kinds))
+        code = {k: i for i, k in enumerate(self.names)}
+        size = np.fromiter(map(len, values), np.int64, len(values))
+        hashes = np.zeros(len(values), np.uint64)
+        heads = [v[:NEAR] for v in values if len(v) > NEAR]
+        for i in range(0, len(values), 1 << 16):
+            stop = np.cumsum(size[i : i + (1 << 16)])
+            hashes[i : i + (1 << 16)] = self._hash(self._sums("".join(values[i : i + (1 << 16)])), stop - size[i : i + (1 << 16)], stop)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.size, self.text = hashes[order], size[order].astype(np.int32), "".join(values[i] for i in order.tolist())
+        self.at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.kind = np.fromiter((code[kinds[i]] for i in order.tolist()), np.int32, len(order))
+        self.bits = self._bits(hashes)
+        self.heads = self._bits(np.concatenate([self._hash(self._sums(h), np.zeros(1, np.int64), np.array([NEAR])) for h in set(heads)])) if heads else None
+        lengths = np.unique(size)
+        self.far, lengths = lengths[lengths > NEAR], lengths[lengths <= NEAR]
+        self.near = np.isin(np.arange(NEAR + 1), lengths)
+        self.least, self.most = (int(lengths[0]), int(lengths[-1])) if len(lengths) else (1, 0)
+
+    @staticmethod
+    def _sums(low: str) -> np.ndarray:
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * _MIX * _powers(len(codes) + 1)[0][: len(codes)])])
+
+    @staticmethod
+    def _hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        h = (sums[stop] - sums[start]) * _powers(len(sums))[1][start]
+        return (h ^ (h >> np.uint64(32))) * _MIX
+
+    @staticmethod
+    def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+        """64 bits a value at least; a hash's first bits tell its place."""
+        wide = max(16, (64 * len(hashes)).bit_length())
+        out, h = np.zeros(1 << wide - 3, np.uint8), hashes >> np.uint64(64 - wide)
+        np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+        return out, np.uint64(64 - wide)
+
+    @staticmethod
+    def _held(bits: tuple[np.ndarray, np.uint64], hashes: np.ndarray) -> np.ndarray:
+        h = hashes >> bits[1]
+        return (bits[0][(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & np.uint8(1)).view(bool)
+
+    def _pairs(self, sums: np.ndarray, starts: np.ndarray, stops: np.ndarray, is_stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(starts, stops) of what is as long as some value."""
+        for i in range(0, len(starts) if self.most else 0, AT_A_TIME):
+            some = starts[i : i + AT_A_TIME]
+            first, last = np.searchsorted(stops, some + self.least), np.searchsorted(stops, some + self.most, "right")
+            n = last - first
+            a = np.repeat(some, n)
+            b = stops[np.arange(len(a)) + np.repeat(first - (np.cumsum(n) - n), n)]
+            fits = self.near[b - a]
+            yield a[fits], b[fits]
+        if self.heads is not None:
+            starts = starts[starts + NEAR < len(sums)]
+            starts = starts[self._held(self.heads, self._hash(sums, starts, starts + NEAR))]
+            for n in self.far.tolist():
+                a = starts[: np.searchsorted(starts, len(sums) - n)]
+                a = a[is_stop[a + n]]
+                yield a, a + n
+
+    def hits(self, low: str) -> Iterator[tuple[int, int, str]]:
+        """(begin, minus length, kind) of every value between other characters than those of words."""
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        word, blank, edge = _IS_WORD[np.minimum(codes, 127)], codes == 32, np.zeros(1, bool)
+        is_stop = np.concatenate([edge, ~blank]) & ~np.concatenate([word, edge])  # no value begins or ends with a blank
+        sums, starts = self._sums(low), np.flatnonzero(~np.concatenate([edge, word[:-1]]) & ~blank) if len(codes) else np.zeros(0, np.int64)
+        for a, b in self._pairs(sums, starts, np.flatnonzero(is_stop), is_stop):
+            h = self._hash(sums, a, b)
+            held = np.flatnonzero(self._held(self.bits, h))
+            a, b, h = a[held], b[held], h[held]
+            at = np.searchsorted(self.hashes, h)
+            met = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == h)
+            for begin, stop, i, x in zip(a[met].tolist(), b[met].tolist(), at[met].tolist(), h[met], strict=True):
+                while i < len(self.hashes) and self.hashes[i] == x:  # other values may have the same hash
+                    if self.size[i] == stop - begin and self.text.startswith(low[begin:stop], int(self.at[i])):
+                        yield begin, begin - stop, self.names[self.kind[i]]
+                    i += 1
+
+
+def _automaton_hits(low: str, known) -> Iterator[tuple[int, int, str]]:
     for last, (n, kind) in known.iter(low):
         begin = last - n + 1
         if not (begin and low[begin - 1] in _WORD or last + 1 < len(low) and low[last + 1] in _WORD):
-            hits.append((begin, -n, kind))
+            yield begin, -n, kind
+
+
+def known_places(text: str, known) -> list[tuple[int, int, str]]:
+    """(start, stop, kind) of known values, a :class:`Table` or an automaton, as places in ``text``: whole words, from left to right the longest at each place."""
+    low, at = fold_map(text)
+    hits = known.hits(low) if isinstance(known, Table) else _automaton_hits(low, known)
     out, free = [], 0
     for begin, n, kind in sorted(hits):
         start, stop = int(at[begin]), int(at[begin - n - 1]) + 1
@@ -132,7 +244,7 @@ def _told(b: pa.RecordBatch, names: list[str], each: list[list[tuple]]) -> pa.Re
 
 def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folded(v.as_py()) for v in b.column(1)], pa.string())], names=["kind", "value"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(folded_all(b.column(1).to_pylist()), pa.string())], names=["kind", "value"])
 
 
 def _bits(grams: DataFrame) -> bytes:
@@ -163,8 +275,8 @@ def _grams(lengths: list[int], bits: Broadcast) -> Callable:
 def personal_spans(docs: DataFrame, id_col: str, text_col: str, values: DataFrame, detectors: dict[str, str], kept: Iterable[str] = (), allowed: Iterable[tuple[str, str]] = (), most: int = MOST) -> DataFrame:
     """(id, start, stop, kind, source, said): places, in code points of the original, of personal data in each text.
 
-    ``values`` (kind, value) are looked for all at once, whatever accents, case and blanks: folded texts run through
-    one automaton, built once and sent to all tasks while there are at most ``most`` values (counted, like their
+    ``values`` (kind, value) are looked for all at once, whatever accents, case and blanks: folded texts are searched
+    by one table, built once and sent to all tasks while there are at most ``most`` values (counted, like their
     characters). Beyond that texts and values meet by what stands at the beginnings of words, and each text runs
     through an automaton of the values it met; both ways give the same rows. A known value stands between other
     characters than a-z and 0-9; from left to right the longest at each place is taken. Then ``detectors`` (kind ->
@@ -182,7 +294,8 @@ def personal_spans(docs: DataFrame, id_col: str, text_col: str, values: DataFram
     search = [(k, re.compile(p)) for k, p in detectors.items()]
     kept, allowed = frozenset(kept), frozenset((k, folded(v)) for k, v in allowed)
     if size["n"] <= most and (size["chars"] or 0) <= MOST_CHARS:
-        whole = rows.sparkSession.sparkContext.broadcast(automaton(low.orderBy("value").toLocalIterator()))
+        all_of = low.toArrow()
+        whole = rows.sparkSession.sparkContext.broadcast(Table(all_of["value"].to_pylist(), all_of["kind"].to_pylist()))
         dropped(low)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
