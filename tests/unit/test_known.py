@@ -142,3 +142,12 @@ def test_many_values_are_searched_for_without_an_exchange_of_texts(spark, monkey
     out = known.personal_spans(df, "id", "text", values, {})
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert [(r.start, r.stop) for r in out.orderBy("start").collect()] == [(0, 11), (13, 19)]
+
+
+def test_detectors_beside_many_values(spark, monkeypatch):
+    monkeypatch.setattr(known, "_grams", None)
+    values = spark.range(250_000).selectExpr("'k' as kind", "concat('wert ', id, '@y.pt') as value")
+    df = spark.createDataFrame([(1, "WERT  9@y.pt, 777 w@y.pt"), (2, None)], "id int, text string")
+    out = known.personal_spans(df, "id", "text", values, DETECT, ["number"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.start, r.stop, r.kind, r.source) for r in out.collect()) == [(1, 0, 12, "k", "known"), (1, 18, 24, "mail", "pattern")]
